@@ -211,3 +211,38 @@ def build_gold_aggregates(
             "alert_nxdomain": F.col("nxdomain_ratio") >= F.lit(nxdomain_alert),
         }
     )
+
+
+def build_wide_gold(enriched: DataFrame, rows: DataFrame, keys=KEYS) -> DataFrame:
+    """One wide record per (tenant, event_date): A5-A8 measures, top qnames (N2) and the
+    two entropy histograms (H4), with disjoint column names. All inputs are one row per key."""
+    from zonelens.operators.distributions import entropy_histograms_wide
+    from zonelens.operators.rankings import top_qnames_pairs
+
+    return (
+        build_gold_aggregates(enriched, rows, keys)
+        .join(top_qnames_pairs(enriched, keys=keys), on=list(keys), how="left")
+        .join(entropy_histograms_wide(enriched, keys), on=list(keys), how="left")
+    )
+
+
+def build_dashboard(
+    base: DataFrame, risk: DataFrame, hist: DataFrame, topn: DataFrame, breakdowns: DataFrame, keys=KEYS
+) -> DataFrame:
+    """A10: the dashboard bundle, one nested record per (tenant, event_date).
+
+    Each gold table is packed per key (at most 2 histograms, 3 rankings and 2
+    breakdowns per day, each bounded by bins / n / distinct codes) and joined
+    on the unique keys.
+    """
+    kcols = list(keys)
+    b = base.select(*kcols, F.struct(*[c for c in base.columns if c not in kcols]).alias("base_kpis"))
+    r = risk.select(*kcols, F.struct(*[c for c in risk.columns if c not in kcols]).alias("risk_kpis"))
+    h = hist.groupBy(*kcols).agg(
+        F.sort_array(F.collect_list(F.struct("entropy_type", "histogram"))).alias("histograms")
+    )
+    t = topn.groupBy(*kcols).agg(F.sort_array(F.collect_list(F.struct("topN_type", "topN"))).alias("rankings"))
+    d = breakdowns.groupBy(*kcols).agg(
+        F.sort_array(F.collect_list(F.struct("breakdown_type", "breakdown"))).alias("breakdowns")
+    )
+    return b.join(r, kcols, "left").join(h, kcols, "left").join(t, kcols, "left").join(d, kcols, "left")

@@ -164,4 +164,255 @@ def oracle_sql() -> dict[str, str]:
     }
     for n in TPL.TEMPLATES:
         sql[f"tpl_{n}"] = O.template_sql(n, TEMPLATE_TENANT, TEMPLATE_LIMIT)
+    sql.update(_oracle_batch2())
     return sql
+
+
+# --- wide gold, dashboard, gold record ------------------------------------------
+
+WIDE_SCALARS = [
+    "tenant", "event_date", "total_queries", "unique_qnames", "unique_root_domains", "unique_subdomains",
+    "unique_src_ips", "avg_qname_entropy", "max_qname_entropy", "avg_subdomain_entropy", "max_subdomain_entropy",
+    "avg_subdomain_count", "max_subdomain_count", "answered_queries", "high_entropy_query_count",
+    "high_entropy_query_ratio", "max_entropy_qname", "nxdomain_count", "nxdomain_ratio", "alert_high_entropy",
+    "alert_nxdomain",
+]
+
+
+def q_gold_wide_scalars(spark, sf_dir):
+    return round_doubles(K.build_gold_aggregates(enriched(spark, sf_dir), rows(spark, sf_dir)).select(*WIDE_SCALARS))
+
+
+def q_gold_wide(spark, sf_dir):
+    return round_doubles(K.build_wide_gold(enriched(spark, sf_dir), rows(spark, sf_dir)))
+
+
+def q_gold_top_qnames_flat(spark, sf_dir):
+    wide = N.top_qnames_pairs(enriched(spark, sf_dir))
+    return wide.select("tenant", "event_date", F.posexplode("top_qnames").alias("pos", "t")).select(
+        "tenant", "event_date", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.qname").alias("qname"),
+        F.col("t.count").alias("query_count"),
+    )
+
+
+def q_hist_wide_flat(spark, sf_dir):
+    wide = D.entropy_histograms_wide(enriched(spark, sf_dir))
+    z = F.arrays_zip(F.col("qname_entropy_histogram").alias("q"), F.col("subdomain_entropy_histogram").alias("s"))
+    return wide.select("tenant", "event_date", F.posexplode(z).alias("bin_ord", "z")).select(
+        "tenant", "event_date", F.col("bin_ord").cast("int").alias("bin_ord"), F.col("z.q.bin").alias("bin"),
+        F.col("z.q.count").alias("qname_count"), F.col("z.s.count").alias("subdomain_count"),
+    )
+
+
+def gold_tables(spark, sf_dir):
+    e, r = enriched(spark, sf_dir), rows(spark, sf_dir)
+    return {
+        "base_kpis": K.build_base_kpis(e, r),
+        "risk_kpis": K.build_risk_kpis(e),
+        "histograms": D.entropy_histograms(e),
+        "topn": N.pack_top_n(N.build_topn(e)),
+        "breakdowns": D.pack_breakdowns(D.breakdowns_flat(r)),
+    }
+
+
+def q_dashboard(spark, sf_dir):
+    g = gold_tables(spark, sf_dir)
+    return K.build_dashboard(g["base_kpis"], g["risk_kpis"], g["histograms"], g["topn"], g["breakdowns"])
+
+
+GOLD_RECORD_TENANT, GOLD_RECORD_DATE = "tenant-1", "2024-01-15"
+
+
+def q_gold_record(spark, sf_dir):
+    """One tenant-day record, both keys filtered (never "the first row")."""
+    risk = K.build_risk_kpis(enriched(spark, sf_dir))
+    return round_doubles(
+        risk.where((F.col("tenant") == GOLD_RECORD_TENANT) & (F.col("event_date") == F.lit(GOLD_RECORD_DATE).cast("date")))
+    )
+
+
+# --- rankings rebuilt / dashboard views ----------------------------------------------
+
+
+def q_topn_high_entropy_rows(spark, sf_dir):
+    return round_doubles(N.high_entropy_from_rows(enriched_rows(spark, sf_dir), HIGH_ENTROPY_THRESHOLD))
+
+
+def _hist_flat(spark, sf_dir):
+    return D.histogram_flat(D.entropy_histograms(enriched(spark, sf_dir)))
+
+
+def q_hist_share(spark, sf_dir):
+    return round_doubles(D.histogram_share(_hist_flat(spark, sf_dir)))
+
+
+def q_high_entropy_pct(spark, sf_dir):
+    return round_doubles(D.high_entropy_percent(_hist_flat(spark, sf_dir)))
+
+
+def q_breakdown_view(spark, sf_dir):
+    return D.breakdown_view(D.pack_breakdowns(D.breakdowns_flat(rows(spark, sf_dir))))
+
+
+def q_ranking_view(spark, sf_dir):
+    return round_doubles(D.ranking_view(N.build_topn(enriched(spark, sf_dir))))
+
+
+def q_ranking_by_count(spark, sf_dir):
+    return round_doubles(D.ranking_by_count(N.high_entropy_flat(enriched(spark, sf_dir))))
+
+
+def q_names_by_length(spark, sf_dir):
+    return TPL.names_by_length(TPL.qname_length(rows(spark, sf_dir), TEMPLATE_TENANT, TEMPLATE_LIMIT))
+
+
+def _per_tenant_name_entropy(spark, sf_dir):
+    from zonelens import functions as Z
+
+    counts = rows(spark, sf_dir).where(F.col("qname").isNotNull()).groupBy("tenant", "qname").count()
+    return counts.withColumn("avg_entropy", Z.entropy_bits(F.col("qname")))
+
+
+def q_avg_entropy_histogram(spark, sf_dir):
+    h = D.equal_width_histogram(_per_tenant_name_entropy(spark, sf_dir), "avg_entropy", k=10, keys=("tenant",))
+    return round_doubles(h.drop("label"))
+
+
+def q_name_length_histogram(spark, sf_dir):
+    names = rows(spark, sf_dir).where(F.col("qname").isNotNull()).select("tenant", "qname").distinct()
+    names = names.withColumn("qname_length", F.length("qname"))
+    h = D.equal_width_histogram(names, "qname_length", k=20, keys=("tenant",))
+    return round_doubles(h.drop("label"))
+
+
+# --- grouped features -----------------------------------------------------------------
+
+
+def q_root_cardinality(spark, sf_dir):
+    df = G.root_domain_cardinality(enriched_rows(spark, sf_dir))
+    return df.select("tenant", "event_date", "id", "qname", "root_domain", "root_domain_cardinality")
+
+
+def q_time_features(spark, sf_dir):
+    df = G.add_time_features(rows(spark, sf_dir).where(F.col("qname").isNotNull()))
+    return df.select("tenant", "id", "qname", "hour_of_day", "day_of_week", "query_frequency", "unique_src_ips")
+
+
+def q_window_cardinality(spark, sf_dir):
+    agg = G.subdomain_cardinality_window(enriched_rows(spark, sf_dir), group_cols=("tenant",), join_back=False)
+    return agg.select(
+        "tenant", "root_domain", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        "root_subdomain_cardinality_window",
+    )
+
+
+def q_window_cardinality_sliding(spark, sf_dir):
+    agg = G.subdomain_cardinality_window(
+        enriched_rows(spark, sf_dir), window_duration="2 days", slide_duration="1 day", join_back=False
+    )
+    return agg.select(
+        "root_domain", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        "root_subdomain_cardinality_window",
+    )
+
+
+def q_window_cardinality_approx(spark, sf_dir):
+    agg = G.subdomain_cardinality_window(
+        enriched_rows(spark, sf_dir), group_cols=("tenant",), use_approx=True, join_back=False
+    )
+    return agg.select("tenant", "root_domain", F.col("window.start").alias("window_start"), "root_subdomain_cardinality_window")
+
+
+def q_subdomain_map(spark, sf_dir):
+    return G.subdomain_map(enriched_rows(spark, sf_dir))
+
+
+# --- more scalar features ---------------------------------------------------------
+
+
+def q_entropy_variants(spark, sf_dir):
+    from zonelens import functions as Z
+
+    names = _distinct_names(spark, sf_dir)
+    return round_doubles(
+        names.select(
+            "qname",
+            Z.entropy_raw(F.col("qname")).alias("entropy_raw"),
+            Z.entropy_stripped(F.col("qname")).alias("entropy_stripped"),
+            Z.entropy_bits(F.col("qname")).alias("entropy_bits"),
+            Z.clean_host(F.col("qname")).alias("clean_host"),
+        )
+    )
+
+
+def q_label_features(spark, sf_dir):
+    from zonelens.operators.suffix import add_domain_parts
+
+    df = G.add_label_features(add_domain_parts(_distinct_names(spark, sf_dir), suffix_rules(spark)))
+    return round_doubles(
+        df.select(
+            "qname",
+            F.array_join(F.transform("qname_label_lengths", lambda x: x.cast("string")), ",").alias("label_lengths"),
+            "qname_label_len_max", "qname_label_len_min", "qname_label_len_mean",
+            "domain_suffix_len_mean", "domain_suffix_len_max", "domain_suffix_len_min",
+            "subdomain_label_count_clean", "is_idn",
+        )
+    )
+
+
+QUERIES.update(
+    {
+        "gold_wide_scalars": q_gold_wide_scalars,
+        "gold_wide": q_gold_wide,
+        "gold_top_qnames_flat": q_gold_top_qnames_flat,
+        "hist_wide_flat": q_hist_wide_flat,
+        "dashboard": q_dashboard,
+        "gold_record": q_gold_record,
+        "topn_high_entropy_rows": q_topn_high_entropy_rows,
+        "hist_share": q_hist_share,
+        "high_entropy_pct": q_high_entropy_pct,
+        "breakdown_view": q_breakdown_view,
+        "ranking_view": q_ranking_view,
+        "ranking_by_count": q_ranking_by_count,
+        "names_by_length": q_names_by_length,
+        "avg_entropy_histogram": q_avg_entropy_histogram,
+        "name_length_histogram": q_name_length_histogram,
+        "root_cardinality": q_root_cardinality,
+        "time_features": q_time_features,
+        "window_cardinality": q_window_cardinality,
+        "window_cardinality_sliding": q_window_cardinality_sliding,
+        "window_cardinality_approx": q_window_cardinality_approx,
+        "subdomain_map": q_subdomain_map,
+        "entropy_variants": q_entropy_variants,
+        "label_features": q_label_features,
+    }
+)
+
+
+def _oracle_batch2() -> dict[str, str]:
+    from zonelens.plans import oracle as O
+
+    return {
+        "gold_wide_scalars": O.gold_wide_scalars_sql(),
+        "gold_top_qnames_flat": O.enr_query(
+            "SELECT tenant, event_date, rank, name AS qname, query_count FROM t_q", O.topn_ctes()
+        ),
+        "hist_wide_flat": O.hist_wide_flat_sql(),
+        "gold_record": O.gold_record_sql(GOLD_RECORD_TENANT, GOLD_RECORD_DATE),
+        "topn_high_entropy_rows": O.topn_sql("t_h"),
+        "hist_share": O.hist_share_sql(),
+        "high_entropy_pct": O.high_entropy_pct_sql(),
+        "breakdown_view": O.breakdown_view_sql(),
+        "ranking_view": O.ranking_view_sql(),
+        "ranking_by_count": O.ranking_by_count_sql(),
+        "names_by_length": O.names_by_length_sql(TEMPLATE_TENANT, TEMPLATE_LIMIT),
+        "avg_entropy_histogram": O.avg_entropy_histogram_sql(),
+        "name_length_histogram": O.name_length_histogram_sql(),
+        "root_cardinality": O.root_cardinality_sql(),
+        "time_features": O.time_features_sql(),
+        "window_cardinality": O.window_cardinality_sql(),
+        "window_cardinality_sliding": O.window_cardinality_sliding_sql(),
+        "subdomain_map": O.subdomain_map_sql(),
+        "entropy_variants": O.entropy_variants_sql(),
+        "label_features": O.label_features_sql(),
+    }

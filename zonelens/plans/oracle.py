@@ -295,3 +295,216 @@ def template_sql(name: str, tenant: str, limit: int) -> str:
         f"SELECT {key} AS {alias}, count(*) AS query_count FROM dns WHERE {where} GROUP BY {key} "
         f"ORDER BY query_count DESC, {alias} NULLS LAST LIMIT {limit}"
     )
+
+
+def gold_wide_scalars_sql() -> str:
+    extra = [
+        "src AS (SELECT tenant, event_date, count(DISTINCT src_ip) AS unique_src_ips FROM enr GROUP BY tenant, event_date)",
+        "mx AS (SELECT tenant, event_date, qname AS max_entropy_qname FROM (SELECT tenant, event_date, qname, "
+        "row_number() OVER (PARTITION BY tenant, event_date ORDER BY qname_entropy DESC NULLS LAST, qname ASC) AS rn "
+        "FROM enr) WHERE rn = 1)",
+        "agg AS (SELECT tenant, event_date, count(*) AS total_queries, count(DISTINCT qname) AS unique_qnames, "
+        "count(DISTINCT root_domain) AS unique_root_domains, count(DISTINCT subdomain) AS unique_subdomains, "
+        "avg(qname_entropy) AS avg_qname_entropy, max(qname_entropy) AS max_qname_entropy, "
+        "avg(subdomain_entropy) AS avg_subdomain_entropy, max(subdomain_entropy) AS max_subdomain_entropy, "
+        "avg(subdomain_label_count) AS avg_subdomain_count, CAST(max(subdomain_label_count) AS INTEGER) AS max_subdomain_count, "
+        "CAST(0 AS BIGINT) AS answered_queries, "
+        "CAST(coalesce(sum(CASE WHEN is_high_entropy THEN 1 ELSE 0 END), 0) AS BIGINT) AS high_entropy_query_count, "
+        "CAST(sum(CASE WHEN rcode = 3 THEN 1 ELSE 0 END) AS BIGINT) AS nxdomain_count FROM enr GROUP BY tenant, event_date)",
+    ]
+    body = (
+        "SELECT a.tenant, a.event_date, total_queries, unique_qnames, unique_root_domains, unique_subdomains, s.unique_src_ips, "
+        "round(avg_qname_entropy, 6) AS avg_qname_entropy, round(max_qname_entropy, 6) AS max_qname_entropy, "
+        "round(avg_subdomain_entropy, 6) AS avg_subdomain_entropy, round(max_subdomain_entropy, 6) AS max_subdomain_entropy, "
+        "round(avg_subdomain_count, 6) AS avg_subdomain_count, max_subdomain_count, answered_queries, high_entropy_query_count, "
+        "round(high_entropy_query_count / total_queries, 6) AS high_entropy_query_ratio, m.max_entropy_qname, nxdomain_count, "
+        "round(nxdomain_count / total_queries, 6) AS nxdomain_ratio, "
+        "high_entropy_query_count / total_queries >= 0.1 AS alert_high_entropy, nxdomain_count / total_queries >= 0.15 AS alert_nxdomain "
+        "FROM agg a JOIN src s ON s.tenant = a.tenant AND s.event_date = a.event_date "
+        "JOIN mx m ON m.tenant = a.tenant AND m.event_date = a.event_date"
+    )
+    return enr_query(body, extra)
+
+
+def hist_wide_flat_sql() -> str:
+    return enr_query(
+        "SELECT tenant, event_date, bin_ord, bin, max(CASE WHEN entropy_type = 'qname' THEN count END) AS qname_count, "
+        "max(CASE WHEN entropy_type = 'subdomain' THEN count END) AS subdomain_count FROM hflat GROUP BY ALL",
+        hist_flat_ctes(),
+    )
+
+
+def gold_record_sql(tenant: str, day: str) -> str:
+    return f"SELECT * FROM ({risk_kpis_sql()}) t WHERE tenant = '{tenant}' AND event_date = DATE '{day}'"
+
+
+def hist_share_sql() -> str:
+    return enr_query(
+        "SELECT tenant, event_date, entropy_type, bin_ord, bin, count, "
+        "round(CASE WHEN sum(count) OVER w > 0 THEN CAST(count AS DOUBLE) * 100 / sum(count) OVER w ELSE 0.0 END, 6) AS share_pct, "
+        "min(CASE WHEN lower >= 3.0 THEN bin_ord END) OVER w AS first_high_bin FROM hflat "
+        "WINDOW w AS (PARTITION BY tenant, event_date, entropy_type)",
+        hist_flat_ctes(),
+    )
+
+
+def high_entropy_pct_sql() -> str:
+    return enr_query(
+        "SELECT tenant, event_date, entropy_type, round(CASE WHEN sum(count) > 0 THEN "
+        "CAST(sum(CASE WHEN lower >= 3.0 THEN count ELSE 0 END) AS DOUBLE) * 100 / sum(count) ELSE 0.0 END, 6) "
+        "AS high_entropy_pct FROM hflat GROUP BY ALL",
+        hist_flat_ctes(),
+    )
+
+
+def breakdown_view_sql() -> str:
+    return dns_query(
+        "SELECT tenant, event_date, breakdown_type, coalesce(code, -1) AS code, count, "
+        "CAST(row_number() OVER (PARTITION BY tenant, event_date, breakdown_type ORDER BY count DESC, code ASC) AS INTEGER) "
+        "AS position FROM bflat",
+        [BREAKDOWNS_CTE],
+    )
+
+
+def ranking_view_sql() -> str:
+    return enr_query(
+        "SELECT tenant, event_date, topN_type, rank, coalesce(name, 'Unknown') AS name, query_count, "
+        "round((query_count - min(query_count) OVER w) / CASE WHEN max(query_count) OVER w - min(query_count) OVER w = 0 "
+        "THEN 1 ELSE max(query_count) OVER w - min(query_count) OVER w END, 6) AS intensity FROM tflat "
+        "WINDOW w AS (PARTITION BY tenant, event_date, topN_type)",
+        topn_ctes(),
+    )
+
+
+def ranking_by_count_sql() -> str:
+    return enr_query(
+        "SELECT *, CAST(row_number() OVER (PARTITION BY tenant, event_date, topN_type ORDER BY query_count DESC, rank ASC) "
+        "AS INTEGER) AS position FROM t_h",
+        topn_ctes(),
+    )
+
+
+def names_by_length_sql(tenant: str, limit: int) -> str:
+    inner = template_sql("qname_length", tenant, limit)
+    return (
+        "SELECT qname, qname_length, CAST(row_number() OVER (ORDER BY qname_length ASC, qname ASC) AS INTEGER) AS position "
+        f"FROM ({inner}) t"
+    )
+
+
+def equal_width_sql(values_cte: str, k: int) -> str:
+    """Equal-width histogram per tenant over relation ``v(tenant, x)``."""
+    ctes = [
+        f"dns AS ({STANDIN_SQL})",
+        values_cte,
+        "v2 AS (SELECT tenant, CAST(x AS DOUBLE) AS x FROM v WHERE x IS NOT NULL)",
+        "st AS (SELECT tenant, min(x) AS lo, max(x) AS hi FROM v2 GROUP BY tenant)",
+        f"bx AS (SELECT v2.tenant, CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((x - lo) / ((hi - lo) / {k})) AS INTEGER), {k - 1}) "
+        "END AS idx FROM v2 JOIN st ON st.tenant = v2.tenant)",
+        f"bins AS (SELECT CAST(unnest(range(0, {k})) AS INTEGER) AS bin_index)",
+        f"g AS (SELECT st.tenant, lo, hi, (hi - lo) / {k} AS w, bin_index, "
+        "(SELECT count(*) FROM bx WHERE bx.tenant = st.tenant AND bx.idx = bins.bin_index) AS count FROM st CROSS JOIN bins)",
+    ]
+    body = (
+        "SELECT tenant, bin_index, round(lo + bin_index * w, 6) AS lower, round((lo + bin_index * w) + w, 6) AS upper, "
+        "round(((lo + bin_index * w) + ((lo + bin_index * w) + w)) / 2, 6) AS midpoint, count FROM g"
+    )
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def avg_entropy_histogram_sql() -> str:
+    e = entropy_sql(clean_sql("qname"))
+    return equal_width_sql(
+        f"v AS (SELECT tenant, {e} AS x FROM (SELECT DISTINCT tenant, qname FROM dns WHERE qname IS NOT NULL))", 10
+    )
+
+
+def name_length_histogram_sql() -> str:
+    return equal_width_sql(
+        "v AS (SELECT tenant, length(qname) AS x FROM (SELECT DISTINCT tenant, qname FROM dns WHERE qname IS NOT NULL))", 20
+    )
+
+
+def root_cardinality_sql() -> str:
+    return enr_query(
+        "SELECT e.tenant, e.event_date, e.id, e.qname, e.root_domain, c.root_domain_cardinality FROM enr e "
+        "LEFT JOIN (SELECT root_domain, count(DISTINCT subdomain) AS root_domain_cardinality FROM enr GROUP BY root_domain) c "
+        "ON c.root_domain = e.root_domain"
+    )
+
+
+def time_features_sql() -> str:
+    return dns_query(
+        "SELECT d.tenant, d.id, d.qname, CAST(hour(d.event_ts) AS INTEGER) AS hour_of_day, "
+        "CAST(dayofweek(d.event_ts) + 1 AS INTEGER) AS day_of_week, pn.query_frequency, pn.unique_src_ips "
+        "FROM dns d JOIN (SELECT qname, count(DISTINCT id) AS query_frequency, count(DISTINCT src_ip) AS unique_src_ips "
+        "FROM dns WHERE qname IS NOT NULL GROUP BY qname) pn ON pn.qname = d.qname"
+    )
+
+
+_SUB_NORM = "array_to_string(list_filter(string_split_regex(lower(subdomain), '\\.+'), lambda x: x <> ''), '.')"
+
+
+def window_cardinality_sql() -> str:
+    return enr_query(
+        "SELECT tenant, root_domain, window_start, window_start + INTERVAL 1 day AS window_end, "
+        "count(DISTINCT sub_norm) AS root_subdomain_cardinality_window FROM (SELECT tenant, root_domain, "
+        f"time_bucket(INTERVAL 1 day, event_ts) AS window_start, {_SUB_NORM} AS sub_norm FROM enr) "
+        "WHERE root_domain IS NOT NULL AND sub_norm IS NOT NULL AND length(sub_norm) >= 1 GROUP BY ALL"
+    )
+
+
+def window_cardinality_sliding_sql() -> str:
+    return enr_query(
+        "SELECT root_domain, window_start, window_start + INTERVAL 2 day AS window_end, "
+        "count(DISTINCT sub_norm) AS root_subdomain_cardinality_window FROM ("
+        f"SELECT root_domain, time_bucket(INTERVAL 1 day, event_ts) AS window_start, {_SUB_NORM} AS sub_norm FROM enr "
+        "UNION ALL "
+        f"SELECT root_domain, time_bucket(INTERVAL 1 day, event_ts) - INTERVAL 1 day, {_SUB_NORM} FROM enr) "
+        "WHERE root_domain IS NOT NULL AND sub_norm IS NOT NULL AND length(sub_norm) >= 1 GROUP BY ALL"
+    )
+
+
+def subdomain_map_sql() -> str:
+    return enr_query(
+        "SELECT p.root_domain, p.subdomain, s.subdomain_count FROM (SELECT DISTINCT root_domain, subdomain FROM enr "
+        "WHERE root_domain IS NOT NULL AND subdomain IS NOT NULL AND subdomain <> '') p JOIN "
+        "(SELECT root_domain, count(*) AS subdomain_count FROM (SELECT DISTINCT root_domain, subdomain FROM enr "
+        "WHERE root_domain IS NOT NULL AND subdomain IS NOT NULL AND subdomain <> '') GROUP BY root_domain) s "
+        "ON s.root_domain = p.root_domain"
+    )
+
+
+def entropy_variants_sql() -> str:
+    raw = entropy_sql("nullif(qname, '')")
+    stripped = entropy_sql("nullif(trim(qname), '')")
+    return dns_query(
+        f"SELECT qname, round(coalesce({raw}, 0.0), 6) AS entropy_raw, "
+        f"CASE WHEN qname IS NOT NULL THEN round(coalesce({stripped}, 0.0), 6) END AS entropy_stripped, "
+        f"round({entropy_sql(clean_sql('qname'))}, 6) AS entropy_bits, {clean_sql('qname')} AS clean_host "
+        "FROM (SELECT DISTINCT qname FROM dns WHERE qname IS NOT NULL)"
+    )
+
+
+def label_features_sql() -> str:
+    ctes = [f"dns AS ({STANDIN_SQL})", "names AS (SELECT DISTINCT qname FROM dns WHERE qname IS NOT NULL)"]
+    ctes += domain_parts_ctes("names", "qname")
+    ctes += [
+        "lf AS (SELECT *, list_transform(list_filter(string_split(qname, '.'), lambda x: x <> ''), lambda x: length(x)) AS ll, "
+        "length(coalesce(domain, '')) AS dl, length(coalesce(suffix, '')) AS sl, "
+        "CASE WHEN subdomain IS NULL OR lower(subdomain) = 'null' THEN NULL ELSE trim(subdomain) END AS sb FROM dp)"
+    ]
+    body = (
+        "SELECT qname, array_to_string(ll, ',') AS label_lengths, "
+        "CAST(CASE WHEN len(ll) > 0 THEN list_max(ll) END AS INTEGER) AS qname_label_len_max, "
+        "CAST(CASE WHEN len(ll) > 0 THEN list_min(ll) END AS INTEGER) AS qname_label_len_min, "
+        "round(CASE WHEN len(ll) > 0 THEN list_sum(ll) / len(ll) END, 6) AS qname_label_len_mean, "
+        "round(CASE WHEN (CASE WHEN dl > 0 THEN 1 ELSE 0 END + CASE WHEN sl > 0 THEN 1 ELSE 0 END) > 0 THEN "
+        "(dl + sl) / (CASE WHEN dl > 0 THEN 1 ELSE 0 END + CASE WHEN sl > 0 THEN 1 ELSE 0 END) END, 6) AS domain_suffix_len_mean, "
+        "CAST(greatest(dl, sl) AS INTEGER) AS domain_suffix_len_max, "
+        "CAST(least(CASE WHEN dl > 0 THEN dl END, CASE WHEN sl > 0 THEN sl END) AS INTEGER) AS domain_suffix_len_min, "
+        "CAST(CASE WHEN sb IS NULL OR length(sb) = 0 THEN 0 ELSE "
+        "len(list_filter(string_split_regex(lower(sb), '\\.+'), lambda x: x <> '')) END AS INTEGER) AS subdomain_label_count_clean, "
+        "coalesce(contains(lower(qname), 'xn--'), false) AS is_idn FROM lf"
+    )
+    return "WITH " + ",\n".join(ctes) + "\n" + body
