@@ -165,6 +165,7 @@ def oracle_sql() -> dict[str, str]:
     for n in TPL.TEMPLATES:
         sql[f"tpl_{n}"] = O.template_sql(n, TEMPLATE_TENANT, TEMPLATE_LIMIT)
     sql.update(_oracle_batch2())
+    sql.update(O.silver_sql())
     return sql
 
 
@@ -416,3 +417,106 @@ def _oracle_batch2() -> dict[str, str]:
         "entropy_variants": O.entropy_variants_sql(),
         "label_features": O.label_features_sql(),
     }
+
+
+# --- bronze -> silver ----------------------------------------------------------------
+
+from zonelens.operators import silver as S  # noqa: E402
+from zonelens.sources.bronze import derived_bronze  # noqa: E402
+
+
+def _flat(spark, sf_dir):
+    return S.flatten_messages(S.add_event_date(derived_bronze(spark, sf_dir)))
+
+
+def _silver(spark, sf_dir):
+    return S.convert_to_silver(S.flatten_messages(derived_bronze(spark, sf_dir)))
+
+
+def q_bronze_messages(spark, sf_dir):
+    return derived_bronze(spark, sf_dir)
+
+
+def q_event_time(spark, sf_dir):
+    return S.add_event_date(derived_bronze(spark, sf_dir)).select("tenant", "id", "qr", "event_ts", "event_date")
+
+
+def q_drop_empty_queries(spark, sf_dir):
+    return S.drop_empty_queries(derived_bronze(spark, sf_dir)).select("tenant", "id", "qr", "qdcount", "ancount")
+
+
+def q_flatten_questions(spark, sf_dir):
+    df = S.flatten_questions(S.add_event_date(derived_bronze(spark, sf_dir)))
+    return df.select("tenant", "event_ts", "id", "qr", "rcode", "src_ip", "qname", "qtype", "qclass")
+
+
+def q_flatten_answers(spark, sf_dir):
+    df = S.flatten_answers(S.add_event_date(derived_bronze(spark, sf_dir)))
+    return df.select("tenant", "event_ts", "id", "qr", "rrname", "rdata", "rtype", "rclass", "ttl")
+
+
+def q_flatten_messages(spark, sf_dir):
+    return _flat(spark, sf_dir).select(
+        "tenant", "event_ts", "id", "qr", "qname", "qtype", "rrname", "rtype", "rdata", "ttl",
+        "is_valid_question", "is_valid_answer",
+    )
+
+
+def q_explode_normalise(spark, sf_dir):
+    df = S.explode_and_normalise(derived_bronze(spark, sf_dir), "answers", ["rrname", "rtype", "rdata", "ttl"])
+    return df.select("tenant", "id", "qr", "rrname", "rtype", "rdata", "ttl")
+
+
+def q_standardize_schema(spark, sf_dir):
+    df = S.standardize_schema(
+        derived_bronze(spark, sf_dir),
+        {"timestamp": "timestamp", "src_port": "string", "id": "bigint", "qdcount": "double", "absent": "int"},
+        timestamp_formats={"timestamp": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+    )
+    return df.select("tenant", "timestamp", "src_port", "id", "qdcount")
+
+
+def _split(i):
+    def run(spark, sf_dir):
+        return S.split_dataset(_flat(spark, sf_dir))[i].select("tenant", "event_ts", "id", "qname", "rrname")
+
+    return run
+
+
+def q_dedupe_hash(spark, sf_dir):
+    return _silver(spark, sf_dir).select("silver_dedupe_hash", "name", "event_ts", "id", "qr")
+
+
+def q_silver(spark, sf_dir):
+    return _silver(spark, sf_dir).select(*S.SILVER_COLUMNS, "name")
+
+
+def q_has_answer(spark, sf_dir):
+    silver = _silver(spark, sf_dir)
+    questions, answers = S.split_dataset(silver)
+    marked = S.mark_answered(S.drop_null_qname(questions), answers, keys=("tenant", "id"))
+    return marked.select("tenant", "event_date", "id", "qname", F.col("has_answer").cast("int").alias("has_answer"))
+
+
+def q_silver_questions(spark, sf_dir):
+    return S.drop_null_qname(_silver(spark, sf_dir)).select(*S.SILVER_COLUMNS, "name")
+
+
+QUERIES.update(
+    {
+        "bronze_messages": q_bronze_messages,
+        "event_time": q_event_time,
+        "drop_empty_queries": q_drop_empty_queries,
+        "flatten_questions": q_flatten_questions,
+        "flatten_answers": q_flatten_answers,
+        "flatten_messages": q_flatten_messages,
+        "explode_normalise": q_explode_normalise,
+        "standardize_schema": q_standardize_schema,
+        "split_questions": _split(0),
+        "split_answers": _split(1),
+        "dedupe_hash": q_dedupe_hash,
+        "silver": q_silver,
+        "has_answer": q_has_answer,
+        "silver_questions": q_silver_questions,
+    }
+)

@@ -508,3 +508,122 @@ def label_features_sql() -> str:
         "coalesce(contains(lower(qname), 'xn--'), false) AS is_idn FROM lf"
     )
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+# ---------------------------------------------------------------------------
+# Bronze -> silver twins (derived bronze built flat: messages, questions, answers)
+# ---------------------------------------------------------------------------
+
+STANDIN_WITH_ID_SQL = STANDIN_SQL.replace("end as qname\nfrom", "end as qname, e.event_id\nfrom")
+
+SILVER_COLS = [
+    "tenant", "event_date", "event_ts", "src_ip", "dst_ip", "dst_port", "id", "opcode", "qdcount", "qr", "rcode",
+    "qname", "qtype", "qclass", "is_valid_question", "ancount", "rclass", "rdata", "rrname", "rtype", "ttl",
+    "is_valid_answer",
+]
+
+
+def parse_ts_sql(t: str) -> str:
+    d = f"try_cast({t} AS DOUBLE)"
+    return (
+        f"coalesce(try_strptime({t}, '%Y-%m-%dT%H:%M:%S.%f'), try_strptime({t}, '%Y-%m-%dT%H:%M:%S'), "
+        f"CASE WHEN abs({d}) < 1e11 THEN make_timestamp(CAST(round({d} * 1000000) AS BIGINT)) END)"
+    )
+
+
+def bronze_ctes() -> list[str]:
+    """``msg`` (one row per message, parsed time), ``qo``/``ao`` (questions / answers, outer), ``fm`` (B4 rows)."""
+    epoch = (
+        "CAST(epoch_us(event_ts) // 1000000 AS VARCHAR) || '.' || lpad(CAST(epoch_us(event_ts) % 1000000 AS VARCHAR), 6, '0')"
+    )
+    return [
+        f"dns AS ({STANDIN_WITH_ID_SQL})",
+        "m0 AS (SELECT *, 0 AS dup FROM dns UNION ALL "
+        "SELECT * REPLACE (upper(qname) || ' ' AS qname), 1 AS dup FROM dns WHERE event_id % 11 = 0)",
+        "m1 AS (SELECT tenant, event_id, dup, qname AS sq, qtype AS st, src_ip, "
+        f"CASE WHEN event_id % 499 = 0 THEN 'junk' WHEN event_id % 5 = 0 THEN {epoch} "
+        "ELSE strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp, "
+        "'10.0.1.' || CAST(event_id % 4 AS VARCHAR) AS dst_ip, CAST(1024 + event_id % 60000 AS INTEGER) AS src_port, "
+        "53 AS dst_port, CAST((event_id - qr) % 65536 AS INTEGER) AS id, qr, 0 AS opcode, rcode, "
+        "CAST(CASE WHEN qr = 0 AND event_id % 17 = 0 THEN 0 WHEN event_id % 23 = 0 THEN 2 ELSE 1 END AS INTEGER) AS qdcount, "
+        "CAST(CASE WHEN qr = 1 THEN event_id % 3 ELSE 0 END AS INTEGER) AS ancount FROM m0)",
+        f"msg AS (SELECT *, {parse_ts_sql('timestamp')} AS event_ts FROM m1)",
+        "qq AS (SELECT event_id, dup, sq AS qname, st AS qtype, 1 AS qclass FROM msg WHERE qdcount >= 1 UNION ALL "
+        "SELECT event_id, dup, 'www.' || sq, 1, 1 FROM msg WHERE qdcount = 2)",
+        "qo AS (SELECT * FROM qq UNION ALL SELECT event_id, dup, NULL, NULL, NULL FROM msg WHERE qdcount = 0)",
+        "aa AS (SELECT event_id, dup, sq AS rrname, CASE WHEN k = 1 THEN 1 ELSE 5 END AS rtype, 1 AS rclass, "
+        "CAST(300 * k AS BIGINT) AS ttl, CASE WHEN k = 1 THEN '192.0.2.' || CAST(event_id % 256 AS VARCHAR) "
+        "ELSE 'alias.' || sq END AS rdata FROM msg CROSS JOIN range(1, 3) r(k) WHERE k <= ancount)",
+        "ao AS (SELECT * FROM aa UNION ALL SELECT event_id, dup, NULL, NULL, NULL, NULL, NULL FROM msg WHERE ancount = 0)",
+        "fm AS (SELECT m.*, CAST(m.event_ts AS DATE) AS event_date, q.qname, q.qtype, q.qclass, a.rrname, a.rtype, "
+        "a.rclass, a.rdata, a.ttl, CAST(q.qname IS NOT NULL AS INTEGER) AS is_valid_question, "
+        "CAST(a.rrname IS NOT NULL AS INTEGER) AS is_valid_answer FROM msg m "
+        "JOIN qo q ON q.event_id = m.event_id AND q.dup = m.dup JOIN ao a ON a.event_id = m.event_id AND a.dup = m.dup)",
+    ]
+
+
+def silver_ctes() -> list[str]:
+    cols = ", ".join(SILVER_COLS)
+    order = ", ".join(f"{c} NULLS FIRST" for c in SILVER_COLS + ["name"])
+
+    def part(x: str) -> str:
+        return f"coalesce(CAST({x} AS VARCHAR), '\\N')"
+
+    key = ", ".join(
+        part(x)
+        for x in [
+            "strftime(event_ts, '%Y-%m-%d %H:%M:%S.%f')", "id", "qr", "name", "coalesce(qtype, rtype)",
+            "trim(lower(coalesce(rdata, '')))", "src_ip", "dst_ip",
+        ]
+    )
+    return bronze_ctes() + [
+        f"sv0 AS (SELECT {cols}, coalesce(trim(lower(qname)), trim(lower(rrname))) AS name FROM fm)",
+        f"sv1 AS (SELECT *, sha256(concat_ws('||', {key})) AS silver_dedupe_hash FROM sv0)",
+        f"silver AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY silver_dedupe_hash ORDER BY {order}) "
+        "AS rn FROM sv1) WHERE rn = 1)",
+    ]
+
+
+def bronze_query(body: str, silver: bool = False) -> str:
+    return "WITH " + ",\n".join(silver_ctes() if silver else bronze_ctes()) + "\n" + body
+
+
+def silver_sql() -> dict[str, str]:
+    return {
+        "event_time": bronze_query("SELECT tenant, id, qr, event_ts, CAST(event_ts AS DATE) AS event_date FROM msg"),
+        "drop_empty_queries": bronze_query(
+            "SELECT tenant, id, qr, qdcount, ancount FROM msg WHERE NOT (qr = 0 AND qdcount <= 0)"
+        ),
+        "flatten_questions": bronze_query(
+            "SELECT m.tenant, m.event_ts, m.id, m.qr, m.rcode, m.src_ip, q.qname, q.qtype, q.qclass FROM msg m "
+            "JOIN qo q ON q.event_id = m.event_id AND q.dup = m.dup"
+        ),
+        "flatten_answers": bronze_query(
+            "SELECT m.tenant, m.event_ts, m.id, m.qr, a.rrname, a.rdata, a.rtype, a.rclass, a.ttl FROM msg m "
+            "JOIN ao a ON a.event_id = m.event_id AND a.dup = m.dup"
+        ),
+        "flatten_messages": bronze_query(
+            "SELECT tenant, event_ts, id, qr, qname, qtype, rrname, rtype, rdata, ttl, is_valid_question, is_valid_answer FROM fm"
+        ),
+        "explode_normalise": bronze_query(
+            "SELECT m.tenant, m.id, m.qr, a.rrname, CAST(a.rtype AS VARCHAR) AS rtype, a.rdata, CAST(a.ttl AS VARCHAR) AS ttl "
+            "FROM msg m JOIN aa a ON a.event_id = m.event_id AND a.dup = m.dup"
+        ),
+        "standardize_schema": bronze_query(
+            "SELECT tenant, try_strptime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, "
+            "CAST(src_port AS VARCHAR) AS src_port, CAST(id AS BIGINT) AS id, CAST(qdcount AS DOUBLE) AS qdcount FROM msg"
+        ),
+        "split_questions": bronze_query("SELECT tenant, event_ts, id, qname, rrname FROM fm WHERE qr = 0"),
+        "split_answers": bronze_query("SELECT tenant, event_ts, id, qname, rrname FROM fm WHERE qr = 1"),
+        "dedupe_hash": bronze_query("SELECT silver_dedupe_hash, name, event_ts, id, qr FROM silver", silver=True),
+        "silver": bronze_query(f"SELECT {', '.join(SILVER_COLS)}, name FROM silver", silver=True),
+        "has_answer": bronze_query(
+            "SELECT q.tenant, q.event_date, q.id, q.qname, CAST(coalesce(a.f, 0) AS INTEGER) AS has_answer "
+            "FROM silver q LEFT JOIN (SELECT DISTINCT tenant, id, 1 AS f FROM silver WHERE qr = 1 AND rrname IS NOT NULL) a "
+            "ON a.tenant = q.tenant AND a.id = q.id WHERE q.qr = 0 AND q.qname IS NOT NULL",
+            silver=True,
+        ),
+        "silver_questions": bronze_query(
+            f"SELECT {', '.join(SILVER_COLS)}, name FROM silver WHERE qname IS NOT NULL", silver=True
+        ),
+    }
