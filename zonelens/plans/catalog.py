@@ -166,6 +166,8 @@ def oracle_sql() -> dict[str, str]:
         sql[f"tpl_{n}"] = O.template_sql(n, TEMPLATE_TENANT, TEMPLATE_LIMIT)
     sql.update(_oracle_batch2())
     sql.update(O.silver_sql())
+    sql.update(O.packets_sql())
+    sql["object_keys"] = O.object_keys_sql()
     return sql
 
 
@@ -520,3 +522,44 @@ QUERIES.update(
         "silver_questions": q_silver_questions,
     }
 )
+
+
+# --- decoded packets and object keys ----------------------------------------------------
+
+from zonelens.functions.keys import key_parts  # noqa: E402
+from zonelens.operators import packets as P  # noqa: E402
+from zonelens.sources.derived import derived_object_keys, derived_packets  # noqa: E402
+from zonelens.sources.dims import services  # noqa: E402
+
+
+def q_packets_classified(spark, sf_dir):
+    return P.classify_packets(derived_packets(spark, sf_dir), services(spark))
+
+
+def q_packet_class_counts(spark, sf_dir):
+    return P.class_counts(q_packets_classified(spark, sf_dir))
+
+
+def q_dns_packets(spark, sf_dir):
+    from zonelens.functions.timefmt import epoch_to_iso
+
+    p = derived_packets(spark, sf_dir).where(F.col("proto").isNotNull())
+    name = P.protocol_name(F.col("proto"))
+    return p.where(P.is_dns_packet(name, F.col("src_port"), F.col("dst_port"))).select(
+        epoch_to_iso(F.col("epoch")).alias("timestamp"), "src_ip", "dst_ip", "src_port", "dst_port"
+    )
+
+
+def q_object_keys(spark, sf_dir):
+    keys = derived_object_keys(spark, sf_dir)
+    return keys.select("object_key", *[c.alias(n) for n, c in key_parts(F.col("object_key")).items()])
+
+
+QUERIES.update(
+    {
+        "packets_classified": q_packets_classified,
+        "packet_class_counts": q_packet_class_counts,
+        "dns_packets": q_dns_packets,
+        "object_keys": q_object_keys,
+    }
+)

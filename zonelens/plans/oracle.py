@@ -627,3 +627,106 @@ def silver_sql() -> dict[str, str]:
             f"SELECT {', '.join(SILVER_COLS)}, name FROM silver WHERE qname IS NOT NULL", silver=True
         ),
     }
+
+
+# ---------------------------------------------------------------------------
+# Decoded packets and object keys
+# ---------------------------------------------------------------------------
+
+
+def _services_values() -> str:
+    from zonelens.sources.dims import SEED_SERVICES
+
+    rows = [line.split() for line in SEED_SERVICES.strip().splitlines()]
+    return ", ".join(f"('{proto}', {int(port)}, '{name}')" for port, proto, name in rows)
+
+
+def packets_ctes() -> list[str]:
+    path = "'/p/' || CAST(event_id % 1000 AS VARCHAR)"
+    tcp_payload = (
+        f"CASE WHEN event_id % 4 = 0 AND event_id % 8 = 0 THEN 'POST ' || {path} || ' HTTP/1.1' "
+        f"WHEN event_id % 4 = 0 THEN 'GET ' || {path} || ' HTTP/1.1' "
+        "WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'HTTP/1.1 404 Not Found' "
+        "WHEN event_id % 4 = 1 THEN 'HTTP/1.1 200 OK' "
+        "ELSE chr(22) || chr(3) || chr(1) || ' tls ' || CAST(event_id AS VARCHAR) END"
+    )
+    names = " ".join(f"WHEN {n} THEN '{v}'" for n, v in __import__("zonelens.config", fromlist=["x"]).IP_PROTOCOL_NAMES.items())
+    m = "CAST(round(epoch * 1000000) AS BIGINT)"
+    return [
+        "pk AS (SELECT *, CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_type = 'click' THEN 17 "
+        "WHEN event_type IN ('view', 'signup') THEN 6 WHEN event_type = 'purchase' THEN 1 "
+        "WHEN event_id % 2 = 0 THEN 47 ELSE 89 END AS proto, CAST(1024 + event_id % 50000 AS INTEGER) AS eph FROM events)",
+        "pk2 AS (SELECT epoch_us(ts) / 1000000 AS epoch, '10.0.0.' || CAST(user_id % 256 AS VARCHAR) AS src_ip, "
+        "'10.0.1.' || CAST(event_id % 256 AS VARCHAR) AS dst_ip, proto, CAST(5 + event_id % 3 AS INTEGER) AS ihl, "
+        "CAST(40 + CAST(floor(abs(value)) AS INTEGER) % 1400 AS INTEGER) AS packet_size, "
+        "CAST(CASE WHEN proto = 17 THEN CASE WHEN event_id % 3 = 0 THEN eph WHEN event_id % 3 = 1 THEN 53 ELSE 5353 END "
+        "WHEN proto = 6 THEN CASE WHEN event_id % 37 = 0 THEN 0 WHEN event_id % 4 = 1 THEN 80 ELSE eph END END AS INTEGER) AS src_port, "
+        "CAST(CASE WHEN proto = 17 THEN CASE WHEN event_id % 3 = 0 THEN 53 WHEN event_id % 3 = 1 THEN eph ELSE 123 END "
+        "WHEN proto = 6 THEN CASE WHEN event_id % 4 = 0 THEN 80 WHEN event_id % 4 = 1 THEN eph WHEN event_id % 4 = 2 THEN 53 "
+        "WHEN event_id % 5 = 0 THEN 1024 ELSE 443 END END AS INTEGER) AS dst_port, "
+        "CASE WHEN proto = 6 THEN CASE WHEN event_id % 2 = 0 THEN 'PA' ELSE 'S' END END AS tcp_flags, "
+        f"CASE WHEN proto = 6 THEN {tcp_payload} WHEN proto = 17 THEN 'dns-' || CAST(event_id AS VARCHAR) ELSE '' END AS ptext "
+        "FROM pk)",
+        f"cl AS (SELECT *, CASE proto {names} ELSE CAST(proto AS VARCHAR) END AS ip_protocol, "
+        f"CASE WHEN {m} % 1000000 = 0 THEN strftime(make_timestamp({m}), '%Y-%m-%dT%H:%M:%S') "
+        f"ELSE strftime(make_timestamp({m}), '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp FROM pk2 WHERE proto IS NOT NULL)",
+        "c2 AS (SELECT *, coalesce(ip_protocol IN ('UDP', 'TCP') AND (src_port = 53 OR dst_port = 53), false) AS is_dns, "
+        "(starts_with(ptext, 'GET') OR starts_with(ptext, 'POST')) AS is_req, starts_with(ptext, 'HTTP') AS is_resp FROM cl)",
+        "c3 AS (SELECT *, ip_protocol = 'TCP' AND coalesce(is_req OR is_resp, false) AS is_http FROM c2)",
+        f"svc(proto, port, service) AS (VALUES {_services_values()})",
+        "classified AS (SELECT timestamp, src_ip, dst_ip, ip_protocol, ihl * 4 AS ip_header_length, packet_size, "
+        "CASE WHEN ip_protocol IN ('TCP', 'UDP') THEN src_port END AS src_port, "
+        "CASE WHEN ip_protocol IN ('TCP', 'UDP') THEN dst_port END AS dst_port, "
+        "CASE WHEN ip_protocol = 'TCP' THEN tcp_flags END AS tcp_flags, "
+        "CASE WHEN is_dns THEN 'dns' WHEN is_http THEN 'http' ELSE 'other' END AS packet_class, "
+        "CASE WHEN NOT is_dns AND is_http THEN CASE WHEN is_req THEN 'request' ELSE 'response' END ELSE 'other' END AS type, "
+        "CASE WHEN NOT is_dns AND is_http AND is_req THEN split_part(ptext, ' ', 1) END AS method, "
+        "CASE WHEN NOT is_dns AND is_http AND is_req THEN split_part(ptext, ' ', 2) END AS path, "
+        "CASE WHEN NOT is_dns AND is_http AND NOT is_req AND is_resp THEN split_part(ptext, ' ', 2) END AS status_code, "
+        "s1.service AS src_service, s2.service AS dst_service FROM c3 "
+        "LEFT JOIN svc s1 ON s1.proto = lower(ip_protocol) AND s1.port = src_port AND src_port > 0 AND src_port <= 1023 "
+        "LEFT JOIN svc s2 ON s2.proto = lower(ip_protocol) AND s2.port = dst_port AND dst_port > 0 AND dst_port <= 1023)",
+    ]
+
+
+def packets_sql() -> dict[str, str]:
+    def q(body: str) -> str:
+        return "WITH " + ",\n".join(packets_ctes()) + "\n" + body
+
+    return {
+        "packets_classified": q("SELECT * FROM classified"),
+        "packet_class_counts": q("SELECT packet_class, count(*) AS packets FROM classified GROUP BY packet_class"),
+        "dns_packets": q(
+            "SELECT timestamp, src_ip, dst_ip, src_port, dst_port FROM cl "
+            "WHERE coalesce(ip_protocol = 'UDP' AND (src_port = 53 OR dst_port = 53), false)"
+        ),
+    }
+
+
+def object_keys_sql() -> str:
+    e = "CAST(event_id AS VARCHAR)"
+    name = (
+        f"CASE WHEN event_id % 6 = 0 THEN 'capture+' || {e} || '.pcap' WHEN event_id % 6 = 1 THEN 'cap%20' || {e} || '.PCAPNG' "
+        f"WHEN event_id % 6 = 2 THEN 'file' || {e} WHEN event_id % 6 = 3 THEN 'f' || {e} || '.pcap.bak' "
+        f"WHEN event_id % 6 = 4 THEN 'x_' || {e} || '.Pcap' ELSE 'a%2Fb' || {e} || '.pcapng' END"
+    )
+    tenant = "'tenant-' || CAST(user_id % 3 AS VARCHAR)"
+    key = (
+        f"CASE WHEN event_id % 53 = 0 THEN {tenant} || '/' ELSE (CASE WHEN event_id % 10 = 0 THEN '/' ELSE '' END) "
+        f"|| {tenant} || '/pcaps/' || CAST(CAST(ts AS DATE) AS VARCHAR) || '/' || {name} END"
+    )
+    ctes = [
+        f"k0 AS (SELECT {key} AS object_key FROM events)",
+        "k1 AS (SELECT object_key, regexp_replace(url_decode(replace(object_key, '+', '%20')), '^/+', '') AS norm FROM k0)",
+        "k2 AS (SELECT *, list_filter(string_split(norm, '/'), lambda p: p <> '') AS parts FROM k1)",
+        "k3 AS (SELECT *, CASE WHEN len(parts) > 0 THEN parts[1] END AS t, "
+        "CASE WHEN len(parts) > 1 THEN array_to_string(parts[2:], '/') END AS r FROM k2)",
+        "k4 AS (SELECT *, CASE WHEN t IS NULL THEN 'no tenant segment' WHEN r IS NULL THEN 'no file path after tenant' END AS reason FROM k3)",
+    ]
+    body = (
+        "SELECT object_key, CASE WHEN reason IS NULL THEN t END AS tenant, CASE WHEN reason IS NULL THEN r END AS rest, "
+        "CASE WHEN reason IS NULL THEN t || '/' || CASE WHEN regexp_matches(r, '\\.(pcap|pcapng)$', 'i') "
+        "THEN regexp_replace(r, '\\.(pcap|pcapng)$', '.jsonl.gz', 'i') ELSE r || '.jsonl.gz' END END AS bronze_key, "
+        "reason AS reject_reason FROM k4"
+    )
+    return "WITH " + ",\n".join(ctes) + "\n" + body
