@@ -1,7 +1,7 @@
 """Column -> Column building blocks (all native Catalyst expressions)."""
 
 from zonelens.functions.bins import bins_literal, entropy_bin, entropy_bin_ord, equal_width_index, intent
-from zonelens.functions.entropy import entropy_bits, entropy_norm, entropy_raw, entropy_stripped
+from zonelens.functions.entropy import entropy_bits, entropy_norm, entropy_of_clean, entropy_raw, entropy_stripped
 from zonelens.functions.names import (
     clean_host,
     day_of_week,
@@ -29,6 +29,7 @@ __all__ = [
     "entropy_bin_ord",
     "entropy_bits",
     "entropy_norm",
+    "entropy_of_clean",
     "entropy_raw",
     "entropy_stripped",
     "epoch_to_iso",

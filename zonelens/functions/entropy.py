@@ -31,6 +31,11 @@ def _entropy_nonempty(s: Column) -> Column:
     return F.aggregate(chars, F.lit(0.0).cast("double"), step)
 
 
+def entropy_of_clean(clean: Column) -> Column:
+    """Entropy of an already cleaned component (see ``clean_host``); NULL stays NULL."""
+    return _entropy_nonempty(clean)
+
+
 def entropy_bits(c: Column) -> Column:
     """Entropy in bits/char over the cleaned host component; NULL if nothing is left."""
     return _entropy_nonempty(clean_host(c))

@@ -36,10 +36,12 @@ def add_name_features(
     out = df.withColumn(name_col, Z.strip_trailing_dot(q)).withColumn("qname_length", F.length(q))
     out = add_domain_parts(out, rules, name_col=name_col, max_depth=max_depth)
     sub = F.col("subdomain")
+    # Cleaned components are materialised once; the entropy lambdas read them.
+    out = out.withColumns({"__cq": Z.clean_host(q), "__cs": Z.clean_host(sub)})
     out = out.withColumns(
         {
-            "qname_entropy": Z.entropy_bits(q),
-            "subdomain_entropy": Z.entropy_bits(sub),
+            "qname_entropy": Z.entropy_of_clean(F.col("__cq")),
+            "subdomain_entropy": Z.entropy_of_clean(F.col("__cs")),
             "is_apex": sub.isNull() | (sub == F.lit("")),
             "has_invalid_chars": Z.has_invalid_chars(q).cast("int"),
         }
@@ -53,7 +55,7 @@ def add_name_features(
             "qname_entropy_bin": Z.entropy_bin(e),
             "subdomain_entropy_bin": Z.entropy_bin(se),
         }
-    )
+    ).drop("__cq", "__cs")
 
 
 def add_label_features(df: DataFrame, name_col: str = "qname") -> DataFrame:

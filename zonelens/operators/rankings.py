@@ -56,14 +56,24 @@ def high_entropy_flat(
     name_col: str = "qname",
     flag_col: str = "is_high_entropy",
 ) -> DataFrame:
-    """N4 (flat): flagged names, per name count and max entropy, ranked by entropy desc (NULLs last), name asc."""
+    """N4 (flat): flagged names, per name count and max entropy, ranked by entropy desc (NULLs last), name asc.
+
+    The flag is applied after the per-name aggregation: a filter on a feature
+    of the grouping key would otherwise be pushed below the name rollup and
+    evaluated on every raw row.
+    """
+    w = _count_col(df)
     per_name = (
-        df.where(F.col(flag_col))
-        .groupBy(*keys, name_col)
-        .agg(F.sum(_count_col(df)).cast("long").alias("query_count"), F.max("qname_entropy").alias("entropy"))
+        df.groupBy(*keys, name_col)
+        .agg(
+            F.sum(F.when(F.col(flag_col), w).otherwise(F.lit(0))).cast("long").alias("query_count"),
+            F.max(F.when(F.col(flag_col), F.col("qname_entropy"))).alias("entropy"),
+            F.max(F.col(flag_col).cast("int")).alias("__flagged"),
+        )
+        .where(F.col("__flagged") == 1)
     )
-    w = Window.partitionBy(*keys).orderBy(F.col("entropy").desc_nulls_last(), F.asc(name_col))
-    ranked = per_name.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    order = Window.partitionBy(*keys).orderBy(F.col("entropy").desc_nulls_last(), F.asc(name_col))
+    ranked = per_name.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return ranked.select(
         *keys,
         F.lit("high_entropy").alias("topN_type"),

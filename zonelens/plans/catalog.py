@@ -20,11 +20,12 @@ from zonelens.operators import features as G
 from zonelens.operators import kpis as K
 from zonelens.operators import rankings as N
 from zonelens.operators import templates as TPL
-from zonelens.sources.dims import suffix_rules
+from zonelens.sources.dims import rule_text_depth, suffix_rules
 from zonelens.sources.tables import dns_standin
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+SEED_DEPTH = rule_text_depth()
 TEMPLATE_TENANT = "tenant-1"
 TEMPLATE_LIMIT = 50
 
@@ -45,13 +46,13 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name-day rollup of the stand-in with every gold name feature."""
-    return G.add_name_features(K.rollup_names(rows(spark, sf_dir)), suffix_rules(spark))
+    return G.add_name_features(K.rollup_names(rows(spark, sf_dir)), suffix_rules(spark), max_depth=SEED_DEPTH)
 
 
 def enriched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-level enrichment (for operators whose output is per row)."""
     r = rows(spark, sf_dir).where(F.col("qname").isNotNull())
-    return G.add_name_features(r, suffix_rules(spark))
+    return G.add_name_features(r, suffix_rules(spark), max_depth=SEED_DEPTH)
 
 
 # --- KPIs -----------------------------------------------------------------

@@ -97,6 +97,11 @@ SEED_SERVICES = """
 """
 
 
+def rule_text_depth(text: str = SEED_SUFFIX_RULES) -> int:
+    """Labels in the deepest rule of a list-syntax text (no Spark job needed)."""
+    return max(len(parse_suffix_rule(r)[0].split(".")) for r in text.split() if r and not r.startswith("//"))
+
+
 def parse_suffix_rule(rule: str) -> tuple[str, bool, bool]:
     rule = rule.strip().lower()
     if rule.startswith("!"):
