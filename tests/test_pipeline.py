@@ -1,0 +1,67 @@
+"""End to end on files: bronze JSON -> silver parquet -> gold tables; dynamic overwrite; streaming."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from zonelens.plans import pipeline
+from zonelens.sources import lake
+from zonelens.sources.bronze import derived_bronze, read_bronze, write_bronze
+from zonelens.streaming.silver_stream import start_silver_stream
+
+SF = "/root/testdata/sf0.001"
+
+
+def _write_bronze_by_tenant(spark, root):
+    b = derived_bronze(spark, SF)
+    for t in [r.tenant for r in b.select("tenant").distinct().collect()]:
+        write_bronze(b.where(F.col("tenant") == t), f"{root}/{t}/pcaps/batch1")
+    return b
+
+
+def test_bronze_silver_gold(spark, tmp_dir):
+    bronze_root, silver, gold = f"{tmp_dir}/bronze", f"{tmp_dir}/silver", f"{tmp_dir}/gold"
+    b = _write_bronze_by_tenant(spark, bronze_root)
+    # tenant from the object key (segment 0 below the bronze root)
+    df = read_bronze(spark, bronze_root)
+    assert df.where(F.col("_corrupt_record").isNotNull() | F.col("qr").isNull()).count() == 0
+    silver_df = pipeline.bronze_to_silver(df.drop("_corrupt_record"), key_root="file:" + bronze_root + "/")
+    lake.write_silver(silver_df, silver)
+    s = spark.read.parquet(silver)
+    assert s.where(F.col("tenant").isNull()).count() == 0
+    assert {r.tenant for r in s.select("tenant").distinct().collect()} == {r.tenant for r in b.select("tenant").distinct().collect()}
+    paths = pipeline.run_gold(spark, silver, gold)
+    risk = spark.read.parquet(paths["risk_kpis"])
+    n_before = risk.count()
+    assert n_before > 0
+    one = lake.read_gold_record(spark, paths["risk_kpis"], "tenant-1", "2024-01-15").collect()
+    assert len(one) == 1
+    topn = spark.read.parquet(paths["topn"])
+    assert {r.topN_type for r in topn.select("topN_type").distinct().collect()} == {"top_qnames", "top_root_domains", "high_entropy"}
+    # rerun for one tenant only keeps the other tenants' partitions (dynamic overwrite)
+    pipeline.run_gold(spark, silver, gold, tenant="tenant-0")
+    assert spark.read.parquet(paths["risk_kpis"]).select("tenant").distinct().count() == 3
+    assert spark.read.parquet(paths["risk_kpis"]).count() == n_before
+
+
+def test_partition_pruning(spark, tmp_dir):
+    silver = f"{tmp_dir}/silver"
+    df = pipeline.bronze_to_silver(derived_bronze(spark, SF))
+    lake.write_silver(df, silver)
+    pruned = lake.read_partitioned(spark, silver, "tenant-2", "2024-01-03", "2024-01-05")
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "tenant" in plan
+    assert {r.tenant for r in pruned.select("tenant").distinct().collect()} == {"tenant-2"}
+
+
+def test_streaming_silver_matches_batch(spark, tmp_dir):
+    bronze_dir, silver = f"{tmp_dir}/bronze_stream", f"{tmp_dir}/silver_stream"
+    b = derived_bronze(spark, SF)
+    write_bronze(b.where(F.col("tenant") == "tenant-1"), bronze_dir)
+    q = start_silver_stream(spark, bronze_dir, silver, query_name=os.path.basename(tmp_dir), tenant="tenant-1")
+    q.awaitTermination(300)
+    streamed = spark.read.parquet(silver)
+    batch = pipeline.bronze_to_silver(read_bronze(spark, bronze_dir).drop("_corrupt_record"), tenant="tenant-1")
+    batch = batch.where(F.col("event_ts").isNotNull())
+    assert streamed.count() == batch.count()
+    assert streamed.select("silver_dedupe_hash").distinct().count() == streamed.count()

@@ -59,7 +59,8 @@ def read_bronze(spark: SparkSession, path: str, keep_corrupt: bool = True) -> Da
     kept in ``source_file`` (tenant can be derived from it with S7).
     """
     schema = T.StructType(BRONZE_SCHEMA.fields + ([T.StructField(CORRUPT_COL, T.StringType())] if keep_corrupt else []))
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
+    # Objects sit under arbitrary key paths (tenant/prefix/date/file), not partition folders.
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
     if keep_corrupt:
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT_COL)
     return reader.json(path).withColumn("source_file", F.col("_metadata.file_path"))
