@@ -104,3 +104,20 @@ def class_counts(classified: DataFrame) -> DataFrame:
 def write_by_class(classified: DataFrame, path: str, fmt: str = "parquet") -> None:
     """P10: one output per class, appended run after run (partitioned files, never one JSON array)."""
     classified.write.mode("append").partitionBy("packet_class").format(fmt).save(path)
+
+
+def render_rdata(rtype: Column, rdata: Column, txt_chunks: Column | None = None) -> Column:
+    """Answer data as text by record type.
+
+    A (1) / AAAA (28): the address as is; NS (2) / CNAME (5) / PTR (12): the
+    name decoded as UTF-8; TXT (16): the character-strings joined then decoded;
+    any other type: the data as text. ``rdata`` may be binary or text; a byte
+    that is not UTF-8 becomes U+FFFD (the decoder replaces instead of dropping).
+    """
+    as_text = F.decode(rdata.cast("binary"), "UTF-8")
+    txt = as_text
+    if txt_chunks is not None:
+        joined = F.aggregate(txt_chunks, F.lit(bytearray(b"")), lambda acc, x: F.concat(acc, x))
+        txt = F.when(txt_chunks.isNotNull(), F.decode(joined, "UTF-8")).otherwise(as_text)
+    # Addresses and names are already text once decoded; only TXT joins its chunks first.
+    return F.when(rtype == 16, txt).otherwise(as_text)

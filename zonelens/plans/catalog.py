@@ -169,6 +169,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(O.silver_sql())
     sql.update(O.packets_sql())
     sql["object_keys"] = O.object_keys_sql()
+    sql["render_rdata"] = O.render_rdata_sql()
     return sql
 
 
@@ -564,3 +565,13 @@ QUERIES.update(
         "object_keys": q_object_keys,
     }
 )
+
+
+def q_render_rdata(spark, sf_dir):
+    from zonelens.sources.derived import derived_answer_records
+
+    r = derived_answer_records(spark, sf_dir)
+    return r.select("tenant", "id", "rrname", "rtype", P.render_rdata(F.col("rtype"), F.col("rdata"), F.col("txt_chunks")).alias("rdata"))
+
+
+QUERIES["render_rdata"] = q_render_rdata

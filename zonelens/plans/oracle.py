@@ -730,3 +730,18 @@ def object_keys_sql() -> str:
         "reason AS reject_reason FROM k4"
     )
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def render_rdata_sql() -> str:
+    k = "event_id % 6"
+    text = (
+        f"CASE WHEN {k} = 0 THEN '192.0.2.' || CAST(event_id % 256 AS VARCHAR) "
+        f"WHEN {k} = 1 THEN '2001:db8::' || lower(hex(event_id % 65536)) "
+        f"WHEN {k} IN (2, 3) THEN 'alias.' || qname WHEN {k} = 4 THEN 'v=spf1 ' || 'include:' || qname "
+        f"ELSE '10 mail.' || qname END"
+    )
+    return (
+        f"WITH dns AS ({STANDIN_WITH_ID_SQL})\n"
+        f"SELECT tenant, id, qname AS rrname, CAST(CASE WHEN {k} = 0 THEN 1 WHEN {k} = 1 THEN 28 WHEN {k} = 2 THEN 5 "
+        f"WHEN {k} = 3 THEN 12 WHEN {k} = 4 THEN 16 ELSE 15 END AS INTEGER) AS rtype, {text} AS rdata FROM dns"
+    )

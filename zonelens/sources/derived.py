@@ -82,3 +82,31 @@ def derived_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.concat(lead, tenant, F.lit("/pcaps/"), F.col("ts").cast("date").cast("string"), F.lit("/"), name)
     key = F.when(eid % 53 == 0, F.concat(tenant, F.lit("/"))).otherwise(full)
     return ev.select(key.alias("object_key"))
+
+
+def derived_answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded answer records (rtype, rdata bytes, TXT chunks) for every ``events`` row:
+    A, AAAA, CNAME, PTR, TXT (two chunks) and MX (an unrendered type)."""
+    from zonelens.sources.tables import dns_standin
+
+    s = dns_standin(spark, sf_dir, extra_event_cols=("event_id",))
+    eid = F.col("event_id")
+    k = eid % 6
+    rtype = F.when(k == 0, 1).when(k == 1, 28).when(k == 2, 5).when(k == 3, 12).when(k == 4, 16).otherwise(15)
+    text = (
+        F.when(k == 0, F.concat(F.lit("192.0.2."), (eid % 256).cast("string")))
+        .when(k == 1, F.concat(F.lit("2001:db8::"), F.lower(F.hex(eid % 65536))))
+        .when(k.isin(2, 3), F.concat(F.lit("alias."), F.col("qname")))
+        .when(k == 5, F.concat(F.lit("10 mail."), F.col("qname")))
+    )
+    chunks = F.when(
+        k == 4, F.array(F.encode(F.lit("v=spf1 "), "UTF-8"), F.encode(F.concat(F.lit("include:"), F.col("qname")), "UTF-8"))
+    )
+    return s.select(
+        "tenant",
+        "id",
+        F.col("qname").alias("rrname"),
+        rtype.cast("int").alias("rtype"),
+        F.encode(text, "UTF-8").alias("rdata"),
+        chunks.alias("txt_chunks"),
+    )
