@@ -65,3 +65,18 @@ def test_streaming_silver_matches_batch(spark, tmp_dir):
     batch = batch.where(F.col("event_ts").isNotNull())
     assert streamed.count() == batch.count()
     assert streamed.select("silver_dedupe_hash").distinct().count() == streamed.count()
+
+
+def test_silver_split_and_observe(spark, tmp_dir):
+    from zonelens.operators.silver import observe_counts
+
+    bronze_dir = f"{tmp_dir}/bronze_split"
+    write_bronze(derived_bronze(spark, SF).where(F.col("tenant") == "tenant-2"), bronze_dir)
+    paths = pipeline.run_silver_split(spark, bronze_dir, f"{tmp_dir}/silver_ab", "tenant-2")
+    q = spark.read.parquet(paths["questions"])
+    a = spark.read.parquet(paths["answers"])
+    assert "rclass" in a.columns and "qname" in q.columns
+    assert q.count() >= a.select("id").distinct().count() > 0
+    df, obs = observe_counts(read_bronze(spark, bronze_dir), "bronze_rows")
+    n = df.count()
+    assert obs.get["rows"] == n

@@ -329,7 +329,12 @@ def q_window_cardinality_approx(spark, sf_dir):
 
 
 def q_subdomain_map(spark, sf_dir):
-    return G.subdomain_map(enriched_rows(spark, sf_dir))
+    # The map depends on names only: domain parts of the distinct (stripped) names suffice.
+    from zonelens import functions as Z
+    from zonelens.operators.suffix import add_domain_parts
+
+    names = rows(spark, sf_dir).where(F.col("qname").isNotNull()).select(Z.strip_trailing_dot("qname").alias("qname")).distinct()
+    return G.subdomain_map(add_domain_parts(names, suffix_rules(spark), max_depth=SEED_DEPTH))
 
 
 # --- more scalar features ---------------------------------------------------------

@@ -52,6 +52,18 @@ def run_silver(spark: SparkSession, bronze_path: str, silver_path: str, tenant:
     lake.write_silver(bronze_to_silver(read_bronze(spark, bronze_path), tenant, **key_opts), silver_path)
 
 
+def run_silver_split(spark: SparkSession, bronze_path: str, silver_base: str, tenant: str) -> dict[str, str]:
+    """The job's two-table silver layout: ``questions`` (B2) and ``answers``
+    from one read of bronze with event time parsed once (B1), tenant tagged (B10)."""
+    bronze = S.add_event_date(read_bronze(spark, bronze_path, keep_corrupt=False)).withColumn("tenant", F.lit(tenant))
+    out = {}
+    for name, fn in (("questions", S.flatten_questions), ("answers", S.flatten_answers)):
+        path = f"{silver_base.rstrip('/')}/{name}"
+        lake.write_silver(fn(bronze), path)
+        out[name] = path
+    return out
+
+
 def gold_tables(
     silver: DataFrame,
     rules: DataFrame,
