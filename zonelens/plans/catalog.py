@@ -580,3 +580,22 @@ def q_render_rdata(spark, sf_dir):
 
 
 QUERIES["render_rdata"] = q_render_rdata
+
+
+# --- contract wrapper ------------------------------------------------------------------
+
+
+def _in_utc(fn: QueryFn) -> QueryFn:
+    """Run a registered query with session time zone UTC (dates and windows are UTC days)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
+QUERIES = {name: _in_utc(fn) for name, fn in QUERIES.items()}
