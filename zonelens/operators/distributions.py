@@ -3,8 +3,8 @@
 Zero-filled histograms need no keys x bins join: every bin is a conditional
 count in one partial aggregation per key, and the ordered array is built from
 those counts, so each bin appears even when its count is zero. Equal-width
-histograms first aggregate min/max per key (one small row per key) and join it
-back on the key before the same conditional counting.
+histograms first aggregate min/max per key (one small row per key), broadcast
+it behind a size check, and bin with the same conditional counting.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from zonelens import functions as Z
 from zonelens.config import ENTROPY_BINS, HIGH_ENTROPY_BIN_FLOOR
+from zonelens.operators.joins import bounded_broadcast
+
+# Keys (e.g. tenants x days) whose min/max rows may be broadcast for equal-width bins.
+MAX_STAT_KEYS = 1_000_000
 
 KEYS = ("tenant", "event_date")
 
@@ -117,6 +121,11 @@ def equal_width_histogram(df: DataFrame, value_col: str, k: int = 10, keys: tupl
     v = F.col(value_col)
     data = df.where(v.isNotNull())
     stats = data.groupBy(*keys).agg(F.min(v).cast("double").alias("__lo"), F.max(v).cast("double").alias("__hi"))
+    # One stats row per key: broadcast when the key count is within the bound, so
+    # the data is never shuffled by key (a tenant may hold a third of the rows).
+    # Persisted first, so the size check and the join share one computation
+    # (a lost cached block is recomputed from lineage).
+    stats, _ = bounded_broadcast(stats.persist(), MAX_STAT_KEYS)
     binned = data.join(stats, on=list(keys), how="inner").withColumn(
         "__idx", Z.equal_width_index(v.cast("double"), F.col("__lo"), F.col("__hi"), k)
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from zonelens import functions as Z
 from zonelens.config import HIGH_ENTROPY_THRESHOLD, HOST_ENTROPY_MAX
+from zonelens.operators.joins import DEFAULT_SALT_BUCKETS, join_back
 from zonelens.operators.suffix import add_domain_parts
 
 KEYS = ("tenant", "event_date")
@@ -68,10 +69,12 @@ def add_label_features(df: DataFrame, name_col: str = "qname") -> DataFrame:
     return out.withColumn("is_idn", Z.is_idn(F.col(name_col)))
 
 
-def root_domain_cardinality(df: DataFrame, root_col: str = "root_domain", sub_col: str = "subdomain") -> DataFrame:
-    """G1: distinct subdomains per root domain, joined back; NULL root keeps NULL."""
+def root_domain_cardinality(
+    df: DataFrame, root_col: str = "root_domain", sub_col: str = "subdomain", salt_buckets: int = DEFAULT_SALT_BUCKETS
+) -> DataFrame:
+    """G1: distinct subdomains per root domain, joined back (salted); NULL root keeps NULL."""
     card = df.groupBy(root_col).agg(F.countDistinct(sub_col).alias("root_domain_cardinality"))
-    return df.join(card, on=root_col, how="left")
+    return join_back(df, card, [root_col], "left", salt_buckets)
 
 
 def add_time_features(
@@ -79,6 +82,7 @@ def add_time_features(
     name_col: str = "qname",
     ts_col: str = "event_ts",
     keys: tuple[str, ...] = (),
+    salt_buckets: int = DEFAULT_SALT_BUCKETS,
 ) -> DataFrame:
     """G2/G3 + F13: hour, weekday, and per-name distinct ids and source IPs, joined back.
 
@@ -92,7 +96,7 @@ def add_time_features(
         F.countDistinct("id").alias("query_frequency"),
         F.countDistinct("src_ip").alias("unique_src_ips"),
     )
-    return out.join(per_name, on=group, how="left")
+    return join_back(out, per_name, group, "left", salt_buckets)
 
 
 def subdomain_cardinality_window(
@@ -109,6 +113,7 @@ def subdomain_cardinality_window(
     remove_wildcards: bool = False,
     out_col: str = "root_subdomain_cardinality_window",
     join_back: bool = True,
+    salt_buckets: int = DEFAULT_SALT_BUCKETS,
 ) -> DataFrame:
     """Distinct normalised subdomains per (groups, root, time window).
 
@@ -139,7 +144,9 @@ def subdomain_cardinality_window(
     agg = rows.groupBy(*keys).agg(distinct)
     if not join_back:
         return agg
-    return rows.join(agg, on=keys, how="left").fillna({out_col: 0}).drop("__sub_norm")
+    from zonelens.operators.joins import join_back as _join_back
+
+    return _join_back(rows, agg, keys, "left", salt_buckets).fillna({out_col: 0}).drop("__sub_norm")
 
 
 def subdomain_map(df: DataFrame, root_col: str = "root_domain", sub_col: str = "subdomain") -> DataFrame:
@@ -155,4 +162,4 @@ def subdomain_map(df: DataFrame, root_col: str = "root_domain", sub_col: str = "
         .distinct()
     )
     sizes = pairs.groupBy("root_domain").agg(F.count(F.lit(1)).alias("subdomain_count"))
-    return pairs.join(sizes, on="root_domain", how="inner")
+    return join_back(pairs, sizes, ["root_domain"], "inner")

@@ -20,3 +20,31 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+# Salt buckets for join-backs on keys that may be hot (a root domain, a name, an id).
+DEFAULT_SALT_BUCKETS = 16
+
+
+def join_back(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str] | tuple[str, ...],
+    how: str = "left",
+    salt_buckets: int = DEFAULT_SALT_BUCKETS,
+) -> DataFrame:
+    """Join per-key results (``right``: at most one row per key) back onto ``left``.
+
+    A hot key on ``left`` is split over ``salt_buckets`` tasks: each left row
+    gets a deterministic salt from a hash of its own columns, and the (small,
+    unique-per-key) right side is replicated once per salt value, so every
+    left row still meets exactly its one right row. ``salt_buckets <= 1``
+    leaves skew handling to AQE.
+    """
+    keys = list(keys)
+    if salt_buckets <= 1:
+        return left.join(right, on=keys, how=how)
+    salt = "__salt"
+    salted_left = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt_buckets)))
+    salted_right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)).cast("array<bigint>")))
+    return salted_left.join(salted_right, on=[*keys, salt], how=how).drop(salt)
