@@ -57,9 +57,18 @@ def _wavg(c: Column) -> Column:
     return F.sum(c * _w()) / F.sum(F.when(c.isNotNull(), _w()))
 
 
-def _argmax_name(value: Column, name: Column) -> Column:
-    """Name with the largest value (NULL values last); ties go to the smallest name."""
-    return F.min_by(name, F.struct(value.isNull(), -value, name))
+def max_entropy_names(enriched: DataFrame, keys=KEYS, value_col: str = "qname_entropy", name_col: str = "qname") -> DataFrame:
+    """A2: per key the name with the largest entropy (NULLs last), ties to the smallest name.
+
+    A top-1 ``row_number`` (planned as ``WindowGroupLimit``: one row per key
+    and map task crosses the shuffle) instead of a string-valued aggregate,
+    which would force the whole KPI aggregation onto sort-based aggregation.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(F.col(value_col).desc_nulls_last(), F.asc(name_col))
+    top = enriched.select(*keys, value_col, name_col).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
+    return top.select(*keys, F.col(name_col).alias("max_entropy_qname"))
 
 
 def src_ip_counts(rows: DataFrame, keys=KEYS, name_col: str = "qname") -> DataFrame:
@@ -84,9 +93,11 @@ def build_base_kpis(enriched: DataFrame, rows: DataFrame, keys=KEYS) -> DataFram
         F.max(se).alias("max_subdomain_entropy"),
         _wavg(lc.cast("double")).alias("avg_subdomain_count"),
         F.max(lc).cast("int").alias("max_subdomain_count"),
-        _argmax_name(e, F.col("qname")).alias("max_entropy_qname"),
     )
-    out = base.join(src_ip_counts(rows, keys), on=list(keys), how="left")
+    # Three one-row-per-key results joined on the keys (small; AQE broadcasts them).
+    out = base.join(max_entropy_names(enriched, keys), on=list(keys), how="left").join(
+        src_ip_counts(rows, keys), on=list(keys), how="left"
+    )
     return out.select(
         *keys,
         "total_queries",
@@ -195,10 +206,12 @@ def build_gold_aggregates(
         answered.alias("answered_queries"),
         _wsum(F.col("is_high_entropy")).alias("high_entropy_query_count"),
         F.coalesce(F.sum("nxdomain_count"), F.lit(0)).cast("long").alias("nxdomain_count"),
-        _argmax_name(e, F.col("qname")).alias("max_entropy_qname"),
     )
     total = F.col("total_queries")
-    out = agg.join(src_ip_counts(rows, keys), on=list(keys), how="left").withColumns(
+    out = (
+        agg.join(max_entropy_names(enriched, keys), on=list(keys), how="left")
+        .join(src_ip_counts(rows, keys), on=list(keys), how="left")
+    ).withColumns(
         {
             "unique_src_ips": F.coalesce("unique_src_ips", F.lit(0)).cast("long"),
             "high_entropy_query_ratio": F.col("high_entropy_query_count") / total,
