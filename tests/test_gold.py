@@ -97,3 +97,23 @@ def test_argmax_name_tie(spark):
     base = K.build_base_kpis(G.add_name_features(K.rollup_names(rows), suffix_rules(spark)), rows).first()
     assert base.max_entropy_qname == "ab.example.com"  # ab and ba share the max; smaller name wins
     assert math.isclose(base.max_qname_entropy, base.max_qname_entropy)
+
+
+def test_join_back_hot_key(spark):
+    from zonelens.operators.joins import join_back
+
+    # one key holds a third of the rows
+    left = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("k"),
+        F.col("id"),
+    )
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    plain = sorted(left.join(right, "k", "left").collect())
+    salted = join_back(left, right, ["k"], broadcast_max_rows=0)
+    assert sorted(salted.select("k", "id", "n").collect()) == sorted(r for r in plain)
+    assert "xxhash64" in salted._jdf.queryExecution().optimizedPlan().toString()
+    hot_salts = left.where("k = 'hot'").select(F.pmod(F.xxhash64("k", "id"), F.lit(16)).alias("s")).distinct().count()
+    assert hot_salts == 16
+    broadcast = join_back(left, right, ["k"])
+    assert sorted(broadcast.select("k", "id", "n").collect()) == sorted(plain)
+    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()

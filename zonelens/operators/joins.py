@@ -24,6 +24,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
 
 # Salt buckets for join-backs on keys that may be hot (a root domain, a name, an id).
 DEFAULT_SALT_BUCKETS = 16
+# Per-key results up to this many rows are broadcast instead of shuffled.
+DEFAULT_JOIN_BACK_BROADCAST_ROWS = 1_000_000
 
 
 def join_back(
@@ -32,16 +34,23 @@ def join_back(
     keys: list[str] | tuple[str, ...],
     how: str = "left",
     salt_buckets: int = DEFAULT_SALT_BUCKETS,
+    broadcast_max_rows: int = DEFAULT_JOIN_BACK_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join per-key results (``right``: at most one row per key) back onto ``left``.
 
-    A hot key on ``left`` is split over ``salt_buckets`` tasks: each left row
-    gets a deterministic salt from a hash of its own columns, and the (small,
-    unique-per-key) right side is replicated once per salt value, so every
-    left row still meets exactly its one right row. ``salt_buckets <= 1``
-    leaves skew handling to AQE.
+    ``right`` is persisted (it is an aggregate of ``left``, computed once) and
+    counted up to ``broadcast_max_rows + 1`` rows: within the bound it is
+    broadcast and ``left`` is not shuffled at all. Beyond it, a hot key on
+    ``left`` is split over ``salt_buckets`` tasks: each left row gets a
+    deterministic salt from a hash of its own columns and ``right`` is
+    replicated once per salt value, so every left row still meets exactly its
+    one right row. ``salt_buckets <= 1`` leaves skew handling to AQE.
     """
     keys = list(keys)
+    if broadcast_max_rows > 0:
+        small, ok = bounded_broadcast(right.persist(), broadcast_max_rows)
+        if ok:
+            return left.join(small, on=keys, how=how)
     if salt_buckets <= 1:
         return left.join(right, on=keys, how=how)
     salt = "__salt"
