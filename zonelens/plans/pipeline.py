@@ -39,7 +39,7 @@ TYPE_COLUMNS = {"histograms": "entropy_type", "topn": "topN_type", "breakdowns":
 def bronze_to_silver(bronze: DataFrame, tenant: str | None = None, segment_index: int = 0, key_root: str = "") -> DataFrame:
     """Bronze messages -> silver rows. Without ``tenant`` the tenant comes from each
     file's object key (S7); rows of rejected keys keep a NULL tenant."""
-    df = bronze
+    df, _rejects = S.split_corrupt(bronze)
     if tenant is None and "tenant" not in df.columns:
         root = "^" + re.escape(key_root) if key_root else r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+[^/]*/"
         key = F.regexp_replace(F.col("source_file"), root, "")
@@ -48,8 +48,20 @@ def bronze_to_silver(bronze: DataFrame, tenant: str | None = None, segment_index
     return S.convert_to_silver(S.flatten_messages(df), tenant)
 
 
-def run_silver(spark: SparkSession, bronze_path: str, silver_path: str, tenant: str | None = None, **key_opts) -> None:
-    lake.write_silver(bronze_to_silver(read_bronze(spark, bronze_path), tenant, **key_opts), silver_path)
+def run_silver(
+    spark: SparkSession,
+    bronze_path: str,
+    silver_path: str,
+    tenant: str | None = None,
+    reject_path: str | None = None,
+    **key_opts,
+) -> None:
+    """Bronze folder -> appended silver; malformed lines go to ``reject_path`` (JSON) when given."""
+    bronze = read_bronze(spark, bronze_path)
+    if reject_path:
+        _, rejects = S.split_corrupt(bronze.cache())
+        rejects.write.mode("append").json(reject_path)
+    lake.write_silver(bronze_to_silver(bronze, tenant, **key_opts), silver_path)
 
 
 def run_silver_split(spark: SparkSession, bronze_path: str, silver_base: str, tenant: str) -> dict[str, str]:
