@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonelens.config import HIGH_ENTROPY_THRESHOLD
+from zonelens.functions.keys import key_parts
 from zonelens.operators import distributions as D
 from zonelens.operators import features as G
 from zonelens.operators import kpis as K
+from zonelens.operators import packets as P
 from zonelens.operators import rankings as N
+from zonelens.operators import silver as S
 from zonelens.operators import templates as TPL
-from zonelens.sources.dims import rule_text_depth, suffix_rules
+from zonelens.sources.bronze import derived_bronze
+from zonelens.sources.derived import derived_answer_records, derived_object_keys, derived_packets
+from zonelens.sources.dims import rule_text_depth, services, suffix_rules
 from zonelens.sources.tables import dns_standin
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -189,7 +194,10 @@ def q_gold_wide_scalars(spark, sf_dir):
 
 
 def q_gold_wide(spark, sf_dir):
-    return round_doubles(K.build_wide_gold(enriched(spark, sf_dir), rows(spark, sf_dir)))
+    from zonelens.plans.pipeline import gold_tables as checkpointed_gold
+
+    # The wide record reads the enriched rollup three times: use the checkpointed gold run.
+    return round_doubles(checkpointed_gold(rows(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)["daily_aggregates"])
 
 
 def q_gold_top_qnames_flat(spark, sf_dir):
@@ -221,7 +229,10 @@ def gold_tables(spark, sf_dir):
 
 
 def q_dashboard(spark, sf_dir):
-    g = gold_tables(spark, sf_dir)
+    from zonelens.plans.pipeline import gold_tables as checkpointed_gold
+
+    # Five tables read the enriched rollup: build them from the checkpointed gold run.
+    g = checkpointed_gold(rows(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)
     return K.build_dashboard(g["base_kpis"], g["risk_kpis"], g["histograms"], g["topn"], g["breakdowns"])
 
 
@@ -430,8 +441,6 @@ def _oracle_batch2() -> dict[str, str]:
 
 # --- bronze -> silver ----------------------------------------------------------------
 
-from zonelens.operators import silver as S  # noqa: E402
-from zonelens.sources.bronze import derived_bronze  # noqa: E402
 
 
 def _flat(spark, sf_dir):
@@ -533,10 +542,6 @@ QUERIES.update(
 
 # --- decoded packets and object keys ----------------------------------------------------
 
-from zonelens.functions.keys import key_parts  # noqa: E402
-from zonelens.operators import packets as P  # noqa: E402
-from zonelens.sources.derived import derived_object_keys, derived_packets  # noqa: E402
-from zonelens.sources.dims import services  # noqa: E402
 
 
 def q_packets_classified(spark, sf_dir):
@@ -573,8 +578,6 @@ QUERIES.update(
 
 
 def q_render_rdata(spark, sf_dir):
-    from zonelens.sources.derived import derived_answer_records
-
     r = derived_answer_records(spark, sf_dir)
     return r.select("tenant", "id", "rrname", "rtype", P.render_rdata(F.col("rtype"), F.col("rdata"), F.col("txt_chunks")).alias("rdata"))
 

@@ -81,13 +81,14 @@ def gold_tables(
     rules: DataFrame,
     checkpoint: bool = True,
     answer_keys: tuple[str, ...] | None = None,
+    max_depth: int | None = None,
 ) -> dict[str, DataFrame]:
     """The five gold tables and the wide record from silver rows (not yet written)."""
     rows = S.drop_null_qname(silver)
     if answer_keys:
         questions, answers = S.split_dataset(silver)
         rows = S.mark_answered(rows, answers, answer_keys)
-    enriched = G.add_name_features(K.rollup_names(rows), rules)
+    enriched = G.add_name_features(K.rollup_names(rows), rules, max_depth=max_depth)
     if checkpoint:
         enriched = cut_lineage(enriched)
     topn_flat = N.build_topn(enriched)
