@@ -38,6 +38,11 @@ def test_bronze_silver_gold(spark, tmp_dir):
     assert len(one) == 1
     topn = spark.read.parquet(paths["topn"])
     assert {r.topN_type for r in topn.select("topN_type").distinct().collect()} == {"top_qnames", "top_root_domains", "high_entropy"}
+    dash = pipeline.read_dashboard(spark, gold, "tenant-1", "2024-01-15").collect()
+    assert len(dash) == 1 and dash[0].risk_kpis.total_count == one[0].total_count
+    assert len(dash[0].histograms) == 2 and len(dash[0].rankings) == 3 and len(dash[0].breakdowns) == 2
+    report = pipeline.run_report(spark, silver, "top_domains", "tenant-1", 5).collect()
+    assert len(report) == 5 and report[0].query_count >= report[-1].query_count
     # rerun for one tenant only keeps the other tenants' partitions (dynamic overwrite)
     pipeline.run_gold(spark, silver, gold, tenant="tenant-0")
     assert spark.read.parquet(paths["risk_kpis"]).select("tenant").distinct().count() == 3

@@ -83,13 +83,15 @@ def add_domain_parts(
         {f"{tmp}c{j}": F.when(n >= j, F.array_join(F.slice(labels, -j, j), ".")) for j in range(1, depth + 1)}
     )
     for j in range(1, depth + 1):
-        lk = lookup.select(
-            F.col("rule").alias(f"{tmp}r{j}"),
-            F.col("exact").alias(f"{tmp}e{j}"),
-            F.col("wild").alias(f"{tmp}w{j}"),
-            F.col("exc").alias(f"{tmp}x{j}"),
+        # The same broadcast lookup for every length (one exchange, reused);
+        # its columns are renamed after the join.
+        lk = lookup.alias(f"{tmp}l{j}")
+        out = out.join(lk, out[f"{tmp}c{j}"] == F.col(f"{tmp}l{j}.rule"), "left").select(
+            *[F.col(c) for c in out.columns],
+            F.col(f"{tmp}l{j}.exact").alias(f"{tmp}e{j}"),
+            F.col(f"{tmp}l{j}.wild").alias(f"{tmp}w{j}"),
+            F.col(f"{tmp}l{j}.exc").alias(f"{tmp}x{j}"),
         )
-        out = out.join(lk, out[f"{tmp}c{j}"] == lk[f"{tmp}r{j}"], "left")
 
     exc_len = F.greatest(*[F.when(F.col(f"{tmp}x{j}"), F.lit(j - 1)) for j in range(1, depth + 1)], F.lit(None).cast("int"))
     rule_len = F.greatest(

@@ -120,3 +120,25 @@ def run_gold(
         lake.write_gold(df, path, TYPE_COLUMNS.get(name))
         out[name] = path
     return out
+
+
+def read_dashboard(spark: SparkSession, gold_path: str, tenant: str, event_date: str) -> DataFrame:
+    """A10 read path: the dashboard record of one tenant-day from the written gold tables.
+
+    Every table is read with both partition keys filtered (pruned at listing),
+    never "the first row" of a directory.
+    """
+    root = gold_path.rstrip("/")
+    t = {name: lake.read_partitioned(spark, f"{root}/{name}", tenant, event_date, event_date) for name in GOLD_TABLES}
+    # Partition columns come back last and typed by inference; put the keys first, as written.
+    t = {n: df.select("tenant", F.col("event_date").cast("date").alias("event_date"),
+                      *[c for c in df.columns if c not in ("tenant", "event_date")]) for n, df in t.items()}
+    return K.build_dashboard(t["base_kpis"], t["risk_kpis"], t["histograms"], t["topn"], t["breakdowns"])
+
+
+def run_report(spark: SparkSession, silver_path: str, name: str, tenant: str, limit: int = 50,
+               start: str | None = None, end: str | None = None) -> DataFrame:
+    """A named report (T1-T6) over the silver table, tenant and dates pruned at the scan."""
+    from zonelens.operators.templates import run_template
+
+    return run_template(name, lake.read_partitioned(spark, silver_path, tenant, start, end), tenant, limit)
