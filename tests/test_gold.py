@@ -117,3 +117,14 @@ def test_join_back_hot_key(spark):
     broadcast = join_back(left, right, ["k"])
     assert sorted(broadcast.select("k", "id", "n").collect()) == sorted(plain)
     assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_back_byte_bound(spark):
+    from zonelens.operators.joins import join_back
+
+    left = spark.range(2000).select((F.col("id") % 50).alias("k"), "id")
+    right = left.groupBy("k").agg(F.repeat(F.lit("x"), 1000).alias("pad"))
+    # 50 rows pass the row bound but not a 1 KB byte bound: salted shuffle join instead of broadcast
+    out = join_back(left, right, ["k"], broadcast_max_bytes=1024)
+    assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 2000

@@ -24,8 +24,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
 
 # Salt buckets for join-backs on keys that may be hot (a root domain, a name, an id).
 DEFAULT_SALT_BUCKETS = 16
-# Per-key results up to this many rows are broadcast instead of shuffled.
+# Per-key results up to this many rows and bytes are broadcast instead of shuffled.
 DEFAULT_JOIN_BACK_BROADCAST_ROWS = 1_000_000
+DEFAULT_JOIN_BACK_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def materialised_size_bytes(df: DataFrame) -> int:
+    """Size of a persisted DataFrame as measured by its cached batches (call after an action)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def join_back(
@@ -35,12 +41,14 @@ def join_back(
     how: str = "left",
     salt_buckets: int = DEFAULT_SALT_BUCKETS,
     broadcast_max_rows: int = DEFAULT_JOIN_BACK_BROADCAST_ROWS,
+    broadcast_max_bytes: int = DEFAULT_JOIN_BACK_BROADCAST_BYTES,
 ) -> DataFrame:
     """Join per-key results (``right``: at most one row per key) back onto ``left``.
 
     ``right`` is persisted (it is an aggregate of ``left``, computed once) and
-    counted up to ``broadcast_max_rows + 1`` rows: within the bound it is
-    broadcast and ``left`` is not shuffled at all. Beyond it, a hot key on
+    counted up to ``broadcast_max_rows + 1`` rows; within that bound and, by
+    its measured cached size, within ``broadcast_max_bytes``, it is broadcast
+    and ``left`` is not shuffled at all. Beyond it, a hot key on
     ``left`` is split over ``salt_buckets`` tasks: each left row gets a
     deterministic salt from a hash of its own columns and ``right`` is
     replicated once per salt value, so every left row still meets exactly its
@@ -48,9 +56,11 @@ def join_back(
     """
     keys = list(keys)
     if broadcast_max_rows > 0:
-        small, ok = bounded_broadcast(right.persist(), broadcast_max_rows)
-        if ok:
+        cached = right.persist()
+        small, ok = bounded_broadcast(cached, broadcast_max_rows)
+        if ok and materialised_size_bytes(cached) <= broadcast_max_bytes:
             return left.join(small, on=keys, how=how)
+        right = cached
     if salt_buckets <= 1:
         return left.join(right, on=keys, how=how)
     salt = "__salt"
