@@ -175,3 +175,20 @@ def test_object_keys(spark):
     assert got["acme/"][2] == "no file path after tenant"
     prefixed = df.select(key_parts(F.col("k"), output_prefix="bronze/pcap")["bronze_key"].alias("b")).first().b
     assert prefixed == "acme/bronze/pcap/pcaps/2026-01-22/file.jsonl.gz"
+
+
+def test_suffix_rules_from_file(spark, tmp_dir):
+    from zonelens.sources.dims import suffix_rules_from_text
+
+    path = f"{tmp_dir}/psl.dat"
+    with open(path, "w") as fh:
+        fh.write("// comment\ncom\n\nco.uk\nuk\n*.kawasaki.jp\n!city.kawasaki.jp\njp\n")
+    rules = suffix_rules_from_text(spark, path)
+    df = spark.createDataFrame([("a.b.kawasaki.jp",), ("www.city.kawasaki.jp",), ("x.co.uk",), ("y.com",)], "qname string")
+    got = {r.qname: (r.domain, r.suffix) for r in add_domain_parts(df, rules).collect()}
+    assert got == {
+        "a.b.kawasaki.jp": ("a", "b.kawasaki.jp"),
+        "www.city.kawasaki.jp": ("city", "kawasaki.jp"),
+        "x.co.uk": ("x", "co.uk"),
+        "y.com": ("y", "com"),
+    }

@@ -37,3 +37,24 @@ def test_classification(spark):
     assert {r.timestamp for r in out} == {"2026-01-01T00:00:00"}
     counts = {r.packet_class: r.packets for r in P.class_counts(P.classify_packets(df, services(spark))).collect()}
     assert counts == {"dns": 2, "http": 2, "other": 3}
+
+
+def test_write_by_class_appends(spark, tmp_dir):
+    rows = [pk(17, 5353, 53), pk(6, 40000, 80, b"GET / HTTP/1.1", "PA"), pk(1, None, None)]
+    classified = P.classify_packets(spark.createDataFrame(rows, SCHEMA), services(spark))
+    out = f"{tmp_dir}/by_class"
+    P.write_by_class(classified, out)
+    P.write_by_class(classified, out)  # a second run appends; files stay valid
+    back = spark.read.parquet(out)
+    assert {r.packet_class: r.n for r in back.groupBy("packet_class").count().withColumnRenamed("count", "n").collect()} == {
+        "dns": 2, "http": 2, "other": 2}
+
+
+def test_services_from_text(spark, tmp_dir):
+    from zonelens.sources.dims import services_from_text
+
+    path = f"{tmp_dir}/services"
+    with open(path, "w") as fh:
+        fh.write("# comment\nhttp 80/tcp www # web\nhttp-alt 80/tcp\ndomain 53/udp\n\nbad line\n")
+    got = {(r.proto, r.port): r.service for r in services_from_text(spark, path).collect()}
+    assert got == {("tcp", 80): "http", ("udp", 53): "domain"}
