@@ -53,7 +53,7 @@ def entropy_raw(c: Column) -> Column:
 
 
 def entropy_stripped(c: Column, digits: int = 6) -> Column:
-    """Entropy of the trimmed string rounded to ``digits``: NULL for NULL, 0.0 for blank."""
-    t = F.trim(c)
+    """Entropy of the whitespace-stripped string rounded to ``digits``: NULL for NULL, 0.0 for blank."""
+    t = F.regexp_replace(c, r"^\s+|\s+$", "")
     value = F.coalesce(_entropy_nonempty(F.when(F.length(t) > 0, t)), F.lit(0.0))
     return F.when(c.isNotNull(), F.round(value, digits))

@@ -477,7 +477,7 @@ def subdomain_map_sql() -> str:
 
 def entropy_variants_sql() -> str:
     raw = entropy_sql("nullif(qname, '')")
-    stripped = entropy_sql("nullif(trim(qname), '')")
+    stripped = entropy_sql("nullif(regexp_replace(qname, '^\\s+|\\s+$', '', 'g'), '')")
     return dns_query(
         f"SELECT qname, round(coalesce({raw}, 0.0), 6) AS entropy_raw, "
         f"CASE WHEN qname IS NOT NULL THEN round(coalesce({stripped}, 0.0), 6) END AS entropy_stripped, "
@@ -539,7 +539,7 @@ def bronze_ctes() -> list[str]:
     return [
         f"dns AS ({STANDIN_WITH_ID_SQL})",
         "m0 AS (SELECT *, 0 AS dup FROM dns UNION ALL "
-        "SELECT * REPLACE (upper(qname) || ' ' AS qname), 1 AS dup FROM dns WHERE event_id % 11 = 0)",
+        "SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN upper(qname) || ' ' ELSE qname END AS qname), 1 AS dup FROM dns)",
         "m1 AS (SELECT tenant, event_id, dup, qname AS sq, qtype AS st, src_ip, "
         f"CASE WHEN event_id % 499 = 0 THEN 'junk' WHEN event_id % 5 = 0 THEN {epoch} "
         "ELSE strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp, "

@@ -4,7 +4,8 @@ table derived from the driver's tables for the registered queries.
 The derived bronze is one message per ``events`` row (names from the DNS
 stand-in): timestamps as ISO text or Unix-seconds text (some junk), queries
 without questions, two-question messages, responses with 0-2 answers, and a
-copy of some messages that differs only in case and spacing (for dedupe).
+second copy of every message (some differing only in case and spacing), which
+deduplication must remove.
 """
 
 from __future__ import annotations
@@ -74,7 +75,9 @@ def write_bronze(df: DataFrame, path: str, mode: str = "append") -> None:
 def derived_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze messages (+ ``tenant``) derived from the DNS stand-in; see module docstring."""
     s = dns_standin(spark, sf_dir, extra_event_cols=("event_id",))
-    copies = s.where(F.col("event_id") % 11 == 0).withColumn("qname", F.concat(F.upper("qname"), F.lit(" ")))
+    # Every message arrives twice; some second copies differ in case and spacing only.
+    eid_mod = F.col("event_id") % 11 == 0
+    copies = s.withColumn("qname", F.when(eid_mod, F.concat(F.upper("qname"), F.lit(" "))).otherwise(F.col("qname")))
     s = s.unionByName(copies)
     eid = F.col("event_id")
     micros = F.unix_micros("event_ts")
