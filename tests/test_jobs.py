@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from zonelens.plans import pipeline
+from zonelens.plans import jobs
 from zonelens.sources import lake
 from zonelens.sources.bronze import derived_bronze, read_bronze, write_bronze
 from zonelens.streaming.silver_stream import start_silver_stream
@@ -25,12 +25,12 @@ def test_bronze_silver_gold(spark, tmp_dir):
     # tenant from the object key (segment 0 below the bronze root)
     df = read_bronze(spark, bronze_root)
     assert df.where(F.col("_corrupt_record").isNotNull() | F.col("qr").isNull()).count() == 0
-    silver_df = pipeline.bronze_to_silver(df.drop("_corrupt_record"), key_root="file:" + bronze_root + "/")
+    silver_df = jobs.bronze_to_silver(df.drop("_corrupt_record"), key_root="file:" + bronze_root + "/")
     lake.write_silver(silver_df, silver)
     s = spark.read.parquet(silver)
     assert s.where(F.col("tenant").isNull()).count() == 0
     assert {r.tenant for r in s.select("tenant").distinct().collect()} == {r.tenant for r in b.select("tenant").distinct().collect()}
-    paths = pipeline.run_gold(spark, silver, gold)
+    paths = jobs.run_gold(spark, silver, gold)
     risk = spark.read.parquet(paths["risk_kpis"])
     n_before = risk.count()
     assert n_before > 0
@@ -38,20 +38,20 @@ def test_bronze_silver_gold(spark, tmp_dir):
     assert len(one) == 1
     topn = spark.read.parquet(paths["topn"])
     assert {r.topN_type for r in topn.select("topN_type").distinct().collect()} == {"top_qnames", "top_root_domains", "high_entropy"}
-    dash = pipeline.read_dashboard(spark, gold, "tenant-1", "2024-01-15").collect()
+    dash = jobs.read_dashboard(spark, gold, "tenant-1", "2024-01-15").collect()
     assert len(dash) == 1 and dash[0].risk_kpis.total_count == one[0].total_count
     assert len(dash[0].histograms) == 2 and len(dash[0].rankings) == 3 and len(dash[0].breakdowns) == 2
-    report = pipeline.run_report(spark, silver, "top_domains", "tenant-1", 5).collect()
+    report = jobs.run_report(spark, silver, "top_domains", "tenant-1", 5).collect()
     assert len(report) == 5 and report[0].query_count >= report[-1].query_count
     # rerun for one tenant only keeps the other tenants' partitions (dynamic overwrite)
-    pipeline.run_gold(spark, silver, gold, tenant="tenant-0")
+    jobs.run_gold(spark, silver, gold, tenant="tenant-0")
     assert spark.read.parquet(paths["risk_kpis"]).select("tenant").distinct().count() == 3
     assert spark.read.parquet(paths["risk_kpis"]).count() == n_before
 
 
 def test_partition_pruning(spark, tmp_dir):
     silver = f"{tmp_dir}/silver"
-    df = pipeline.bronze_to_silver(derived_bronze(spark, SF))
+    df = jobs.bronze_to_silver(derived_bronze(spark, SF))
     lake.write_silver(df, silver)
     pruned = lake.read_partitioned(spark, silver, "tenant-2", "2024-01-03", "2024-01-05")
     plan = pruned._jdf.queryExecution().executedPlan().toString()
@@ -66,7 +66,7 @@ def test_streaming_silver_matches_batch(spark, tmp_dir):
     q = start_silver_stream(spark, bronze_dir, silver, query_name=os.path.basename(tmp_dir), tenant="tenant-1")
     q.awaitTermination(300)
     streamed = spark.read.parquet(silver)
-    batch = pipeline.bronze_to_silver(read_bronze(spark, bronze_dir).drop("_corrupt_record"), tenant="tenant-1")
+    batch = jobs.bronze_to_silver(read_bronze(spark, bronze_dir).drop("_corrupt_record"), tenant="tenant-1")
     batch = batch.where(F.col("event_ts").isNotNull())
     assert streamed.count() == batch.count()
     assert streamed.select("silver_dedupe_hash").distinct().count() == streamed.count()
@@ -77,7 +77,7 @@ def test_silver_split_and_observe(spark, tmp_dir):
 
     bronze_dir = f"{tmp_dir}/bronze_split"
     write_bronze(derived_bronze(spark, SF).where(F.col("tenant") == "tenant-2"), bronze_dir)
-    paths = pipeline.run_silver_split(spark, bronze_dir, f"{tmp_dir}/silver_ab", "tenant-2")
+    paths = jobs.run_silver_split(spark, bronze_dir, f"{tmp_dir}/silver_ab", "tenant-2")
     q = spark.read.parquet(paths["questions"])
     a = spark.read.parquet(paths["answers"])
     assert "rclass" in a.columns and "qname" in q.columns

@@ -194,7 +194,7 @@ def q_gold_wide_scalars(spark, sf_dir):
 
 
 def q_gold_wide(spark, sf_dir):
-    from zonelens.plans.pipeline import gold_tables as checkpointed_gold
+    from zonelens.plans.jobs import gold_tables as checkpointed_gold
 
     # The wide record reads the enriched rollup three times: use the checkpointed gold run.
     return round_doubles(checkpointed_gold(rows(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)["daily_aggregates"])
@@ -229,7 +229,7 @@ def gold_tables(spark, sf_dir):
 
 
 def q_dashboard(spark, sf_dir):
-    from zonelens.plans.pipeline import gold_tables as checkpointed_gold
+    from zonelens.plans.jobs import gold_tables as checkpointed_gold
 
     # Five tables read the enriched rollup: build them from the checkpointed gold run.
     g = checkpointed_gold(rows(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)
