@@ -128,3 +128,8 @@ def test_join_back_byte_bound(spark):
     out = join_back(left, right, ["k"], broadcast_max_bytes=1024)
     assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 2000
+
+
+def test_bins_frame(spark):
+    got = [(r.ord, r.bin, r.lower) for r in D.bins_frame(spark).orderBy("ord").collect()]
+    assert got == [(i, label, float(lo)) for i, (label, lo, _) in enumerate(ENTROPY_BINS)]

@@ -16,8 +16,6 @@ from zonelens.config import TOP_N
 
 KEYS = ("tenant", "event_date")
 
-TOPN_ELEMENT = "struct<rank:int,name:string,query_count:bigint,entropy:double>"
-
 
 def _count_col(df: DataFrame) -> Column:
     """Weight of a row: ``query_count`` on a rollup, 1 on raw rows."""

@@ -151,7 +151,6 @@ QUERIES: dict[str, QueryFn] = {
     **{f"tpl_{n}": _template(n) for n in TPL.TEMPLATES},
 }
 
-HIGH_ENTROPY = HIGH_ENTROPY_THRESHOLD
 
 
 def oracle_sql() -> dict[str, str]:
