@@ -133,3 +133,16 @@ def test_join_back_byte_bound(spark):
 def test_bins_frame(spark):
     got = [(r.ord, r.bin, r.lower) for r in D.bins_frame(spark).orderBy("ord").collect()]
     assert got == [(i, label, float(lo)) for i, (label, lo, _) in enumerate(ENTROPY_BINS)]
+
+
+def test_approx_distinct_kpis(spark):
+    enriched, rows = catalog.enriched(spark, SF), catalog.rows(spark, SF)
+    exact = {(r.tenant, r.event_date): r for r in K.build_base_kpis(enriched, rows).collect()}
+    approx = K.build_base_kpis(enriched, rows, approx=True, rsd=0.01)
+    assert "Expand" not in approx._jdf.queryExecution().executedPlan().toString()
+    for r in approx.collect():
+        e = exact[(r.tenant, r.event_date)]
+        assert abs(r.unique_queries - e.unique_queries) <= max(2, 0.05 * e.unique_queries)
+        assert r.total_queries == e.total_queries
+    risk = K.build_risk_kpis(enriched, approx=True).collect()
+    assert all(0 <= r.unique_query_ratio <= 1.05 for r in risk)

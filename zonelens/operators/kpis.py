@@ -71,22 +71,34 @@ def max_entropy_names(enriched: DataFrame, keys=KEYS, value_col: str = "qname_en
     return top.select(*keys, F.col(name_col).alias("max_entropy_qname"))
 
 
-def src_ip_counts(rows: DataFrame, keys=KEYS, name_col: str = "qname") -> DataFrame:
+def src_ip_counts(rows: DataFrame, keys=KEYS, name_col: str = "qname", approx: bool = False, rsd: float = 0.01) -> DataFrame:
     return (
         rows.where(F.col(name_col).isNotNull())
         .groupBy(*keys)
-        .agg(F.countDistinct("src_ip").alias("unique_src_ips"))
+        .agg(_distinct("src_ip", approx, rsd).alias("unique_src_ips"))
     )
 
 
-def build_base_kpis(enriched: DataFrame, rows: DataFrame, keys=KEYS) -> DataFrame:
-    """A1 + A2: volume, distinct counts, entropy and label-count stats, max-entropy name."""
+def _distinct(col: str, approx: bool, rsd: float) -> Column:
+    """Exact distinct count, or HyperLogLog++ (no ``Expand`` of the input) when ``approx``."""
+    return (F.approx_count_distinct(col, rsd=rsd) if approx else F.countDistinct(col)).cast("long")
+
+
+def build_base_kpis(
+    enriched: DataFrame, rows: DataFrame, keys=KEYS, approx: bool = False, rsd: float = 0.01
+) -> DataFrame:
+    """A1 + A2: volume, distinct counts, entropy and label-count stats, max-entropy name.
+
+    Exact distinct counts over several columns make Spark expand the input
+    once per distinct column; ``approx=True`` uses HyperLogLog++ sketches
+    (relative error ``rsd``) that merge map-side instead.
+    """
     e, se, lc = F.col("qname_entropy"), F.col("subdomain_entropy"), F.col("subdomain_label_count")
     base = enriched.groupBy(*keys).agg(
         F.sum(_w()).cast("long").alias("total_queries"),
-        F.countDistinct("name").alias("unique_queries"),
-        F.countDistinct("root_domain").alias("unique_root_domains"),
-        F.countDistinct("subdomain").alias("unique_subdomains"),
+        _distinct("name", approx, rsd).alias("unique_queries"),
+        _distinct("root_domain", approx, rsd).alias("unique_root_domains"),
+        _distinct("subdomain", approx, rsd).alias("unique_subdomains"),
         _wavg(e).alias("avg_qname_entropy"),
         F.max(e).alias("max_qname_entropy"),
         _wavg(se).alias("avg_subdomain_entropy"),
@@ -96,7 +108,7 @@ def build_base_kpis(enriched: DataFrame, rows: DataFrame, keys=KEYS) -> DataFram
     )
     # Three one-row-per-key results joined on the keys (small; AQE broadcasts them).
     out = base.join(max_entropy_names(enriched, keys), on=list(keys), how="left").join(
-        src_ip_counts(rows, keys), on=list(keys), how="left"
+        src_ip_counts(rows, keys, approx=approx, rsd=rsd), on=list(keys), how="left"
     )
     return out.select(
         *keys,
@@ -126,6 +138,8 @@ def build_risk_kpis(
     long_name_length: int = LONG_NAME_LENGTH,
     thresholds: dict[str, tuple[float, float]] = INTENT_THRESHOLDS,
     responses_only_nxdomain: bool = False,
+    approx: bool = False,
+    rsd: float = 0.01,
 ) -> DataFrame:
     """A3 + A4: risk counts, ratios to the row count, and intent labels.
 
@@ -138,7 +152,7 @@ def build_risk_kpis(
         _wsum(F.col("is_apex")).alias("apex_count"),
         _wsum(F.col("has_invalid_chars") == 1).alias("invalid_char_count"),
         F.coalesce(F.sum("nxdomain_count"), F.lit(0)).cast("long").alias("nxdomain_count"),
-        F.countDistinct("name").alias("unique_queries"),
+        _distinct("name", approx, rsd).alias("unique_queries"),
         _wavg(F.col("qname_length").cast("double")).alias("avg_query_length"),
         F.max("qname_length").cast("int").alias("max_query_length"),
         _wsum(F.col("qname_length") > long_name_length).alias("long_query_count"),
