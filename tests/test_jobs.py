@@ -85,3 +85,20 @@ def test_silver_split_and_observe(spark, tmp_dir):
     df, obs = observe_counts(read_bronze(spark, bronze_dir), "bronze_rows")
     n = df.count()
     assert obs.get["rows"] == n
+
+
+def test_command_line(spark, tmp_dir, capsys):
+    from zonelens.__main__ import main
+
+    bronze_dir, silver, gold = f"{tmp_dir}/b", f"{tmp_dir}/s", f"{tmp_dir}/g"
+    write_bronze(derived_bronze(spark, SF).where(F.col("tenant") == "tenant-0"), f"{bronze_dir}/tenant-0/pcaps")
+    assert main(["silver", "--bronze", bronze_dir, "--silver", silver, "--key-root", "file:" + bronze_dir + "/",
+                 "--rejects", f"{tmp_dir}/rej"]) == 0
+    assert main(["gold", "--silver", silver, "--gold", gold, "--tenant", "tenant-0"]) == 0
+    capsys.readouterr()
+    assert main(["report", "top_query_types", "--silver", silver, "--tenant", "tenant-0", "--limit", "3"]) == 0
+    out = [line for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert 1 <= len(out) <= 3
+    assert main(["dashboard", "--gold", gold, "--tenant", "tenant-0", "--date", "2024-01-10"]) == 0
+    dash = [line for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert len(dash) == 1 and "risk_kpis" in dash[0]
