@@ -59,7 +59,7 @@ def run_silver(
     """Bronze folder -> appended silver; malformed lines go to ``reject_path`` (JSON) when given."""
     bronze = read_bronze(spark, bronze_path)
     if reject_path:
-        _, rejects = S.split_corrupt(bronze.cache())
+        _, rejects = S.split_corrupt(bronze)
         rejects.write.mode("append").json(reject_path)
     lake.write_silver(bronze_to_silver(bronze, tenant, **key_opts), silver_path)
 
