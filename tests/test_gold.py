@@ -146,3 +146,14 @@ def test_approx_distinct_kpis(spark):
         assert r.total_queries == e.total_queries
     risk = K.build_risk_kpis(enriched, approx=True).collect()
     assert all(0 <= r.unique_query_ratio <= 1.05 for r in risk)
+
+
+def test_no_feature_expressions_in_join_conditions(spark):
+    """Name features must not be pushed into joins (they would run per raw row, twice)."""
+    import __spark_entry__ as E
+
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            if "Join" in line and ("lambdafunction" in line or "LOG2" in line):
+                raise AssertionError(f"{name}: feature expression in a join: {line.strip()[:200]}")

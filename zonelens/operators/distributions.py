@@ -119,7 +119,12 @@ def equal_width_histogram(df: DataFrame, value_col: str, k: int = 10, keys: tupl
     label "lo - hi" (2 decimals), count. A constant column gives bin 0 all rows.
     """
     v = F.col(value_col)
-    data = df.where(v.isNotNull())
+    # No pre-filter on the value: when it is a feature of a grouping key (an
+    # entropy per name), Catalyst would push the filter below that grouping and
+    # evaluate the feature on every raw row. NULL values fall out of min/max and
+    # of the conditional counts; keys whose values are all NULL are dropped
+    # after the aggregation.
+    data = df
     stats = data.groupBy(*keys).agg(F.min(v).cast("double").alias("__lo"), F.max(v).cast("double").alias("__hi"))
     # One stats row per key: broadcast when the key count is within the bound, so
     # the data is never shuffled by key (a tenant may hold a third of the rows).
@@ -131,7 +136,7 @@ def equal_width_histogram(df: DataFrame, value_col: str, k: int = 10, keys: tupl
     )
     counts = binned.groupBy(*keys, "__lo", "__hi").agg(
         *[F.count_if(F.col("__idx") == i).cast("long").alias(f"__c{i}") for i in range(k)]
-    )
+    ).where(F.col("__lo").isNotNull())
     arr = F.array(*[F.col(f"__c{i}") for i in range(k)])
     exploded = counts.select(*keys, "__lo", "__hi", F.posexplode(arr).alias("bin_index", "count"))
     width = (F.col("__hi") - F.col("__lo")) / F.lit(k)
