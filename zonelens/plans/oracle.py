@@ -579,7 +579,7 @@ def silver_ctes() -> list[str]:
     return bronze_ctes() + [
         f"sv0 AS (SELECT {cols}, coalesce(trim(lower(qname)), trim(lower(rrname))) AS name FROM fm)",
         f"sv1 AS (SELECT *, sha256(concat_ws('||', {key})) AS silver_dedupe_hash FROM sv0)",
-        f"silver AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY silver_dedupe_hash ORDER BY {order}) "
+        f"silver AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY tenant, silver_dedupe_hash ORDER BY {order}) "
         "AS rn FROM sv1) WHERE rn = 1)",
     ]
 

@@ -67,6 +67,16 @@ def read_bronze(spark: SparkSession, path: str, keep_corrupt: bool = True) -> Da
     return reader.json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_bronze_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """S1 for Parquet bronze: the same columns, cast to the bronze schema (nested types included)."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    cols = [
+        (F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in BRONZE_SCHEMA.fields
+    ]
+    return df.select(*cols, F.col("_metadata.file_path").alias("source_file"))
+
+
 def write_bronze(df: DataFrame, path: str, mode: str = "append") -> None:
     """Write messages as gzip JSON lines (the parser's output format)."""
     df.select(*BRONZE_SCHEMA.fieldNames()).write.mode(mode).option("compression", "gzip").json(path)

@@ -36,7 +36,7 @@ def silver_stream(spark: SparkSession, bronze_dir: str, tenant: str | None = Non
         {"name": Z.silver_name("qname", "rrname"), "rrtype": F.coalesce(F.col("qtype"), F.col("rtype"))}
     )
     keyed = keyed.withColumn("silver_dedupe_hash", S.dedupe_key(keyed)).drop("rrtype")
-    return keyed.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["silver_dedupe_hash"])
+    return keyed.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["tenant", "silver_dedupe_hash"])
 
 
 def start_silver_stream(
