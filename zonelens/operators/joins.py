@@ -9,14 +9,38 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
+# Row counts already checked in this application, by (app, plan hash, input files).
+_CHECKED: dict[tuple, int] = {}
+
+
+def _check_key(df: DataFrame) -> tuple | None:
+    """Key under which a size check may be reused, or None.
+
+    Only plans whose leaves are files (immutable once written; the listing is
+    part of the key) or literal rows qualify; plans over RDDs or cached data
+    are counted every time.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(tag in plan for tag in ("ExistingRDD", "LogicalRDD", "InMemoryRelation", "Streaming")):
+        return None
+    app = df.sparkSession.sparkContext.applicationId
+    return (app, df.semanticHash(), tuple(sorted(df.inputFiles())))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` when it holds at most ``max_rows`` rows, else leave it for a shuffle join.
 
     The check reads at most ``max_rows + 1`` rows (a bounded action on a
-    dimension, never on a fact table). Returns the DataFrame to join with and
-    whether it was broadcast.
+    dimension, never on a fact table); its result is reused within the
+    application for the same plan over the same files. Returns the DataFrame to
+    join with and whether it was broadcast.
     """
-    n = df.limit(max_rows + 1).count()
+    key = _check_key(df)
+    n = _CHECKED.get(key) if key is not None else None
+    if n is None:
+        n = df.limit(max_rows + 1).count()
+        if key is not None:
+            _CHECKED[key] = n
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False

@@ -111,10 +111,33 @@ def parse_suffix_rule(rule: str) -> tuple[str, bool, bool]:
     return rule, False, False
 
 
+_LITERAL_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def _sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _literal_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small fixed table as a ``VALUES`` relation: one statement, a stable literal plan
+    (no RDD behind it), built once per application and text."""
+    key = (spark.sparkContext.applicationId, tuple(rows), schema.simpleString())
+    if key not in _LITERAL_FRAMES:
+        values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+        names = ", ".join(schema.fieldNames())
+        df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+        _LITERAL_FRAMES[key] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    return _LITERAL_FRAMES[key]
+
+
 def suffix_rules(spark: SparkSession, text: str = SEED_SUFFIX_RULES) -> DataFrame:
     """Suffix rule dimension (suffix, is_wildcard, is_exception) from list-syntax text."""
     rows = [parse_suffix_rule(r) for r in text.split() if r and not r.startswith("//")]
-    return spark.createDataFrame(rows, SUFFIX_RULES_SCHEMA)
+    return _literal_frame(spark, rows, SUFFIX_RULES_SCHEMA)
 
 
 def suffix_rules_from_text(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +156,7 @@ def services(spark: SparkSession, text: str = SEED_SERVICES) -> DataFrame:
     for line in text.strip().splitlines():
         port, proto, name = line.split()
         rows.append((proto, int(port), name))
-    return spark.createDataFrame(rows, SERVICES_SCHEMA)
+    return _literal_frame(spark, rows, SERVICES_SCHEMA)
 
 
 def services_from_text(spark: SparkSession, path: str) -> DataFrame:
