@@ -157,3 +157,13 @@ def test_no_feature_expressions_in_join_conditions(spark):
         for line in plan.splitlines():
             if "Join" in line and ("lambdafunction" in line or "LOG2" in line):
                 raise AssertionError(f"{name}: feature expression in a join: {line.strip()[:200]}")
+
+
+def test_release_join_back_caches(spark):
+    from zonelens.operators.joins import join_back, release_join_back_caches
+
+    left = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    out = join_back(left, left.groupBy("k").count(), ["k"])
+    assert out.count() == 100
+    assert release_join_back_caches() >= 1
+    assert release_join_back_caches() == 0

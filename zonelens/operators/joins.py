@@ -53,6 +53,18 @@ DEFAULT_JOIN_BACK_BROADCAST_ROWS = 1_000_000
 DEFAULT_JOIN_BACK_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+# Per-key sides persisted by join_back, released by release_join_back_caches().
+_PERSISTED: list[DataFrame] = []
+
+
+def release_join_back_caches() -> int:
+    """Unpersist every per-key side cached by ``join_back`` (call after the job's writes)."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    return n
+
+
 def materialised_size_bytes(df: DataFrame) -> int:
     """Size of a persisted DataFrame as measured by its cached batches (call after an action)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -81,6 +93,7 @@ def join_back(
     keys = list(keys)
     if broadcast_max_rows > 0:
         cached = right.persist()
+        _PERSISTED.append(cached)
         small, ok = bounded_broadcast(cached, broadcast_max_rows)
         if ok and materialised_size_bytes(cached) <= broadcast_max_bytes:
             return left.join(small, on=keys, how=how)

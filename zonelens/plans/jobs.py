@@ -27,6 +27,7 @@ from zonelens.operators import features as G
 from zonelens.operators import kpis as K
 from zonelens.operators import rankings as N
 from zonelens.operators import silver as S
+from zonelens.operators.joins import release_join_back_caches
 from zonelens.session import cut_lineage
 from zonelens.sources import lake
 from zonelens.sources.bronze import read_bronze
@@ -62,6 +63,7 @@ def run_silver(
         _, rejects = S.split_corrupt(bronze)
         rejects.write.mode("append").json(reject_path)
     lake.write_silver(bronze_to_silver(bronze, tenant, **key_opts), silver_path)
+    release_join_back_caches()
 
 
 def run_silver_split(spark: SparkSession, bronze_path: str, silver_base: str, tenant: str) -> dict[str, str]:
@@ -119,6 +121,7 @@ def run_gold(
         path = f"{gold_path.rstrip('/')}/{name}"
         lake.write_gold(df, path, TYPE_COLUMNS.get(name))
         out[name] = path
+    release_join_back_caches()
     return out
 
 
