@@ -216,17 +216,6 @@ def q_hist_wide_flat(spark, sf_dir):
     )
 
 
-def gold_tables(spark, sf_dir):
-    e, r = enriched(spark, sf_dir), rows(spark, sf_dir)
-    return {
-        "base_kpis": K.build_base_kpis(e, r),
-        "risk_kpis": K.build_risk_kpis(e),
-        "histograms": D.entropy_histograms(e),
-        "topn": N.pack_top_n(N.build_topn(e)),
-        "breakdowns": D.pack_breakdowns(D.breakdowns_flat(r)),
-    }
-
-
 def q_dashboard(spark, sf_dir):
     from zonelens.plans.jobs import gold_tables as checkpointed_gold
 
