@@ -115,3 +115,14 @@ def test_streaming_redelivery_is_idempotent(spark, tmp_dir):
     write_bronze(b, bronze_dir)  # the same objects delivered again
     start_silver_stream(spark, bronze_dir, silver, query_name=name, tenant="tenant-2").awaitTermination(300)
     assert spark.read.parquet(silver).count() == first
+
+
+def test_run_silver_is_idempotent(spark, tmp_dir):
+    bronze_dir, silver = f"{tmp_dir}/bronze_rerun", f"{tmp_dir}/silver_rerun"
+    write_bronze(derived_bronze(spark, SF).where(F.col("tenant") == "tenant-1"), bronze_dir)
+    jobs.run_silver(spark, bronze_dir, silver, tenant="tenant-1")
+    first = spark.read.parquet(silver).count()
+    jobs.run_silver(spark, bronze_dir, silver, tenant="tenant-1")  # the same objects again
+    assert spark.read.parquet(silver).count() == first
+    jobs.run_silver(spark, bronze_dir, silver, tenant="tenant-1", idempotent=False)
+    assert spark.read.parquet(silver).count() == 2 * first

@@ -55,14 +55,22 @@ def run_silver(
     silver_path: str,
     tenant: str | None = None,
     reject_path: str | None = None,
+    idempotent: bool = True,
     **key_opts,
 ) -> None:
-    """Bronze folder -> appended silver; malformed lines go to ``reject_path`` (JSON) when given."""
+    """Bronze folder -> appended silver; malformed lines go to ``reject_path`` (JSON) when given.
+
+    With ``idempotent`` rows already stored (same tenant, day and content
+    hash) are not appended again, so re-running an object adds nothing.
+    """
     bronze = read_bronze(spark, bronze_path)
     if reject_path:
         _, rejects = S.split_corrupt(bronze)
         rejects.write.mode("append").json(reject_path)
-    lake.write_silver(bronze_to_silver(bronze, tenant, **key_opts), silver_path)
+    silver = bronze_to_silver(bronze, tenant, **key_opts)
+    if idempotent:
+        silver = lake.without_existing(spark, silver, silver_path)
+    lake.write_silver(silver, silver_path)
     release_join_back_caches()
 
 

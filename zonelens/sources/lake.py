@@ -31,6 +31,27 @@ def write_silver(df: DataFrame, path: str) -> None:
     )
 
 
+def without_existing(spark: SparkSession, new: DataFrame, path: str, key: str = "silver_dedupe_hash") -> DataFrame:
+    """Rows of ``new`` whose (tenant, event_date, key) is not yet stored under ``path``.
+
+    The partition columns are join keys of a semi join, so dynamic partition
+    pruning reads only the stored partitions the new rows touch, and only three
+    columns of them; the content hash makes the keys unique (no skew).
+    """
+    try:
+        stored = spark.read.parquet(path).select(*PARTITION_KEYS, key)
+    except Exception as exc:  # noqa: BLE001 - a missing table means nothing is stored yet
+        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+            return new
+        raise
+    keys = [*PARTITION_KEYS, key]
+    stored = stored.withColumn("event_date", F.col("event_date").cast("date"))
+    # Semi join first (dynamic partition pruning applies to it, not to an anti
+    # join): the stored hashes among the new keys, read from touched days only.
+    already = stored.join(new.select(*keys), on=keys, how="left_semi")
+    return new.join(already, on=keys, how="left_anti")
+
+
 def write_gold(df: DataFrame, path: str, type_col: str | None = None) -> None:
     """S4 + S5: overwrite the produced (tenant, event_date[, type]) partitions only."""
     keys = [*PARTITION_KEYS, *([type_col] if type_col else [])]
