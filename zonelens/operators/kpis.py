@@ -31,14 +31,12 @@ def _w() -> Column:
 
 
 def rollup_names(rows: DataFrame, keys=KEYS, name_col: str = "qname") -> DataFrame:
-    """Rows with a non-NULL qname -> one row per (keys, qname, name).
+    """Rows with a non-NULL qname -> one row per (keys, qname), with its ``name``.
 
     Measures: query_count, nxdomain_count (rcode 3), response_count (qr 1) and,
     when the rows carry ``has_answer``, answered_count.
     """
     r = rows.where(F.col(name_col).isNotNull())
-    if "name" not in r.columns:
-        r = r.withColumn("name", Z.norm_name(name_col))
     measures = [
         F.count(F.lit(1)).alias("query_count"),
         F.count_if(F.col("rcode") == NXDOMAIN_RCODE).cast("long").alias("nxdomain_count"),
@@ -46,7 +44,10 @@ def rollup_names(rows: DataFrame, keys=KEYS, name_col: str = "qname") -> DataFra
     ]
     if "has_answer" in r.columns:
         measures.append(F.sum(F.col("has_answer").cast("long")).alias("answered_count"))
-    return r.groupBy(*keys, name_col, "name").agg(*measures)
+    # ``name`` (trimmed, lower-cased qname) is a function of the key: derived after
+    # the aggregation, so the shuffle carries the qname only.
+    out = r.groupBy(*keys, name_col).agg(*measures)
+    return out.select(*keys, name_col, Z.norm_name(name_col).alias("name"), *[m for m in out.columns if m not in (*keys, name_col)])
 
 
 def _wsum(cond: Column) -> Column:

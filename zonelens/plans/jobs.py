@@ -96,7 +96,7 @@ def gold_tables(
     """The five gold tables and the wide record from silver rows (not yet written)."""
     rows = S.drop_null_qname(silver)
     if answer_keys:
-        questions, answers = S.split_dataset(silver)
+        _, answers = S.split_dataset(silver)
         rows = S.mark_answered(rows, answers, answer_keys)
     enriched = G.add_name_features(K.rollup_names(rows), rules, max_depth=max_depth)
     if checkpoint:
