@@ -79,20 +79,18 @@ def histogram_flat(hist: DataFrame, keys=KEYS, bins=ENTROPY_BINS) -> DataFrame:
 
 
 def breakdowns_flat(rows: DataFrame, keys=KEYS) -> DataFrame:
-    """H5 (flat): rcode counts over responses (qr=1) and qtype counts over queries (qr=0)."""
-    rc = (
-        rows.where(F.col("qr") == 1)
-        .groupBy(*keys, F.col("rcode").cast("int").alias("code"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("breakdown_type", F.lit("rcode_breakdown"))
-    )
-    qt = (
-        rows.where(F.col("qr") == 0)
-        .groupBy(*keys, F.col("qtype").cast("int").alias("code"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("breakdown_type", F.lit("qtype_breakdown"))
+    """H5 (flat): rcode counts over responses (qr=1) and qtype counts over queries (qr=0).
+
+    One scan and one partial aggregation: each row contributes to exactly one
+    breakdown, chosen by its direction.
+    """
+    qr = F.col("qr")
+    typed = rows.where(qr.isin(0, 1)).select(
+        *keys,
+        F.when(qr == 1, F.lit("rcode_breakdown")).otherwise(F.lit("qtype_breakdown")).alias("breakdown_type"),
+        F.when(qr == 1, F.col("rcode")).otherwise(F.col("qtype")).cast("int").alias("code"),
     )
-    return qt.unionByName(rc).select(*keys, "breakdown_type", "code", "count")
+    return typed.groupBy(*keys, "breakdown_type", "code").agg(F.count(F.lit(1)).alias("count"))
 
 
 def pack_breakdowns(flat: DataFrame, keys=KEYS) -> DataFrame:
