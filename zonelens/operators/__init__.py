@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators (silver, features, KPIs, rankings, distributions, reports, packets)."""

@@ -1,0 +1 @@
+"""Jobs (silver, gold), the registered queries and their DuckDB twins."""

@@ -1,0 +1 @@
+"""Incremental bronze -> silver with Structured Streaming."""
