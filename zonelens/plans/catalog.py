@@ -68,7 +68,11 @@ def q_risk_kpis(spark, sf_dir):
 
 
 def q_base_kpis(spark, sf_dir):
-    return round_doubles(K.build_base_kpis(enriched(spark, sf_dir), rows(spark, sf_dir)))
+    from zonelens.session import cut_lineage
+
+    # Two branches read the rollup (the aggregation and the max-entropy name):
+    # checkpoint it so the message rows are scanned and rolled up once.
+    return round_doubles(K.build_base_kpis(cut_lineage(enriched(spark, sf_dir)), rows(spark, sf_dir)))
 
 
 # --- name features ----------------------------------------------------------
