@@ -39,15 +39,23 @@ def _hist_array(prefix: str, bins=ENTROPY_BINS) -> Column:
     return F.array(*[F.struct(F.lit(label).alias("bin"), F.col(f"{prefix}{i}").alias("count")) for i, (label, _, _) in enumerate(bins)])
 
 
-def entropy_histograms_wide(enriched: DataFrame, keys=KEYS, bins=ENTROPY_BINS) -> DataFrame:
-    """H4: per key, zero-filled ordered qname and subdomain (apex left out) entropy histograms."""
+def histogram_measures(enriched: DataFrame, bins=ENTROPY_BINS) -> dict[str, Column]:
+    """Per-key bin counts of both entropy histograms, by (internal) name."""
     qb, sb = F.col("qname_entropy_bin"), F.col("subdomain_entropy_bin")
     not_apex = ~F.col("is_apex")
-    aggs = []
+    out: dict[str, Column] = {}
     for i, (label, _, _) in enumerate(bins):
-        aggs.append(_count_where(enriched, qb == F.lit(label)).alias(f"__q{i}"))
-        aggs.append(_count_where(enriched, not_apex & (sb == F.lit(label))).alias(f"__s{i}"))
-    counts = enriched.groupBy(*keys).agg(*aggs)
+        out[f"__q{i}"] = _count_where(enriched, qb == F.lit(label))
+        out[f"__s{i}"] = _count_where(enriched, not_apex & (sb == F.lit(label)))
+    return out
+
+
+def entropy_histograms_wide(enriched: DataFrame, keys=KEYS, bins=ENTROPY_BINS, summary: DataFrame | None = None) -> DataFrame:
+    """H4: per key, zero-filled ordered qname and subdomain (apex left out) entropy histograms."""
+    if summary is not None:
+        counts = summary
+    else:
+        counts = enriched.groupBy(*keys).agg(*[c.alias(n) for n, c in histogram_measures(enriched, bins).items()])
     return counts.select(
         *keys,
         _hist_array("__q", bins).alias("qname_entropy_histogram"),
@@ -55,9 +63,9 @@ def entropy_histograms_wide(enriched: DataFrame, keys=KEYS, bins=ENTROPY_BINS) -
     )
 
 
-def entropy_histograms(enriched: DataFrame, keys=KEYS, bins=ENTROPY_BINS) -> DataFrame:
+def entropy_histograms(enriched: DataFrame, keys=KEYS, bins=ENTROPY_BINS, summary: DataFrame | None = None) -> DataFrame:
     """H2 + H3: long form (keys, histogram, entropy_type) with entropy_type in {qname, subdomain}."""
-    wide = entropy_histograms_wide(enriched, keys, bins)
+    wide = entropy_histograms_wide(enriched, keys, bins, summary)
     both = F.array(
         F.struct(F.col("qname_entropy_histogram").alias("histogram"), F.lit("qname").alias("entropy_type")),
         F.struct(F.col("subdomain_entropy_histogram").alias("histogram"), F.lit("subdomain").alias("entropy_type")),

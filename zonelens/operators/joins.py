@@ -57,8 +57,16 @@ DEFAULT_JOIN_BACK_BROADCAST_BYTES = 64 * 1024 * 1024
 _PERSISTED: list[DataFrame] = []
 
 
+def track_cache(df: DataFrame) -> DataFrame:
+    """Persist a small intermediate of a run and register it for ``release_join_back_caches``."""
+    cached = df.persist()
+    _PERSISTED.append(cached)
+    return cached
+
+
 def release_join_back_caches() -> int:
-    """Unpersist every per-key side cached by ``join_back`` (call after the job's writes)."""
+    """Unpersist every intermediate cached for the run (join-back sides, daily
+    summaries); call after the job's writes."""
     n = len(_PERSISTED)
     while _PERSISTED:
         _PERSISTED.pop().unpersist()

@@ -85,28 +85,43 @@ def _distinct(col: str, approx: bool, rsd: float) -> Column:
     return (F.approx_count_distinct(col, rsd=rsd) if approx else F.countDistinct(col)).cast("long")
 
 
+def _aggregate(enriched: DataFrame, keys, measures: dict[str, Column]) -> DataFrame:
+    return enriched.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
+
+
+def base_measures(approx: bool = False, rsd: float = 0.01) -> dict[str, Column]:
+    """Per-key aggregates of the base KPIs (A1), by output name."""
+    e, se, lc = F.col("qname_entropy"), F.col("subdomain_entropy"), F.col("subdomain_label_count")
+    return {
+        "total_queries": F.sum(_w()).cast("long"),
+        "unique_queries": _distinct("name", approx, rsd),
+        "unique_root_domains": _distinct("root_domain", approx, rsd),
+        "unique_subdomains": _distinct("subdomain", approx, rsd),
+        "avg_qname_entropy": _wavg(e),
+        "max_qname_entropy": F.max(e),
+        "avg_subdomain_entropy": _wavg(se),
+        "max_subdomain_entropy": F.max(se),
+        "avg_subdomain_count": _wavg(lc.cast("double")),
+        "max_subdomain_count": F.max(lc).cast("int"),
+    }
+
+
 def build_base_kpis(
-    enriched: DataFrame, rows: DataFrame, keys=KEYS, approx: bool = False, rsd: float = 0.01
+    enriched: DataFrame,
+    rows: DataFrame,
+    keys=KEYS,
+    approx: bool = False,
+    rsd: float = 0.01,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """A1 + A2: volume, distinct counts, entropy and label-count stats, max-entropy name.
 
     Exact distinct counts over several columns make Spark expand the input
     once per distinct column; ``approx=True`` uses HyperLogLog++ sketches
-    (relative error ``rsd``) that merge map-side instead.
+    (relative error ``rsd``) that merge map-side instead. A precomputed
+    ``summary`` (see ``daily_summary``) replaces the aggregation.
     """
-    e, se, lc = F.col("qname_entropy"), F.col("subdomain_entropy"), F.col("subdomain_label_count")
-    base = enriched.groupBy(*keys).agg(
-        F.sum(_w()).cast("long").alias("total_queries"),
-        _distinct("name", approx, rsd).alias("unique_queries"),
-        _distinct("root_domain", approx, rsd).alias("unique_root_domains"),
-        _distinct("subdomain", approx, rsd).alias("unique_subdomains"),
-        _wavg(e).alias("avg_qname_entropy"),
-        F.max(e).alias("max_qname_entropy"),
-        _wavg(se).alias("avg_subdomain_entropy"),
-        F.max(se).alias("max_subdomain_entropy"),
-        _wavg(lc.cast("double")).alias("avg_subdomain_count"),
-        F.max(lc).cast("int").alias("max_subdomain_count"),
-    )
+    base = summary if summary is not None else _aggregate(enriched, keys, base_measures(approx, rsd))
     # Three one-row-per-key results joined on the keys (small; AQE broadcasts them).
     out = base.join(max_entropy_names(enriched, keys), on=list(keys), how="left").join(
         src_ip_counts(rows, keys, approx=approx, rsd=rsd), on=list(keys), how="left"
@@ -133,6 +148,23 @@ def add_intents(df: DataFrame, thresholds: dict[str, tuple[float, float]] = INTE
     return df.withColumns({f"{m}_intent": Z.intent(F.col(m), w, a) for m, (w, a) in thresholds.items()})
 
 
+def risk_measures(long_name_length: int = LONG_NAME_LENGTH, approx: bool = False, rsd: float = 0.01) -> dict[str, Column]:
+    """Per-key aggregates of the risk KPIs (A3), by output name."""
+    return {
+        "high_entropy_query_count": _wsum(F.col("is_high_entropy")),
+        "apex_count": _wsum(F.col("is_apex")),
+        "invalid_char_count": _wsum(F.col("has_invalid_chars") == 1),
+        "nxdomain_count": F.coalesce(F.sum("nxdomain_count"), F.lit(0)).cast("long"),
+        "unique_queries": _distinct("name", approx, rsd),
+        "avg_query_length": _wavg(F.col("qname_length").cast("double")),
+        "max_query_length": F.max("qname_length").cast("int"),
+        "long_query_count": _wsum(F.col("qname_length") > long_name_length),
+        "max_qname_entropy": F.max("qname_entropy"),
+        "total_count": F.sum(_w()).cast("long"),
+        "response_count": F.sum("response_count").cast("long"),
+    }
+
+
 def build_risk_kpis(
     enriched: DataFrame,
     keys=KEYS,
@@ -141,6 +173,7 @@ def build_risk_kpis(
     responses_only_nxdomain: bool = False,
     approx: bool = False,
     rsd: float = 0.01,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """A3 + A4: risk counts, ratios to the row count, and intent labels.
 
@@ -148,19 +181,7 @@ def build_risk_kpis(
     instead of all rows (the published KPI mixes both, kept as default).
     """
     total = F.col("total_count")
-    agg = enriched.groupBy(*keys).agg(
-        _wsum(F.col("is_high_entropy")).alias("high_entropy_query_count"),
-        _wsum(F.col("is_apex")).alias("apex_count"),
-        _wsum(F.col("has_invalid_chars") == 1).alias("invalid_char_count"),
-        F.coalesce(F.sum("nxdomain_count"), F.lit(0)).cast("long").alias("nxdomain_count"),
-        _distinct("name", approx, rsd).alias("unique_queries"),
-        _wavg(F.col("qname_length").cast("double")).alias("avg_query_length"),
-        F.max("qname_length").cast("int").alias("max_query_length"),
-        _wsum(F.col("qname_length") > long_name_length).alias("long_query_count"),
-        F.max("qname_entropy").alias("max_qname_entropy"),
-        F.sum(_w()).cast("long").alias("total_count"),
-        F.sum("response_count").cast("long").alias("response_count"),
-    )
+    agg = summary if summary is not None else _aggregate(enriched, keys, risk_measures(long_name_length, approx, rsd))
     nx_den = F.col("response_count") if responses_only_nxdomain else total
     out = agg.withColumns(
         {
@@ -194,34 +215,40 @@ def build_risk_kpis(
     )
 
 
+def wide_measures(has_answered: bool) -> dict[str, Column]:
+    """Per-key aggregates of the wide record (A5-A7), by output name."""
+    e, se, lc = F.col("qname_entropy"), F.col("subdomain_entropy"), F.col("subdomain_label_count")
+    answered = F.coalesce(F.sum("answered_count"), F.lit(0)) if has_answered else F.lit(0)
+    return {
+        "total_queries": F.sum(_w()).cast("long"),
+        "unique_qnames": F.countDistinct("qname").cast("long"),
+        "unique_root_domains": _distinct("root_domain", False, 0.01),
+        "unique_subdomains": _distinct("subdomain", False, 0.01),
+        "avg_qname_entropy": _wavg(e),
+        "max_qname_entropy": F.max(e),
+        "avg_subdomain_entropy": _wavg(se),
+        "max_subdomain_entropy": F.max(se),
+        "avg_subdomain_count": _wavg(lc.cast("double")),
+        "max_subdomain_count": F.max(lc).cast("int"),
+        "answered_queries": answered.cast("long"),
+        "high_entropy_query_count": _wsum(F.col("is_high_entropy")),
+        "nxdomain_count": F.coalesce(F.sum("nxdomain_count"), F.lit(0)).cast("long"),
+    }
+
+
 def build_gold_aggregates(
     enriched: DataFrame,
     rows: DataFrame,
     keys=KEYS,
     high_entropy_alert: float = HIGH_ENTROPY_ALERT,
     nxdomain_alert: float = NXDOMAIN_ALERT,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """A5-A8 folded into one aggregation: base measures on qname, answered queries,
     high-entropy and NXDOMAIN counts and ratios, max-entropy name, alert flags."""
-    e, se, lc = F.col("qname_entropy"), F.col("subdomain_entropy"), F.col("subdomain_label_count")
-    answered = (
-        F.coalesce(F.sum("answered_count"), F.lit(0)) if "answered_count" in enriched.columns else F.lit(0)
-    ).cast("long")
-    agg = enriched.groupBy(*keys).agg(
-        F.sum(_w()).cast("long").alias("total_queries"),
-        F.countDistinct("qname").alias("unique_qnames"),
-        F.countDistinct("root_domain").alias("unique_root_domains"),
-        F.countDistinct("subdomain").alias("unique_subdomains"),
-        _wavg(e).alias("avg_qname_entropy"),
-        F.max(e).alias("max_qname_entropy"),
-        _wavg(se).alias("avg_subdomain_entropy"),
-        F.max(se).alias("max_subdomain_entropy"),
-        _wavg(lc.cast("double")).alias("avg_subdomain_count"),
-        F.max(lc).cast("int").alias("max_subdomain_count"),
-        answered.alias("answered_queries"),
-        _wsum(F.col("is_high_entropy")).alias("high_entropy_query_count"),
-        F.coalesce(F.sum("nxdomain_count"), F.lit(0)).cast("long").alias("nxdomain_count"),
-    )
+    measures = wide_measures("answered_count" in enriched.columns)
+    agg = summary if summary is not None else _aggregate(enriched, keys, measures)
+    agg = agg.select(*keys, *measures)
     total = F.col("total_queries")
     out = (
         agg.join(max_entropy_names(enriched, keys), on=list(keys), how="left")
@@ -241,16 +268,30 @@ def build_gold_aggregates(
     )
 
 
-def build_wide_gold(enriched: DataFrame, rows: DataFrame, keys=KEYS) -> DataFrame:
+def daily_summary(enriched: DataFrame, keys=KEYS, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Every per-key aggregate of the gold tables in one aggregation of the rollup.
+
+    Base, risk and wide measures (and ``extra``, e.g. histogram bins) share
+    one scan and one exchange; each table is then a projection of this small
+    one-row-per-key frame. Same-named measures are the same expression.
+    """
+    measures: dict[str, Column] = {}
+    for part in (base_measures(), risk_measures(), wide_measures("answered_count" in enriched.columns), extra or {}):
+        for name, col in part.items():
+            measures.setdefault(name, col)
+    return _aggregate(enriched, keys, measures)
+
+
+def build_wide_gold(enriched: DataFrame, rows: DataFrame, keys=KEYS, summary: DataFrame | None = None) -> DataFrame:
     """One wide record per (tenant, event_date): A5-A8 measures, top qnames (N2) and the
     two entropy histograms (H4), with disjoint column names. All inputs are one row per key."""
     from zonelens.operators.distributions import entropy_histograms_wide
     from zonelens.operators.rankings import top_qnames_pairs
 
     return (
-        build_gold_aggregates(enriched, rows, keys)
+        build_gold_aggregates(enriched, rows, keys, summary=summary)
         .join(top_qnames_pairs(enriched, keys=keys), on=list(keys), how="left")
-        .join(entropy_histograms_wide(enriched, keys), on=list(keys), how="left")
+        .join(entropy_histograms_wide(enriched, keys, summary=summary), on=list(keys), how="left")
     )
 
 

@@ -9,7 +9,9 @@ Gold plan (the scale design in one place):
    the bounded suffix-rule table (narrow, keeps the rollup's partitioning);
 3. a reliable checkpoint of the enriched rollup into ``spark.checkpoint.dir``
    (it feeds five outputs and must survive lost executors);
-4. each gold table aggregates the checkpoint per (tenant, event_date); source
+4. one aggregation of the checkpoint per (tenant, event_date) computes every
+   per-day measure (KPIs, wide record, histogram bins); the tables are
+   projections of it, plus the top-N windows and the max-entropy name; source
    IPs and breakdowns are partial aggregations over narrow column sets of the
    silver rows; writes overwrite only the partitions they produce.
 """
@@ -27,7 +29,7 @@ from zonelens.operators import features as G
 from zonelens.operators import kpis as K
 from zonelens.operators import rankings as N
 from zonelens.operators import silver as S
-from zonelens.operators.joins import release_join_back_caches
+from zonelens.operators.joins import release_join_back_caches, track_cache
 from zonelens.session import cut_lineage
 from zonelens.sources import lake
 from zonelens.sources.bronze import read_bronze
@@ -101,14 +103,17 @@ def gold_tables(
     enriched = G.add_name_features(K.rollup_names(rows), rules, max_depth=max_depth)
     if checkpoint:
         enriched = cut_lineage(enriched)
+    # One aggregation of the rollup for every per-day measure (one row per
+    # tenant-day, cached for the run); each table is a projection of it.
+    summary = track_cache(K.daily_summary(enriched, extra=D.histogram_measures(enriched)))
     topn_flat = N.build_topn(enriched)
     return {
-        "base_kpis": K.build_base_kpis(enriched, rows),
-        "risk_kpis": K.build_risk_kpis(enriched),
-        "histograms": D.entropy_histograms(enriched),
+        "base_kpis": K.build_base_kpis(enriched, rows, summary=summary),
+        "risk_kpis": K.build_risk_kpis(enriched, summary=summary),
+        "histograms": D.entropy_histograms(enriched, summary=summary),
         "topn": N.pack_top_n(topn_flat),
         "breakdowns": D.pack_breakdowns(D.breakdowns_flat(rows)),
-        "daily_aggregates": K.build_wide_gold(enriched, rows),
+        "daily_aggregates": K.build_wide_gold(enriched, rows, summary=summary),
     }
 
 
