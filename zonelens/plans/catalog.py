@@ -502,7 +502,10 @@ def q_silver(spark, sf_dir):
 
 
 def q_has_answer(spark, sf_dir):
-    silver = _silver(spark, sf_dir)
+    from zonelens.session import cut_lineage
+
+    # Questions and answers both come from the deduplicated silver: checkpoint it once.
+    silver = cut_lineage(_silver(spark, sf_dir))
     questions, answers = S.split_dataset(silver)
     marked = S.mark_answered(S.drop_null_qname(questions), answers, keys=("tenant", "id"))
     return marked.select("tenant", "event_date", "id", "qname", F.col("has_answer").cast("int").alias("has_answer"))
