@@ -6,6 +6,10 @@ hash (state bounded by the event-time watermark), and the sink appends to the
 partitioned silver table with its progress in a checkpoint under the shared
 ``spark.checkpoint.dir``. ``availableNow`` processes what has arrived and stops,
 which suits per-object arrival; a processing-time trigger keeps it running.
+
+Messages without a parseable event time cannot be placed against the
+watermark and are left out of the stream (the batch path keeps them under a
+NULL ``event_date`` partition).
 """
 
 from __future__ import annotations
