@@ -66,7 +66,9 @@ def main() -> None:
     out = [
         "# Physical plans of the headline queries",
         "",
-        f"Final adaptive plans at `{sf_dir}` on `{spark.sparkContext.master}` (generated by `tools/plan_summary.py`).",
+        f"Final adaptive plans at `{sf_dir}` on `{spark.sparkContext.master}` (generated by `tools/plan_summary.py`). "
+        "Queries that read a checkpointed rollup or silver (`base_kpis`, `has_answer`, `gold_wide`, `dashboard`) "
+        "show only the shuffles after the checkpoint; the rollup shuffle ran in the checkpoint job.",
         "",
     ]
     for name in QUERIES:
