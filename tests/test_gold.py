@@ -167,3 +167,16 @@ def test_release_join_back_caches(spark):
     assert out.count() == 100
     assert release_join_back_caches() >= 1
     assert release_join_back_caches() == 0
+
+
+def test_build_topn_equals_separate_rankings(spark):
+    enriched = catalog.enriched(spark, SF)
+    combined = N.build_topn(enriched)
+    separate = (
+        N.top_n_flat(enriched, "qname", topn_type="top_qnames")
+        .unionByName(N.top_n_flat(enriched, "root_domain", topn_type="top_root_domains"))
+        .unionByName(N.high_entropy_flat(enriched))
+    )
+    assert sorted(map(str, combined.collect())) == sorted(map(str, separate.collect()))
+    combined.collect()
+    assert combined._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4

@@ -106,13 +106,45 @@ def pack_top_n(flat: DataFrame, keys=KEYS, target_col: str = "topN") -> DataFram
     ).select(*keys, target_col, *type_cols)
 
 
+def _rank(per_key: DataFrame, keys, order: list, n: int, topn_type: str, name_col: str, entropy: Column) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ranked = per_key.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return ranked.select(
+        *keys,
+        F.lit(topn_type).alias("topN_type"),
+        F.col("rank").cast("int").alias("rank"),
+        F.col(name_col).cast("string").alias("name"),
+        "query_count",
+        entropy.cast("double").alias("entropy"),
+    )
+
+
 def build_topn(enriched: DataFrame, n: int = TOP_N, keys=KEYS) -> DataFrame:
-    """Gold ``topn`` table: top qnames, top root domains and high-entropy names (long form, flat)."""
-    return (
-        top_n_flat(enriched, "qname", n, "top_qnames", keys)
-        .unionByName(top_n_flat(enriched, "root_domain", n, "top_root_domains", keys))
-        .unionByName(high_entropy_flat(enriched, n, keys))
+    """Gold ``topn`` table: top qnames, top root domains and high-entropy names (long form, flat).
+
+    The two name rankings share one aggregation by (keys, qname): all rows
+    counted for the top qnames, flagged rows counted (and their max entropy)
+    for the high-entropy ranking. Same results as ``top_n_flat`` and
+    ``high_entropy_flat`` one by one.
+    """
+    w = _count_col(enriched)
+    flag = F.col("is_high_entropy")
+    per_name = enriched.groupBy(*keys, "qname").agg(
+        F.sum(w).cast("long").alias("__all"),
+        F.sum(F.when(flag, w).otherwise(F.lit(0))).cast("long").alias("__flagged_count"),
+        F.max(F.when(flag, F.col("qname_entropy"))).alias("__flagged_entropy"),
+        F.max(flag.cast("int")).alias("__flagged"),
+    )
+    top_qnames = _rank(
+        per_name.withColumn("query_count", F.col("__all")),
+        keys, [F.desc("query_count"), F.asc("qname")], n, "top_qnames", "qname", F.lit(None),
+    )
+    high = _rank(
+        per_name.where(F.col("__flagged") == 1).withColumn("query_count", F.col("__flagged_count")),
+        keys, [F.col("__flagged_entropy").desc_nulls_last(), F.asc("qname")], n, "high_entropy", "qname",
+        F.col("__flagged_entropy"),
     )
+    return top_qnames.unionByName(top_n_flat(enriched, "root_domain", n, "top_root_domains", keys)).unionByName(high)
 
 
 def top_qnames_pairs(enriched: DataFrame, n: int = TOP_N, keys=KEYS) -> DataFrame:
