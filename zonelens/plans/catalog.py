@@ -178,6 +178,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(O.packets_sql())
     sql["object_keys"] = O.object_keys_sql()
     sql["render_rdata"] = O.render_rdata_sql()
+    sql["window_cardinality_rows"] = O.window_cardinality_rows_sql()
     return sql
 
 
@@ -597,3 +598,12 @@ def _in_utc(fn: QueryFn) -> QueryFn:
 
 
 QUERIES = {name: _in_utc(fn) for name, fn in QUERIES.items()}
+
+
+def q_window_cardinality_rows(spark, sf_dir):
+    """G4 joined back: every row with a root and subdomain gets its (tenant, root, day) count."""
+    df = G.subdomain_cardinality_window(enriched_rows(spark, sf_dir), group_cols=("tenant",), join_back=True)
+    return df.select("tenant", "id", "qname", "root_domain", "root_subdomain_cardinality_window")
+
+
+QUERIES["window_cardinality_rows"] = _in_utc(q_window_cardinality_rows)

@@ -745,3 +745,15 @@ def render_rdata_sql() -> str:
         f"SELECT tenant, id, qname AS rrname, CAST(CASE WHEN {k} = 0 THEN 1 WHEN {k} = 1 THEN 28 WHEN {k} = 2 THEN 5 "
         f"WHEN {k} = 3 THEN 12 WHEN {k} = 4 THEN 16 ELSE 15 END AS INTEGER) AS rtype, {text} AS rdata FROM dns"
     )
+
+
+def window_cardinality_rows_sql() -> str:
+    return enr_query(
+        "SELECT r.tenant, r.id, r.qname, r.root_domain, a.c AS root_subdomain_cardinality_window FROM "
+        f"(SELECT *, time_bucket(INTERVAL 1 day, event_ts) AS ws, {_SUB_NORM} AS sub_norm FROM enr) r JOIN "
+        f"(SELECT tenant, root_domain, ws, count(DISTINCT sub_norm) AS c FROM (SELECT tenant, root_domain, "
+        f"time_bucket(INTERVAL 1 day, event_ts) AS ws, {_SUB_NORM} AS sub_norm FROM enr) "
+        "WHERE root_domain IS NOT NULL AND sub_norm IS NOT NULL AND length(sub_norm) >= 1 GROUP BY ALL) a "
+        "ON a.tenant = r.tenant AND a.root_domain = r.root_domain AND a.ws = r.ws "
+        "WHERE r.root_domain IS NOT NULL AND r.sub_norm IS NOT NULL AND length(r.sub_norm) >= 1"
+    )
