@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +14,7 @@ from zonelens.session import cut_lineage, ensure_checkpoint_dir
 #: Bytes of text that a Python task turns into Python objects at a time.
 CHUNK_BYTES = 1 << 20
 
-__all__ = ["CHUNK_BYTES", "column_chunks", "cut_lineage", "id_and_text", "ensure_checkpoint_dir", "read_table", "whole_text"]
+__all__ = ["CHUNK_BYTES", "column_chunks", "cut_lineage", "id_and_text", "ensure_checkpoint_dir", "labelled_sample", "read_table", "rows_where", "whole_text"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +47,28 @@ def column_chunks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int =
             size += n or 0
         if first < len(lengths):
             yield [c.slice(first) for c in batch.columns]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
+    """``doc_id, text, label`` of at most ``sample`` labelled ids (0 or 1): those that hash lowest.
+
+    A repeated ``doc_id`` keeps its largest label; rows without a label or an id are not used.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    known = known.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return id_and_text(docs).join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of two numbers
+
+
+def rows_where(docs: DataFrame, wanted: Callable[[list[str]], Sequence[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose texts (NULL: empty) ``wanted`` marks; decided in batches where the rows are."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in column_chunks([batch], place):
+                rows = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                marks = wanted([t or "" for t in columns[place].to_pylist()])
+                yield rows.filter(pa.array(marks, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

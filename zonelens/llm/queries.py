@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonelens.llm import bpe_transducer, packing, token_files
+from zonelens.llm import bpe_transducer, html_text, packing, quality, token_files, toxicity
 from zonelens.llm.common import ensure_checkpoint_dir, read_table
 
 #: Ids that end a document.
@@ -16,6 +17,11 @@ PACK_END_ID = 1
 FILE_END_ID = 2
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_transducer.round_trip_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -25,6 +31,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), PACK_END_ID)
 
 
+def held_out(doc_id: str) -> Column:
+    """Rows whose labels toxicity must not learn from; a NULL id counts as held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), allowed=lambda doc_id: ~held_out(doc_id))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), FILE_END_ID)
@@ -32,8 +54,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_bpe_transducer": op3_bpe_transducer,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_html_text": op6_html_text,
     "op9_token_files": op9_token_files,
 }
 
