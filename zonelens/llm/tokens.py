@@ -17,13 +17,14 @@ from itertools import islice
 from tokenizers import Tokenizer
 
 #: Pre-tokens that a worker remembers; beyond them it starts anew.
-MEMORY = 300_000
+MEMORY = 1_200_000
 
-#: The public byte-level pattern, for characters up to U+024F: letters, numbers, others, white space.
+#: The public byte-level pattern, for characters up to U+024F: letters (which cannot start
+#: a contraction, so they come first), contractions, numbers, others, white space.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0"
 _MORE_NUMBERS = "²³¹¼½¾"
 _CUT = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_{_MORE_NUMBERS}]+| ?[\d{_MORE_NUMBERS}]+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    rf" ?[^\W\d_{_MORE_NUMBERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[\d{_MORE_NUMBERS}]+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _FOREIGN = re.compile("[^\x00-ɏ]")
 #: Pre-tokens of a very long text that are held at a time.
