@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from zonelens.llm.common import column_chunks, id_and_text
 
 #: Transitions and pre-tokens that a worker remembers; beyond them it starts anew.
-MEMORY = 600_000
+MEMORY = 1_000_000
 _RUN = 500_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
