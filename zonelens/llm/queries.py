@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.llm import bpe_transducer, html_text, packing, quality, token_files, toxicity
+from zonelens.llm import bpe_transducer, html_text, near_dup, packing, quality, token_files, toxicity
 from zonelens.llm.common import ensure_checkpoint_dir, read_table
 
 #: Ids that end a document.
@@ -47,6 +47,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), FILE_END_ID)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
+    "op8_near_dup": op8_near_dup,
     "op9_token_files": op9_token_files,
 }
 

@@ -14,7 +14,7 @@ per word.
 
 The model is fitted on the driver on at most ``SAMPLE`` labelled documents,
 those with the smallest hash of their id, of each at most ``BAG`` windows
-(toxic) or ``CLEAN_WINDOWS`` windows (others), evenly spaced. Scoring reads
+(toxic) or its share of ``CLEAN_WINDOWS`` (others), evenly spaced. Scoring reads
 every whole text.
 
 Defined results: a NULL or empty text scores as the empty window, the model's
@@ -36,7 +36,8 @@ from zonelens.llm.common import column_chunks, id_and_text, labelled_sample, row
 
 SAMPLE = 12_000
 BAG = 1024
-CLEAN_WINDOWS = 12
+#: Windows of clean documents in all, shared evenly.
+CLEAN_WINDOWS = 400_000
 BUCKETS = 1 << 17
 SIZE = 8
 GRAMS = (3, 4, 5)
@@ -164,11 +165,12 @@ class _Part:
         return direction[:, None] * by_bucket, np.stack([-to_softmax, to_softmax]), np.array([-to_bias, to_bias])
 
 
-def fit(bags: list[list[list[str]]], toxic: np.ndarray, epochs: int = 20, parts: int = 16, rate: float = 0.03, seed: int = 7) -> Model:
+def fit(bags: list[list[list[str]]], toxic: np.ndarray, epochs: int | None = None, parts: int = 16, rate: float = 0.03, decay: float = 0.1, seed: int = 7) -> Model:
     """Train on texts given as windows of words, and their labels."""
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         return Model(np.zeros(BUCKETS), -40.0)
+    epochs = epochs or int(np.clip(180_000 // len(bags), 20, 60))  # few bags are seen more often
     rng = np.random.default_rng(seed)
     weight = np.where(toxic, 1 / toxic.sum(), 1 / (~toxic).sum())
     shares = [x for x in np.array_split(rng.permutation(len(bags)), min(parts, len(bags))) if len(x)]
@@ -182,6 +184,8 @@ def fit(bags: list[list[list[str]]], toxic: np.ndarray, epochs: int = 20, parts:
             for values, slope, (first, second) in zip((vectors, softmax, bias), laid[i].slopes(vectors, softmax, bias), moments, strict=True):
                 first += 0.1 * (slope - first)
                 second += 0.01 * (slope**2 - second)
+                if values is vectors:
+                    values *= 1 - rate * decay
                 values -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     seen = np.zeros(BUCKETS, bool)
     for part in laid:
@@ -213,10 +217,10 @@ def calibrated(model: Model, bags: list[list[list[str]]], toxic: np.ndarray, at:
     return Model(model.weight, float(model.bias + np.log(at / (1 - at)) - cut))
 
 
-def fit_and_calibrate(bags: list[list[list[str]]], toxic: np.ndarray, held: np.ndarray) -> Model:
+def fit_and_calibrate(bags: list[list[list[str]]], toxic: np.ndarray, held: np.ndarray, **settings: float) -> Model:
     """Fit on the bags that are not ``held``, calibrate on those that are."""
     learn, test = np.flatnonzero(~held), np.flatnonzero(held)
-    return calibrated(fit([bags[i] for i in learn], toxic[learn]), [bags[i] for i in test], toxic[test])
+    return calibrated(fit([bags[i] for i in learn], toxic[learn], **settings), [bags[i] for i in test], toxic[test])
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[str], Column] | None = None, sample: int = SAMPLE) -> Model:
@@ -225,15 +229,16 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[str], Column] |
     A quarter of the sample, by hash of the id, calibrates the score; of its
     documents all windows up to ``BAG`` are read, whatever their label.
     """
+    usable = labels if allowed is None else labels.where(allowed("doc_id"))
+    share = int(np.clip(CLEAN_WINDOWS // max(1, min(sample, usable.count())), 1, BAG))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, marks, tests in column_chunks(batches):
-            most = [BAG if mark or test else CLEAN_WINDOWS for mark, test in zip(marks.to_pylist(), tests.to_pylist(), strict=True)]
+            most = [BAG if mark or test else share for mark, test in zip(marks.to_pylist(), tests.to_pylist(), strict=True)]
             cut = [bag(t, n) for t, n in zip(texts.to_pylist(), most, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, marks, tests, pa.array(cut, pa.list_(pa.string()))], names=["doc_id", "label", "held", "windows"])
 
-    usable = labels if allowed is None else labels.where(allowed("doc_id"))
     chosen = labelled_sample(docs, usable, "toxic", sample).withColumn("held", held)
     rows = chosen.mapInArrow(bags, "doc_id long, label int, held boolean, windows array<string>")
     rows = rows.groupBy("doc_id", "label", "held").agg(F.min("windows").alias("windows")).where(F.size("windows") > 0).toPandas().sort_values("doc_id")
