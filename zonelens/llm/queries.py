@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.llm import bpe_transducer, html_text, near_dup, packing, quality, token_files, toxicity
+from zonelens.llm import bpe_transducer, html_text, near_dup, packing, pii, quality, token_files, toxicity
 from zonelens.llm.common import ensure_checkpoint_dir, read_table
 
 #: Ids that end a document.
@@ -17,6 +17,12 @@ PACK_END_ID = 1
 FILE_END_ID = 2
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.sanitise(read_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -58,6 +64,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe_transducer": op3_bpe_transducer,
     "op4_packing": op4_packing,
