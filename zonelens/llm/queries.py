@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.llm import bpe_transducer, html_text, near_dup, packing, pii, quality, token_files, toxicity
+from zonelens.llm import bpe_transducer, fingerprints, html_text, near_dup, packing, pii, quality, token_files, toxicity
 from zonelens.llm.common import ensure_checkpoint_dir, read_table
 
 #: Ids that end a document.
@@ -63,6 +63,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summary(spark, path)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+    names = ("fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op8_near_dup": op8_near_dup,
     "op9_token_files": op9_token_files,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: None of these can be stated in SQL that DuckDB runs; they are tested against brute force.
