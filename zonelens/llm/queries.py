@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.llm import bpe_transducer, fingerprints, html_text, near_dup, packing, pii, quality, token_files, toxicity
+from zonelens.llm import bpe_transducer, fingerprints, html_text, near_dup, packing, pii, quality, secrets_forest, token_files, toxicity
 from zonelens.llm.common import ensure_checkpoint_dir, read_table
 
 #: Ids that end a document.
@@ -53,6 +53,12 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op7_secrets_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets_forest.scan(read_table(spark, sf_dir, "documents"))
+    places = F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rows.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.array_join(places, ",").alias("spans"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(read_table(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
+    "op7_secrets_forest": op7_secrets_forest,
     "op8_near_dup": op8_near_dup,
     "op9_token_files": op9_token_files,
     "op10_fingerprints": op10_fingerprints,
