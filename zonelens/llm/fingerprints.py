@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import id_and_text
+from zonelens.llm.spans import let
 
 #: Cells per table (powers of two): of a fingerprint, and of a part's sketch and its retries.
 BASE = 4
@@ -49,13 +50,6 @@ MOST_RANGES = 4000
 #: A paragraph: part of a line up to the first sentence end from 80 code points on, 400 at most; or a line's rest.
 PARAGRAPH = r"[^\n]{80,400}?(?:[.!?](?=\s)|(?=\n|\z))|[^\n]{1,400}"
 
-_CELL = "struct<n:int,k:bigint,h:bigint>"
-
-
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)``, with the value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
-
 
 def digests(text: Column) -> Column:
     """The text's different paragraphs as 64-bit digests."""
@@ -120,7 +114,7 @@ def peeled(cells: Column, size: int) -> Column:
             new = F.struct(rest.alias("cells"), (state["found"] + F.size(pure)).alias("found"))
             return F.when(F.size(pure) == 0, state).otherwise(new)
 
-        return _let(F.array_distinct(found), take)
+        return let(F.array_distinct(found), take)
 
     def done(state: Column) -> Column:
         return F.when(~F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), state["found"])
@@ -146,7 +140,7 @@ def differing(a: Column, b: Column) -> Column:
 
         def add(total: Column, p: Column) -> Column:
             pair = F.struct(own(x, p).alias("x"), own(y, p).alias("y"))
-            return total + _let(pair, lambda s: then(s["x"], s["y"]))
+            return total + let(pair, lambda s: then(s["x"], s["y"]))
 
         return F.aggregate(F.sequence(F.lit(0).cast("long"), count - 1), F.lit(0), add)
 
@@ -157,7 +151,7 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """Likeness of two fingerprints, by the digests in which they differ (see the module)."""
     found = F.coalesce(peeled(subtracted(cells_a, cells_b), BASE), differing(a, b))
     total = F.size(a) + F.size(b)
-    return _let(found, lambda d: F.when(total == 0, 1.0).otherwise((total - d) / (total + d).cast("double")))
+    return let(found, lambda d: F.when(total == 0, 1.0).otherwise((total - d) / (total + d).cast("double")))
 
 
 def encoded(cells: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import cut_lineage, id_and_text
-from zonelens.llm.spans import rewritten, with_spans
+from zonelens.llm.spans import rewritten, spans
 
 #: Kinds in order. The patterns start only where the plain ones could (look-behinds) and do
 #: not step back (possessive), so they find the same matches in time linear in the text.
@@ -76,29 +76,25 @@ _PASSES = {
 }
 
 
-def _passed(spans: Column, rank: int, kind: str) -> Column:
+def _passed(found: Column, rank: int, kind: str) -> Column:
     def span(s: Column) -> Column:
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"))
 
-    return F.transform(F.filter(spans, lambda s: _PASSES[kind](s["value"])), span)
+    return F.transform(F.filter(found, lambda s: _PASSES[kind](s["value"])), span)
 
 
-def with_base_spans(rows: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
-    """Add ``to``: base findings as an array of ``SPAN`` by start, then kind as listed."""
-    for rank, kind in enumerate(KINDS):
-        rows = with_spans(rows, text, PATTERNS[kind], f"{to}_{kind}")
-        rows = rows.withColumn(f"{to}_{kind}", _passed(F.col(f"{to}_{kind}"), rank, kind))
-    parts = [f"{to}_{kind}" for kind in KINDS]
-    return rows.withColumn(to, F.array_sort(F.concat(*parts))).drop(*parts)
+def base_spans(text: Column) -> Column:
+    """Base findings as an array of ``SPAN`` by start, then kind as listed."""
+    return F.array_sort(F.concat(*(_passed(spans(text, PATTERNS[kind]), rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def count_of(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+def count_of(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
 
-def joined(spans: Column) -> Column:
+def joined(found: Column) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def _entity(span: Column) -> Column:
@@ -143,12 +139,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``doc_id, text, base, spans, sanitised`` of every row: base spans, all spans, and the rewritten text."""
     rows = id_and_text(docs)
-    based = with_base_spans(rows, to="base")
-    found = based.where(F.size("base") > 0).groupBy(F.sha2("text", 256).alias("key"))
-    found = cut_lineage(found.agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("copies")))
+    based = rows.withColumn("base", base_spans(F.col("text")))
+    # Different texts first; then those without findings, which only looked like having some, go.
+    found = based.where(F.col("text").rlike("|".join(PATTERNS.values()))).groupBy(F.sha2("text", 256).alias("key"))
+    found = found.agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("copies"))
+    found = cut_lineage(found.where(F.size("spans") > 0))
     disclosing = cut_lineage(disclosing_terms(rows, found))
     held = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    words = with_spans(found.select("key", "text"), "text", TERM, "word").select("key", F.explode("word").alias("word"))
+    words = found.select("key", F.explode(spans(F.col("text"), TERM)).alias("word"))
     words = words.select("key", "word.start", "word.end", "word.value", F.lower("word.value").alias("term"))
     told = words.join(disclosing, "term").join(held, ["key", "entity"]).groupBy("key", "start", "end", "value").agg(F.max("disclosure").alias("disclosure"))
     removed = F.col("disclosure") >= REMOVE

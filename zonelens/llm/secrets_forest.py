@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import cut_lineage, id_and_text, whole_text
-from zonelens.llm.spans import rewritten, with_spans
+from zonelens.llm.spans import rewritten, spans
 
 _TOKEN = "A-Za-z0-9+/_~.-"
 #: Runs of token characters: 12 or more with a digit, 16 or more without; then base64 padding.
@@ -54,7 +54,6 @@ FEATURES = [
     "length", "class_changes", "distinct_share", "digit_share", "upper_share", "vowel_share", "is_hex", "dictionary_share",
     "slashes", "dots", "in_path", "in_address", "key_word", "assigned", "quoted", "known_shape",
 ]
-_FOUND = "struct<start:int,end:int,value:string,before:string,after:string>"
 
 
 def _share(value: Column, characters: str) -> Column:
@@ -65,16 +64,15 @@ def _flag(condition: Column) -> Column:
     return condition.cast("double")
 
 
-def with_candidates(rows: DataFrame, text: str = "text", to: str = "found") -> DataFrame:
-    """Add ``to``: the candidates of each text with what stands before and after them."""
-    rows = with_spans(rows, text, CANDIDATE, to)
+def candidates(text: Column) -> Column:
+    """The candidates of a text with what stands before and after them."""
 
     def around(s: Column) -> Column:
         first = F.greatest(s["start"] - REACH, F.lit(0))
         before, after = F.substr(text, first + 1, s["start"] - first), F.substr(text, s["end"] + 1, F.lit(REACH))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before.alias("before"), after.alias("after"))
 
-    return rows.withColumn(to, F.transform(to, around))
+    return F.transform(spans(text, CANDIDATE), around)
 
 
 def _words(value: Column) -> Column:
@@ -167,8 +165,8 @@ def _secrets(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _with_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (with a never-NULL ``text``) and columns ``found`` and ``secrets``."""
-    rows = with_candidates(docs, to="found")
-    texts = rows.where(F.size("found") > 0).groupBy(F.sha2("text", 256).alias("key")).agg(F.first("found").alias("found"))
+    rows = docs.withColumn("found", candidates(F.col("text")))
+    texts = rows.where(F.col("text").rlike(CANDIDATE)).groupBy(F.sha2("text", 256).alias("key")).agg(F.first("found").alias("found"))
     secrets = _secrets(texts, docs)
     # Rows without candidates get keys of their own, so that they spread.
     own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))

@@ -6,28 +6,45 @@ cuts and of the matches add up to the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Element of a span array.
 SPAN = "struct<start:int,end:int,value:string>"
 
 
-def with_spans(rows: DataFrame, text: str, pattern: str, to: str) -> DataFrame:
-    """Add column ``to``: the pattern's leftmost, non-overlapping matches as an array of ``SPAN``, in order."""
-    found, gaps, ends = (f"{to}__{c}" for c in ("found", "gaps", "ends"))
-    rows = rows.withColumn(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    rows = rows.withColumn(gaps, F.when(F.size(found) > 0, F.transform(F.split(text, pattern, -1), F.length)))
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), 0)
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """The pattern's leftmost, non-overlapping matches as an array of ``SPAN``, in order.
+
+    To filter on it, filter on ``rlike`` first: a filter on the array itself is moved to
+    the scan and finds the matches a second time.
+    """
+
+    def located(found: Column) -> Column:
+        def ends(gaps: Column) -> Column:
+            def add(done: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))
+                return F.concat(done, F.array(before + F.get(gaps, i) + F.length(F.get(found, i))))
+
+            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.array().cast("array<int>"), add)
+
+        def cut(end: Column) -> Column:
+            def span(v: Column, i: Column) -> Column:
+                return F.struct((F.get(end, i) - F.length(v)).alias("start"), F.get(end, i).alias("end"), v.alias("value"))
+
+            return F.transform(found, span)
 
-    def add_end(done: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))
-        return F.concat(done, F.array(before + F.get(F.col(gaps), i) + F.length(F.get(F.col(found), i))))
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        return F.when(F.size(found) > 0, let(gaps, lambda g: let(ends(g), cut))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    count = F.sequence(F.lit(0), F.size(found) - 1)
-    rows = rows.withColumn(ends, F.when(F.size(found) > 0, F.aggregate(count, F.array().cast("array<int>"), add_end)))
-    span = lambda v, i: F.struct((F.get(F.col(ends), i) - F.length(v)).alias("start"), F.get(F.col(ends), i).alias("end"), v.alias("value"))
-    spans = F.when(F.size(found) > 0, F.transform(found, span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return rows.withColumn(to, spans).drop(found, gaps, ends)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
 
 def rewritten(text: Column, spans: Column, replacement) -> Column:

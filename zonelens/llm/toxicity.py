@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from zonelens.llm.common import column_chunks, id_and_text, labelled_sample, rows_where
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 BAG = 1024
+#: Windows of a clean document that calibrates.
+HELD_WINDOWS = 256
 #: Windows of clean documents in all, shared evenly.
-CLEAN_WINDOWS = 400_000
+CLEAN_WINDOWS = 250_000
 BUCKETS = 1 << 17
 SIZE = 8
 GRAMS = (3, 4, 5)
@@ -112,6 +114,12 @@ class Model:
             total = np.bincount(owners, self.weight[buckets], len(ordered))
             self.known.update(zip(ordered, (total / np.bincount(owners, minlength=len(ordered))).tolist(), strict=True))
 
+    def odds(self, windows: list[str]) -> float:
+        """Log-odds of the most toxic of given windows."""
+        cut = [w.split() for w in windows]
+        self._learn(set().union(*cut))
+        return self.bias + max(sum(map(self.known.__getitem__, words)) / len(words) for words in cut)
+
     def score(self, texts: list[str]) -> list[float]:
         """Toxic probability of each text: that of its most toxic window."""
         cut = [t.split() for t in texts]
@@ -131,19 +139,20 @@ class Model:
 class _Part:
     """A share of the bags with its n-grams laid out for sums along sorted copies."""
 
-    def __init__(self, bags: list[list[list[str]]], weight: np.ndarray, toxic: np.ndarray) -> None:
+    def __init__(self, bags: list[list[str]], weight: np.ndarray, toxic: np.ndarray) -> None:
         vocabulary: dict[str, int] = {}
-        self.flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for bag in bags for window in bag for w in window])
-        sizes = np.array([len(window) for bag in bags for window in bag])
-        self.bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        buckets, owners = gram_buckets(list(vocabulary))
-        by_word, by_bucket, by_place = (np.argsort(k, kind="stable") for k in (owners, buckets, self.flat))
-        self.word_buckets, self.bucket_words = buckets[by_word], owners[by_bucket]
+        cut = [window.split() for bag in bags for window in bag]
+        flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in cut for w in words], np.int32)
+        sizes = np.array(list(map(len, cut)), np.int32)
+        self.bag_of = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+        buckets, owners = (x.astype(np.int32) for x in gram_buckets(list(vocabulary)))
+        by_word, by_bucket, by_place = (np.argsort(k, kind="stable") for k in (owners, buckets, flat))
+        self.flat, self.word_buckets, self.bucket_words = flat, buckets[by_word], owners[by_bucket]
         self.word_at, self.bucket_at, self.place_at = (
-            np.flatnonzero(np.diff(k[i], prepend=-1)) for k, i in ((owners, by_word), (buckets, by_bucket), (self.flat, by_place))
+            np.flatnonzero(np.diff(k[i], prepend=-1)) for k, i in ((owners, by_word), (buckets, by_bucket), (flat, by_place))
         )
         self.buckets = buckets[by_bucket][self.bucket_at]
-        self.window_at, self.word_windows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)[by_place]
+        self.window_at, self.word_windows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_place]
         self.grams, self.lengths = np.bincount(owners).astype(np.float32), sizes.astype(np.float32)
         self.weight, self.clean = weight, ~toxic[self.bag_of]
         self.per_window = (weight / np.bincount(self.bag_of, minlength=len(bags)))[self.bag_of]
@@ -165,8 +174,8 @@ class _Part:
         return direction[:, None] * by_bucket, np.stack([-to_softmax, to_softmax]), np.array([-to_bias, to_bias])
 
 
-def fit(bags: list[list[list[str]]], toxic: np.ndarray, epochs: int | None = None, parts: int = 16, rate: float = 0.03, decay: float = 0.1, seed: int = 7) -> Model:
-    """Train on texts given as windows of words, and their labels."""
+def fit(bags: list[list[str]], toxic: np.ndarray, epochs: int | None = None, parts: int = 16, rate: float = 0.03, decay: float = 0.1, seed: int = 7) -> Model:
+    """Train on texts given as windows (words joined by spaces), and their labels."""
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         return Model(np.zeros(BUCKETS), -40.0)
@@ -202,13 +211,12 @@ def bag(text: str, most: int) -> list[str]:
     return [" ".join(words[s : s + WINDOW]) for s in starts.tolist()]
 
 
-def calibrated(model: Model, bags: list[list[list[str]]], toxic: np.ndarray, at: float = TOXIC_FROM) -> Model:
+def calibrated(model: Model, bags: list[list[str]], toxic: np.ndarray, at: float = TOXIC_FROM) -> Model:
     """The model with its bias moved so that ``at`` is the score that tells held-out bags apart best (by F1)."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all() or not model.weight.any():
         return model
-    model._learn({w for bag in bags for window in bag for w in window})
-    odds = np.array([max(sum(map(model.known.__getitem__, w)) / len(w) for w in bag) for bag in bags]) + model.bias
+    odds = np.array([model.odds(bag) for bag in bags])
     order = np.argsort(-odds)
     hits = np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, len(bags) + 1) + toxic.sum())
@@ -217,7 +225,7 @@ def calibrated(model: Model, bags: list[list[list[str]]], toxic: np.ndarray, at:
     return Model(model.weight, float(model.bias + np.log(at / (1 - at)) - cut))
 
 
-def fit_and_calibrate(bags: list[list[list[str]]], toxic: np.ndarray, held: np.ndarray, **settings: float) -> Model:
+def fit_and_calibrate(bags: list[list[str]], toxic: np.ndarray, held: np.ndarray, **settings: float) -> Model:
     """Fit on the bags that are not ``held``, calibrate on those that are."""
     learn, test = np.flatnonzero(~held), np.flatnonzero(held)
     return calibrated(fit([bags[i] for i in learn], toxic[learn], **settings), [bags[i] for i in test], toxic[test])
@@ -235,15 +243,15 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[str], Column] |
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, marks, tests in column_chunks(batches):
-            most = [BAG if mark or test else share for mark, test in zip(marks.to_pylist(), tests.to_pylist(), strict=True)]
+            most = [BAG if mark else HELD_WINDOWS if test else share for mark, test in zip(marks.to_pylist(), tests.to_pylist(), strict=True)]
             cut = [bag(t, n) for t, n in zip(texts.to_pylist(), most, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, marks, tests, pa.array(cut, pa.list_(pa.string()))], names=["doc_id", "label", "held", "windows"])
 
     chosen = labelled_sample(docs, usable, "toxic", sample).withColumn("held", held)
     rows = chosen.mapInArrow(bags, "doc_id long, label int, held boolean, windows array<string>")
-    rows = rows.groupBy("doc_id", "label", "held").agg(F.min("windows").alias("windows")).where(F.size("windows") > 0).toPandas().sort_values("doc_id")
-    cut = [[w.split() for w in windows] for windows in rows["windows"]]
-    return fit_and_calibrate(cut, rows["label"].to_numpy() == 1, rows["held"].to_numpy(bool))
+    rows = rows.groupBy("doc_id", "label", "held").agg(F.min("windows").alias("windows")).where(F.size("windows") > 0)
+    rows = rows.toPandas().sort_values("doc_id")
+    return fit_and_calibrate([list(windows) for windows in rows["windows"]], rows["label"].to_numpy() == 1, rows["held"].to_numpy(bool))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
