@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelens.llm.common import column_chunks, cut_lineage, whole_text
@@ -281,8 +281,8 @@ def _sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "family long, blocks long, node long, shingles array<long>")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """``classes`` with the column ``node``."""
     sketched = cut_lineage(sketch(docs))
     nodes = sketched.where("digest is not null").groupBy("digest")
     nodes = cut_lineage(nodes.agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "a", "b"))))
@@ -301,5 +301,19 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = nodes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "node", "n_shingles", "digest").join(labels, "digest", "left")
     component = F.coalesce("component", "node")
-    out = out.select("doc_id", "n_shingles", F.when(component < NO_ID, component).alias("component_id"))
+    out = out.select("doc_id", "node", "n_shingles", F.when(component < NO_ID, component).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
+    return _classes(docs).drop("node")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one document of each class, and of repeated rows one."""
+    stay = _classes(docs).where("kept").select("node").distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node_id().alias("node"), F.xxhash64(whole_text()).alias("text_hash"))
+    copies = Window.partitionBy("node", "text_hash").orderBy(F.xxhash64("row"))
+    rows = packed.join(stay, "node", "left_semi").withColumn("copy", F.row_number().over(copies)).where("copy = 1")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
