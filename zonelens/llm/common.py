@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,10 +18,23 @@ from zonelens.session import cut_lineage, ensure_checkpoint_dir
 #: Bytes of text that a Python task turns into Python objects at a time.
 CHUNK_BYTES = 1 << 20
 
-__all__ = ["CHUNK_BYTES", "column_chunks", "cut_lineage", "id_and_text", "ensure_checkpoint_dir", "labelled_sample", "read_table", "rows_where", "whole_text"]
+__all__ = ["CHUNK_BYTES", "column_chunks", "cut_lineage", "id_and_text", "ensure_checkpoint_dir", "labelled_sample", "read_table", "rows_where", "ship_package", "whole_text"]
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers: once per application, unless their path has it."""
+    root, context = str(Path(__file__).resolve().parents[2]), spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or root.endswith(".zip") or context.applicationId in _shipped:
+        return
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/zonelens", "zip", root, "zonelens"))
+    _shipped.add(context.applicationId)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +45,7 @@ def whole_text(column: str | Column = "text") -> Column:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` (long) and ``text`` (never NULL): further columns of the input cannot clash."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
@@ -62,6 +80,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int
 
 def rows_where(docs: DataFrame, wanted: Callable[[list[str]], Sequence[bool]]) -> DataFrame:
     """The rows, with all their columns, whose texts (NULL: empty) ``wanted`` marks; decided in batches where the rows are."""
+    ship_package(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

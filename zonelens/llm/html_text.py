@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block. Lines of boilerplate elements (by
-element name, or by the words of class, id and role) count as blank, and so
+Markup is stripped to lines, one per block with text. Lines of boilerplate elements
+(by element name, or by the words of class, id and role) count as blank, and so
 does what lies outside ``<article>`` or ``<main>`` where the page has one. Then
 text lengths are summed over sliding windows of lines. The distribution surges
 where a window with text follows blank lines and dives where the next windows
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import column_chunks
+from zonelens.llm.common import column_chunks, ship_package
 
 #: Lines of a sliding window.
 WINDOW = 3
@@ -80,16 +80,28 @@ def _is_boilerplate(name: str, rest: str, inside: bool) -> bool:
 
 
 def text_lines(html: str) -> tuple[list[str], list[bool]]:
-    """The page's lines (blank for boilerplate), and which lie in a marked article."""
+    """The page's lines of text (blank for boilerplate), and which lie in a marked article."""
     lines, marked = [], []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, article
     skipped = inside = at = 0
+    dropped = False  # whether boilerplate text was met since the last line
 
     def close_line() -> None:
-        lines.append(" ".join(unescape("".join(parts)).split()) if parts else "")
-        marked.append(inside > 0)
+        nonlocal dropped
+        text = " ".join(unescape("".join(parts)).split()) if parts else ""
+        if text or dropped:
+            lines.append(text)
+            marked.append(inside > 0)
         parts.clear()
+        dropped = False
+
+    def read(piece: str) -> None:
+        nonlocal dropped
+        if not skipped:
+            parts.append(piece)
+        elif not piece.isspace():
+            dropped = True
 
     def pop() -> None:
         nonlocal skipped, inside
@@ -98,8 +110,8 @@ def text_lines(html: str) -> tuple[list[str], list[bool]]:
         inside -= article
 
     for m in _TOKEN.finditer(html):
-        if m.start() > at and not skipped:
-            parts.append(html[at : m.start()])
+        if m.start() > at:
+            read(html[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
@@ -122,18 +134,18 @@ def text_lines(html: str) -> tuple[list[str], list[bool]]:
             stack.append((name, boilerplate, article))
             skipped += boilerplate
             inside += article
-    if at < len(html) and not skipped:
-        parts.append(html[at:])
+    if at < len(html):
+        read(html[at:])
     close_line()
     return lines, marked
 
 
 def runs(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
     """Runs of text as first line, line after the last, highest window: from a surge of the window sums to the next dive."""
-    sums = np.convolve(lengths, np.ones(window, np.int64))[window - 1 :]  # sums[i] is of the lines from i on
     filled = np.flatnonzero(lengths)
     if not len(filled):
         return []
+    sums = np.convolve(lengths, np.ones(window, np.int64))[window - 1 :]  # sums[i] is of the lines from i on
     # A dive: ``window`` blank lines, so a window sum of 0, after a line with text.
     breaks = np.flatnonzero(np.diff(filled) > window)
     firsts, lasts = filled[np.append(0, breaks + 1)], filled[np.append(breaks, len(filled) - 1)]
@@ -157,6 +169,7 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
+    ship_package(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, html in column_chunks(batches, text=2):

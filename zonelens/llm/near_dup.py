@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import column_chunks, cut_lineage, whole_text
+from zonelens.llm.common import column_chunks, cut_lineage, ship_package, whole_text
 from zonelens.llm.components import connected_components
 
 WORDS = 5
@@ -283,6 +283,7 @@ def _sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """``classes`` with the column ``node``."""
+    ship_package(docs.sparkSession)
     sketched = cut_lineage(sketch(docs))
     nodes = sketched.where("digest is not null").groupBy("digest")
     nodes = cut_lineage(nodes.agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "a", "b"))))
