@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from zonelens import functions as Z
 from zonelens.config import HOST_ENTROPY_MAX, INTENT_THRESHOLDS
-from zonelens.functions.keys import key_parts
+from zonelens.functions.keys import with_key_parts
 from zonelens.operators.suffix import add_domain_parts
 from zonelens.sources.dims import suffix_rules
 
@@ -162,10 +162,10 @@ def test_object_keys(spark):
         "/acme/x/f.pcap",
         "acme",
         "acme/",
+        "acme/100%/f.pcap",
     ]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
-    parts = key_parts(F.col("k"))
-    got = {r.k: (r.tenant, r.bronze_key, r.reject_reason) for r in df.select("k", *[c.alias(n) for n, c in parts.items()]).collect()}
+    got = {r.k: (r.tenant, r.bronze_key, r.reject_reason) for r in with_key_parts(df, "k").collect()}
     assert got["acme/pcaps/2026-01-22/file.pcap"] == ("acme", "acme/pcaps/2026-01-22/file.jsonl.gz", None)
     assert got["acme/x/CAP.PCAPNG"][1] == "acme/x/CAP.jsonl.gz"
     assert got["acme/x/file"][1] == "acme/x/file.jsonl.gz"
@@ -173,7 +173,8 @@ def test_object_keys(spark):
     assert got["/acme/x/f.pcap"][1] == "acme/x/f.jsonl.gz"
     assert got["acme"] == (None, None, "no file path after tenant")
     assert got["acme/"][2] == "no file path after tenant"
-    prefixed = df.select(key_parts(F.col("k"), output_prefix="bronze/pcap")["bronze_key"].alias("b")).first().b
+    assert got["acme/100%/f.pcap"][:2] == ("acme", "acme/100%/f.jsonl.gz")
+    prefixed = with_key_parts(df, "k", output_prefix="bronze/pcap").where("k = 'acme/pcaps/2026-01-22/file.pcap'").first().bronze_key
     assert prefixed == "acme/bronze/pcap/pcaps/2026-01-22/file.jsonl.gz"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from zonelens.plans import jobs
 from zonelens.sources import lake
 from zonelens.sources.bronze import derived_bronze, read_bronze, write_bronze
+from zonelens.sources.dims import SEED_SUFFIX_RULES, suffix_rules
 from zonelens.streaming.silver_stream import start_silver_stream
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +31,7 @@ def test_bronze_silver_gold(spark, tmp_dir):
     s = spark.read.parquet(silver)
     assert s.where(F.col("tenant").isNull()).count() == 0
     assert {r.tenant for r in s.select("tenant").distinct().collect()} == {r.tenant for r in b.select("tenant").distinct().collect()}
-    paths = jobs.run_gold(spark, silver, gold)
+    paths = jobs.run_gold(spark, silver, gold, suffix_rules(spark))
     risk = spark.read.parquet(paths["risk_kpis"])
     n_before = risk.count()
     assert n_before > 0
@@ -44,7 +45,9 @@ def test_bronze_silver_gold(spark, tmp_dir):
     report = jobs.run_report(spark, silver, "top_domains", "tenant-1", 5).collect()
     assert len(report) == 5 and report[0].query_count >= report[-1].query_count
     # rerun for one tenant only keeps the other tenants' partitions (dynamic overwrite)
-    jobs.run_gold(spark, silver, gold, tenant="tenant-0")
+    answered = spark.read.parquet(paths["daily_aggregates"]).agg(F.sum("answered_queries")).first()[0]
+    assert answered == jobs.mark_answers(s).where("qname is not null").agg(F.sum("has_answer")).first()[0] > 0
+    jobs.run_gold(spark, silver, gold, suffix_rules(spark), tenant="tenant-0")
     assert spark.read.parquet(paths["risk_kpis"]).select("tenant").distinct().count() == 3
     assert spark.read.parquet(paths["risk_kpis"]).count() == n_before
 
@@ -67,7 +70,7 @@ def test_streaming_silver_matches_batch(spark, tmp_dir):
     q.awaitTermination(300)
     streamed = spark.read.parquet(silver)
     batch = jobs.bronze_to_silver(read_bronze(spark, bronze_dir).drop("_corrupt_record"), tenant="tenant-1")
-    batch = batch.where(F.col("event_ts").isNotNull())
+    assert streamed.where("event_ts is null").count() == batch.where("event_ts is null").count() > 0
     assert streamed.count() == batch.count()
     assert streamed.select("silver_dedupe_hash").distinct().count() == streamed.count()
 
@@ -94,7 +97,9 @@ def test_command_line(spark, tmp_dir, capsys):
     write_bronze(derived_bronze(spark, SF).where(F.col("tenant") == "tenant-0"), f"{bronze_dir}/tenant-0/pcaps")
     assert main(["silver", "--bronze", bronze_dir, "--silver", silver, "--key-root", "file:" + bronze_dir + "/",
                  "--rejects", f"{tmp_dir}/rej"]) == 0
-    assert main(["gold", "--silver", silver, "--gold", gold, "--tenant", "tenant-0"]) == 0
+    with open(f"{tmp_dir}/rules.txt", "w") as f:
+        f.write("// rules\n" + "\n".join(SEED_SUFFIX_RULES.split()))
+    assert main(["gold", "--silver", silver, "--gold", gold, "--tenant", "tenant-0", "--suffix-list", f"{tmp_dir}/rules.txt"]) == 0
     capsys.readouterr()
     assert main(["report", "top_query_types", "--silver", silver, "--tenant", "tenant-0", "--limit", "3"]) == 0
     out = [line for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
@@ -120,7 +125,15 @@ def test_streaming_redelivery_is_idempotent(spark, tmp_dir):
 def test_run_silver_is_idempotent(spark, tmp_dir):
     bronze_dir, silver = f"{tmp_dir}/bronze_rerun", f"{tmp_dir}/silver_rerun"
     write_bronze(derived_bronze(spark, SF).where(F.col("tenant") == "tenant-1"), bronze_dir)
-    jobs.run_silver(spark, bronze_dir, silver, tenant="tenant-1")
+    with open(f"{bronze_dir}/more.json", "w") as f:
+        f.write('not json\n{"timestamp": "no time", "id": 7, "qr": 0, "questions": [{"qname": "a.example.com", "qtype": 1}]}\n{"id": "seven"}\n')
+    lines = spark.read.text(bronze_dir).count()
+    got = jobs.run_silver(spark, bronze_dir, silver, tenant="tenant-1")
+    assert got["lines"] == lines == got["malformed"] + got["messages"] and got["malformed"] == 2
+    rejects = spark.read.json(f"{silver}_rejects")
+    assert rejects.where("reject_reason = 'malformed line'").count() == 2
+    assert rejects.count() == 2 + got["without_time"]
+    assert spark.read.parquet(silver).where("event_date is null").count() > 0
     first = spark.read.parquet(silver).count()
     jobs.run_silver(spark, bronze_dir, silver, tenant="tenant-1")  # the same objects again
     assert spark.read.parquet(silver).count() == first
@@ -131,12 +144,13 @@ def test_run_silver_is_idempotent(spark, tmp_dir):
 def test_gold_tables_from_summary_equal_standalone(spark):
     from zonelens.operators import distributions as D
     from zonelens.operators import kpis as K
-    from zonelens.operators.joins import release_join_back_caches
+    from zonelens.operators import features as G
     from zonelens.plans import catalog
 
-    rows = catalog.rows(spark, SF)
-    enriched = catalog.enriched(spark, SF)
-    tables = jobs.gold_tables(rows, catalog.suffix_rules(spark), checkpoint=False, max_depth=catalog.SEED_DEPTH)
+    silver = catalog.answered_silver(spark, SF)
+    rows = silver.where("qname is not null")
+    enriched = G.add_name_features(K.rollup_names(rows), catalog.suffix_rules(spark), max_depth=catalog.SEED_DEPTH)
+    tables = jobs.gold_tables(silver, catalog.suffix_rules(spark), checkpoint=False, max_depth=catalog.SEED_DEPTH)
     standalone = {
         "base_kpis": K.build_base_kpis(enriched, rows),
         "risk_kpis": K.build_risk_kpis(enriched),
@@ -147,4 +161,44 @@ def test_gold_tables_from_summary_equal_standalone(spark):
         got = tables[name]
         assert got.columns == df.columns, name
         assert sorted(map(str, got.collect())) == sorted(map(str, df.collect())), name
-    release_join_back_caches()
+
+
+def test_streams_take_objects_in_any_order(spark, tmp_dir):
+    """Older objects delivered second, several tenants by nested object keys, malformed lines: nothing is lost."""
+    bronze_dir, silver = f"{tmp_dir}/b", f"{tmp_dir}/s"
+    b = derived_bronze(spark, SF)
+    newest_first = [b.where("timestamp >= '2024-01-15'"), b.where("timestamp < '2024-01-15'")]
+    name, options = "order_" + os.path.basename(tmp_dir), {"key_root": "file:" + bronze_dir + "/"}
+    for i, part in enumerate(newest_first):
+        for t in ("tenant-0", "tenant-1", "tenant-2"):
+            write_bronze(part.where(F.col("tenant") == t), f"{bronze_dir}/{t}/pcaps/{i}")
+        with open(f"{bronze_dir}/tenant-0/pcaps/{i}/bad.json", "w") as f:
+            f.write("not json\n")
+        start_silver_stream(spark, bronze_dir, silver, query_name=name, **options).awaitTermination(300)
+    batch = jobs.bronze_to_silver(read_bronze(spark, bronze_dir), **options)
+    streamed = spark.read.parquet(silver)
+    assert streamed.count() == batch.count() > 0
+    assert streamed.select("tenant").distinct().count() == 3
+    assert spark.read.json(f"{silver}_rejects").where("reject_reason = 'malformed line'").count() == 2
+
+
+def test_split_run_has_no_junk_rows(spark, tmp_dir):
+    bronze_dir = f"{tmp_dir}/b"
+    write_bronze(derived_bronze(spark, SF).where(F.col("tenant") == "tenant-2"), bronze_dir)
+    n = read_bronze(spark, bronze_dir).count()
+    with open(f"{bronze_dir}/bad.json", "w") as f:
+        f.write("not json\n")
+    paths = jobs.run_silver_split(spark, bronze_dir, f"{tmp_dir}/s", "tenant-2")
+    for path in paths.values():
+        rows = spark.read.parquet(path)
+        assert rows.where("id is null and qr is null").count() == 0 and 0 < rows.count() <= 3 * n
+    assert spark.read.json(f"{tmp_dir}/s/rejects").where("reject_reason = 'malformed line'").count() == 1
+
+
+def test_private_suffixes_are_left_out(spark, tmp_dir):
+    from zonelens.sources.dims import suffix_rules_from_text
+
+    with open(f"{tmp_dir}/list.dat", "w") as f:
+        f.write("// ===BEGIN ICANN DOMAINS===\ncom\n*.ck\n!www.ck\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\ngithub.io\n// ===END PRIVATE DOMAINS===\n")
+    rules = {(r.suffix, r.is_wildcard, r.is_exception) for r in suffix_rules_from_text(spark, f"{tmp_dir}/list.dat").collect()}
+    assert rules == {("com", False, False), ("ck", True, False), ("www.ck", False, True)}

@@ -1,5 +1,7 @@
 """Decoded-packet classification on hand-made packets."""
 
+from pyspark.sql import functions as F
+
 from zonelens.operators import packets as P
 from zonelens.sources.dims import services
 
@@ -58,3 +60,18 @@ def test_services_from_text(spark, tmp_dir):
         fh.write("# comment\nhttp 80/tcp www # web\nhttp-alt 80/tcp\ndomain 53/udp\n\nbad line\n")
     got = {(r.proto, r.port): r.service for r in services_from_text(spark, path).collect()}
     assert got == {("tcp", 80): "http", ("udp", 53): "domain"}
+
+
+def test_bytes_that_are_no_text(spark):
+    """Binary bodies and names do not fail the job; bytes that are no UTF-8 are left out."""
+    rows = [
+        pk(6, 80, 50000, b"HTTP/1.1 200 OK\r\n\r\n\xff\xd8\xff\xe0\x00\x10"),
+        pk(6, 50000, 80, b"GET /a\xffb HTTP/1.1\r\n\r\n\xff"),
+        pk(6, 50000, 443, b"\x16\x03\x01\xff\xfe"),
+    ]
+    got = P.classify_packets(spark.createDataFrame(rows, SCHEMA), services(spark)).collect()
+    assert [(r.type, r.method, r.path, r.status_code) for r in got] == [
+        ("response", None, None, "200"), ("request", "GET", "/ab", None), ("other", None, None, None),
+    ]
+    data = spark.createDataFrame([(16, bytearray(b"v=\xffspf1")), (5, bytearray(b"\xc3\xa9.com")), (1, None)], "rtype int, rdata binary")
+    assert [r.t for r in data.select(P.render_rdata(F.col("rtype"), F.col("rdata")).alias("t")).collect()] == ["v=spf1", "é.com", None]

@@ -4,7 +4,7 @@ comes from the launcher; nothing here sets a master.
 
   python -m zonelens silver --bronze PATH --silver PATH [--tenant T] [--rejects PATH]
   python -m zonelens silver-split --bronze PATH --silver PATH --tenant T
-  python -m zonelens gold --silver PATH --gold PATH [--tenant T] [--start D] [--end D] [--suffix-list FILE]
+  python -m zonelens gold --silver PATH --gold PATH --suffix-list FILE [--tenant T] [--start D] [--end D]
   python -m zonelens report NAME --silver PATH --tenant T [--limit N] [--out PATH]
   python -m zonelens dashboard --gold PATH --tenant T --date D [--out PATH]
 """
@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 
 from zonelens.plans import jobs
 from zonelens.session import RECOMMENDED_CONF, ensure_checkpoint_dir
-from zonelens.sources.dims import suffix_rules, suffix_rules_from_text
+from zonelens.sources.dims import suffix_rules_from_text
 
 
 def _session() -> SparkSession:
@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--tenant")
     g.add_argument("--start")
     g.add_argument("--end")
-    g.add_argument("--suffix-list", help="public-suffix list file (default: built-in seed)")
+    g.add_argument("--suffix-list", required=True, help="public-suffix list file")
 
     r = sub.add_parser("report", help="one of the six reports for a tenant")
     r.add_argument("name")
@@ -73,13 +73,13 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = _session()
     if a.cmd == "silver":
-        jobs.run_silver(spark, a.bronze, a.silver, a.tenant, reject_path=a.rejects,
-                        segment_index=a.segment_index, key_root=a.key_root)
+        print(json.dumps(jobs.run_silver(spark, a.bronze, a.silver, a.tenant, reject_path=a.rejects,
+                                         segment_index=a.segment_index, key_root=a.key_root)))
     elif a.cmd == "silver-split":
         print(json.dumps(jobs.run_silver_split(spark, a.bronze, a.silver, a.tenant)))
     elif a.cmd == "gold":
-        rules = suffix_rules_from_text(spark, a.suffix_list) if a.suffix_list else suffix_rules(spark)
-        print(json.dumps(jobs.run_gold(spark, a.silver, a.gold, a.tenant, a.start, a.end, rules)))
+        rules = suffix_rules_from_text(spark, a.suffix_list)
+        print(json.dumps(jobs.run_gold(spark, a.silver, a.gold, rules, a.tenant, a.start, a.end)))
     else:
         df = (
             jobs.run_report(spark, a.silver, a.name, a.tenant, a.limit)

@@ -70,6 +70,3 @@ TEMPLATE_LIMIT_MAX = 10_000
 MISSING_PLACEHOLDER = "-"
 
 # Labels of the long-form gold tables.
-ENTROPY_TYPES = ("qname", "subdomain")
-TOPN_TYPES = ("top_qnames", "top_root_domains", "high_entropy")
-BREAKDOWN_TYPES = ("rcode_breakdown", "qtype_breakdown")

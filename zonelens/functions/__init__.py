@@ -1,6 +1,6 @@
 """Column -> Column building blocks (all native Catalyst expressions)."""
 
-from zonelens.functions.bins import bins_literal, entropy_bin, entropy_bin_ord, equal_width_index, intent
+from zonelens.functions.bins import bins_literal, entropy_bin, equal_width_index, intent
 from zonelens.functions.entropy import entropy_bits, entropy_norm, entropy_of_clean, entropy_raw, entropy_stripped
 from zonelens.functions.names import (
     clean_host,
@@ -26,7 +26,6 @@ __all__ = [
     "day_of_week",
     "domain_suffix_stats",
     "entropy_bin",
-    "entropy_bin_ord",
     "entropy_bits",
     "entropy_norm",
     "entropy_of_clean",

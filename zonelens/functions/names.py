@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from zonelens.config import HIGH_ENTROPY_THRESHOLD, LONG_NAME_LENGTH
+from zonelens.config import HIGH_ENTROPY_THRESHOLD
 
 
 def col_of(c: Column | str) -> Column:
@@ -54,60 +54,51 @@ def name_length(c: Column | str) -> Column:
 
 def label_lengths(c: Column | str) -> Column:
     """Lengths of the non-empty dot-separated labels."""
-    labels = F.filter(F.split(col_of(c), r"\."), lambda x: x != F.lit(""))
-    return F.transform(labels, lambda x: F.length(x))
+    return F.array_compact(F.transform(F.split(col_of(c), r"\."), lambda x: F.nullif(F.length(x), F.lit(0))))
 
 
 def label_length_stats(c: Column | str) -> dict[str, Column]:
-    """max / min / mean of the non-empty label lengths; NULL when there is none."""
+    """Label lengths, their extremes and mean (NULL without labels): array functions over one array.
+
+    The labels' lengths add up to the name's length without its dots.
+    """
     lengths = label_lengths(c)
-    has = F.size(lengths) > 0
-    total = F.aggregate(lengths, F.lit(0), lambda acc, x: acc + x)
+    letters = F.length(F.translate(col_of(c), ".", ""))
     return {
         "qname_label_lengths": lengths,
-        "qname_label_len_max": F.when(has, F.array_max(lengths)),
-        "qname_label_len_min": F.when(has, F.array_min(lengths)),
-        "qname_label_len_mean": F.when(has, total / F.size(lengths)),
+        "qname_label_len_max": F.array_max(lengths),
+        "qname_label_len_min": F.array_min(lengths),
+        "qname_label_len_mean": letters / F.nullif(F.size(lengths), F.lit(0)),
     }
 
 
 def domain_suffix_stats(domain: Column | str, suffix: Column | str) -> dict[str, Column]:
-    """Mean / max / min of the domain and suffix lengths, ignoring empty ones."""
-    dl = F.length(F.coalesce(col_of(domain), F.lit("")))
-    sl = F.length(F.coalesce(col_of(suffix), F.lit("")))
-    non_empty = F.when(dl > 0, 1).otherwise(0) + F.when(sl > 0, 1).otherwise(0)
+    """Mean, largest (0 without any) and smallest length of those of domain and suffix that are there."""
+    parts = [col_of(domain), col_of(suffix)]
+    lengths = F.array_compact(F.array(*[F.nullif(F.length(p), F.lit(0)) for p in parts]))
     return {
-        "domain_suffix_len_mean": F.when(non_empty > 0, (dl + sl) / non_empty),
-        "domain_suffix_len_max": F.greatest(dl, sl),
-        "domain_suffix_len_min": F.least(F.when(dl > 0, dl), F.when(sl > 0, sl)),
+        "domain_suffix_len_mean": F.length(F.concat_ws("", *parts)) / F.nullif(F.size(lengths), F.lit(0)),
+        "domain_suffix_len_max": F.coalesce(F.array_max(lengths), F.lit(0)),
+        "domain_suffix_len_min": F.array_min(lengths),
     }
 
 
 def subdomain_label_count(sub: Column | str, remove_wildcards: bool = False) -> Column:
-    """Labels in a subdomain after cleaning.
+    """Labels of a subdomain, counted as runs between dots; NULL, blank and the text "null" have none.
 
-    NULL, blank or the text "null" count 0; dots are collapsed; optionally
-    ``*`` labels are not counted.
+    With ``remove_wildcards`` labels that are a lone ``*`` do not count.
     """
-    s = col_of(sub)
-    base = F.when(s.isNull() | (F.lower(s) == F.lit("null")), F.lit(None)).otherwise(F.trim(s))
-
-    def keep(x: Column) -> Column:
-        cond = x != F.lit("")
-        return cond & (x != F.lit("*")) if remove_wildcards else cond
-
-    labels = F.filter(F.split(F.lower(base), r"\.+"), keep)
-    return F.when(base.isNull() | (F.length(base) == 0), F.lit(0)).otherwise(F.size(labels))
+    text = F.nullif(F.lower(col_of(sub)), F.lit("null"))
+    count = F.regexp_count(F.trim(text), F.lit("[^.]+"))
+    if remove_wildcards:
+        count = count - F.regexp_count(F.trim(text), F.lit(r"(?<![^.])\*(?![^.])"))
+    return F.coalesce(count, F.lit(0))
 
 
 def is_high_entropy(entropy: Column | str, threshold: float = HIGH_ENTROPY_THRESHOLD) -> Column:
     return col_of(entropy) >= F.lit(threshold)
 
 
-def is_long_name(length: Column | str, limit: int = LONG_NAME_LENGTH) -> Column:
-    return col_of(length) > F.lit(limit)
-
-
 def hour_of_day(ts: Column | str) -> Column:
     return F.hour(col_of(ts))
 

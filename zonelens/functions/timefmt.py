@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 # ISO-8601 without zone; the fraction is optional (the writer leaves it out at whole seconds).
 ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
-# Largest absolute epoch second accepted (year ~5138); beyond it the value is junk.
-_MAX_EPOCH_SECONDS = 1e11
+# Unix time as text: by size it is in seconds, milliseconds or microseconds. Fixed values:
+# below 1e11 seconds (year 5138), below 1e14 milliseconds, below 1e17 microseconds.
+EPOCH_UNITS = ((1e11, 1_000_000), (1e14, 1_000), (1e17, 1))
 
 
 def parse_event_ts(c: Column) -> Column:
-    """ISO-8601 text (micros optional), else Unix seconds as text (fraction kept), else NULL."""
+    """ISO-8601 text (micros optional), else Unix time as text (see ``EPOCH_UNITS``; fraction kept), else NULL."""
     iso = F.try_to_timestamp(c, F.lit(ISO_PATTERN))
-    secs = c.try_cast("double")
-    epoch = F.when(F.abs(secs) < F.lit(_MAX_EPOCH_SECONDS), F.timestamp_micros(F.round(secs * 1_000_000).cast("long")))
-    return F.coalesce(iso, epoch)
+    number = c.try_cast("double")
+    micros = F.coalesce(*[F.when(F.abs(number) < F.lit(limit), F.round(number * factor)) for limit, factor in EPOCH_UNITS])
+    return F.coalesce(iso, F.timestamp_micros(micros.cast("long")))
 
 
 def epoch_to_iso(epoch_seconds: Column) -> Column:

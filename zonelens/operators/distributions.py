@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 
 from zonelens import functions as Z
 from zonelens.config import ENTROPY_BINS, HIGH_ENTROPY_BIN_FLOOR
-from zonelens.operators.joins import bounded_broadcast
 
-# Keys (e.g. tenants x days) whose min/max rows may be broadcast for equal-width bins.
-MAX_STAT_KEYS = 1_000_000
 
 KEYS = ("tenant", "event_date")
 
@@ -132,11 +129,8 @@ def equal_width_histogram(df: DataFrame, value_col: str, k: int = 10, keys: tupl
     # after the aggregation.
     data = df
     stats = data.groupBy(*keys).agg(F.min(v).cast("double").alias("__lo"), F.max(v).cast("double").alias("__hi"))
-    # One stats row per key: broadcast when the key count is within the bound, so
-    # the data is never shuffled by key (a tenant may hold a third of the rows).
-    # Persisted first, so the size check and the join share one computation
-    # (a lost cached block is recomputed from lineage).
-    stats, _ = bounded_broadcast(stats.persist(), MAX_STAT_KEYS)
+    # One stats row per key: adaptive execution broadcasts them once their size is
+    # known, or else splits the partition of a hot key.
     binned = data.join(stats, on=list(keys), how="inner").withColumn(
         "__idx", Z.equal_width_index(v.cast("double"), F.col("__lo"), F.col("__hi"), k)
     )

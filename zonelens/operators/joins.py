@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +33,14 @@ def _check_key(df: DataFrame) -> tuple | None:
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` when it holds at most ``max_rows`` rows, else leave it for a shuffle join.
 
-    The check reads at most ``max_rows + 1`` rows (a bounded action on a
-    dimension, never on a fact table); its result is reused within the
-    application for the same plan over the same files. Returns the DataFrame to
+    The check counts a dimension (never a fact table) where its rows are; its
+    result is reused within the application for the same plan over the same files. Returns the DataFrame to
     join with and whether it was broadcast.
     """
     key = _check_key(df)
     n = _CHECKED.get(key) if key is not None else None
     if n is None:
-        n = df.limit(max_rows + 1).count()
+        n = df.count()
         if key is not None:
             _CHECKED[key] = n
     if n <= max_rows:
@@ -46,69 +48,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     return df, False
 
 
-# Salt buckets for join-backs on keys that may be hot (a root domain, a name, an id).
-DEFAULT_SALT_BUCKETS = 16
-# Per-key results up to this many rows and bytes are broadcast instead of shuffled.
-DEFAULT_JOIN_BACK_BROADCAST_ROWS = 1_000_000
-DEFAULT_JOIN_BACK_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-# Per-key sides persisted by join_back, released by release_join_back_caches().
-_PERSISTED: list[DataFrame] = []
-
-
-def track_cache(df: DataFrame) -> DataFrame:
-    """Persist a small intermediate of a run and register it for ``release_join_back_caches``."""
-    cached = df.persist()
-    _PERSISTED.append(cached)
-    return cached
-
-
-def release_join_back_caches() -> int:
-    """Unpersist every intermediate cached for the run (join-back sides, daily
-    summaries); call after the job's writes."""
-    n = len(_PERSISTED)
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-    return n
-
-
-def materialised_size_bytes(df: DataFrame) -> int:
-    """Size of a persisted DataFrame as measured by its cached batches (call after an action)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def join_back(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str] | tuple[str, ...],
-    how: str = "left",
-    salt_buckets: int = DEFAULT_SALT_BUCKETS,
-    broadcast_max_rows: int = DEFAULT_JOIN_BACK_BROADCAST_ROWS,
-    broadcast_max_bytes: int = DEFAULT_JOIN_BACK_BROADCAST_BYTES,
-) -> DataFrame:
+def join_back(left: DataFrame, right: DataFrame, keys: list[str] | tuple[str, ...], how: str = "left") -> DataFrame:
     """Join per-key results (``right``: at most one row per key) back onto ``left``.
 
-    ``right`` is persisted (it is an aggregate of ``left``, computed once) and
-    counted up to ``broadcast_max_rows + 1`` rows; within that bound and, by
-    its measured cached size, within ``broadcast_max_bytes``, it is broadcast
-    and ``left`` is not shuffled at all. Beyond it, a hot key on
-    ``left`` is split over ``salt_buckets`` tasks: each left row gets a
-    deterministic salt from a hash of its own columns and ``right`` is
-    replicated once per salt value, so every left row still meets exactly its
-    one right row. ``salt_buckets <= 1`` leaves skew handling to AQE.
+    No action runs while the plan is built and nothing is cached: adaptive
+    execution broadcasts ``right`` if it turns out small, and otherwise splits
+    the partitions of ``left`` that a hot key fills (skew join), leaving the
+    others as they are.
     """
-    keys = list(keys)
-    if broadcast_max_rows > 0:
-        cached = right.persist()
-        _PERSISTED.append(cached)
-        small, ok = bounded_broadcast(cached, broadcast_max_rows)
-        if ok and materialised_size_bytes(cached) <= broadcast_max_bytes:
-            return left.join(small, on=keys, how=how)
-        right = cached
-    if salt_buckets <= 1:
-        return left.join(right, on=keys, how=how)
-    salt = "__salt"
-    salted_left = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt_buckets)))
-    salted_right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)).cast("array<bigint>")))
-    return salted_left.join(salted_right, on=[*keys, salt], how=how).drop(salt)
+    return left.join(right, on=list(keys), how=how)
+
+
+def join_records(left: DataFrame, right: DataFrame, keys: list[str] | tuple[str, ...], how: str = "left") -> DataFrame:
+    """Join two tables with at most one row per key, where a missing key (a day that could not be read) meets itself."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(and_, [left[k].eqNullSafe(named[f"__right_{k}"]) for k in keys])
+    return left.join(named, same, how).drop(*[f"__right_{k}" for k in keys])

@@ -22,6 +22,7 @@ from zonelens.config import (
     NXDOMAIN_ALERT,
     NXDOMAIN_RCODE,
 )
+from zonelens.operators.joins import join_records
 
 KEYS = ("tenant", "event_date")
 
@@ -123,9 +124,8 @@ def build_base_kpis(
     """
     base = summary if summary is not None else _aggregate(enriched, keys, base_measures(approx, rsd))
     # Three one-row-per-key results joined on the keys (small; AQE broadcasts them).
-    out = base.join(max_entropy_names(enriched, keys), on=list(keys), how="left").join(
-        src_ip_counts(rows, keys, approx=approx, rsd=rsd), on=list(keys), how="left"
-    )
+    out = join_records(base, max_entropy_names(enriched, keys), keys)
+    out = join_records(out, src_ip_counts(rows, keys, approx=approx, rsd=rsd), keys)
     return out.select(
         *keys,
         "total_queries",
@@ -250,10 +250,8 @@ def build_gold_aggregates(
     agg = summary if summary is not None else _aggregate(enriched, keys, measures)
     agg = agg.select(*keys, *measures)
     total = F.col("total_queries")
-    out = (
-        agg.join(max_entropy_names(enriched, keys), on=list(keys), how="left")
-        .join(src_ip_counts(rows, keys), on=list(keys), how="left")
-    ).withColumns(
+    out = join_records(join_records(agg, max_entropy_names(enriched, keys), keys), src_ip_counts(rows, keys), keys)
+    out = out.withColumns(
         {
             "unique_src_ips": F.coalesce("unique_src_ips", F.lit(0)).cast("long"),
             "high_entropy_query_ratio": F.col("high_entropy_query_count") / total,
@@ -288,11 +286,9 @@ def build_wide_gold(enriched: DataFrame, rows: DataFrame, keys=KEYS, summary: Da
     from zonelens.operators.distributions import entropy_histograms_wide
     from zonelens.operators.rankings import top_qnames_pairs
 
-    return (
-        build_gold_aggregates(enriched, rows, keys, summary=summary)
-        .join(top_qnames_pairs(enriched, keys=keys), on=list(keys), how="left")
-        .join(entropy_histograms_wide(enriched, keys, summary=summary), on=list(keys), how="left")
-    )
+    out = build_gold_aggregates(enriched, rows, keys, summary=summary)
+    out = join_records(out, top_qnames_pairs(enriched, keys=keys), keys)
+    return join_records(out, entropy_histograms_wide(enriched, keys, summary=summary), keys)
 
 
 def build_dashboard(
@@ -314,4 +310,6 @@ def build_dashboard(
     d = breakdowns.groupBy(*kcols).agg(
         F.sort_array(F.collect_list(F.struct("breakdown_type", "breakdown"))).alias("breakdowns")
     )
-    return b.join(r, kcols, "left").join(h, kcols, "left").join(t, kcols, "left").join(d, kcols, "left")
+    for part in (r, h, t, d):
+        b = join_records(b, part, kcols)
+    return b

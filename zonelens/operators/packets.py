@@ -35,15 +35,19 @@ def is_dns_packet(proto_name: Column, sport: Column, dport: Column, include_tcp:
     return F.coalesce(proto_name.isin(*protos) & ((sport == DNS_PORT) | (dport == DNS_PORT)), F.lit(False))
 
 
+def lenient_text(data: Column) -> Column:
+    """Bytes as text; those that are not UTF-8 are left out (with any replacement characters)."""
+    return F.translate(F.make_valid_utf8(data.cast("string")), "\ufffd", "")
+
+
 def _starts(payload: Column, prefix: bytes) -> Column:
     return F.substring(payload, 1, len(prefix)) == F.lit(bytearray(prefix))
 
 
 def add_services(df: DataFrame, services: DataFrame) -> DataFrame:
     """P5: src_service / dst_service for TCP and UDP ports 1..1023 from the services dimension."""
-    dim, ok = bounded_broadcast(services.select("proto", "port", "service"), MAX_SERVICE_ROWS)
-    if not ok:
-        raise ValueError(f"services dimension exceeds {MAX_SERVICE_ROWS} rows")
+    # Beyond the bound the lookup is an ordinary (shuffle) join.
+    dim, _ = bounded_broadcast(services.select("proto", "port", "service"), MAX_SERVICE_ROWS)
     proto_l = F.lower(F.col("ip_protocol"))
     out = df
     for side in ("src", "dst"):
@@ -74,7 +78,8 @@ def classify_packets(packets: DataFrame, services: DataFrame) -> DataFrame:
     is_resp = _starts(payload, b"HTTP")
     dns = is_dns_packet(name, F.col("src_port"), F.col("dst_port"), include_tcp=True)
     http = tcp & F.coalesce(is_req | is_resp, F.lit(False))
-    words = F.split(F.decode(payload, "UTF-8"), " ")
+    # Only the text up to the second blank is read: the first line's method or version, and path or status.
+    words = F.split(lenient_text(F.substring_index(payload.cast("string"), " ", 2)), " ")
     out = p.select(
         epoch_to_iso(F.col("epoch")).alias("timestamp"),
         "src_ip",
@@ -110,14 +115,13 @@ def render_rdata(rtype: Column, rdata: Column, txt_chunks: Column | None = None)
     """Answer data as text by record type.
 
     A (1) / AAAA (28): the address as is; NS (2) / CNAME (5) / PTR (12): the
-    name decoded as UTF-8; TXT (16): the character-strings joined then decoded;
-    any other type: the data as text. ``rdata`` may be binary or text; a byte
-    that is not UTF-8 becomes U+FFFD (the decoder replaces instead of dropping).
+    name as UTF-8; TXT (16): the character-strings joined, then read; any other
+    type: the data as text. ``rdata`` may be binary or text; bytes that are not
+    UTF-8 are left out.
     """
-    as_text = F.decode(rdata.cast("binary"), "UTF-8")
-    txt = as_text
-    if txt_chunks is not None:
-        joined = F.aggregate(txt_chunks, F.lit(bytearray(b"")), lambda acc, x: F.concat(acc, x))
-        txt = F.when(txt_chunks.isNotNull(), F.decode(joined, "UTF-8")).otherwise(as_text)
-    # Addresses and names are already text once decoded; only TXT joins its chunks first.
-    return F.when(rtype == 16, txt).otherwise(as_text)
+    as_text = lenient_text(rdata.cast("binary"))
+    if txt_chunks is None:
+        return as_text
+    joined = F.aggregate(txt_chunks, F.lit(bytearray(b"")), lambda acc, x: F.concat(acc, x))
+    # Addresses and names are already text; only TXT joins its chunks first.
+    return F.when((rtype == 16) & txt_chunks.isNotNull(), lenient_text(joined)).otherwise(as_text)

@@ -67,9 +67,8 @@ def add_domain_parts(
     from ``rules``. ``prefix`` is put in front of the output column names.
     """
     depth = (max_depth or rule_depth(rules)) + 1
-    lookup, broadcast_ok = bounded_broadcast(rule_lookup(rules), MAX_RULES)
-    if not broadcast_ok:
-        raise ValueError(f"suffix rule dimension exceeds {MAX_RULES} rows")
+    # Beyond the bound the probes are ordinary (shuffle) joins.
+    lookup, _ = bounded_broadcast(rule_lookup(rules), MAX_RULES)
 
     tmp = "__dp_"
     h = F.col(f"{tmp}h")

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonelens.config import HIGH_ENTROPY_THRESHOLD
-from zonelens.functions.keys import key_parts
+from zonelens.functions.keys import with_key_parts
 from zonelens.operators import distributions as D
 from zonelens.operators import features as G
 from zonelens.operators import kpis as K
@@ -23,6 +23,8 @@ from zonelens.operators import packets as P
 from zonelens.operators import rankings as N
 from zonelens.operators import silver as S
 from zonelens.operators import templates as TPL
+from zonelens.plans import jobs
+from zonelens.session import cut_lineage
 from zonelens.sources.bronze import derived_bronze
 from zonelens.sources.derived import derived_answer_records, derived_object_keys, derived_packets
 from zonelens.sources.dims import rule_text_depth, services, suffix_rules
@@ -68,8 +70,6 @@ def q_risk_kpis(spark, sf_dir):
 
 
 def q_base_kpis(spark, sf_dir):
-    from zonelens.session import cut_lineage
-
     # Two branches read the rollup (the aggregation and the max-entropy name):
     # checkpoint it so the message rows are scanned and rolled up once.
     return round_doubles(K.build_base_kpis(cut_lineage(enriched(spark, sf_dir)), rows(spark, sf_dir)))
@@ -177,6 +177,10 @@ def oracle_sql() -> dict[str, str]:
     sql.update(O.silver_sql())
     sql.update(O.packets_sql())
     sql["object_keys"] = O.object_keys_sql()
+    sql["gold_wide"] = O.gold_wide_sql()
+    sql["has_answer_within"] = O.has_answer_within_sql()
+    sql["bronze_messages"] = O.bronze_messages_sql()
+    sql["window_cardinality_approx"] = O.window_cardinality_approx_sql()
     sql["render_rdata"] = O.render_rdata_sql()
     sql["window_cardinality_rows"] = O.window_cardinality_rows_sql()
     return sql
@@ -184,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
 
 # --- wide gold, dashboard, gold record ------------------------------------------
 
+# Fixed value: the wide record's columns.
 WIDE_SCALARS = [
     "tenant", "event_date", "total_queries", "unique_qnames", "unique_root_domains", "unique_subdomains",
     "unique_src_ips", "avg_qname_entropy", "max_qname_entropy", "avg_subdomain_entropy", "max_subdomain_entropy",
@@ -193,15 +198,32 @@ WIDE_SCALARS = [
 ]
 
 
+def answered_silver(spark, sf_dir):
+    """The bronze-to-silver job's rows with ``has_answer``; checkpointed, as every gold table reads them."""
+    return cut_lineage(jobs.mark_answers(cut_lineage(_silver(spark, sf_dir))))
+
+
+def gold_run(spark, sf_dir):
+    """Bronze -> silver -> gold: every gold table of the derived messages."""
+    return jobs.gold_tables(answered_silver(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)
+
+
 def q_gold_wide_scalars(spark, sf_dir):
-    return round_doubles(K.build_gold_aggregates(enriched(spark, sf_dir), rows(spark, sf_dir)).select(*WIDE_SCALARS))
+    return round_doubles(gold_run(spark, sf_dir)["daily_aggregates"].select(*WIDE_SCALARS))
 
 
-def q_gold_wide(spark, sf_dir):
-    from zonelens.plans.jobs import gold_tables as checkpointed_gold
+def _pairs_text(column: str, name: str) -> Column:
+    return F.array_join(F.transform(column, lambda x: F.concat_ws("=", x[name], x["count"].cast("string"))), ",")
+
 
-    # The wide record reads the enriched rollup three times: use the checkpointed gold run.
-    return round_doubles(checkpointed_gold(rows(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)["daily_aggregates"])
+def q_gold_wide(spark, sf_dir):
+    """The wide record, its lists as text."""
+    return round_doubles(gold_run(spark, sf_dir)["daily_aggregates"]).select(
+        *WIDE_SCALARS,
+        _pairs_text("top_qnames", "qname").alias("top_qnames"),
+        _pairs_text("qname_entropy_histogram", "bin").alias("qname_histogram"),
+        _pairs_text("subdomain_entropy_histogram", "bin").alias("subdomain_histogram"),
+    )
 
 
 def q_gold_top_qnames_flat(spark, sf_dir):
@@ -222,10 +244,7 @@ def q_hist_wide_flat(spark, sf_dir):
 
 
 def q_dashboard(spark, sf_dir):
-    from zonelens.plans.jobs import gold_tables as checkpointed_gold
-
-    # Five tables read the enriched rollup: build them from the checkpointed gold run.
-    g = checkpointed_gold(rows(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)
+    g = gold_run(spark, sf_dir)
     return K.build_dashboard(g["base_kpis"], g["risk_kpis"], g["histograms"], g["topn"], g["breakdowns"])
 
 
@@ -308,7 +327,7 @@ def q_time_features(spark, sf_dir):
 
 
 def q_window_cardinality(spark, sf_dir):
-    agg = G.subdomain_cardinality_window(enriched_rows(spark, sf_dir), group_cols=("tenant",), join_back=False)
+    agg = G.windowed_subdomain_counts(enriched_rows(spark, sf_dir), by=("tenant",))
     return agg.select(
         "tenant", "root_domain", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "root_subdomain_cardinality_window",
@@ -316,9 +335,7 @@ def q_window_cardinality(spark, sf_dir):
 
 
 def q_window_cardinality_sliding(spark, sf_dir):
-    agg = G.subdomain_cardinality_window(
-        enriched_rows(spark, sf_dir), window_duration="2 days", slide_duration="1 day", join_back=False
-    )
+    agg = G.windowed_subdomain_counts(enriched_rows(spark, sf_dir), width="2 days", step="1 day")
     return agg.select(
         "root_domain", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "root_subdomain_cardinality_window",
@@ -326,10 +343,12 @@ def q_window_cardinality_sliding(spark, sf_dir):
 
 
 def q_window_cardinality_approx(spark, sf_dir):
-    agg = G.subdomain_cardinality_window(
-        enriched_rows(spark, sf_dir), group_cols=("tenant",), use_approx=True, join_back=False
-    )
-    return agg.select("tenant", "root_domain", F.col("window.start").alias("window_start"), "root_subdomain_cardinality_window")
+    """Approximate counts beside the exact ones, and whether they are within three standard errors (and one) of them."""
+    rows, keys, rsd = enriched_rows(spark, sf_dir), ["tenant", "root_domain", "window"], 0.05
+    near = G.windowed_subdomain_counts(rows, by=("tenant",), max_error=rsd).withColumnRenamed(G.WINDOW_COUNT, "near")
+    both = G.windowed_subdomain_counts(rows, by=("tenant",)).join(near, keys)
+    within = F.abs(F.col("near") - F.col(G.WINDOW_COUNT)) <= F.greatest(3 * rsd * F.col(G.WINDOW_COUNT), F.lit(1.0))
+    return both.select("tenant", "root_domain", F.col("window.start").alias("window_start"), G.WINDOW_COUNT, within.alias("within_bound"))
 
 
 def q_subdomain_map(spark, sf_dir):
@@ -441,11 +460,19 @@ def _flat(spark, sf_dir):
 
 
 def _silver(spark, sf_dir):
-    return S.convert_to_silver(S.flatten_messages(derived_bronze(spark, sf_dir)))
+    return jobs.bronze_to_silver(derived_bronze(spark, sf_dir))
+
+
+def _fields_text(column: str, names: tuple[str, ...]) -> Column:
+    part = lambda x: F.concat_ws(":", *[F.coalesce(x[n].cast("string"), F.lit("")) for n in names])
+    return F.array_join(F.transform(column, lambda x: part(x)), "|")
 
 
 def q_bronze_messages(spark, sf_dir):
-    return derived_bronze(spark, sf_dir)
+    """Bronze messages, their questions and answers as text."""
+    df = derived_bronze(spark, sf_dir)
+    questions = _fields_text("questions", ("qname", "qtype", "qclass"))
+    return df.withColumns({"questions": questions, "answers": _fields_text("answers", ("rrname", "rtype", "rclass", "ttl", "rdata"))})
 
 
 def q_event_time(spark, sf_dir):
@@ -474,15 +501,15 @@ def q_flatten_messages(spark, sf_dir):
 
 
 def q_explode_normalise(spark, sf_dir):
-    df = S.explode_and_normalise(derived_bronze(spark, sf_dir), "answers", ["rrname", "rtype", "rdata", "ttl"])
+    df = S.elements_as_text(derived_bronze(spark, sf_dir), "answers", ["rrname", "rtype", "rdata", "ttl"], key="rrname")
     return df.select("tenant", "id", "qr", "rrname", "rtype", "rdata", "ttl")
 
 
 def q_standardize_schema(spark, sf_dir):
-    df = S.standardize_schema(
+    df = S.cast_columns(
         derived_bronze(spark, sf_dir),
         {"timestamp": "timestamp", "src_port": "string", "id": "bigint", "qdcount": "double", "absent": "int"},
-        timestamp_formats={"timestamp": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+        patterns={"timestamp": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
     )
     return df.select("tenant", "timestamp", "src_port", "id", "qdcount")
 
@@ -503,8 +530,6 @@ def q_silver(spark, sf_dir):
 
 
 def q_has_answer(spark, sf_dir):
-    from zonelens.session import cut_lineage
-
     # Questions and answers both come from the deduplicated silver: checkpoint it once.
     silver = cut_lineage(_silver(spark, sf_dir))
     questions, answers = S.split_dataset(silver)
@@ -512,6 +537,11 @@ def q_has_answer(spark, sf_dir):
     return marked.select("tenant", "event_date", "id", "qname", F.col("has_answer").cast("int").alias("has_answer"))
 
 
+def q_has_answer_within(spark, sf_dir):
+    marked = answered_silver(spark, sf_dir).where("qr = 0 AND qname IS NOT NULL")
+    return marked.select("tenant", "event_date", "id", "qname", F.col("has_answer").cast("int").alias("has_answer"))
+
+
 def q_silver_questions(spark, sf_dir):
     return S.drop_null_qname(_silver(spark, sf_dir)).select(*S.SILVER_COLUMNS, "name")
 
@@ -531,6 +561,7 @@ QUERIES.update(
         "dedupe_hash": q_dedupe_hash,
         "silver": q_silver,
         "has_answer": q_has_answer,
+        "has_answer_within": q_has_answer_within,
         "silver_questions": q_silver_questions,
     }
 )
@@ -560,7 +591,7 @@ def q_dns_packets(spark, sf_dir):
 
 def q_object_keys(spark, sf_dir):
     keys = derived_object_keys(spark, sf_dir)
-    return keys.select("object_key", *[c.alias(n) for n, c in key_parts(F.col("object_key")).items()])
+    return with_key_parts(keys, "object_key").select("object_key", "tenant", "rest", "bronze_key", "reject_reason")
 
 
 QUERIES.update(
@@ -602,7 +633,7 @@ QUERIES = {name: _in_utc(fn) for name, fn in QUERIES.items()}
 
 def q_window_cardinality_rows(spark, sf_dir):
     """G4 joined back: every row with a root and subdomain gets its (tenant, root, day) count."""
-    df = G.subdomain_cardinality_window(enriched_rows(spark, sf_dir), group_cols=("tenant",), join_back=True)
+    df = G.add_windowed_subdomain_counts(enriched_rows(spark, sf_dir), by=("tenant",))
     return df.select("tenant", "id", "qname", "root_domain", "root_subdomain_cardinality_window")
 
 

@@ -23,32 +23,53 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.functions.keys import key_parts
+from zonelens import functions as Z
+from zonelens.functions.keys import with_key_parts
 from zonelens.operators import distributions as D
 from zonelens.operators import features as G
 from zonelens.operators import kpis as K
 from zonelens.operators import rankings as N
 from zonelens.operators import silver as S
-from zonelens.operators.joins import release_join_back_caches, track_cache
 from zonelens.session import cut_lineage
 from zonelens.sources import lake
 from zonelens.sources.bronze import read_bronze
-from zonelens.sources.dims import suffix_rules
 
 GOLD_TABLES = ("base_kpis", "risk_kpis", "histograms", "topn", "breakdowns")
 TYPE_COLUMNS = {"histograms": "entropy_type", "topn": "topN_type", "breakdowns": "breakdown_type"}
 
 
+# A reply within this time answers its query.
+ANSWER_SECONDS = 5.0
+
+
+def with_tenant(bronze: DataFrame, tenant: str | None = None, segment_index: int = 0, key_root: str = "") -> DataFrame:
+    """Bronze with ``tenant``: the given one, or (unless it is there) that of each file's object key (S7);
+    rows of rejected keys have none."""
+    if tenant is not None:
+        return bronze.withColumn("tenant", F.lit(tenant))
+    if "tenant" in bronze.columns:
+        return bronze
+    root = "^" + re.escape(key_root) if key_root else r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+[^/]*/"
+    keyed = bronze.withColumn("__object", F.regexp_replace("source_file", root, ""))
+    return with_key_parts(keyed, "__object", segment_index).drop("__object", "rest", "bronze_key", "reject_reason")
+
+
 def bronze_to_silver(bronze: DataFrame, tenant: str | None = None, segment_index: int = 0, key_root: str = "") -> DataFrame:
-    """Bronze messages -> silver rows. Without ``tenant`` the tenant comes from each
-    file's object key (S7); rows of rejected keys keep a NULL tenant."""
-    df, _rejects = S.split_corrupt(bronze)
-    if tenant is None and "tenant" not in df.columns:
-        root = "^" + re.escape(key_root) if key_root else r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+[^/]*/"
-        key = F.regexp_replace(F.col("source_file"), root, "")
-        df = df.withColumn("tenant", key_parts(key, segment_index)["tenant"])
-    df = S.drop_empty_queries(df)
-    return S.convert_to_silver(S.flatten_messages(df), tenant)
+    """Well-formed bronze messages -> silver rows (queries without a question are left out)."""
+    good, _ = S.split_corrupt(bronze)
+    messages = S.drop_empty_queries(with_tenant(good, tenant, segment_index, key_root))
+    return S.convert_to_silver(S.flatten_messages(messages))
+
+
+def split_rejects(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(well-formed messages, rejects): malformed lines, lines with a badly typed field, and unreadable times."""
+    good, bad = S.split_corrupt(bronze)
+    unread = F.col("timestamp").isNotNull() & Z.parse_event_ts(F.col("timestamp")).isNull()
+    reason = F.lit("malformed line").alias("reject_reason")
+    timeless = good.where(unread).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    columns = [c for c in bronze.columns if c != "_corrupt_record"]
+    rejects = bad.select(*columns, "_corrupt_record", reason)
+    return good, rejects.unionByName(timeless.select(*columns, "_corrupt_record", F.lit("unreadable time, kept without a day").alias("reject_reason")))
 
 
 def run_silver(
@@ -59,60 +80,87 @@ def run_silver(
     reject_path: str | None = None,
     idempotent: bool = True,
     **key_opts,
-) -> None:
-    """Bronze folder -> appended silver; malformed lines go to ``reject_path`` (JSON) when given.
+) -> dict[str, int]:
+    """Bronze folder -> appended silver, and rejects as JSON under ``reject_path``
+    (``<silver_path>_rejects`` unless given). Returns how many lines were read,
+    malformed, well-formed and without a readable time: malformed + messages = lines.
 
     With ``idempotent`` rows already stored (same tenant, day and content
     hash) are not appended again, so re-running an object adds nothing.
     """
     bronze = read_bronze(spark, bronze_path)
-    if reject_path:
-        _, rejects = S.split_corrupt(bronze)
-        rejects.write.mode("append").json(reject_path)
+    good, rejects = split_rejects(bronze)
+    rejects.write.mode("append").json(reject_path or f"{silver_path.rstrip('/')}_rejects")
     silver = bronze_to_silver(bronze, tenant, **key_opts)
     if idempotent:
         silver = lake.without_existing(spark, silver, silver_path)
     lake.write_silver(silver, silver_path)
-    release_join_back_caches()
+    return _line_counts(bronze)
+
+
+def _line_counts(bronze: DataFrame) -> dict[str, int]:
+    """Lines by outcome, in one pass. All fields are read: a line is malformed by any of them."""
+    malformed = F.col("_corrupt_record").isNotNull()
+    unread = ~malformed & F.col("timestamp").isNotNull() & Z.parse_event_ts(F.col("timestamp")).isNull()
+    flags = bronze.select(malformed.alias("m"), unread.alias("u"), F.xxhash64(*bronze.columns).alias("all_fields"))
+    counts = {"lines": F.count("*"), "malformed": F.count_if("m"), "without_time": F.count_if("u"), "read": F.bit_xor("all_fields")}
+    row = flags.agg(*[c.alias(n) for n, c in counts.items()]).first()
+    return {"lines": row["lines"], "malformed": row["malformed"], "messages": row["lines"] - row["malformed"], "without_time": row["without_time"]}
 
 
 def run_silver_split(spark: SparkSession, bronze_path: str, silver_base: str, tenant: str) -> dict[str, str]:
-    """The job's two-table silver layout: ``questions`` (B2) and ``answers``
-    from one read of bronze with event time parsed once (B1), tenant tagged (B10)."""
-    bronze = S.add_event_date(read_bronze(spark, bronze_path, keep_corrupt=False)).withColumn("tenant", F.lit(tenant))
+    """The job's two-table silver layout: ``questions`` (B2) and ``answers`` (B3), event time
+    parsed once (B1), tenant tagged (B10); rejects beside them. The well-formed messages are
+    checkpointed, so the files are read once."""
+    base = silver_base.rstrip("/")
+    bronze = cut_lineage(read_bronze(spark, bronze_path))
+    good, rejects = split_rejects(bronze)
+    rejects.write.mode("append").json(f"{base}/rejects")
+    messages = S.add_event_date(S.drop_empty_queries(with_tenant(good, tenant)))
     out = {}
     for name, fn in (("questions", S.flatten_questions), ("answers", S.flatten_answers)):
-        path = f"{silver_base.rstrip('/')}/{name}"
-        lake.write_silver(fn(bronze), path)
-        out[name] = path
+        out[name] = f"{base}/{name}"
+        lake.write_silver(fn(messages), out[name])
     return out
 
 
+def mark_answers(silver: DataFrame, answer_seconds: float = ANSWER_SECONDS) -> DataFrame:
+    """Silver rows with ``has_answer`` (B11, time-bounded): 1 on questions that a reply answers, 0 on all others."""
+    questions, answers = S.split_dataset(silver)
+    marked = S.mark_answered_within(questions, answers, answer_seconds)
+    return marked.unionByName(answers.withColumn("has_answer", F.lit(0)))
+
+
 def gold_tables(
     silver: DataFrame,
     rules: DataFrame,
     checkpoint: bool = True,
-    answer_keys: tuple[str, ...] | None = None,
+    answer_seconds: float = ANSWER_SECONDS,
     max_depth: int | None = None,
 ) -> dict[str, DataFrame]:
-    """The five gold tables and the wide record from silver rows (not yet written)."""
+    """The five gold tables and the wide record from silver rows (not yet written).
+
+    A message with k answers is k silver rows and counts k times, as rows are
+    what the published measures count. Breakdowns count all rows, also those
+    without a name. Silver that already has ``has_answer`` keeps it.
+    """
+    if "has_answer" not in silver.columns:
+        silver = mark_answers(silver, answer_seconds)
     rows = S.drop_null_qname(silver)
-    if answer_keys:
-        _, answers = S.split_dataset(silver)
-        rows = S.mark_answered(rows, answers, answer_keys)
     enriched = G.add_name_features(K.rollup_names(rows), rules, max_depth=max_depth)
     if checkpoint:
         enriched = cut_lineage(enriched)
     # One aggregation of the rollup for every per-day measure (one row per
-    # tenant-day, cached for the run); each table is a projection of it.
-    summary = track_cache(K.daily_summary(enriched, extra=D.histogram_measures(enriched)))
+    # tenant-day, checkpointed); each table is a projection of it.
+    summary = K.daily_summary(enriched, extra=D.histogram_measures(enriched))
+    summary = cut_lineage(summary) if checkpoint else summary
     topn_flat = N.build_topn(enriched)
     return {
         "base_kpis": K.build_base_kpis(enriched, rows, summary=summary),
         "risk_kpis": K.build_risk_kpis(enriched, summary=summary),
         "histograms": D.entropy_histograms(enriched, summary=summary),
         "topn": N.pack_top_n(topn_flat),
-        "breakdowns": D.pack_breakdowns(D.breakdowns_flat(rows)),
+        "breakdowns": D.pack_breakdowns(D.breakdowns_flat(silver)),
         "daily_aggregates": K.build_wide_gold(enriched, rows, summary=summary),
     }
 
@@ -121,20 +169,21 @@ def run_gold(
     spark: SparkSession,
     silver_path: str,
     gold_path: str,
+    rules: DataFrame,
     tenant: str | None = None,
     start: str | None = None,
     end: str | None = None,
-    rules: DataFrame | None = None,
 ) -> dict[str, str]:
-    """Read silver (pruned), build and write every gold table; returns table -> path."""
+    """Read silver (pruned), build and write every gold table; returns table -> path.
+
+    ``rules`` are the public suffixes in force (names below unlisted ones have
+    no root domain); the built-in seed is for tests.
+    """
     silver = lake.read_partitioned(spark, silver_path, tenant, start, end)
-    tables = gold_tables(silver, rules if rules is not None else suffix_rules(spark))
     out = {}
-    for name, df in tables.items():
-        path = f"{gold_path.rstrip('/')}/{name}"
-        lake.write_gold(df, path, TYPE_COLUMNS.get(name))
-        out[name] = path
-    release_join_back_caches()
+    for name, df in gold_tables(silver, rules).items():
+        out[name] = f"{gold_path.rstrip('/')}/{name}"
+        lake.write_gold(df, out[name], TYPE_COLUMNS.get(name))
     return out
 
 

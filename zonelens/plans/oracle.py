@@ -90,16 +90,18 @@ def domain_parts_ctes(src: str, name: str) -> list[str]:
     ]
 
 
-def enriched_ctes() -> list[str]:
-    """CTEs ending in ``enr``: stand-in rows with a qname plus every gold name feature."""
-    ctes = [
-        f"dns AS ({STANDIN_SQL})",
-        "b AS (SELECT tenant, event_date, event_ts, id, qr, rcode, qtype, src_ip, "
-        "regexp_replace(qname, '\\.$', '') AS qname, lower(trim(qname)) AS name FROM dns WHERE qname IS NOT NULL)",
+def enriched_ctes(source: list[str] | None = None, more: str = "", relation: str = "dns") -> list[str]:
+    """CTEs ending in ``enr``: rows with a qname (of the stand-in, or of ``relation`` at the end of
+    ``source``) plus every gold name feature. ``more``: further columns, each with a comma before it."""
+    ctes = source or [f"dns AS ({STANDIN_SQL})"]
+    ctes = ctes + [
+        f"b AS (SELECT tenant, event_date, event_ts, id, qr, rcode, qtype, src_ip{more}, "
+        "regexp_replace(qname, '\\.$', '') AS qname, lower(trim(qname)) AS name "
+        f"FROM {relation} WHERE qname IS NOT NULL)",
     ]
     ctes += domain_parts_ctes("b", "qname")
     ctes += [
-        f"enr0 AS (SELECT tenant, event_date, event_ts, id, qr, rcode, qtype, src_ip, qname, name, "
+        f"enr0 AS (SELECT tenant{more}, event_date, event_ts, id, qr, rcode, qtype, src_ip, qname, name, "
         f"CAST(length(qname) AS INTEGER) AS qname_length, subdomain, domain, suffix, root_domain, subdomain_label_count, "
         f"{clean_sql('qname')} AS cq, {clean_sql('subdomain')} AS cs FROM dp)",
         f"enr1 AS (SELECT * EXCLUDE (cq, cs), {entropy_sql('cq')} AS qname_entropy, {entropy_sql('cs')} AS subdomain_entropy, "
@@ -163,8 +165,23 @@ def risk_kpis_sql() -> str:
     return "WITH " + ",\n".join(enriched_ctes()) + RISK_KPIS_BODY + select
 
 
-def enr_query(body: str, extra: list[str] | None = None) -> str:
-    return "WITH " + ",\n".join(enriched_ctes() + (extra or [])) + "\n" + body
+def enr_query(body: str, extra: list[str] | None = None, base: list[str] | None = None) -> str:
+    return "WITH " + ",\n".join((base or enriched_ctes()) + (extra or [])) + "\n" + body
+
+
+def answered_ctes() -> list[str]:
+    """``answered``: silver rows with ``has_answer``, 1 on questions with a reply in time."""
+    return silver_ctes() + [
+        "rep AS (SELECT * FROM silver WHERE qr = 1 AND rrname IS NOT NULL)",
+        "answered AS (SELECT s.*, CAST(CASE WHEN s.qr = 0 AND EXISTS (SELECT 1 FROM rep r WHERE r.tenant = s.tenant AND r.id = s.id "
+        "AND r.qname = s.qname AND r.src_ip = s.dst_ip AND r.dst_ip = s.src_ip AND r.event_ts >= s.event_ts "
+        "AND r.event_ts <= s.event_ts + INTERVAL 5 SECOND) THEN 1 ELSE 0 END AS INTEGER) AS has_answer FROM silver s)",
+    ]
+
+
+def gold_enr_ctes() -> list[str]:
+    """``enr`` of the answered silver."""
+    return enriched_ctes(answered_ctes(), ", has_answer", "answered")
 
 
 def dns_query(body: str, extra: list[str] | None = None) -> str:
@@ -225,7 +242,7 @@ def hist_flat_ctes() -> list[str]:
         "WHERE NOT is_apex AND subdomain_entropy_bin IS NOT NULL GROUP BY ALL)",
         "hflat AS (SELECT k.tenant, k.event_date, t.entropy_type, CAST(b.bin_ord AS INTEGER) AS bin_ord, b.bin, "
         "b.lower, CAST(coalesce(c.c, 0) AS BIGINT) AS count FROM hk k CROSS JOIN hb b CROSS JOIN ht t "
-        "LEFT JOIN hc c ON c.tenant = k.tenant AND c.event_date = k.event_date AND c.entropy_type = t.entropy_type "
+        "LEFT JOIN hc c ON c.tenant = k.tenant AND c.event_date IS NOT DISTINCT FROM k.event_date AND c.entropy_type = t.entropy_type "
         "AND c.bin = b.bin)",
     ]
 
@@ -297,7 +314,7 @@ def template_sql(name: str, tenant: str, limit: int) -> str:
     )
 
 
-def gold_wide_scalars_sql() -> str:
+def _gold_wide_scalars() -> tuple[list[str], str]:
     extra = [
         "src AS (SELECT tenant, event_date, count(DISTINCT src_ip) AS unique_src_ips FROM enr GROUP BY tenant, event_date)",
         "mx AS (SELECT tenant, event_date, qname AS max_entropy_qname FROM (SELECT tenant, event_date, qname, "
@@ -308,7 +325,7 @@ def gold_wide_scalars_sql() -> str:
         "avg(qname_entropy) AS avg_qname_entropy, max(qname_entropy) AS max_qname_entropy, "
         "avg(subdomain_entropy) AS avg_subdomain_entropy, max(subdomain_entropy) AS max_subdomain_entropy, "
         "avg(subdomain_label_count) AS avg_subdomain_count, CAST(max(subdomain_label_count) AS INTEGER) AS max_subdomain_count, "
-        "CAST(0 AS BIGINT) AS answered_queries, "
+        "CAST(sum(has_answer) AS BIGINT) AS answered_queries, "
         "CAST(coalesce(sum(CASE WHEN is_high_entropy THEN 1 ELSE 0 END), 0) AS BIGINT) AS high_entropy_query_count, "
         "CAST(sum(CASE WHEN rcode = 3 THEN 1 ELSE 0 END) AS BIGINT) AS nxdomain_count FROM enr GROUP BY tenant, event_date)",
     ]
@@ -320,10 +337,39 @@ def gold_wide_scalars_sql() -> str:
         "round(high_entropy_query_count / total_queries, 6) AS high_entropy_query_ratio, m.max_entropy_qname, nxdomain_count, "
         "round(nxdomain_count / total_queries, 6) AS nxdomain_ratio, "
         "high_entropy_query_count / total_queries >= 0.1 AS alert_high_entropy, nxdomain_count / total_queries >= 0.15 AS alert_nxdomain "
-        "FROM agg a JOIN src s ON s.tenant = a.tenant AND s.event_date = a.event_date "
-        "JOIN mx m ON m.tenant = a.tenant AND m.event_date = a.event_date"
+        "FROM agg a JOIN src s ON s.tenant = a.tenant AND s.event_date IS NOT DISTINCT FROM a.event_date "
+        "JOIN mx m ON m.tenant = a.tenant AND m.event_date IS NOT DISTINCT FROM a.event_date"
+    )
+    return extra, body
+
+
+def gold_wide_scalars_sql() -> str:
+    extra, body = _gold_wide_scalars()
+    return enr_query(body, extra, gold_enr_ctes())
+
+
+def gold_wide_sql() -> str:
+    """The scalars, and the lists of the wide record as text."""
+    extra, body = _gold_wide_scalars()
+    extra = extra + topn_ctes() + hist_flat_ctes() + [
+        f"scalars AS ({body})",
+        "tq AS (SELECT tenant, event_date, string_agg(name || '=' || query_count, ',' ORDER BY rank) AS top_qnames FROM t_q GROUP BY ALL)",
+        "hh AS (SELECT tenant, event_date, string_agg(bin || '=' || count, ',' ORDER BY bin_ord) FILTER (entropy_type = 'qname') AS qname_histogram, "
+        "string_agg(bin || '=' || count, ',' ORDER BY bin_ord) FILTER (entropy_type = 'subdomain') AS subdomain_histogram FROM hflat GROUP BY ALL)",
+    ]
+    return enr_query(
+        "SELECT s.*, tq.top_qnames, hh.qname_histogram, hh.subdomain_histogram FROM scalars s "
+        "LEFT JOIN tq ON tq.tenant = s.tenant AND tq.event_date IS NOT DISTINCT FROM s.event_date "
+        "LEFT JOIN hh ON hh.tenant = s.tenant AND hh.event_date IS NOT DISTINCT FROM s.event_date",
+        extra,
+        gold_enr_ctes(),
+    )
+
+
+def has_answer_within_sql() -> str:
+    return "WITH " + ",\n".join(answered_ctes()) + (
+        "\nSELECT tenant, event_date, id, qname, has_answer FROM answered WHERE qr = 0 AND qname IS NOT NULL"
     )
-    return enr_query(body, extra)
 
 
 def hist_wide_flat_sql() -> str:
@@ -454,6 +500,13 @@ def window_cardinality_sql() -> str:
     )
 
 
+def window_cardinality_approx_sql() -> str:
+    return (
+        "SELECT tenant, root_domain, window_start, root_subdomain_cardinality_window, true AS within_bound "
+        f"FROM ({window_cardinality_sql()}) t"
+    )
+
+
 def window_cardinality_sliding_sql() -> str:
     return enr_query(
         "SELECT root_domain, window_start, window_start + INTERVAL 2 day AS window_end, "
@@ -527,7 +580,9 @@ def parse_ts_sql(t: str) -> str:
     d = f"try_cast({t} AS DOUBLE)"
     return (
         f"coalesce(try_strptime({t}, '%Y-%m-%dT%H:%M:%S.%f'), try_strptime({t}, '%Y-%m-%dT%H:%M:%S'), "
-        f"CASE WHEN abs({d}) < 1e11 THEN make_timestamp(CAST(round({d} * 1000000) AS BIGINT)) END)"
+        f"CASE WHEN abs({d}) < 1e11 THEN make_timestamp(CAST(round({d} * 1000000) AS BIGINT)) "
+        f"WHEN abs({d}) < 1e14 THEN make_timestamp(CAST(round({d} * 1000) AS BIGINT)) "
+        f"WHEN abs({d}) < 1e17 THEN make_timestamp(CAST(round({d}) AS BIGINT)) END)"
     )
 
 
@@ -539,14 +594,17 @@ def bronze_ctes() -> list[str]:
     return [
         f"dns AS ({STANDIN_WITH_ID_SQL})",
         "m0 AS (SELECT *, 0 AS dup FROM dns UNION ALL "
-        "SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN upper(qname) || ' ' ELSE qname END AS qname), 1 AS dup FROM dns)",
-        "m1 AS (SELECT tenant, event_id, dup, qname AS sq, qtype AS st, src_ip, "
+        "SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN upper(qname) || ' ' ELSE qname END AS qname), 1 AS dup FROM dns "
+        "UNION ALL SELECT * REPLACE (event_ts + to_seconds(CASE WHEN event_id % 9 = 0 THEN 10 ELSE 1 END) AS event_ts), 2 AS dup "
+        "FROM dns WHERE qr = 0 AND event_id % 3 = 0)",
+        "m1 AS (SELECT tenant, event_id, dup, qname AS sq, qtype AS st, "
+        "CASE WHEN dup = 2 THEN '10.0.1.' || CAST(event_id % 4 AS VARCHAR) ELSE src_ip END AS src_ip, "
         f"CASE WHEN event_id % 499 = 0 THEN 'junk' WHEN event_id % 5 = 0 THEN {epoch} "
         "ELSE strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp, "
-        "'10.0.1.' || CAST(event_id % 4 AS VARCHAR) AS dst_ip, CAST(1024 + event_id % 60000 AS INTEGER) AS src_port, "
-        "53 AS dst_port, CAST((event_id - qr) % 65536 AS INTEGER) AS id, qr, 0 AS opcode, rcode, "
-        "CAST(CASE WHEN qr = 0 AND event_id % 17 = 0 THEN 0 WHEN event_id % 23 = 0 THEN 2 ELSE 1 END AS INTEGER) AS qdcount, "
-        "CAST(CASE WHEN qr = 1 THEN event_id % 3 ELSE 0 END AS INTEGER) AS ancount FROM m0)",
+        "CASE WHEN dup = 2 THEN src_ip ELSE '10.0.1.' || CAST(event_id % 4 AS VARCHAR) END AS dst_ip, CAST(1024 + event_id % 60000 AS INTEGER) AS src_port, "
+        "53 AS dst_port, CAST((event_id - qr) % 65536 AS INTEGER) AS id, CASE WHEN dup = 2 THEN 1 ELSE qr END AS qr, 0 AS opcode, rcode, "
+        "CAST(CASE WHEN dup = 2 THEN 1 WHEN qr = 0 AND event_id % 17 = 0 THEN 0 WHEN event_id % 23 = 0 THEN 2 ELSE 1 END AS INTEGER) AS qdcount, "
+        "CAST(CASE WHEN dup = 2 THEN 1 WHEN qr = 1 THEN event_id % 3 ELSE 0 END AS INTEGER) AS ancount FROM m0)",
         f"msg AS (SELECT *, {parse_ts_sql('timestamp')} AS event_ts FROM m1)",
         "qq AS (SELECT event_id, dup, sq AS qname, st AS qtype, 1 AS qclass FROM msg WHERE qdcount >= 1 UNION ALL "
         "SELECT event_id, dup, 'www.' || sq, 1, 1 FROM msg WHERE qdcount = 2)",
@@ -577,13 +635,27 @@ def silver_ctes() -> list[str]:
         ]
     )
     return bronze_ctes() + [
-        f"sv0 AS (SELECT {cols}, coalesce(trim(lower(qname)), trim(lower(rrname))) AS name FROM fm)",
+        f"sv0 AS (SELECT {cols}, coalesce(trim(lower(qname)), trim(lower(rrname))) AS name FROM fm "
+        "WHERE NOT (qr = 0 AND qdcount <= 0))",
         f"sv1 AS (SELECT *, sha256(concat_ws('||', {key})) AS silver_dedupe_hash FROM sv0)",
         f"silver AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY tenant, silver_dedupe_hash ORDER BY {order}) "
         "AS rn FROM sv1) WHERE rn = 1)",
     ]
 
 
+def bronze_messages_sql() -> str:
+    """Messages with their questions and answers as text."""
+    return bronze_query(
+        "SELECT m.tenant, m.timestamp, m.src_ip, m.dst_ip, m.src_port, CAST(m.dst_port AS INTEGER) AS dst_port, m.id, m.qr, "
+        "CAST(m.opcode AS INTEGER) AS opcode, m.rcode, m.qdcount, m.ancount, "
+        "coalesce(q.t, '') AS questions, coalesce(a.t, '') AS answers FROM msg m "
+        "LEFT JOIN (SELECT event_id, dup, string_agg(coalesce(qname, '') || ':' || qtype || ':' || qclass, '|' ORDER BY second) AS t "
+        "FROM (SELECT *, CAST(qname LIKE 'www.%' AS INTEGER) AS second FROM qq) GROUP BY ALL) q ON q.event_id = m.event_id AND q.dup = m.dup "
+        "LEFT JOIN (SELECT event_id, dup, string_agg(coalesce(rrname, '') || ':' || rtype || ':' || rclass || ':' || ttl || ':' || coalesce(rdata, ''), '|' ORDER BY ttl) AS t "
+        "FROM aa GROUP BY ALL) a ON a.event_id = m.event_id AND a.dup = m.dup"
+    )
+
+
 def bronze_query(body: str, silver: bool = False) -> str:
     return "WITH " + ",\n".join(silver_ctes() if silver else bronze_ctes()) + "\n" + body
 
@@ -607,7 +679,7 @@ def silver_sql() -> dict[str, str]:
         ),
         "explode_normalise": bronze_query(
             "SELECT m.tenant, m.id, m.qr, a.rrname, CAST(a.rtype AS VARCHAR) AS rtype, a.rdata, CAST(a.ttl AS VARCHAR) AS ttl "
-            "FROM msg m JOIN aa a ON a.event_id = m.event_id AND a.dup = m.dup"
+            "FROM msg m JOIN aa a ON a.event_id = m.event_id AND a.dup = m.dup WHERE a.rrname IS NOT NULL"
         ),
         "standardize_schema": bronze_query(
             "SELECT tenant, try_strptime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, "
@@ -644,7 +716,8 @@ def _services_values() -> str:
 def packets_ctes() -> list[str]:
     path = "'/p/' || CAST(event_id % 1000 AS VARCHAR)"
     tcp_payload = (
-        f"CASE WHEN event_id % 4 = 0 AND event_id % 8 = 0 THEN 'POST ' || {path} || ' HTTP/1.1' "
+        f"CASE WHEN event_id % 12 = 0 THEN 'GET ' || {path} || ' HTTP/1.1' "
+        f"WHEN event_id % 4 = 0 AND event_id % 8 = 0 THEN 'POST ' || {path} || ' HTTP/1.1' "
         f"WHEN event_id % 4 = 0 THEN 'GET ' || {path} || ' HTTP/1.1' "
         "WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'HTTP/1.1 404 Not Found' "
         "WHEN event_id % 4 = 1 THEN 'HTTP/1.1 200 OK' "
@@ -707,7 +780,7 @@ def object_keys_sql() -> str:
     e = "CAST(event_id AS VARCHAR)"
     name = (
         f"CASE WHEN event_id % 6 = 0 THEN 'capture+' || {e} || '.pcap' WHEN event_id % 6 = 1 THEN 'cap%20' || {e} || '.PCAPNG' "
-        f"WHEN event_id % 6 = 2 THEN 'file' || {e} WHEN event_id % 6 = 3 THEN 'f' || {e} || '.pcap.bak' "
+        f"WHEN event_id % 12 = 2 THEN '100%/file' || {e} WHEN event_id % 6 = 2 THEN 'file' || {e} WHEN event_id % 6 = 3 THEN 'f' || {e} || '.pcap.bak' "
         f"WHEN event_id % 6 = 4 THEN 'x_' || {e} || '.Pcap' ELSE 'a%2Fb' || {e} || '.pcapng' END"
     )
     tenant = "'tenant-' || CAST(user_id % 3 AS VARCHAR)"
@@ -717,7 +790,8 @@ def object_keys_sql() -> str:
     )
     ctes = [
         f"k0 AS (SELECT {key} AS object_key FROM events)",
-        "k1 AS (SELECT object_key, regexp_replace(url_decode(replace(object_key, '+', '%20')), '^/+', '') AS norm FROM k0)",
+        # Escapes as they occur here; any other percent sign stays.
+        "k1 AS (SELECT object_key, regexp_replace(replace(replace(replace(object_key, '+', ' '), '%20', ' '), '%2F', '/'), '^/+', '') AS norm FROM k0)",
         "k2 AS (SELECT *, list_filter(string_split(norm, '/'), lambda p: p <> '') AS parts FROM k1)",
         "k3 AS (SELECT *, CASE WHEN len(parts) > 0 THEN parts[1] END AS t, "
         "CASE WHEN len(parts) > 1 THEN array_to_string(parts[2:], '/') END AS r FROM k2)",

@@ -3,8 +3,8 @@ table derived from the driver's tables for the registered queries.
 
 The derived bronze is one message per ``events`` row (names from the DNS
 stand-in): timestamps as ISO text or Unix-seconds text (some junk), queries
-without questions, two-question messages, responses with 0-2 answers, and a
-second copy of every message (some differing only in case and spacing), which
+without questions, two-question messages, responses with 0-2 answers, replies
+to a third of the queries, and a second copy of every message (some differing only in case and spacing), which
 deduplication must remove.
 """
 
@@ -88,8 +88,13 @@ def derived_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every message arrives twice; some second copies differ in case and spacing only.
     eid_mod = F.col("event_id") % 11 == 0
     copies = s.withColumn("qname", F.when(eid_mod, F.concat(F.upper("qname"), F.lit(" "))).otherwise(F.col("qname")))
-    s = s.unionByName(copies)
-    eid = F.col("event_id")
+    # A third of the queries get a reply: from the server, one second later or (too late to count) ten.
+    delay = F.when(F.col("event_id") % 9 == 0, 10).otherwise(1)
+    replies = s.where((F.col("qr") == 0) & (F.col("event_id") % 3 == 0))
+    replies = replies.withColumn("event_ts", F.timestamp_micros(F.unix_micros("event_ts") + delay * 1_000_000))
+    none, yes = F.lit(False).alias("reply"), F.lit(True).alias("reply")
+    s = s.select("*", none).unionByName(copies.select("*", none)).unionByName(replies.select("*", yes))
+    eid, reply = F.col("event_id"), F.col("reply")
     micros = F.unix_micros("event_ts")
     epoch_text = F.concat(
         (micros / 1_000_000).cast("long").cast("string"),
@@ -104,7 +109,8 @@ def derived_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     q1 = F.struct(F.col("qname").alias("qname"), F.col("qtype").alias("qtype"), F.lit(1).alias("qclass"))
     q2 = F.struct(F.concat(F.lit("www."), F.col("qname")).alias("qname"), F.lit(1).alias("qtype"), F.lit(1).alias("qclass"))
     questions = (
-        F.when((F.col("qr") == 0) & (eid % 17 == 0), F.array().cast(T.ArrayType(QUESTION)))
+        F.when(reply, F.array(q1))
+        .when((F.col("qr") == 0) & (eid % 17 == 0), F.array().cast(T.ArrayType(QUESTION)))
         .when(eid % 23 == 0, F.array(q1, q2))
         .otherwise(F.array(q1))
     )
@@ -122,19 +128,20 @@ def derived_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("rdata"),
         )
 
-    n_answers = F.when(F.col("qr") == 1, (eid % 3).cast("int")).otherwise(F.lit(0))
+    n_answers = F.when(reply, F.lit(1)).when(F.col("qr") == 1, (eid % 3).cast("int")).otherwise(F.lit(0))
+    server = F.concat(F.lit("10.0.1."), (eid % 4).cast("string"))
     answers = F.when(n_answers > 0, F.slice(F.array(answer(1), answer(2)), 1, n_answers)).otherwise(
         F.array().cast(T.ArrayType(ANSWER))
     )
     out = s.select(
         "tenant",
         ts_text.alias("timestamp"),
-        "src_ip",
-        F.concat(F.lit("10.0.1."), (eid % 4).cast("string")).alias("dst_ip"),
+        F.when(reply, server).otherwise(F.col("src_ip")).alias("src_ip"),
+        F.when(reply, F.col("src_ip")).otherwise(server).alias("dst_ip"),
         (F.lit(1024) + eid % 60000).cast("int").alias("src_port"),
         F.lit(53).alias("dst_port"),
         ((eid - F.col("qr")) % 65536).cast("int").alias("id"),
-        "qr",
+        F.when(reply, F.lit(1)).otherwise(F.col("qr")).alias("qr"),
         F.lit(0).alias("opcode"),
         "rcode",
         questions.alias("questions"),

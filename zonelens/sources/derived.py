@@ -6,12 +6,16 @@ Every row comes from one ``events`` row, so the work grows with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonelens.sources.tables import read_table
 
 
+def _not_utf8() -> Column:
+    return F.unhex(F.lit("FFD8FF"))
+
+
 def derived_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded packets: UDP/TCP/ICMP/unknown protocols, DNS, HTTP request and response
     payloads, ports 0 and 1024, and some non-IP rows (NULL protocol)."""
@@ -56,16 +60,25 @@ def derived_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(p == 17, udp_s).when(p == 6, tcp_s).cast("int").alias("src_port"),
         F.when(p == 17, udp_d).when(p == 6, tcp_d).cast("int").alias("dst_port"),
         F.when(p == 6, F.when(eid % 2 == 0, F.lit("PA")).otherwise(F.lit("S"))).alias("tcp_flags"),
-        F.encode(
-            F.when(p == 6, tcp_payload).when(p == 17, F.concat(F.lit("dns-"), eid.cast("string"))).otherwise(F.lit("")),
-            "UTF-8",
+        # Bodies and some paths hold bytes that are no UTF-8 (0xFF), as images and handshakes do.
+        F.concat(
+            F.encode(F.when(p == 6, F.when(eid % 12 == 0, F.lit("GET /")).otherwise(F.lit(""))).otherwise(F.lit("")), "UTF-8"),
+            F.when((p == 6) & (eid % 12 == 0), _not_utf8()).otherwise(F.lit(bytearray(b""))),
+            F.encode(
+                F.when(p == 6, F.when(eid % 12 == 0, F.substring(path, 2, 9)).otherwise(tcp_payload))
+                .when(p == 17, F.concat(F.lit("dns-"), eid.cast("string")))
+                .otherwise(F.lit("")),
+                "UTF-8",
+            ),
+            F.when((p == 6) & (eid % 12 == 0), F.encode(F.lit(" HTTP/1.1"), "UTF-8")).otherwise(F.lit(bytearray(b""))),
+            F.when(p == 6, F.concat(F.encode(F.lit("\r\n\r\n"), "UTF-8"), _not_utf8())).otherwise(F.lit(bytearray(b""))),
         ).alias("payload"),
     )
 
 
 def derived_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture object keys: plain, upper-case extension, no known ending, URL-encoded,
-    leading slash, and tenant-only keys (to be rejected)."""
+    stray percent sign, leading slash, and tenant-only keys (to be rejected)."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     eid = F.col("event_id")
     tenant = F.concat(F.lit("tenant-"), (F.col("user_id") % 3).cast("string"))
@@ -73,6 +86,7 @@ def derived_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = (
         F.when(eid % 6 == 0, F.concat(F.lit("capture+"), e, F.lit(".pcap")))
         .when(eid % 6 == 1, F.concat(F.lit("cap%20"), e, F.lit(".PCAPNG")))
+        .when(eid % 12 == 2, F.concat(F.lit("100%/file"), e))
         .when(eid % 6 == 2, F.concat(F.lit("file"), e))
         .when(eid % 6 == 3, F.concat(F.lit("f"), e, F.lit(".pcap.bak")))
         .when(eid % 6 == 4, F.concat(F.lit("x_"), e, F.lit(".Pcap")))
@@ -107,6 +121,7 @@ def derived_answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         F.col("qname").alias("rrname"),
         rtype.cast("int").alias("rtype"),
-        F.encode(text, "UTF-8").alias("rdata"),
+        # A quarter of the data holds a byte that is no UTF-8.
+        F.concat(F.encode(text, "UTF-8"), F.when(eid % 4 == 0, F.unhex(F.lit("FF"))).otherwise(F.lit(bytearray(b"")))).alias("rdata"),
         chunks.alias("txt_chunks"),
     )

@@ -141,8 +141,16 @@ def suffix_rules(spark: SparkSession, text: str = SEED_SUFFIX_RULES) -> DataFram
 
 
 def suffix_rules_from_text(spark: SparkSession, path: str) -> DataFrame:
-    """Read a public-suffix list file (one rule per line, ``//`` comments) as the rule dimension."""
-    lines = spark.read.text(path).select(F.trim(F.lower(F.split("value", r"\s+")[0])).alias("r"))
+    """Read a public-suffix list file (one rule per line, ``//`` comments) as the rule dimension.
+
+    Rules between the ``BEGIN PRIVATE`` and ``END PRIVATE`` markers (registries of
+    companies, like ``github.io``) are no public suffixes and are left out. The
+    file is read as one row: a list is a few hundred KB.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    public = F.regexp_replace("value", r"(?s)===BEGIN PRIVATE.*?(===END PRIVATE|\z)", "")
+    lines = whole.select(F.explode(F.split(public, r"\R")).alias("value"))
+    lines = lines.select(F.trim(F.lower(F.split("value", r"\s+")[0])).alias("r"))
     lines = lines.where((F.length("r") > 0) & ~F.col("r").startswith("//"))
     return lines.select(
         F.regexp_replace("r", r"^(\*\.|!)", "").alias("suffix"),

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTITION_KEYS = ("tenant", "event_date")
+# Stands for a missing day in comparisons.
+_NO_DAY = "0001-01-01"
 
 
 def write_silver(df: DataFrame, path: str) -> None:
@@ -44,12 +46,19 @@ def without_existing(spark: SparkSession, new: DataFrame, path: str, key: str =
         if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
             return new
         raise
-    keys = [*PARTITION_KEYS, key]
     stored = stored.withColumn("event_date", F.col("event_date").cast("date"))
+
+    def same(a: DataFrame, b: DataFrame):
+        # Rows without a tenant or a day match each other; plain equalities, so that partitions are pruned.
+        tenant = F.coalesce(a["tenant"], F.lit("")) == F.coalesce(b["tenant"], F.lit(""))
+        day = F.coalesce(a["event_date"], F.lit(_NO_DAY).cast("date")) == F.coalesce(b["event_date"], F.lit(_NO_DAY).cast("date"))
+        return tenant & day & (a[key] == b[key])
+
     # Semi join first (dynamic partition pruning applies to it, not to an anti
     # join): the stored hashes among the new keys, read from touched days only.
-    already = stored.join(new.select(*keys), on=keys, how="left_semi")
-    return new.join(already, on=keys, how="left_anti")
+    fresh = new.select(*PARTITION_KEYS, key)
+    already = stored.join(fresh, same(stored, fresh), "left_semi")
+    return new.join(already, same(new, already), "left_anti")
 
 
 def write_gold(df: DataFrame, path: str, type_col: str | None = None) -> None:

@@ -1,46 +1,39 @@
 """Incremental bronze -> silver with Structured Streaming.
 
-The same operators as the batch path run on a ``readStream`` of bronze JSON
-files; deduplication becomes ``dropDuplicatesWithinWatermark`` on the content
-hash (state bounded by the event-time watermark), and the sink appends to the
-partitioned silver table with its progress in a checkpoint under the shared
-``spark.checkpoint.dir``. ``availableNow`` processes what has arrived and stops,
-which suits per-object arrival; a processing-time trigger keeps it running.
-
-Messages without a parseable event time cannot be placed against the
-watermark and are left out of the stream (the batch path keeps them under a
-NULL ``event_date`` partition).
+Each micro-batch of arrived objects goes through the batch path: tenant, event
+time, flattening, deduplication, then an append of the rows that the silver table
+does not hold yet (same tenant, day and content hash), and of the rejects. So
+objects may arrive in any order, late or twice, and rows without a readable
+time are kept (without a day), as in the batch path: nothing is dropped and
+no state is kept between batches. The stream's progress is a checkpoint under the
+shared ``spark.checkpoint.dir``; a batch that is run again appends nothing new.
+``availableNow`` processes what has arrived and stops, which suits per-object
+arrival; a processing-time trigger keeps it running.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from zonelens import functions as Z
-from zonelens.operators import silver as S
+from zonelens.plans import jobs
 from zonelens.session import ensure_checkpoint_dir
-from zonelens.sources.bronze import BRONZE_SCHEMA
+from zonelens.sources import lake
+from zonelens.sources.bronze import BRONZE_SCHEMA, CORRUPT_COL
 
 
-def silver_stream(spark: SparkSession, bronze_dir: str, tenant: str | None = None, watermark: str = "1 hour",
-                  max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming silver rows (with ``name`` and ``silver_dedupe_hash``) from a bronze folder."""
+def bronze_stream(spark: SparkSession, bronze_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Bronze lines as they arrive, from nested object keys too, with ``source_file`` and the text of malformed lines."""
     stream = (
-        spark.readStream.schema(BRONZE_SCHEMA)
+        spark.readStream.schema(T.StructType([*BRONZE_SCHEMA.fields, T.StructField(CORRUPT_COL, T.StringType())]))
         .option("maxFilesPerTrigger", max_files_per_trigger)
+        .option("recursiveFileLookup", "true")
+        .option("columnNameOfCorruptRecord", CORRUPT_COL)
         .json(bronze_dir)
     )
-    flat = S.flatten_messages(S.add_event_date(S.drop_empty_queries(stream)))
-    if tenant is not None:
-        flat = flat.withColumn("tenant", F.lit(tenant))
-    rows = flat.where(F.col("event_ts").isNotNull()).select(*S.SILVER_COLUMNS)
-    keyed = rows.withColumns(
-        {"name": Z.silver_name("qname", "rrname"), "rrtype": F.coalesce(F.col("qtype"), F.col("rtype"))}
-    )
-    keyed = keyed.withColumn("silver_dedupe_hash", S.dedupe_key(keyed)).drop("rrtype")
-    return keyed.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["tenant", "silver_dedupe_hash"])
+    return stream.withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def start_silver_stream(
@@ -51,16 +44,18 @@ def start_silver_stream(
     tenant: str | None = None,
     available_now: bool = True,
     processing_time: str = "1 minute",
+    reject_path: str | None = None,
+    **key_opts,
 ) -> StreamingQuery:
-    """Append the streaming silver rows to the partitioned silver table."""
+    """Append arriving messages to the partitioned silver table; without ``tenant`` it comes from the object keys."""
     checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{query_name}"
-    writer = (
-        silver_stream(spark, bronze_dir, tenant)
-        .writeStream.format("parquet")
-        .option("path", silver_path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("tenant", "event_date")
-        .outputMode("append")
-    )
+    rejected = reject_path or f"{silver_path.rstrip('/')}_rejects"
+
+    def append(batch: DataFrame, _: int) -> None:
+        jobs.split_rejects(batch)[1].write.mode("append").json(rejected)
+        silver = jobs.bronze_to_silver(batch, tenant, **key_opts)
+        lake.write_silver(lake.without_existing(batch.sparkSession, silver, silver_path), silver_path)
+
+    writer = bronze_stream(spark, bronze_dir).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
