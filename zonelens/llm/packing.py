@@ -49,12 +49,14 @@ def piece_lengths(n_tokens: int, capacity: int = CAPACITY, grain: int = GRAIN) -
     return [capacity] * full + [rest // parts + (i < rest % parts) for i in range(parts)]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, grain: int = GRAIN, memory: int | None = None
+) -> DataFrame:
     """One row per piece: where it starts in its document, its length and the CRC-32 of its ids."""
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = token_bytes(tokenizer_path)
+        encoder = token_bytes(tokenizer_path, memory)
         for ids, texts in column_chunks(batches):
             rows: list[tuple] = []
             for doc_id, tokens in zip(ids.to_pylist(), encoder.encode(texts.to_pylist()), strict=True):
@@ -115,11 +117,20 @@ def pack_group(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, grain: int = GRAIN, group_parts: int = GROUP_PARTS
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int,
+    capacity: int = CAPACITY,
+    grain: int = GRAIN,
+    group_parts: int = GROUP_PARTS,
+    memory: int | None = None,
 ) -> DataFrame:
-    """``PACKED`` rows: the pieces of all documents with their sequence and place in it."""
+    """``PACKED`` rows: the pieces of all documents with their sequence and place in it.
+
+    ``memory``: pre-tokens that a worker remembers (see ``tokens``).
+    """
     # The row number salts the groups: copies, and rows that share an id, spread.
-    pieces = cut_lineage(token_pieces(docs, tokenizer_path, end_id, capacity, grain)).withColumn("row", F.monotonically_increasing_id())
+    pieces = cut_lineage(token_pieces(docs, tokenizer_path, end_id, capacity, grain, memory)).withColumn("row", F.monotonically_increasing_id())
     is_part = F.col("length") < capacity
     groups = max(1, round(pieces.where(is_part).count() / group_parts))
     names = PIECES.replace(" long", "").split(", ")

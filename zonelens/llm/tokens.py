@@ -16,7 +16,7 @@ from itertools import islice
 
 from tokenizers import Tokenizer
 
-#: Pre-tokens that a worker remembers; beyond them it starts anew.
+#: Pre-tokens that a worker remembers unless told otherwise (about 200 bytes each); beyond them it starts anew.
 MEMORY = 1_200_000
 
 #: The public byte-level pattern, for characters up to U+024F: letters (which cannot start
@@ -54,7 +54,8 @@ def _little_endian(ids: list[int]) -> bytes:
 class TokenBytes:
     """Texts to ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int | None = None) -> None:
+        self.memory = memory or MEMORY
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
         self.merge = self.tokenizer.model.tokenize
@@ -62,7 +63,7 @@ class TokenBytes:
 
     def _learn(self, pieces: set[str]) -> None:
         new = pieces.difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
+        if len(self.known) + len(new) > self.memory:
             self.known.clear()
             new = pieces
         for p in new:
@@ -98,6 +99,6 @@ class TokenBytes:
 
 
 @lru_cache(maxsize=4)
-def token_bytes(path: str) -> TokenBytes:
+def token_bytes(path: str, memory: int | None = None) -> TokenBytes:
     """One encoder for each worker process and vocabulary."""
-    return TokenBytes(path)
+    return TokenBytes(path, memory)

@@ -48,7 +48,7 @@ STRIDE = 2
 #: A document is toxic from this score on.
 TOXIC_FROM = 0.7
 #: Word scores that a worker remembers; beyond them it starts anew.
-MEMORY = 600_000
+MEMORY = 250_000
 _EDGES = ".,;:!?\"'()[]{}<>|*$%&#-_~`“”‘’«»…"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
