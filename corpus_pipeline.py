@@ -45,7 +45,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), PACK_END_ID)
+    # Workers that ran the stages before hold memory already: remember less.
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), PACK_END_ID, memory=250_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
