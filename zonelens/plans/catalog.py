@@ -8,6 +8,7 @@ Nested gold outputs have a flat twin; the nested form is registered too.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,9 @@ from zonelens.operators import rankings as N
 from zonelens.operators import silver as S
 from zonelens.operators import templates as TPL
 from zonelens.plans import jobs
-from zonelens.session import cut_lineage
-from zonelens.sources.bronze import derived_bronze
+from zonelens.session import cut_lineage, ensure_checkpoint_dir
+from zonelens.sources import lake
+from zonelens.sources.bronze import derived_bronze, write_bronze
 from zonelens.sources.derived import derived_answer_records, derived_object_keys, derived_packets
 from zonelens.sources.dims import rule_text_depth, services, suffix_rules
 from zonelens.sources.tables import dns_standin
@@ -178,6 +180,8 @@ def oracle_sql() -> dict[str, str]:
     sql.update(O.packets_sql())
     sql["object_keys"] = O.object_keys_sql()
     sql["gold_wide"] = O.gold_wide_sql()
+    sql["job_silver"] = sql["silver"]
+    sql["job_gold"] = O.enr_query("SELECT * FROM hflat", O.hist_flat_ctes(), O.gold_enr_ctes())
     sql["has_answer_within"] = O.has_answer_within_sql()
     sql["bronze_messages"] = O.bronze_messages_sql()
     sql["window_cardinality_approx"] = O.window_cardinality_approx_sql()
@@ -612,6 +616,42 @@ def q_render_rdata(spark, sf_dir):
 QUERIES["render_rdata"] = q_render_rdata
 
 
+# --- jobs on files ---------------------------------------------------------------------
+
+
+def _written_silver(spark, sf_dir) -> str:
+    """Bronze JSON objects by tenant -> the silver job, run twice; returns the table's path."""
+    folder = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    bronze = derived_bronze(spark, sf_dir)
+    # One object folder per tenant, as captures arrive: <tenant>/pcaps/<object>.
+    for tenant in [f"tenant-{i}" for i in range(3)]:
+        write_bronze(bronze.where(F.col("tenant") == tenant), f"{folder}/bronze/{tenant}/pcaps")
+    root = folder if "://" in folder else f"file:{folder}" if not folder.startswith("file:") else folder
+    for _ in range(2):
+        jobs.run_silver(spark, f"{folder}/bronze", f"{folder}/silver", key_root=f"{root.replace('file://', 'file:')}/bronze/")
+    return f"{folder}/silver"
+
+
+def q_job_silver(spark, sf_dir):
+    """The silver table as written by the job and read back."""
+    silver = lake.read_partitioned(spark, _written_silver(spark, sf_dir))
+    return silver.withColumn("event_date", F.col("event_date").cast("date")).select(*S.SILVER_COLUMNS, "name")
+
+
+def q_job_gold(spark, sf_dir):
+    """The gold job on the written silver, one tenant again (S4), and the typed histogram partitions read back."""
+    silver = _written_silver(spark, sf_dir)
+    gold = silver.removesuffix("silver") + "gold"
+    for tenant in (None, "tenant-1"):
+        paths = jobs.run_gold(spark, silver, gold, suffix_rules(spark), tenant)
+    written = lake.read_partitioned(spark, paths["histograms"]).withColumn("event_date", F.col("event_date").cast("date"))
+    return round_doubles(D.histogram_flat(written))
+
+
+QUERIES["job_silver"] = q_job_silver
+QUERIES["job_gold"] = q_job_gold
+
+
 # --- contract wrapper ------------------------------------------------------------------
 
 
