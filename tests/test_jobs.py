@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from zonelens.operators import silver as S
 from zonelens.plans import jobs
 from zonelens.sources import lake
 from zonelens.sources.bronze import derived_bronze, read_bronze, write_bronze
@@ -46,7 +47,7 @@ def test_bronze_silver_gold(spark, tmp_dir):
     assert len(report) == 5 and report[0].query_count >= report[-1].query_count
     # rerun for one tenant only keeps the other tenants' partitions (dynamic overwrite)
     answered = spark.read.parquet(paths["daily_aggregates"]).agg(F.sum("answered_queries")).first()[0]
-    assert answered == jobs.mark_answers(s).where("qname is not null").agg(F.sum("has_answer")).first()[0] > 0
+    assert answered == S.mark_answers_by_window(s).where("qname is not null").agg(F.sum("has_answer")).first()[0] > 0
     jobs.run_gold(spark, silver, gold, suffix_rules(spark), tenant="tenant-0")
     assert spark.read.parquet(paths["risk_kpis"]).select("tenant").distinct().count() == 3
     assert spark.read.parquet(paths["risk_kpis"]).count() == n_before

@@ -83,19 +83,21 @@ def histogram_flat(hist: DataFrame, keys=KEYS, bins=ENTROPY_BINS) -> DataFrame:
     )
 
 
-def breakdowns_flat(rows: DataFrame, keys=KEYS) -> DataFrame:
+def breakdowns_flat(rows: DataFrame, keys=KEYS, weight: str | None = None) -> DataFrame:
     """H5 (flat): rcode counts over responses (qr=1) and qtype counts over queries (qr=0).
 
     One scan and one partial aggregation: each row contributes to exactly one
-    breakdown, chosen by its direction.
+    breakdown, chosen by its direction. ``weight`` names a column with the
+    messages that a row stands for.
     """
     qr = F.col("qr")
     typed = rows.where(qr.isin(0, 1)).select(
         *keys,
         F.when(qr == 1, F.lit("rcode_breakdown")).otherwise(F.lit("qtype_breakdown")).alias("breakdown_type"),
         F.when(qr == 1, F.col("rcode")).otherwise(F.col("qtype")).cast("int").alias("code"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"),
     )
-    return typed.groupBy(*keys, "breakdown_type", "code").agg(F.count(F.lit(1)).alias("count"))
+    return typed.groupBy(*keys, "breakdown_type", "code").agg(F.sum("n").alias("count"))
 
 
 def pack_breakdowns(flat: DataFrame, keys=KEYS) -> DataFrame:

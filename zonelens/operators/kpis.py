@@ -81,6 +81,13 @@ def src_ip_counts(rows: DataFrame, keys=KEYS, name_col: str = "qname", approx: b
     )
 
 
+def rollup_traffic(silver: DataFrame, keys=KEYS, name_col: str = "qname") -> DataFrame:
+    """Messages by key, client, direction and codes, with whether they have a name: what the source-IP
+    counts and the breakdowns need, in one partial aggregation."""
+    named = F.col(name_col).isNotNull().alias("has_name")
+    return silver.groupBy(*keys, "src_ip", "qr", "qtype", "rcode", named).agg(F.count(F.lit(1)).alias("messages"))
+
+
 def _distinct(col: str, approx: bool, rsd: float) -> Column:
     """Exact distinct count, or HyperLogLog++ (no ``Expand`` of the input) when ``approx``."""
     return (F.approx_count_distinct(col, rsd=rsd) if approx else F.countDistinct(col)).cast("long")
@@ -114,18 +121,21 @@ def build_base_kpis(
     approx: bool = False,
     rsd: float = 0.01,
     summary: DataFrame | None = None,
+    max_names: DataFrame | None = None,
+    src_ips: DataFrame | None = None,
 ) -> DataFrame:
     """A1 + A2: volume, distinct counts, entropy and label-count stats, max-entropy name.
 
     Exact distinct counts over several columns make Spark expand the input
     once per distinct column; ``approx=True`` uses HyperLogLog++ sketches
     (relative error ``rsd``) that merge map-side instead. A precomputed
-    ``summary`` (see ``daily_summary``) replaces the aggregation.
+    ``summary`` (see ``daily_summary``) replaces the aggregation, and ``max_names``
+    and ``src_ips`` the other two parts.
     """
     base = summary if summary is not None else _aggregate(enriched, keys, base_measures(approx, rsd))
     # Three one-row-per-key results joined on the keys (small; AQE broadcasts them).
-    out = join_records(base, max_entropy_names(enriched, keys), keys)
-    out = join_records(out, src_ip_counts(rows, keys, approx=approx, rsd=rsd), keys)
+    out = join_records(base, max_entropy_names(enriched, keys) if max_names is None else max_names, keys)
+    out = join_records(out, src_ip_counts(rows, keys, approx=approx, rsd=rsd) if src_ips is None else src_ips, keys)
     return out.select(
         *keys,
         "total_queries",
@@ -243,6 +253,8 @@ def build_gold_aggregates(
     high_entropy_alert: float = HIGH_ENTROPY_ALERT,
     nxdomain_alert: float = NXDOMAIN_ALERT,
     summary: DataFrame | None = None,
+    max_names: DataFrame | None = None,
+    src_ips: DataFrame | None = None,
 ) -> DataFrame:
     """A5-A8 folded into one aggregation: base measures on qname, answered queries,
     high-entropy and NXDOMAIN counts and ratios, max-entropy name, alert flags."""
@@ -250,7 +262,8 @@ def build_gold_aggregates(
     agg = summary if summary is not None else _aggregate(enriched, keys, measures)
     agg = agg.select(*keys, *measures)
     total = F.col("total_queries")
-    out = join_records(join_records(agg, max_entropy_names(enriched, keys), keys), src_ip_counts(rows, keys), keys)
+    out = join_records(agg, max_entropy_names(enriched, keys) if max_names is None else max_names, keys)
+    out = join_records(out, src_ip_counts(rows, keys) if src_ips is None else src_ips, keys)
     out = out.withColumns(
         {
             "unique_src_ips": F.coalesce("unique_src_ips", F.lit(0)).cast("long"),
@@ -280,13 +293,20 @@ def daily_summary(enriched: DataFrame, keys=KEYS, extra: dict[str, Column] | Non
     return _aggregate(enriched, keys, measures)
 
 
-def build_wide_gold(enriched: DataFrame, rows: DataFrame, keys=KEYS, summary: DataFrame | None = None) -> DataFrame:
+def build_wide_gold(
+    enriched: DataFrame,
+    rows: DataFrame,
+    keys=KEYS,
+    summary: DataFrame | None = None,
+    max_names: DataFrame | None = None,
+    src_ips: DataFrame | None = None,
+) -> DataFrame:
     """One wide record per (tenant, event_date): A5-A8 measures, top qnames (N2) and the
     two entropy histograms (H4), with disjoint column names. All inputs are one row per key."""
     from zonelens.operators.distributions import entropy_histograms_wide
     from zonelens.operators.rankings import top_qnames_pairs
 
-    out = build_gold_aggregates(enriched, rows, keys, summary=summary)
+    out = build_gold_aggregates(enriched, rows, keys, summary=summary, max_names=max_names, src_ips=src_ips)
     out = join_records(out, top_qnames_pairs(enriched, keys=keys), keys)
     return join_records(out, entropy_histograms_wide(enriched, keys, summary=summary), keys)
 

@@ -204,7 +204,7 @@ WIDE_SCALARS = [
 
 def answered_silver(spark, sf_dir):
     """The bronze-to-silver job's rows with ``has_answer``; checkpointed, as every gold table reads them."""
-    return cut_lineage(jobs.mark_answers(cut_lineage(_silver(spark, sf_dir))))
+    return cut_lineage(S.mark_answers_by_window(_silver(spark, sf_dir), jobs.ANSWER_SECONDS))
 
 
 def gold_run(spark, sf_dir):

@@ -124,13 +124,6 @@ def run_silver_split(spark: SparkSession, bronze_path: str, silver_base: str, te
     return out
 
 
-def mark_answers(silver: DataFrame, answer_seconds: float = ANSWER_SECONDS) -> DataFrame:
-    """Silver rows with ``has_answer`` (B11, time-bounded): 1 on questions that a reply answers, 0 on all others."""
-    questions, answers = S.split_dataset(silver)
-    marked = S.mark_answered_within(questions, answers, answer_seconds)
-    return marked.unionByName(answers.withColumn("has_answer", F.lit(0)))
-
-
 def gold_tables(
     silver: DataFrame,
     rules: DataFrame,
@@ -144,24 +137,25 @@ def gold_tables(
     what the published measures count. Breakdowns count all rows, also those
     without a name. Silver that already has ``has_answer`` keeps it.
     """
-    if "has_answer" not in silver.columns:
-        silver = mark_answers(silver, answer_seconds)
+    marked = silver if "has_answer" in silver.columns else S.mark_answers_by_window(silver, answer_seconds)
     rows = S.drop_null_qname(silver)
-    enriched = G.add_name_features(K.rollup_names(rows), rules, max_depth=max_depth)
-    if checkpoint:
-        enriched = cut_lineage(enriched)
+    cut = cut_lineage if checkpoint else lambda df: df
+    # The two scans of silver: names, and traffic by client and code.
+    enriched = cut(G.add_name_features(K.rollup_names(marked), rules, max_depth=max_depth))
+    traffic = cut(K.rollup_traffic(silver))
+    clients = traffic.where("has_name").groupBy(*K.KEYS).agg(F.countDistinct("src_ip").alias("unique_src_ips"))
+    parts = {"max_names": cut(K.max_entropy_names(enriched)), "src_ips": cut(clients)}
     # One aggregation of the rollup for every per-day measure (one row per
     # tenant-day, checkpointed); each table is a projection of it.
-    summary = K.daily_summary(enriched, extra=D.histogram_measures(enriched))
-    summary = cut_lineage(summary) if checkpoint else summary
+    summary = cut(K.daily_summary(enriched, extra=D.histogram_measures(enriched)))
     topn_flat = N.build_topn(enriched)
     return {
-        "base_kpis": K.build_base_kpis(enriched, rows, summary=summary),
+        "base_kpis": K.build_base_kpis(enriched, rows, summary=summary, **parts),
         "risk_kpis": K.build_risk_kpis(enriched, summary=summary),
         "histograms": D.entropy_histograms(enriched, summary=summary),
         "topn": N.pack_top_n(topn_flat),
-        "breakdowns": D.pack_breakdowns(D.breakdowns_flat(silver)),
-        "daily_aggregates": K.build_wide_gold(enriched, rows, summary=summary),
+        "breakdowns": D.pack_breakdowns(D.breakdowns_flat(traffic, weight="messages")),
+        "daily_aggregates": K.build_wide_gold(enriched, rows, summary=summary, **parts),
     }
 
 
