@@ -3,8 +3,9 @@
 Each round points every node at the smallest neighbour it knows (large star,
 then small star) until no edge changes; a path halves in length each round.
 Rounds are cut by reliable checkpoints. A hot node (the centre of a large
-star) is pre-aggregated by ``min`` and joined back, which adaptive execution
-splits. Nothing but two numbers a round comes to the driver.
+star) is pre-aggregated by ``min`` and joined back; the minima are checkpointed,
+so that both sides of the join are plain shuffles, whose hot partitions adaptive
+execution splits. Nothing but two numbers a round comes to the driver.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from zonelens.llm.common import cut_lineage
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
@@ -37,6 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-        edges = cut_lineage(_small_star(_large_star(edges).distinct()).distinct())
+        large = cut_lineage(_large_star(edges).distinct())
+        edges = cut_lineage(_small_star(large).distinct())
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select("component", "component").distinct())
