@@ -49,7 +49,7 @@ AGREE = 43
 #: Nodes of a bucket in one block, about.
 BUCKET_BLOCK = 256
 #: Nodes, and shingles, of a family in one block, about.
-FAMILY_BLOCK = 128
+FAMILY_BLOCK = 96
 FAMILY_SHINGLES = 1 << 20
 #: Rows without an id get nodes from here on.
 NO_ID = 1 << 62
