@@ -114,6 +114,12 @@ def test_spans_and_rewriting(spark):
         assert r.new == re.sub("[0-9]+|é+", lambda m: f"<{m[0]}>", texts[r.i])
 
 
+def test_many_matches_in_one_text(spark):
+    text = "7 é" * 40_000
+    row = spark.createDataFrame([(text,)], "text string").select(spans(F.col("text"), "[0-9]").alias("s")).select(F.size("s").alias("n"), F.get("s", 39_999).alias("last"), F.get("s", 199).alias("mid")).first()
+    assert (row.n, row.last.start, row.mid.start) == (40_000, 3 * 39_999, 3 * 199)
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     rows = spark.sql("select 'abcdefghij' t, array(named_struct('start',1,'end',4), named_struct('start',2,'end',6), named_struct('start',3,'end',5), named_struct('start',8,'end',9)) s")
     assert rows.select(rewritten(F.col("t"), F.col("s"), lambda s: F.lit("*")).alias("x")).first().x == "a*gh*j"

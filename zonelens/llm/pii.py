@@ -45,7 +45,8 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 ADDED = ("generalised", "removed")
 
 #: A term: a word of four letters or more that is no part of an address or a number.
-TERM = r"(?<![\p{L}\p{N}_%+@.-])\p{L}{4,}+(?![\p{L}\p{N}_%+@-]|\.[\p{L}\p{N}])"
+_ALONE = (r"(?<![\p{L}\p{N}_%+@.-])", r"(?![\p{L}\p{N}_%+@-]|\.[\p{L}\p{N}])")
+TERM = rf"{_ALONE[0]}\p{{L}}{{4,}}+{_ALONE[1]}"
 REACH = 80
 SUPPORT = 3
 GENERALISE = 0.85
@@ -136,6 +137,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
+def _added(text: Column, pattern: Column, told: Column) -> Column:
+    """Spans of the told words, by how much they disclose."""
+
+    def span(s: Column) -> Column:
+        removed = F.element_at(told, F.lower(s["value"])) >= REMOVE
+        rank = F.when(removed, len(KINDS) + 1).otherwise(len(KINDS))
+        kind = F.when(removed, ADDED[1]).otherwise(ADDED[0])
+        return F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), kind.alias("kind"), s["value"].alias("value"))
+
+    return F.transform(F.filter(spans(text, pattern), lambda s: F.map_contains_key(told, F.lower(s["value"]))), span)
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``doc_id, text, base, spans, sanitised`` of every row: base spans, all spans, and the rewritten text."""
     rows = id_and_text(docs)
@@ -143,17 +156,17 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # Different texts first; then those without findings, which only looked like having some, go.
     found = based.where(F.col("text").rlike("|".join(PATTERNS.values()))).groupBy(F.sha2("text", 256).alias("key"))
     found = found.agg(F.first("text").alias("text"), F.first("base").alias("spans"), F.count("*").alias("copies"))
-    found = cut_lineage(found.where(F.size("spans") > 0))
+    # Dealt anew: these rows are few, but their texts are searched further.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut_lineage(found.where(F.size("spans") > 0).repartition(partitions, "key"))
     disclosing = cut_lineage(disclosing_terms(rows, found))
     held = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    words = found.select("key", F.explode(spans(F.col("text"), TERM)).alias("word"))
-    words = words.select("key", "word.start", "word.end", "word.value", F.lower("word.value").alias("term"))
-    told = words.join(disclosing, "term").join(held, ["key", "entity"]).groupBy("key", "start", "end", "value").agg(F.max("disclosure").alias("disclosure"))
-    removed = F.col("disclosure") >= REMOVE
-    kind = F.when(removed, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
-    rank = F.when(removed, F.lit(len(KINDS) + 1)).otherwise(F.lit(len(KINDS)))
-    span = F.struct("start", rank.cast("int").alias("rank"), "end", kind.alias("kind"), "value")
-    added = told.groupBy("key").agg(F.collect_list(span).alias("added"))  # of one text
+    words = found.select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    told = words.join(disclosing, "term").join(held, ["key", "entity"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = told.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))  # of one text
+    # Where the told words stand: only they are looked for.
+    told = told.withColumn("pattern", F.concat(F.lit(f"{_ALONE[0]}(?iu:"), F.array_join(F.map_keys("told"), "|"), F.lit(f"){_ALONE[1]}")))
+    added = found.select("key", "text").join(told, "key").select("key", _added(F.col("text"), F.col("pattern"), F.col("told")).alias("added"))
     # Rows without findings get keys of their own, so that they spread.
     own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
     based = based.withColumn("key", F.when(F.size("base") > 0, F.sha2("text", 256)).otherwise(own))

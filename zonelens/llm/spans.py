@@ -20,7 +20,30 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: then(v)), 0)
 
 
-def spans(text: Column, pattern: str) -> Column:
+def running_sums(values: Column) -> Column:
+    """Running sums of a non-empty array of integers.
+
+    An array grows by copying, so it is cut into about as many blocks as a block
+    has values: sums within blocks, then those of the blocks before.
+    """
+
+    def add(done: Column, value: Column) -> Column:
+        return F.concat(done, F.array(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + value))
+
+    def cut(v: Column) -> Column:
+        length = F.ceil(F.sqrt(F.size(v))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(v), length)
+        return F.transform(starts, lambda s: F.aggregate(F.slice(v, s, length), F.array().cast("array<int>"), add))
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda done, b: add(done, F.get(b, F.size(b) - 1)))
+        shifted = F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, o: F.transform(b, lambda x: x + o))
+        return F.flatten(shifted)
+
+    return let(values, lambda v: let(cut(v), joined))
+
+
+def spans(text: Column, pattern: str | Column) -> Column:
     """The pattern's leftmost, non-overlapping matches as an array of ``SPAN``, in order.
 
     To filter on it, filter on ``rlike`` first: a filter on the array itself is moved to
@@ -29,11 +52,7 @@ def spans(text: Column, pattern: str) -> Column:
 
     def located(found: Column) -> Column:
         def ends(gaps: Column) -> Column:
-            def add(done: Column, i: Column) -> Column:
-                before = F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))
-                return F.concat(done, F.array(before + F.get(gaps, i) + F.length(F.get(found, i))))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.array().cast("array<int>"), add)
+            return running_sums(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: g + F.length(v)))
 
         def cut(end: Column) -> Column:
             def span(v: Column, i: Column) -> Column:
@@ -44,7 +63,7 @@ def spans(text: Column, pattern: str) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
         return F.when(F.size(found) > 0, let(gaps, lambda g: let(ends(g), cut))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
+    return let(F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)), located)
 
 
 def rewritten(text: Column, spans: Column, replacement) -> Column:
