@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zonelens.llm import quality, queries, toxicity
 
@@ -110,6 +111,26 @@ def test_toxicity_held_out(measured):
     assert model.known["idiott"] > model.known["table"] and model.known["idiot"] > model.known["table"]
 
 
+def test_toxicity_calibrates_on_whole_texts(spark):
+    """Held-out clean texts of 1500 words with one rough word each: wherever it stands, it counts."""
+    rng = np.random.default_rng(4)
+    ids = spark.range(160).withColumn("held", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(4)) == 0).collect()
+    rows, long = [], {}
+    for d, held in ids:
+        toxic = d % 4 == 0
+        words = [f"word{i}" for i in rng.integers(0, 300, 1500 if held and not toxic else 60)]
+        if toxic:
+            words[rng.integers(len(words))] = "moron"
+        elif held:
+            words[1001] = "moron"  # in two of 749 windows
+            long[d] = " ".join(words)
+        rows.append((d, " ".join(words), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    scores = np.array(model.score(list(long.values())))
+    assert len(scores) > 20 and (scores >= toxicity.TOXIC_FROM + 1e-6).mean() <= 1 / len(scores)
+
+
 def test_word_scores_are_means_of_their_buckets():
     words = ["Moron,", "a", "", "naïve", "+++", "𝄞𝄞"]
     buckets, owners = toxicity.gram_buckets(words)

@@ -12,10 +12,11 @@ softmax weights move together, by Adam on the whole sample. After training
 the weights are folded into one number per bucket, so a text costs a look-up
 per word.
 
-The model is fitted on the driver on at most ``SAMPLE`` labelled documents,
-those with the smallest hash of their id, of each at most ``BAG`` windows
-(toxic) or its share of ``CLEAN_WINDOWS`` (others), evenly spaced. Scoring reads
-every whole text.
+The model is fitted on the driver on three quarters of at most ``SAMPLE`` labelled
+documents, those with the smallest hash of their id, of each at most ``BAG`` windows
+(toxic) or its share of ``CLEAN_WINDOWS`` (others), evenly spaced. The other quarter
+calibrates: its whole texts are scored where they are, as scoring reads every
+whole text, and only one number of each comes to the driver.
 
 Defined results: a NULL or empty text scores as the empty window, the model's
 bias; repeated rows score alike; an empty table gives no rows; without
@@ -34,12 +35,10 @@ from pyspark.sql import functions as F
 
 from zonelens.llm.common import column_chunks, id_and_text, labelled_sample, rows_where
 
-SAMPLE = 8_000
+SAMPLE = 12_000
 BAG = 1024
-#: Windows of a clean document that calibrates.
-HELD_WINDOWS = 256
 #: Windows of clean documents in all, shared evenly.
-CLEAN_WINDOWS = 250_000
+CLEAN_WINDOWS = 400_000
 BUCKETS = 1 << 17
 SIZE = 8
 GRAMS = (3, 4, 5)
@@ -120,8 +119,8 @@ class Model:
         self._learn(set().union(*cut))
         return self.bias + max(sum(map(self.known.__getitem__, words)) / len(words) for words in cut)
 
-    def score(self, texts: list[str]) -> list[float]:
-        """Toxic probability of each text: that of its most toxic window."""
+    def text_odds(self, texts: list[str]) -> list[float]:
+        """Log-odds of each text: those of its most toxic window."""
         cut = [t.split() for t in texts]
         self._learn(set().union(*cut))
         get, out = self.known.__getitem__, []
@@ -132,9 +131,13 @@ class Model:
                 starts = window_starts(len(words))
                 ends = np.minimum(starts + WINDOW, len(words))
                 odds += float(((sums[ends] - sums[starts]) / (ends - starts)).max())
-            out.append(1 / (1 + np.exp(-max(min(odds, 40.0), -40.0))))
+            out.append(odds)
         return out
 
+    def score(self, texts: list[str]) -> list[float]:
+        """Toxic probability of each text: that of its most toxic window."""
+        return [1 / (1 + np.exp(-max(min(odds, 40.0), -40.0))) for odds in self.text_odds(texts)]
+
 
 class _Part:
     """A share of the bags with its n-grams laid out for sums along sorted copies."""
@@ -211,20 +214,19 @@ def bag(text: str, most: int) -> list[str]:
     return [" ".join(words[s : s + WINDOW]) for s in starts.tolist()]
 
 
-def calibrated(model: Model, bags: list[list[str]], toxic: np.ndarray, at: float = TOXIC_FROM) -> Model:
-    """The model with its bias moved so that ``at`` is the score that tells held-out bags apart best.
+def calibrated(model: Model, odds: np.ndarray, toxic: np.ndarray, at: float = TOXIC_FROM) -> Model:
+    """The model with its bias moved so that ``at`` is the score that tells held-out texts apart best.
 
-    Best is by F1, with at most one clean bag in a hundred above it.
+    ``odds``: the model's log-odds of them. Best is by F1, with at most one clean text in a hundred above it.
     """
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all() or not model.weight.any():
         return model
-    odds = np.array([model.odds(bag) for bag in bags])
     order = np.argsort(-odds)
     hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(bags) + 1) + toxic.sum())
+    f1 = 2 * hits / (np.arange(1, len(odds) + 1) + toxic.sum())
     best = int(f1.argmax())
-    cut = (odds[order[best]] + odds[order[min(best + 1, len(bags) - 1)]]) / 2
+    cut = (odds[order[best]] + odds[order[min(best + 1, len(odds) - 1)]]) / 2
     cut = max(cut, float(np.quantile(odds[~toxic], 0.99)))
     return Model(model.weight, float(model.bias + np.log(at / (1 - at)) - cut))
 
@@ -232,30 +234,42 @@ def calibrated(model: Model, bags: list[list[str]], toxic: np.ndarray, at: float
 def fit_and_calibrate(bags: list[list[str]], toxic: np.ndarray, held: np.ndarray, **settings: float) -> Model:
     """Fit on the bags that are not ``held``, calibrate on those that are."""
     learn, test = np.flatnonzero(~held), np.flatnonzero(held)
-    return calibrated(fit([bags[i] for i in learn], toxic[learn], **settings), [bags[i] for i in test], toxic[test])
+    model = fit([bags[i] for i in learn], toxic[learn], **settings)
+    return calibrated(model, np.array([model.odds(bags[i]) for i in test]), toxic[test])
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[str], Column] | None = None, sample: int = SAMPLE) -> Model:
     """The model of ``labels.toxic``; ``allowed`` restricts the labels that may be used, by ``doc_id``.
 
-    A quarter of the sample, by hash of the id, calibrates the score; of its
-    documents all windows up to ``BAG`` are read, whatever their label.
+    A quarter of the sample, by hash of the id, calibrates the score: every
+    window of its whole texts is scored, in Spark, whatever their label.
     """
     usable = labels if allowed is None else labels.where(allowed("doc_id"))
     share = int(np.clip(CLEAN_WINDOWS // max(1, min(sample, usable.count())), 1, BAG))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
+    chosen = labelled_sample(docs, usable, "toxic", sample)
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, marks, tests in column_chunks(batches):
-            most = [BAG if mark else HELD_WINDOWS if test else share for mark, test in zip(marks.to_pylist(), tests.to_pylist(), strict=True)]
-            cut = [bag(t, n) for t, n in zip(texts.to_pylist(), most, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, marks, tests, pa.array(cut, pa.list_(pa.string()))], names=["doc_id", "label", "held", "windows"])
-
-    chosen = labelled_sample(docs, usable, "toxic", sample).withColumn("held", held)
-    rows = chosen.mapInArrow(bags, "doc_id long, label int, held boolean, windows array<string>")
-    rows = rows.groupBy("doc_id", "label", "held").agg(F.min("windows").alias("windows")).where(F.size("windows") > 0)
+        for ids, texts, marks in column_chunks(batches):
+            cut = [bag(t, BAG if mark else share) for t, mark in zip(texts.to_pylist(), marks.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(cut, pa.list_(pa.string()))], names=["doc_id", "label", "windows"])
+
+    rows = chosen.where(~held).mapInArrow(bags, "doc_id long, label int, windows array<string>")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("windows").alias("windows")).where(F.size("windows") > 0)
     rows = rows.toPandas().sort_values("doc_id")
-    return fit_and_calibrate([list(windows) for windows in rows["windows"]], rows["label"].to_numpy() == 1, rows["held"].to_numpy(bool))
+    if rows.empty:
+        return fit([], np.zeros(0, bool))
+    model = fit([list(windows) for windows in rows["windows"]], rows["label"].to_numpy() == 1)
+
+    def odds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, marks in column_chunks(batches):
+            texts = texts.to_pylist()
+            full = pa.array([bool(t.split()) for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(model.text_odds(texts), pa.float64())], names=["doc_id", "label", "odds"]).filter(full)
+
+    rows = chosen.where(held).mapInArrow(odds, "doc_id long, label int, odds double")
+    rows = rows.groupBy("doc_id", "label").agg(F.max("odds").alias("odds")).toPandas()
+    return calibrated(model, rows["odds"].to_numpy(float), rows["label"].to_numpy() == 1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
