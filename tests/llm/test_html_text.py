@@ -52,6 +52,16 @@ def test_runs_surge_and_dive():
     assert html_text.runs(np.zeros(5, np.int64)) == []
 
 
+def test_article_is_evidence_and_windows_decide():
+    ads = "<aside>ad</aside>" * 5
+    long = "<p>" + "The story itself, told at some length in a plain element. " * 15 + "</p>"
+    story = " ".join(html_text.main_text(long).split())
+    # A marked run without a surge goes; one behind blank lines with a surge stays.
+    assert html_text.main_text(f"<article>{BODY}{ads}<p>By Ann</p>{ads}{BODY}</article>") == f"{TEXT} {TEXT}"
+    # A marked teaser does not hide the text of the page.
+    assert html_text.main_text(f"<div>{long}{long}</div>{ads}<article><p>Read more</p></article>") == f"{story} {story}"
+
+
 def test_pages_awkward(spark):
     values = [(1, "u", None), (None, None, "<article>x</article>"), (2, "u", ""), (2, "u", ""), (3, "u", "<article>" + "<p>line</p>" * 50_000 + "</article>")]
     pages = spark.createDataFrame(values, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))

@@ -1,13 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block with text. Lines of boilerplate elements
-(by element name, or by the words of class, id and role) count as blank, and so
-does what lies outside ``<article>`` or ``<main>`` where the page has one. Then
+(by element name, or by the words of class, id and role) count as blank. Then
 text lengths are summed over sliding windows of lines. The distribution surges
 where a window with text follows blank lines and dives where the next windows
 are blank; the text between a surge and its dive is a run. Runs whose highest
 window reaches ``SURGE`` characters, or a quarter of the page's highest window if
-that is less, are the main text; with a marked article every run is.
+that is less, are the main text. ``<article>`` and ``<main>`` are evidence: text in
+and outside them makes runs of its own, and a run outside must also reach
+``MARKED`` times the highest window inside.
 
 Defined results: NULL or empty html, and html without text, give the empty
 text; truncated html ends its open elements; repeated rows give the same text;
@@ -31,6 +32,8 @@ from zonelens.llm.common import column_chunks, ship_package
 WINDOW = 3
 #: Characters in a window from which on it can start a run.
 SURGE = 80
+#: A run outside ``<article>`` and ``<main>`` needs so many times the highest window inside.
+MARKED = 4
 
 # Elements and words that mark what is not the article.
 _RAW = "script|style|title|noscript|textarea|template|svg|math|iframe|object|select|xmp"
@@ -156,15 +159,16 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks in page order, joined by a space."""
     lines, marked = text_lines(html)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    in_article = lengths * np.array(marked, np.int64)
-    if in_article.any():
-        kept = [(a, b) for a, b, _ in runs(in_article, window)]
-        lengths = in_article
-    else:
-        found = runs(lengths, window)
-        least = min(surge, max((top for *_, top in found), default=0) / 4)
-        kept = [(a, b) for a, b, top in found if top >= least]
-    return " ".join(lines[i] for a, b in kept for i in range(a, b) if lengths[i])
+    inside = np.array(marked, bool)
+    kept = np.zeros(len(lines), bool)
+    found = [(own, runs(own, window)) for own in (lengths * inside, lengths * ~inside)]
+    in_article, top = (max((t for *_, t in part), default=0) for part in (found[0][1], found[0][1] + found[1][1]))
+    least = min(surge, top / 4)
+    for (own, part), needed in zip(found, (least, max(least, MARKED * in_article)), strict=True):
+        for a, b, t in part:
+            if t >= needed:
+                kept[a:b] |= own[a:b] > 0
+    return " ".join(lines[i] for i in np.flatnonzero(kept).tolist())
 
 
 def extract(pages: DataFrame) -> DataFrame:
