@@ -62,6 +62,24 @@ def test_article_is_evidence_and_windows_decide():
     assert html_text.main_text(f"<div>{long}{long}</div>{ads}<article><p>Read more</p></article>") == f"{story} {story}"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<p>one</p><svg class="i"/><p>two</p><math/><p>three</p>', "one two three"),
+        ("<p>one</p><object-view>two</object-view><title-bar>three</title-bar><select-box>four</select-box>", "one two three four"),
+        ("<p>one</p><svg class='i'><title>no</title></svg><p>two</p>", "one two"),
+        (f'<div class="has-sidebar"><div class="sidebar">links</div>{BODY}{BODY}</div><p>Imprint</p>', f"{TEXT} {TEXT} Imprint"),
+        (f'<div class="sidebar">links</div><article class="post comments-open">{BODY}{BODY}</article>', f"{TEXT} {TEXT}"),
+        (f'<section id="legal-history">{BODY}</section>', TEXT),
+        (f'<form id="aspnetForm"><div class="menu">Home</div>{BODY}</form>', TEXT),
+        (f'<div class="widget text">{BODY}</div><div class="widget text">{BODY}</div><div class="share">Share</div>', f"{TEXT} {TEXT}"),
+        (f"<div>{BODY}</div><div class='comments'>{BODY}{BODY}</div>", TEXT),
+    ],
+)
+def test_pages_do_not_vanish(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_pages_awkward(spark):
     values = [(1, "u", None), (None, None, "<article>x</article>"), (2, "u", ""), (2, "u", ""), (3, "u", "<article>" + "<p>line</p>" * 50_000 + "</article>")]
     pages = spark.createDataFrame(values, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))

@@ -10,6 +10,11 @@ that is less, are the main text. ``<article>`` and ``<main>`` are evidence: text
 and outside them makes runs of its own, and a run outside must also reach
 ``MARKED`` times the highest window inside.
 
+Words of class and id (and forms) mark an element only if it does not hold the
+page's main run: the element whose own text has the highest window, where that is
+more than four times the highest window outside all such elements, is text, and
+so are the elements around it and those with its very tag.
+
 Defined results: NULL or empty html, and html without text, give the empty
 text; truncated html ends its open elements; repeated rows give the same text;
 an empty table gives no rows; other columns are not read.
@@ -37,7 +42,7 @@ MARKED = 4
 
 # Elements and words that mark what is not the article.
 _RAW = "script|style|title|noscript|textarea|template|svg|math|iframe|object|select|xmp"
-_BOILERPLATE = frozenset("nav footer aside form button menu dialog input label fieldset search".split())
+_BOILERPLATE = frozenset("nav footer aside button menu dialog input label fieldset search".split())
 _BOILERPLATE_WORDS = frozenset(
     """ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner
     nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc sidebar side aside rail
@@ -55,7 +60,8 @@ _INLINE = frozenset(
 _ARTICLE = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"""<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>"""
+    rf"|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -64,30 +70,56 @@ _MARKS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_boilerplate(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element is boilerplate; a header inside the article holds its title."""
+def _boilerplate(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether it is unless it holds the main run; a header inside the article holds its title."""
     if name in _BOILERPLATE or name == "header" and not inside:
-        return True
+        return True, False
+    soft = name == "form"
     for m in _MARKS.finditer(rest) if rest and name not in ("body", "html") else ():
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if kind == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return True, False
         words = {w.lower() for w in _WORD.findall(value)}
         if kind == "role" and words & _ROLES:
-            return True
+            return True, False
         if kind in ("class", "id") and (words & _BOILERPLATE_WORDS or not inside and words & _HEADER_WORDS):
-            return True
-    return False
+            soft = True
+    # An inline element is no block, so no run of its own.
+    return soft and name in _INLINE, soft and name not in _INLINE
 
 
 def text_lines(html: str) -> tuple[list[str], list[bool]]:
     """The page's lines of text (blank for boilerplate), and which lie in a marked article."""
-    lines, marked = [], []
+    lines, marked, owners, elements = _lines(html)
+    lengths, owner = np.fromiter(map(len, lines), np.int64, len(lines)), np.array(owners, np.int64)
+    text = {-1}
+    if elements and len(lines):
+        # Highest window of each element's own lines; the last place is of those outside (-1).
+        sums = lengths.copy()
+        for lag in range(1, WINDOW):
+            sums[:-lag] += lengths[lag:] * (owner[lag:] == owner[:-lag])
+        tops = np.zeros(len(elements) + 1, np.int64)
+        np.maximum.at(tops, owner, sums)
+        most = int(tops[:-1].argmax())
+        if tops[most] > 4 * tops[-1]:
+            tag = elements[most][1:]
+            for e in (most, *(e for e in range(len(elements)) if elements[e][1:] == tag)):
+                while e not in text:
+                    text.add(e)
+                    e = elements[e][0]
+    return [line if e in text else "" for line, e in zip(lines, owners, strict=True)], marked
+
+
+def _lines(html: str) -> tuple[list[str], list[bool], list[int], list[tuple[int, str, str]]]:
+    """Lines, marks, and for each line the innermost element that words mark (-1: none); those elements: the one around, name, attributes."""
+    lines, marked, owners = [], [], []
+    elements: list[tuple[int, str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, article
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, boilerplate, article, owner outside
     skipped = inside = at = 0
+    owner = -1
     dropped = False  # whether boilerplate text was met since the last line
 
     def close_line() -> None:
@@ -96,6 +128,7 @@ def text_lines(html: str) -> tuple[list[str], list[bool]]:
         if text or dropped:
             lines.append(text)
             marked.append(inside > 0)
+            owners.append(owner)
         parts.clear()
         dropped = False
 
@@ -107,8 +140,11 @@ def text_lines(html: str) -> tuple[list[str], list[bool]]:
             dropped = True
 
     def pop() -> None:
-        nonlocal skipped, inside
-        _, boilerplate, article = stack.pop()
+        nonlocal skipped, inside, owner
+        _, boilerplate, article, outside = stack.pop()
+        if owner != outside:
+            close_line()
+            owner = outside
         skipped -= boilerplate
         inside -= article
 
@@ -132,15 +168,18 @@ def text_lines(html: str) -> tuple[list[str], list[bool]]:
                 # A new block ends open inline elements and a paragraph; an item ends the item before it.
                 while stack and (stack[-1][0] in _INLINE or stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name):
                     pop()
-            boilerplate = _is_boilerplate(name, m["rest"], inside > 0)
+            boilerplate, soft = _boilerplate(name, m["rest"], inside > 0)
             article = name in _ARTICLE and not boilerplate and not skipped
-            stack.append((name, boilerplate, article))
+            stack.append((name, boilerplate, article, owner))
+            if soft and not skipped:
+                elements.append((owner, name, m["rest"]))
+                owner = len(elements) - 1
             skipped += boilerplate
             inside += article
     if at < len(html):
         read(html[at:])
     close_line()
-    return lines, marked
+    return lines, marked, owners, elements
 
 
 def runs(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
