@@ -7,7 +7,7 @@ and reads it again, so a lost executor costs the current stage only.
 
 1. ``quality_rules``: documents that the base rule or the quality model rejects go.
 2. ``toxicity``: documents from the toxic score on go.
-3. ``near_dup``: one document of each near-duplicate class stays.
+3. ``near_dup``: one document of each near-duplicate class (similarity 0.80 or more) stays.
 4. ``secrets``: secrets in the texts are replaced (and ``n_chars`` counted anew).
 5. ``packing``: the texts' token ids are packed; returns the pieces.
 
@@ -37,7 +37,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, near_dup.STAGE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from zonelens.llm import near_dup, queries
 from zonelens.llm.components import connected_components
 
@@ -102,6 +103,22 @@ def test_keep_one_keeps_columns(awkward, nothing):
     assert near_dup.keep_one(nothing).count() == 0
 
 
+def test_stage_equals_all_pairs_at_80(spark, make, families):
+    rows = make([(d, t, "en", "s", 0) for d, t in families.items()])
+    sets = {d: shingle_set(t) for d, t in families.items()}
+    classes = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and classes[a] != classes[b]:
+                low, high = sorted((classes[a], classes[b]))
+                classes = {d: low if c == high else c for d, c in classes.items()}
+    assert classes != brute_force(families)[0]
+    # Of texts without words each stays.
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect()}
+    assert kept == {d for d, c in classes.items() if c == d}
+
+
 def test_components_of_a_path_a_star_and_noise(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(300)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(180)]

@@ -2,12 +2,12 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes). Texts with
    equal sets are one node from here on.
-2. Tensored banding: instead of ``TABLES**2`` independent tables of
-   ``2 * ROWS`` minhashes each, two collections A and B of ``TABLES`` short
+2. Tensored banding: instead of ``tables**2`` independent tables of
+   ``2 * ROWS`` minhashes each, two collections A and B of ``tables`` short
    keys (``ROWS`` minhashes) are drawn; table (i, j) has the key (A_i, B_j).
-   So ``2 * TABLES * ROWS`` minhashes give all tables. Rows are shuffled by
+   So ``2 * tables * ROWS`` minhashes give all tables. Rows are shuffled by
    A_i only; pairs must also meet in some B_j, looked up where they meet.
-3. Pairs that meet and whose signatures agree in ``AGREE`` of the minhashes
+3. Pairs that meet and whose signatures agree in ``agree`` of the minhashes
    link nodes to families. Buckets, like families below, are dealt in blocks:
    every pair of blocks is one unit of work, so a hot bucket is neither cut nor
    held in one task. Units emit a spanning forest, never all pairs.
@@ -15,8 +15,9 @@
    shared shingles (a matrix product over the shingles that occur twice). The
    confirmed links' components are the classes.
 
-A pair of Jaccard similarity 0.85 shares no table with probability 2e-5 and
-fails ``AGREE`` with probability below 1e-6; no pair below 0.85 is linked.
+A pair at the threshold (``Scheme.percent``: 85, or 80 for ``STAGE``) shares no table
+with probability 2e-5 and fails ``agree`` with probability below 1e-6; no pair below
+the threshold is linked.
 
 Defined results: NULL and empty texts, and texts without words, have empty sets
 and are linked with nothing; texts of fewer than ``WORDS`` words have one
@@ -28,6 +29,8 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +42,26 @@ from zonelens.llm.common import column_chunks, cut_lineage, ship_package, whole_
 from zonelens.llm.components import connected_components
 
 WORDS = 5
-#: Linked: 100 * intersection >= PERCENT * union.
-PERCENT = 85
-TABLES = 12
+#: Minhashes of a short key.
 ROWS = 3
-HASHES = 2 * TABLES * ROWS
-#: Minhashes of ``HASHES`` that must agree for a pair to be a candidate.
-AGREE = 43
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """A threshold (linked: 100 * intersection >= percent * union), its tables, and the minhashes that candidates agree in."""
+
+    percent: int
+    tables: int
+    agree: int
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.tables * ROWS
+
+
+#: Of the query, and of the pipeline's stage.
+QUERY = Scheme(85, 12, 43)
+STAGE = Scheme(80, 16, 55)
 #: Nodes of a bucket in one block, about.
 BUCKET_BLOCK = 256
 #: Nodes, and shingles, of a family in one block, about.
@@ -54,7 +70,7 @@ FAMILY_SHINGLES = 1 << 20
 #: Rows without an id get nodes from here on.
 NO_ID = 1 << 62
 
-_MULTIPLIERS = np.random.default_rng(20_240_229).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(20_240_229).integers(1, 2**63, max(QUERY.hashes, STAGE.hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,19 +93,19 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(rolled)
 
 
-def minhashes(found: np.ndarray) -> np.ndarray:
-    least = np.full(HASHES, np.iinfo(np.uint64).max)
+def minhashes(found: np.ndarray, hashes: int) -> np.ndarray:
+    least = np.full(hashes, np.iinfo(np.uint64).max)
     for at in range(0, len(found), 4096):
-        x = found[None, at : at + 4096] * _MULTIPLIERS[:, None]
+        x = found[None, at : at + 4096] * _MULTIPLIERS[:hashes, None]
         x ^= x >> np.uint64(31)
         np.minimum(least, x.min(axis=1), out=least)
     return least
 
 
 def table_keys(least: np.ndarray) -> np.ndarray:
-    """The ``2 * TABLES`` short keys: those of A, then those of B."""
-    keys = np.arange(2 * TABLES, dtype=np.uint64)
-    for part in least.reshape(2 * TABLES, ROWS).T:
+    """The short keys: those of A, then as many of B."""
+    keys = np.arange(len(least) // ROWS, dtype=np.uint64)
+    for part in least.reshape(-1, ROWS).T:
         keys = _mixed(keys * _MIX + part)
     return keys
 
@@ -102,7 +118,7 @@ def node_id() -> Column:
 _SKETCH = "doc_id long, node long, n_shingles long, digest string, signature binary, a array<long>, b array<int>"
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, scheme: Scheme = QUERY) -> DataFrame:
     """Per row: set size, digest of the set, low bytes of the minhashes, table keys of A and B."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +129,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                 if not len(found):
                     rows.append((0, None, None, None, None))
                     continue
-                least = minhashes(found)
+                least = minhashes(found, scheme.hashes)
                 keys = table_keys(least)
                 digest = xxhash.xxh3_128_hexdigest(found.tobytes())
-                rows.append((len(found), digest, least.astype(np.uint8).tobytes(), keys[:TABLES].view(np.int64), keys[TABLES:].astype(np.uint32).view(np.int32)))
+                rows.append((len(found), digest, least.astype(np.uint8).tobytes(), keys[: scheme.tables].view(np.int64), keys[scheme.tables :].astype(np.uint32).view(np.int32)))
             kinds = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, nodes, *columns], names=["doc_id", "node", "n_shingles", "digest", "signature", "a", "b"])
@@ -189,12 +205,12 @@ def _edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 _SMALL = 8
 
 
-def _candidates(units: Iterator[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+def _candidates(units: Iterator[tuple[np.ndarray, pa.Table]], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     for unit, table in units:
         node, block = (table.column(c).to_numpy() for c in ("node", "block"))
         same_block = table.column("low").to_numpy() == table.column("high").to_numpy()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-        b = table.column("b").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, scheme.hashes)
+        b = table.column("b").combine_chunks().flatten().to_numpy().reshape(-1, scheme.tables)
         size = np.bincount(unit)[unit]
         found = []
         for lag in range(1, _SMALL):
@@ -202,7 +218,7 @@ def _candidates(units: Iterator[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.Rec
             j = i + lag
             ok = (node[i] != node[j]) & (same_block[i] | (block[i] != block[j])) & (b[i] == b[j]).any(axis=1)
             i, j = i[ok], j[ok]
-            ok = (signature[i] == signature[j]).sum(axis=1) >= AGREE
+            ok = (signature[i] == signature[j]).sum(axis=1) >= scheme.agree
             found.append((node[i[ok]], node[j[ok]]))
         starts = np.flatnonzero(np.diff(unit, prepend=-1))
         for first in starts[size[starts] > _SMALL].tolist():
@@ -212,7 +228,7 @@ def _candidates(units: Iterator[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.Rec
                 agree += column[:, None] == column[None, :]
             for column in b[rows].T:
                 meet |= column[:, None] == column[None, :]
-            linked = meet & (agree >= AGREE)
+            linked = meet & (agree >= scheme.agree)
             if not same_block[first]:
                 linked &= block[rows][:, None] != block[rows][None, :]
             if edges := forest(linked):
@@ -242,7 +258,7 @@ def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return total
 
 
-def _confirmed(units: Iterator[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+def _confirmed(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int) -> Iterator[pa.RecordBatch]:
     for unit, table in units:
         node, block = (table.column(c).to_numpy() for c in ("node", "block"))
         same_block = table.column("low").to_numpy() == table.column("high").to_numpy()
@@ -256,7 +272,7 @@ def _confirmed(units: Iterator[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.Reco
                 continue
             size = np.array([len(s) for s in sets[first:last]])
             both = shared_counts(sets[first:last])
-            linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+            linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
             if not same_block[first]:
                 linked &= block[first:last, None] != block[None, first:last]
             found += [(node[first + i], node[first + j]) for i, j in forest(linked)]
@@ -281,10 +297,10 @@ def _sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "family long, blocks long, node long, shingles array<long>")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """``classes`` with the column ``node``."""
     ship_package(docs.sparkSession)
-    sketched = cut_lineage(sketch(docs))
+    sketched = cut_lineage(sketch(docs, scheme))
     nodes = sketched.where("digest is not null").groupBy("digest")
     nodes = cut_lineage(nodes.agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "a", "b"))))
     # Buckets of A: only keys that two nodes or more share go on.
@@ -292,13 +308,13 @@ def _classes(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = in_blocks(keys.join(shared, "key"), "key", F.ceil(F.col("size") / BUCKET_BLOCK))
     met = met.join(nodes.select("node", "signature", "b"), "node").select("key", "low", "high", "block", "node", "signature", "b")
-    families = connected_components(by_group(met, "key", _candidates)).withColumnRenamed("component", "family")
+    families = connected_components(by_group(met, "key", partial(_candidates, scheme=scheme))).withColumnRenamed("component", "family")
     # Families: every pair on full sets.
     members = families.join(nodes.select("node", "digest", "n_shingles"), "node")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES)).alias("blocks"))
     members = cut_lineage(members.join(sizes, "family").select("family", "blocks", "node", "digest"))
     units = in_blocks(_sets_of(members, docs), "family", F.col("blocks")).select("family", "low", "high", "block", "node", "shingles")
-    linked = connected_components(by_group(units, "family", _confirmed))
+    linked = connected_components(by_group(units, "family", partial(_confirmed, percent=scheme.percent)))
     labels = nodes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "node", "n_shingles", "digest").join(labels, "digest", "left")
     component = F.coalesce("component", "node")
@@ -306,14 +322,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, scheme: Scheme = QUERY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
-    return _classes(docs).drop("node")
+    return _classes(docs, scheme).drop("node")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, scheme: Scheme = QUERY) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one document of each class, and of repeated rows one."""
-    stay = _classes(docs).where("kept").select("node").distinct()
+    stay = _classes(docs, scheme).where("kept").select("node").distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node_id().alias("node"), F.xxhash64(whole_text()).alias("text_hash"))
     copies = Window.partitionBy("node", "text_hash").orderBy(F.xxhash64("row"))
     rows = packed.join(stay, "node", "left_semi").withColumn("copy", F.row_number().over(copies)).where("copy = 1")
