@@ -103,6 +103,13 @@ def test_keep_one_keeps_columns(awkward, nothing):
     assert near_dup.keep_one(nothing).count() == 0
 
 
+def test_class_without_ids_keeps_one(make):
+    words = [f"w{i}" for i in range(100)]
+    near = [" ".join([*words, f"end{i}"]) for i in range(3)]
+    kept = near_dup.keep_one(make([(None, t, "", "", 0) for t in [*near, near[0], "something else with five words"]])).collect()
+    assert len(kept) == 2 and len({r.text for r in kept} & set(near)) == 1
+
+
 def test_stage_equals_all_pairs_at_80(spark, make, families):
     rows = make([(d, t, "en", "s", 0) for d, t in families.items()])
     sets = {d: shingle_set(t) for d, t in families.items()}

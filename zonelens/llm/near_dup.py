@@ -318,8 +318,8 @@ def _classes(docs: DataFrame, scheme: Scheme) -> DataFrame:
     labels = nodes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "node", "n_shingles", "digest").join(labels, "digest", "left")
     component = F.coalesce("component", "node")
-    out = out.select("doc_id", "node", "n_shingles", F.when(component < NO_ID, component).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Before large node numbers become NULL: a class without any id keeps one text, too.
+    return out.select("doc_id", "node", "n_shingles", F.when(component < NO_ID, component).alias("component_id"), (F.col("node") == component).alias("kept"))
 
 
 def classes(docs: DataFrame, scheme: Scheme = QUERY) -> DataFrame:
