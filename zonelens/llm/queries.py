@@ -9,8 +9,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelens.llm import bpe_transducer, fingerprints, html_text, near_dup, packing, pii, quality, secrets_forest, token_files, toxicity
+from zonelens.llm import bpe_transducer, divergence, fingerprints, html_text, near_dup, ngram_join, packing, pii, quality, resampling, secrets_forest, token_files, toxicity
 from zonelens.llm.common import ensure_checkpoint_dir, read_table
+from zonelens.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "held_out"]
 
 #: Ids that end a document.
 PACK_END_ID = 1
@@ -75,6 +78,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -86,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_token_files": op9_token_files,
     "op10_fingerprints": op10_fingerprints,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_source_divergence": op13_source_divergence,
 }
-
-#: None of these can be stated in SQL that DuckDB runs; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
