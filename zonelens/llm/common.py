@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -18,7 +19,7 @@ from zonelens.session import cut_lineage, ensure_checkpoint_dir
 #: Bytes of text that a Python task turns into Python objects at a time.
 CHUNK_BYTES = 1 << 20
 
-__all__ = ["CHUNK_BYTES", "column_chunks", "cut_lineage", "id_and_text", "ensure_checkpoint_dir", "labelled_sample", "read_table", "rows_where", "ship_package", "whole_text"]
+__all__ = ["CHUNK_BYTES", "column_chunks", "cut_lineage", "drop_folder", "id_and_text", "ensure_checkpoint_dir", "labelled_sample", "read_table", "rows_where", "scratch_folder", "ship_package", "whole_text"]
 
 
 _shipped: set[str] = set()
@@ -33,6 +34,17 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, for tables of this run."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch_folder`` from the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
