@@ -188,7 +188,7 @@ def test_join_equals_all_pairs(make, clouds, percent):
 
 
 def test_join_in_small_blocks(make, clouds, monkeypatch):
-    for name, value in (("BLOCK", 5), ("BLOCK_ELEMENTS", 900), ("MEMORY", 3), ("EMIT", 50)):
+    for name, value in (("BLOCK", 5), ("BLOCK_ELEMENTS", 900), ("MEMORY", 3), ("EMIT", 50), ("KEY_BLOCK", 4), ("PAIRS", 3), ("_SMALL", 3)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = ngram_join.join(make([(d, t, "en", "s", 0) for d, t in clouds.items()])).collect()
     assert Counter(map(tuple, rows)) == brute_join(clouds)
@@ -200,8 +200,11 @@ def test_hamming_distance_bounds_the_symmetric_difference():
     for edits in (0, 1, 10, 60, 400):
         other = np.unique(np.append(rng.permutation(base)[: len(base) - edits], rng.integers(0, 2**64, edits, dtype=np.uint64)))
         apart = len(np.setxor1d(base, other))
-        near = ngram_join.hamming(np.stack([ngram_join.sketch(base, 30), ngram_join.sketch(other, 30)]))[0, 1]
-        assert near <= apart and (apart - near) % 2 == 0
+        for words in (64, 16, 4):
+            a, b = (ngram_join.folded(ngram_join.sketch(x, 64)[None, :], words)[0] for x in (base, other))
+            assert (a == ngram_join.sketch(base, words)).all()
+            near = int(np.bitwise_count(a ^ b).sum())
+            assert near <= apart and (apart - near) % 2 == 0
 
 
 @pytest.mark.parametrize("size", [1, 2, 6, 7, 13, 30, 31, 99, 300, 2000])

@@ -15,13 +15,15 @@
    ``spare`` leaves them out: poor segments are what unlike sets share by chance.
 4. Sets that share keys are verified on full sets, in two steps. First each set with
    its head, the smallest set of most of its keys; what links makes clusters. Then, only
-   where a key holds sets of two clusters or more, all pairs of sets of different
-   clusters, in blocks; the Hamming distance rules out most of them. The largest cluster of such
-   a family is not compared with itself, so a group of n copies and k sets near it cost
-   about n * k comparisons, not n * n.
+   where a key holds sets of two clusters or more, the sketches of all pairs of different
+   clusters are compared, in blocks. Pairs whose Hamming distance allows a link make
+   families, whose sets of different clusters are verified in blocks. The largest cluster
+   of a family is not compared with itself, so a group of n copies and k sets near it
+   cost about n * k comparisons, not n * n.
 
 No pair that links is lost: 3. holds for every pair, and 4. leaves out only pairs
-whose sets are connected already. Clusters and classes are connected components.
+whose sets are connected already, or whose sketches are too far apart. Clusters, families
+and classes are connected components.
 
 Defined results: NULL and empty texts, and texts without words, have empty sets and are
 linked with nothing (their class is their own id); texts of fewer than ``words`` words have one
@@ -43,11 +45,14 @@ from pyspark.sql import functions as F
 
 from zonelens.llm.common import column_chunks, cut_lineage, ship_package, whole_text
 from zonelens.llm.components import connected_components
-from zonelens.llm.near_dup import by_group, forest, shared_counts
+from zonelens.llm.near_dup import by_group, forest, in_blocks, shared_counts
 
 WORDS = 4
 PERCENT = 85
-#: Sets and elements of one block, about.
+#: Sketches of one block of a key, about; pairs of them that are compared at a time.
+KEY_BLOCK = 256
+PAIRS = 8192
+#: Sets and elements of one block of a family or of a head, about.
 BLOCK = 96
 BLOCK_ELEMENTS = 1 << 20
 #: Sets that a task remembers as done, and the keys that it emits at a time.
@@ -120,10 +125,23 @@ def _by_segment(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> n
     return out
 
 
-def sketch(found: np.ndarray, segments: int) -> np.ndarray:
-    """The parity sketch: a 64-bit word per segment, one flipped bit per element."""
-    starts = np.searchsorted(found, _bounds(segments))
-    return _by_segment(np.uint64(1) << (found & np.uint64(63)), starts, np.diff(starts, append=len(found)))
+def width(size: int) -> int:
+    """Words of a compared sketch: a power of two, with more than two bits per element."""
+    return max(4, 1 << (max(size // 24, 1) - 1).bit_length())
+
+
+def sketch(found: np.ndarray, words: int) -> np.ndarray:
+    """The parity sketch of ``words`` (a power of two) 64-bit words: one flipped bit per element."""
+    bits = np.bincount((found & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(bool)).view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (one a row) of fewer words: every element still flips one bit."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def segment_keys(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -292,14 +310,70 @@ def _with_heads(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int = PER
             yield _batch(linked)
 
 
-def hamming(sketches: np.ndarray) -> np.ndarray:
-    """Distances of all pairs of sketches (one a row)."""
-    out = np.zeros((len(sketches),) * 2, np.int64)
-    for word in sketches.T:
-        out += np.bitwise_count(word[:, None] ^ word[None, :])
+def _sketches(found: DataFrame) -> DataFrame:
+    """``node, size, sketch`` of all sets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _set_arrays(pa.Table.from_batches([batch]))
+            words = pa.array([sketch(s, width(len(s))).tobytes() for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), words], names=["node", "size", "sketch"])
+
+    return found.mapInArrow(run, "node long, size long, sketch binary")
+
+
+def _near(i: np.ndarray, j: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of sets (by place) may link, by their sizes and the distance of their sketches."""
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    out = 100 * low >= percent * high
+    words = np.array([len(x) // 8 for x in sketches])
+    used = np.minimum(words[i], words[j])
+    apart = (100 - percent) * (low + 100 * low // percent) // (100 + percent)
+    for w in np.unique(used[out]).tolist():
+        pairs = np.flatnonzero(out & (used == w))
+        for at in range(0, len(pairs), PAIRS):
+            part = pairs[at : at + PAIRS]
+            rows, place = np.unique(np.append(i[part], j[part]), return_inverse=True)
+            cut = np.stack([folded(np.frombuffer(sketches[r], np.uint64)[None, :], w)[0] for r in rows.tolist()])
+            distance = np.bitwise_count(cut[place[: len(part)]] ^ cut[place[len(part) :]]).sum(axis=1, dtype=np.int64)
+            out[part] = distance <= apart[part]
     return out
 
 
+#: Up to this many rows, a unit's pairs are made together with those of other units.
+_SMALL = 8
+
+
+def _candidates(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """Pairs of different clusters (of a large unit a spanning forest of them) whose sketches allow a link."""
+    for unit, table in units:
+        node, cluster, block, size = (table.column(c).to_numpy() for c in ("node", "cluster", "block", "size"))
+        same_block = table.column("low").to_numpy() == table.column("high").to_numpy()
+        sketches = table.column("sketch").to_pylist()
+        rows_in = np.bincount(unit)[unit]
+
+        def compared(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = (cluster[i] != cluster[j]) & (same_block[i] | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            ok = _near(i, j, size, sketches, percent)
+            return i[ok], j[ok]
+
+        found = []
+        for lag in range(1, _SMALL):
+            i = np.flatnonzero((unit[lag:] == unit[:-lag]) & (rows_in[lag:] <= _SMALL))
+            i, j = compared(i, i + lag)
+            found.append((node[i], node[j]))
+        for rows in _units(unit):
+            n = rows.stop - rows.start
+            if n > _SMALL:
+                linked = np.zeros((n, n), bool)
+                i, j = compared(*(x + rows.start for x in np.triu_indices(n, 1)))
+                linked[i - rows.start, j - rows.start] = linked[j - rows.start, i - rows.start] = True
+                found += [(node[[rows.start + x]], node[[rows.start + y]]) for x, y in forest(linked)]
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _across(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Links between sets of different clusters, and different blocks of a unit of two."""
     for unit, table in units:
@@ -315,11 +389,11 @@ def _across(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int = PERCENT
                 open_ &= block[rows][:, None] != block[rows][None, :]
             if len(own) < 2 or not open_.any():
                 continue
-            apart = np.array([most_apart(int(s), percent) for s in size])
-            near = hamming(np.stack([sketch(s, _band(band_of(int(size.max()), percent), percent)[2]) for s in own]))
-            open_ &= near <= np.minimum(apart[:, None], apart[None, :])
-            open_ &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
             i, j = np.nonzero(np.triu(open_))
+            near = _near(i, j, size, [sketch(s, width(len(s))).tobytes() for s in own], percent)
+            i, j = i[near], j[near]
+            open_[:] = False
+            open_[i, j] = open_[j, i] = True
             if len(i) <= 4 * len(own):
                 linked += [(node[rows][x], node[rows][y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if links(own[x], own[y], percent)]
                 continue
@@ -346,15 +420,24 @@ def _head_links(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return by_group(units, "head", work)
 
 
+def _near_pairs(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: sets of different clusters that share a key and whose sketches allow a link."""
+    mixed = shared.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("n")).where("least <> most")
+    rows = in_blocks(shared.join(mixed.select("key", "n"), "key"), "key", F.ceil(F.col("n") / KEY_BLOCK))
+    rows = rows.join(_sketches(found), "node").select("key", "low", "high", "block", "node", "cluster", "size", "sketch")
+
+    def work(units: Iterator[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        return _candidates(units, percent)
+
+    return by_group(rows, "key", work)
+
+
 def _cross_links(shared: DataFrame, clusters: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links between sets of different clusters that share a key."""
     placed = shared.select("key", "node").join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster"))
-    placed = cut_lineage(placed)
-    mixed = placed.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least <> most").select("key", "least")
-    mixed = cut_lineage(placed.join(mixed, "key").select("node", "cluster", "least").distinct())
-    families = connected_components(mixed.select(F.col("cluster").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
-    families = families.select(F.col("node").alias("cluster"), F.col("component").alias("family"))
-    members = cut_lineage(mixed.select("node", "cluster").distinct().join(families, "cluster"))
+    families = connected_components(_near_pairs(cut_lineage(placed), found, percent)).withColumnRenamed("component", "family")
+    members = families.join(clusters, "node", "left").select("node", "family", F.coalesce("component", "node").alias("cluster"))
+    members = cut_lineage(members)
     # A family's largest cluster needs no comparison with itself.
     sizes = members.join(found.select("node", "size"), "node").groupBy("family", "cluster").agg(F.count("*").alias("n"), F.sum("size").alias("elements"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS))
