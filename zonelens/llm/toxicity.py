@@ -16,7 +16,10 @@ The model is fitted on the driver on three quarters of at most ``SAMPLE`` labell
 documents, those with the smallest hash of their id, of each at most ``BAG`` windows
 (toxic) or its share of ``CLEAN_WINDOWS`` (others), evenly spaced. The other quarter
 calibrates: its whole texts are scored where they are, as scoring reads every
-whole text, and only one number of each comes to the driver.
+whole text, and only one number of each comes to the driver. What comes of the others is
+laid out by the tasks as flat arrays (hashes of the windows' words, and once per
+different word its n-grams' buckets), which the fit reads in place: no text, window or word
+is a Python object on the driver.
 
 Defined results: a NULL or empty text scores as the empty window, the model's
 bias; repeated rows score alike; an empty table gives no rows; without
@@ -30,6 +33,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,26 +144,59 @@ class Model:
         return [1 / (1 + np.exp(-max(min(odds, 40.0), -40.0))) for odds in self.text_odds(texts)]
 
 
-class _Part:
-    """A share of the bags with its n-grams laid out for sums along sorted copies."""
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, joined."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+@dataclass
+class Bags:
+    """Bags of windows as flat arrays: each window's words (numbers in the vocabulary), and each word's n-gram buckets."""
+
+    windows: np.ndarray  # of each bag
+    sizes: np.ndarray  # words of each window
+    words: np.ndarray
+    grams: np.ndarray
+    gram_counts: np.ndarray  # of each word of the vocabulary
 
-    def __init__(self, bags: list[list[str]], weight: np.ndarray, toxic: np.ndarray) -> None:
+    @classmethod
+    def of(cls, bags: list[list[str]]) -> Bags:
         vocabulary: dict[str, int] = {}
         cut = [window.split() for bag in bags for window in bag]
-        flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in cut for w in words], np.int32)
-        sizes = np.array(list(map(len, cut)), np.int32)
-        self.bag_of = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
-        buckets, owners = (x.astype(np.int32) for x in gram_buckets(list(vocabulary)))
-        by_word, by_bucket, by_place = (np.argsort(k, kind="stable") for k in (owners, buckets, flat))
-        self.flat, self.word_buckets, self.bucket_words = flat, buckets[by_word], owners[by_bucket]
-        self.word_at, self.bucket_at, self.place_at = (
-            np.flatnonzero(np.diff(k[i], prepend=-1)) for k, i in ((owners, by_word), (buckets, by_bucket), (flat, by_place))
-        )
-        self.buckets = buckets[by_bucket][self.bucket_at]
+        words = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in cut for w in words], np.int32)
+        grams, counts = word_grams(list(vocabulary))
+        return cls(np.array(list(map(len, bags)), np.int32), np.array(list(map(len, cut)), np.int32), words, grams, counts)
+
+
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram buckets of all words, word after word, and how many each has."""
+    buckets, owners = gram_buckets(words)
+    return buckets[np.argsort(owners, kind="stable")].astype(np.int32), np.bincount(owners, minlength=len(words)).astype(np.int32)
+
+
+class _Part:
+    """A share of the bags with its n-grams laid out for sums along sorted copies."""
+
+    def __init__(self, bags: Bags, share: np.ndarray, weight: np.ndarray, toxic: np.ndarray) -> None:
+        counts = bags.windows[share]
+        windows = _ranges((np.cumsum(bags.windows) - bags.windows)[share], counts)
+        sizes = bags.sizes[windows]
+        used, flat = np.unique(bags.words[_ranges((np.cumsum(bags.sizes) - bags.sizes)[windows], sizes)], return_inverse=True)
+        flat = flat.astype(np.int32)
+        self.bag_of = np.repeat(np.arange(len(share), dtype=np.int32), counts)
+        grams = bags.gram_counts[used]
+        self.word_buckets = bags.grams[_ranges((np.cumsum(bags.gram_counts) - bags.gram_counts)[used], grams)]
+        self.word_at = np.cumsum(grams) - grams
+        owners = np.repeat(np.arange(len(used), dtype=np.int32), grams)
+        by_bucket, by_place = (np.argsort(k, kind="stable") for k in (self.word_buckets, flat))
+        self.flat, self.bucket_words = flat, owners[by_bucket]
+        self.bucket_at, self.place_at = (np.flatnonzero(np.diff(k[i], prepend=-1)) for k, i in ((self.word_buckets, by_bucket), (flat, by_place)))
+        self.buckets = self.word_buckets[by_bucket][self.bucket_at]
         self.window_at, self.word_windows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_place]
-        self.grams, self.lengths = np.bincount(owners).astype(np.float32), sizes.astype(np.float32)
+        self.grams, self.lengths = grams.astype(np.float32), sizes.astype(np.float32)
         self.weight, self.clean = weight, ~toxic[self.bag_of]
-        self.per_window = (weight / np.bincount(self.bag_of, minlength=len(bags)))[self.bag_of]
+        self.per_window = (weight / counts)[self.bag_of]
 
     def slopes(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slopes of the loss by bucket vectors (one row per dimension), softmax weights and biases."""
@@ -177,16 +215,16 @@ class _Part:
         return direction[:, None] * by_bucket, np.stack([-to_softmax, to_softmax]), np.array([-to_bias, to_bias])
 
 
-def fit(bags: list[list[str]], toxic: np.ndarray, epochs: int | None = None, parts: int = 16, rate: float = 0.03, decay: float = 0.1, seed: int = 7) -> Model:
-    """Train on texts given as windows (words joined by spaces), and their labels."""
+def fit(bags: Bags, toxic: np.ndarray, epochs: int | None = None, parts: int = 16, rate: float = 0.03, decay: float = 0.1, seed: int = 7) -> Model:
+    """Train on texts given as bags of windows, and their labels."""
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         return Model(np.zeros(BUCKETS), -40.0)
-    epochs = epochs or int(np.clip(180_000 // len(bags), 20, 60))  # few bags are seen more often
+    epochs = epochs or int(np.clip(180_000 // len(toxic), 20, 60))  # few bags are seen more often
     rng = np.random.default_rng(seed)
     weight = np.where(toxic, 1 / toxic.sum(), 1 / (~toxic).sum())
-    shares = [x for x in np.array_split(rng.permutation(len(bags)), min(parts, len(bags))) if len(x)]
-    laid = [_Part([bags[i] for i in share], len(shares) * weight[share], toxic[share]) for share in shares]
+    shares = [x for x in np.array_split(rng.permutation(len(toxic)), min(parts, len(toxic))) if len(x)]
+    laid = [_Part(bags, share, len(shares) * weight[share], toxic[share]) for share in shares]
     vectors = rng.normal(0, 0.1, (SIZE, BUCKETS)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.3, (2, SIZE)), np.array([2.0, -2.0])
     moments, step = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)], 0
@@ -234,10 +272,19 @@ def calibrated(model: Model, odds: np.ndarray, toxic: np.ndarray, at: float = TO
 def fit_and_calibrate(bags: list[list[str]], toxic: np.ndarray, held: np.ndarray, **settings: float) -> Model:
     """Fit on the bags that are not ``held``, calibrate on those that are."""
     learn, test = np.flatnonzero(~held), np.flatnonzero(held)
-    model = fit([bags[i] for i in learn], toxic[learn], **settings)
+    model = fit(Bags.of([bags[i] for i in learn]), toxic[learn], **settings)
     return calibrated(model, np.array([model.odds(bags[i]) for i in test]), toxic[test])
 
 
+def _word_key(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all values, joined."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8)
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[str], Column] | None = None, sample: int = SAMPLE) -> Model:
     """The model of ``labels.toxic``; ``allowed`` restricts the labels that may be used, by ``doc_id``.
 
@@ -249,17 +296,45 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[str], Column] |
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
     chosen = labelled_sample(docs, usable, "toxic", sample)
 
-    def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, list[list[str]]]]:
         for ids, texts, marks in column_chunks(batches):
-            cut = [bag(t, BAG if mark else share) for t, mark in zip(texts.to_pylist(), marks.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(cut, pa.list_(pa.string()))], names=["doc_id", "label", "windows"])
-
-    rows = chosen.where(~held).mapInArrow(bags, "doc_id long, label int, windows array<string>")
-    rows = rows.groupBy("doc_id", "label").agg(F.min("windows").alias("windows")).where(F.size("windows") > 0)
-    rows = rows.toPandas().sort_values("doc_id")
-    if rows.empty:
-        return fit([], np.zeros(0, bool))
-    model = fit([list(windows) for windows in rows["windows"]], rows["label"].to_numpy() == 1)
+            yield ids, marks, [bag(t, BAG if mark else share) for t, mark in zip(texts.to_pylist(), marks.to_pylist(), strict=True)]
+
+    def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, marks, found in cut(batches):
+            windows = [[w.split() for w in windows] for windows in found]
+            sizes = pa.array([bytes(map(len, b)) for b in windows], pa.binary())
+            words = pa.array([np.array([_word_key(w) for window in b for w in window], np.int64).tobytes() for b in windows], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, marks, sizes, words], names=["doc_id", "label", "sizes", "words"])
+
+    def vocabulary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, found in cut(batches):
+            words = list({w for windows in found for window in windows for w in window.split()})
+            grams, counts = word_grams(words)
+            ends = np.cumsum(counts)
+            own = [grams[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([_word_key(w) for w in words], pa.int64()), pa.array(own, pa.binary())], names=["word", "grams"])
+
+    learned = chosen.where(~held)
+    rows = learned.mapInArrow(bags, "doc_id long, label int, sizes binary, words binary").groupBy("doc_id", "label")
+    rows = rows.agg(F.min(F.struct("sizes", "words")).alias("bag")).where(F.length("bag.sizes") > 0).select("doc_id", "label", "bag.*")
+    rows = rows.toArrow().sort_by("doc_id")
+    if not rows.num_rows:
+        return Model(np.zeros(BUCKETS), -40.0)
+    known = learned.mapInArrow(vocabulary, "word long, grams binary").groupBy("word").agg(F.min("grams").alias("grams"))
+    known = known.toArrow().sort_by("word")
+    sizes, grams = _flat(rows.column("sizes")), _flat(known.column("grams")).view(np.int32)
+    laid = Bags(
+        pc.binary_length(rows.column("sizes")).to_numpy(),
+        sizes.astype(np.int32),
+        np.searchsorted(known.column("word").to_numpy(), _flat(rows.column("words")).view(np.int64)).astype(np.int32),
+        grams,
+        pc.binary_length(known.column("grams")).to_numpy() // 4,
+    )
+    toxic = rows.column("label").to_numpy() == 1
+    del rows, known
+    model = fit(laid, toxic)
+    del laid
 
     def odds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, marks in column_chunks(batches):
