@@ -34,7 +34,7 @@ def test_run_equals_its_operators(spark, documents, labels):
     clean = {r.doc_id for r in toxicity.score(docs, model).where("score < 0.7").collect()}
     docs = corpus_pipeline.toxic_documents(spark, docs, SF)
     assert {r.doc_id for r in docs.collect()} == clean
-    one = {r.doc_id for r in near_dup.classes(docs).where("kept").collect()}
+    one = {r.doc_id for r in near_dup.classes(docs, near_dup.STAGE).where("kept").collect()}
     docs = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert {r.doc_id for r in docs.collect()} == one
     redacted = {r.doc_id: r.text for r in secrets_forest.redact(docs).collect()}
