@@ -158,6 +158,51 @@ def test_redact(make, findings):
         assert r.text == want and r.n_chars == len(want)
 
 
+ASSIGNED = {
+    "password=Tr0ub4dor&3 is old": ["Tr0ub4dor&3"],
+    'the password: "hunter2!x" ok': ["hunter2!x"],
+    "api_key = 'abc def 12' z": ["abc def 12"],
+    '"secret": "a1b2c3", "tokens": none': ["a1b2c3"],
+    "no key here = abc12, but TOKEN:=é$1). Then": ["é$1"],
+    'pwd = ""': [],
+    "password\n= x1": [],
+    "path/to/some-file-12 and internationalisation": ["path/to/some-file-12", "internationalisation"],
+}
+
+
+def test_candidates_after_key_words(spark):
+    rows = spark.createDataFrame([(t,) for t in ASSIGNED], "text string")
+    for r in rows.select("text", secrets_forest.candidates(F.col("text")).alias("c")).collect():
+        assert [x.value for x in r.c] == ASSIGNED[r.text]
+        assert all(r.text[x.start : x.end] == x.value and r.text[max(0, x.start - 40) : x.start] == x.before for x in r.c)
+
+
+def test_short_passwords_are_redacted(make, findings):
+    told = ["password=Tr0ub4dor&3 is old", 'the password: "hunter2!x" ok']
+    rows = make([(i, t, "", "", 0) for i, t in enumerate(findings + told)])
+    out = {r.doc_id: r.text for r in secrets_forest.redact(rows).collect()}
+    assert [out[len(findings) + i] for i in range(2)] == ["password=[SECRET] is old", 'the password: "[SECRET]" ok']
+
+
+def test_copies_change_no_verdict(spark, documents):
+    once = documents.select("doc_id", "text")
+    verdict = lambda d: {(r.doc_id, r.n_candidates, str([(s.start, s.end) for s in r.secrets])) for r in secrets_forest.scan(d).collect()}
+    assert verdict(once.crossJoin(spark.range(25)).drop("id")) == verdict(once)
+
+
+def test_dictionary_is_of_different_texts_outside_candidates(spark, make, monkeypatch):
+    monkeypatch.setattr(secrets_forest, "DICTIONARY_SHARE", 0.1)
+    rng = random.Random(2)
+    words = ["alpha", "Gamma", "delta", "omega", "sigma", "kappa"]
+    texts = [" ".join(rng.choices(words, range(1, 7), k=rng.randrange(12))) + f" token=sigmaalpha{i}9 abcd" * (i % 3) for i in range(40)] * 3
+    values = spark.createDataFrame([("sigma-ALPHA-12345678",), ("abcd/omega/kappa/11",), ("123456789012",)], "value string")
+    got = {r.value: r.covered for r in secrets_forest._dictionary_shares(values, make([(i, t, "", "", 0) for i, t in enumerate(texts)])).collect()}
+    kept = {w for w in [*map(str.lower, words), "abcd"] if sum(w in re.findall("[a-z]+", re.sub(r"token=\S+", "", t).lower()) for t in set(texts)) >= max(3, 0.1 * len(set(texts)))}
+    for value in ("sigma-ALPHA-12345678", "abcd/omega/kappa/11", "123456789012"):
+        covered = sum(len(w) for w in set(re.findall("[a-z]{4,}", value.lower())) if w in kept)
+        assert got.get(value, 0) == covered
+
+
 def test_op7_rows(spark, texts):
     rows = queries.QUERIES["op7_secrets_forest"](spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id for r in rows} == texts.keys()

@@ -1,11 +1,13 @@
 """Secret scanning: wide candidates, and a random forest that removes the false ones.
 
-A candidate is a long run of token characters (see ``CANDIDATE``). For each the
-forest sees its length, how often it changes between character classes, how
-much of it dictionary words cover (words that occur ``DICTIONARY_COUNT`` times
-or more in the whole corpus), whether it is part of a path or an address, and
-its neighbouring words and signs. It is Spark's random forest, trained from
-labelled findings.
+A candidate is a long run of token characters, or whatever is assigned to a key
+word: the quoted or unbroken value after it, of any length and characters (see
+``CANDIDATE``). For each the forest sees its length, how often it changes between
+character classes, how much of it dictionary words cover, whether it is part of a path
+or an address, and its neighbouring words and signs. It is Spark's random forest, trained
+from labelled findings. The dictionary holds the words that stand outside candidates in at
+least ``DICTIONARY_SHARE`` of the different texts (and ``DICTIONARY_TEXTS`` of them); texts are
+counted by sketches of their hashes, so neither copies nor the corpus size move it.
 
 Findings are labelled by the evidence of secrets and of ordinary strings
 (``label_findings``) unless the caller brings labels of their own; those
@@ -32,19 +34,28 @@ from pyspark.sql import functions as F
 from zonelens.llm.common import cut_lineage, id_and_text, whole_text
 from zonelens.llm.spans import rewritten, spans
 
+# Words before a secret.
+_KEY_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret|signing[_-]?key"
+
 _TOKEN = "A-Za-z0-9+/_~.-"
-#: Runs of token characters: 12 or more with a digit, 16 or more without; then base64 padding.
-CANDIDATE = rf"(?<![{_TOKEN}])(?:(?=[A-Za-z+/_~.-]*+[0-9])[{_TOKEN}]{{12,}}+|[{_TOKEN}]{{16,}}+)={{0,2}}"
+_QUOTE = "\"'`"
+#: The value that is assigned to a key word (the cheap look-behinds come first): quoted, or unbroken without the sign that ends a clause.
+_ASSIGNED = (
+    rf"(?<=[=: \t{_QUOTE}])(?<=[=:][ \t]{{0,3}}[{_QUOTE}]?)(?<=(?i:{_KEY_WORDS})[{_QUOTE}]?[ \t]{{0,3}}[=:]{{1,2}}[ \t]{{0,3}}[{_QUOTE}]?)"
+    rf"(?:(?<=[{_QUOTE}])[^{_QUOTE}\n]+(?=[{_QUOTE}])|[^\s{_QUOTE}=:][^\s{_QUOTE}]*(?<![,;.)\]}}]))"
+)
+#: Assigned values; else runs of token characters, 12 or more with a digit, 16 or more without; then base64 padding.
+CANDIDATE = rf"{_ASSIGNED}|(?<![{_TOKEN}])(?:(?=[A-Za-z+/_~.-]*+[0-9])[{_TOKEN}]{{12,}}+|[{_TOKEN}]{{16,}}+)={{0,2}}"
 #: Code points on either side that neighbouring words are taken from.
 REACH = 40
-DICTIONARY_COUNT = 20
+DICTIONARY_SHARE = 0.002
+DICTIONARY_TEXTS = 3
 SAMPLE = 20_000
 TREES = 24
 DEPTH = 6
 SECRET_FROM = 0.5
 
-# Words before a secret, and shapes of well-known keys.
-_KEY_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret|signing[_-]?key"
+# Shapes of well-known keys.
 _SHAPES = (
     r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}"
     r"|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_.-]{10,})=*$"
@@ -80,10 +91,13 @@ def _words(value: Column) -> Column:
 
 
 def _dictionary_shares(values: DataFrame, texts: DataFrame) -> DataFrame:
-    """``value, covered``: letters of each candidate in dictionary words. Words are counted over all texts."""
+    """``value, covered``: letters of each candidate in dictionary words. Each different text counts a word once."""
     pieces = values.select("value", F.explode(_words(F.col("value"))).alias("word"))
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z])[A-Za-z]{4,}+"), F.lit(0))).alias("word"))
-    words = words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= DICTIONARY_COUNT)
+    plain = F.lower(F.regexp_replace("text", CANDIDATE, " "))
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<![a-z])[a-z]{4,}+"), F.lit(0)))
+    words = texts.select(F.xxhash64("text").alias("text_key"), F.explode(found).alias("word"))
+    least = max(DICTIONARY_TEXTS, DICTIONARY_SHARE * texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0])
+    words = words.groupBy("word").agg(F.approx_count_distinct("text_key", 0.02).alias("n")).where(F.col("n") >= least)
     hits = pieces.join(words.select("word"), "word")
     return hits.groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
 
