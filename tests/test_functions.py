@@ -2,15 +2,17 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from zonelens import functions as Z
 from zonelens.config import HOST_ENTROPY_MAX, INTENT_THRESHOLDS
+from zonelens.functions.idna import ascii_name
 from zonelens.functions.keys import with_key_parts
 from zonelens.operators.suffix import add_domain_parts
-from zonelens.sources.dims import suffix_rules
+from zonelens.sources.dims import suffix_rules, suffix_rules_from_text
 
 LONG = "a" * 30 + "." + "b" * 30 + "." + "c" * 30 + ".example.com"
 
@@ -44,6 +46,42 @@ def test_domain_parts(spark):
     assert got == DOMAIN_CASES
 
 
+SCRIPT_RULES = "рф 公司.cn cn 香港 公司.香港 *.テスト !例え.テスト straße.de de"
+SCRIPT_CASES = {
+    "www.shop.xn--55qx5d.cn": ("www", "shop", "xn--55qx5d.cn", "shop.xn--55qx5d.cn", 1),
+    "www.shop.公司.cn": ("www", "shop", "公司.cn", "shop.公司.cn", 1),
+    "WWW.Shop.XN--55QX5D.CN.": ("www", "shop", "xn--55qx5d.cn", "shop.xn--55qx5d.cn", 1),
+    "a.b.xn--p1ai": ("a", "b", "xn--p1ai", "b.xn--p1ai", 1),
+    "a.b.рф": ("a", "b", "рф", "b.рф", 1),
+    "m.公司.香港": (None, "m", "公司.香港", "m.公司.香港", 0),
+    "m.xn--55qx5d.xn--j6w193g": (None, "m", "xn--55qx5d.xn--j6w193g", "m.xn--55qx5d.xn--j6w193g", 0),
+    "a.b.c.xn--zckzah": ("a", "b", "c.xn--zckzah", "b.c.xn--zckzah", 1),
+    "n.xn--r8jz45g.xn--zckzah": ("n", "xn--r8jz45g", "xn--zckzah", "xn--r8jz45g.xn--zckzah", 1),
+    "x.xn--strae-oqa.de": (None, "x", "xn--strae-oqa.de", "x.xn--strae-oqa.de", 0),
+}
+
+
+def test_rules_of_other_scripts_hold_for_names_on_the_wire(spark, tmp_path):
+    path = tmp_path / "rules.dat"
+    path.write_text("\n".join(SCRIPT_RULES.split()), encoding="utf-8")
+    df = spark.createDataFrame([(k,) for k in SCRIPT_CASES], "qname string")
+    for rules in (suffix_rules(spark, SCRIPT_RULES), suffix_rules_from_text(spark, str(path))):
+        out = add_domain_parts(df, rules)
+        got = {r.qname: (r.subdomain, r.domain, r.suffix, r.root_domain, r.subdomain_label_count) for r in out.collect()}
+        assert got == SCRIPT_CASES
+
+
+def test_ascii_names_equal_the_codec(spark):
+    rng = random.Random(36)
+    letters = "abcxyz019-éßäøñçžрфцяאבג中文网络公司日本語テスト한국어𝄞😀ا"
+    names = [".".join("".join(rng.choices(letters, k=rng.randrange(1, 14))) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    names += ["", "plain.example.com", "。", "a。b．c", "🙂" * 30, "é" * 59, "a" * 50 + "ü"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", ascii_name(F.col("n")).alias("a")).collect()
+    for r in rows:
+        dotted = r.n.translate(str.maketrans("。．｡", "...")) if not r.n.isascii() else r.n
+        assert r.a == ".".join(x if x.isascii() else "xn--" + x.lower().encode("punycode").decode() for x in dotted.split(".")), r.n
+
+
 def test_domain_parts_is_narrow(spark):
     df = spark.range(100).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.com")).alias("qname"))
     plan = add_domain_parts(df, suffix_rules(spark))._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,8 @@ Rules (list semantics): the longest matching rule wins; ``*.x`` matches one
 extra label in front of ``x``; an exception ``!a.x`` wins over everything and
 makes ``x`` the suffix. A name with no matching rule has a NULL suffix, its
 last label as domain and the rest as subdomain; a dotted-quad IPv4 address is
-its own domain.
+its own domain. A rule in another script also holds in its ``xn--`` form, the one that
+names have on the wire: the rules (a few thousand) are converted, not the names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonelens.functions.idna import ascii_name
 from zonelens.operators.joins import bounded_broadcast
 
 # Bound on rule rows that may be broadcast (a full public-suffix list is ~10k rules).
@@ -40,8 +42,10 @@ def host_of(name: Column) -> Column:
 
 
 def rule_lookup(rules: DataFrame) -> DataFrame:
-    """One row per rule text with its kinds: exact, wildcard parent, exception."""
-    return rules.groupBy(F.lower("suffix").alias("rule")).agg(
+    """One row per rule text, and per ``xn--`` form of one, with its kinds: exact, wildcard parent, exception."""
+    rule = F.lower("suffix")
+    forms = rules.withColumn("rule", F.explode(F.array_distinct(F.array(rule, ascii_name(rule)))))
+    return forms.groupBy("rule").agg(
         F.bool_or(~F.col("is_wildcard") & ~F.col("is_exception")).alias("exact"),
         F.bool_or("is_wildcard").alias("wild"),
         F.bool_or("is_exception").alias("exc"),

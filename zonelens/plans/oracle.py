@@ -21,8 +21,14 @@ def _b(x: bool) -> str:
     return "true" if x else "false"
 
 
+def _forms(rule: str) -> list[str]:
+    """A rule and its ASCII form."""
+    wire = ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in rule.split("."))
+    return sorted({rule, wire})
+
+
 def rules_cte() -> str:
-    vals = ", ".join(f"('{s}', {_b(not w and not e)}, {_b(w)}, {_b(e)})" for s, w, e in _RULES)
+    vals = ", ".join(f"('{form}', {_b(not w and not e)}, {_b(w)}, {_b(e)})" for s, w, e in _RULES for form in _forms(s))
     return (
         "rules AS (SELECT rule, bool_or(exact) AS exact, bool_or(wild) AS wild, bool_or(exc) AS exc "
         f"FROM (VALUES {vals}) t(rule, exact, wild, exc) GROUP BY rule)"

@@ -20,7 +20,7 @@ SUFFIX_RULES_SCHEMA = T.StructType(
 )
 
 # Seed of public-suffix rules in list syntax ("*." wildcard, "!" exception).
-# Generic and country TLDs, common second-level registries, and one wildcard/exception pair.
+# Generic and country TLDs, common second-level registries, one wildcard/exception pair, and rules in other scripts.
 SEED_SUFFIX_RULES = """
 com net org edu gov mil int info biz name pro mobi asia tel travel jobs aero coop museum
 io co ai app dev me tv cc ws xyz online site tech store cloud shop blog club live news top
@@ -44,6 +44,7 @@ com.tw org.tw edu.tw gov.tw net.tw
 co.il org.il ac.il gov.il net.il
 com.ua org.ua net.ua gov.ua
 *.ck !www.ck
+рф 公司.cn 网络.cn 香港 公司.香港 *.テスト !例え.テスト
 """
 
 SERVICES_SCHEMA = T.StructType(

@@ -37,6 +37,11 @@ select concat('tenant-', cast(e.user_id % 3 as varchar)) as tenant,
             when e.event_id % 131 = 0 then concat('x', e.event_id % 5, '.www.ck')
             when e.event_id % 137 = 0 then concat('h', e.event_id % 9, '.unlisted')
             when e.event_id % 139 = 0 then null
+            when e.event_id % 149 = 0 then concat('www.shop', e.event_id % 9, '.xn--55qx5d.cn')
+            when e.event_id % 151 = 0 then concat('a.b', e.event_id % 20, '.xn--p1ai')
+            when e.event_id % 157 = 0 then concat('m', e.event_id % 5, '.公司.香港')
+            when e.event_id % 163 = 0 then concat('a.b.c', e.event_id % 7, '.xn--zckzah')
+            when e.event_id % 167 = 0 then concat('n', e.event_id % 3, '.xn--r8jz45g.xn--zckzah')
             when e.value > 200 then concat(substr(md5(cast(e.event_id as varchar)),1,28), '.', p.host)
             when e.event_id % 97 = 0 then concat('_x.', p.host)
             when e.event_id % 13 = 0 then p.apex
@@ -61,7 +66,7 @@ def dns_standin(spark: SparkSession, sf_dir: str, extra_event_cols: tuple[str, .
     the remainder of the event id by the number of pages meets every page; the
     join is left to the planner. Most names are a page's host; some are
     internationalised, end with a dot, are very long, addresses, below
-    two-label, wildcard, exception and unlisted suffixes, or NULL.
+    two-label, wildcard, exception and unlisted suffixes, below rules of other scripts, or NULL.
     """
     ev = read_table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value", *[c for c in extra_event_cols if c != "event_id"]
@@ -91,6 +96,11 @@ def dns_standin(spark: SparkSession, sf_dir: str, extra_event_cols: tuple[str, .
         .when(eid % 131 == 0, text("x", rest(5), ".www.ck"))
         .when(eid % 137 == 0, text("h", rest(9), ".unlisted"))
         .when(eid % 139 == 0, F.lit(None))
+        .when(eid % 149 == 0, text("www.shop", rest(9), ".xn--55qx5d.cn"))
+        .when(eid % 151 == 0, text("a.b", rest(20), ".xn--p1ai"))
+        .when(eid % 157 == 0, text("m", rest(5), ".公司.香港"))
+        .when(eid % 163 == 0, text("a.b.c", rest(7), ".xn--zckzah"))
+        .when(eid % 167 == 0, text("n", rest(3), ".xn--r8jz45g.xn--zckzah"))
         .when(F.col("value") > 200, text(F.substring(F.md5(eid.cast("string")), 1, 28), ".", host))
         .when(eid % 97 == 0, text("_x.", host))
         .when(eid % 13 == 0, F.col("apex"))
