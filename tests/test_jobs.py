@@ -2,6 +2,7 @@
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from zonelens.operators import silver as S
@@ -203,3 +204,21 @@ def test_private_suffixes_are_left_out(spark, tmp_dir):
         f.write("// ===BEGIN ICANN DOMAINS===\ncom\n*.ck\n!www.ck\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\ngithub.io\n// ===END PRIVATE DOMAINS===\n")
     rules = {(r.suffix, r.is_wildcard, r.is_exception) for r in suffix_rules_from_text(spark, f"{tmp_dir}/list.dat").collect()}
     assert rules == {("com", False, False), ("ck", True, False), ("www.ck", False, True)}
+
+
+def test_streamed_answers_equal_the_batch_in_any_order(spark, tmp_dir):
+    """Replies before their questions, days apart, objects one by one and twice: the flags are those of the batch."""
+    b = derived_bronze(spark, SF).where(F.col("tenant") == "tenant-1")
+    for n, parts in enumerate(("qr desc, timestamp", "qr, timestamp desc")):
+        bronze_dir, silver, answered = f"{tmp_dir}/b{n}", f"{tmp_dir}/s{n}", f"{tmp_dir}/a{n}"
+        name = f"answers_{n}_" + os.path.basename(tmp_dir)
+        piece = F.ntile(3).over(Window.orderBy(*[F.expr(p.split()[0]).desc() if "desc" in p else F.expr(p) for p in parts.split(", ")]))
+        cut = b.withColumn("piece", piece)
+        for i in (1, 2, 3, 1):
+            write_bronze(cut.where(F.col("piece") == i).drop("piece"), bronze_dir)
+            start_silver_stream(spark, bronze_dir, silver, query_name=name, tenant="tenant-1", answered_path=answered).awaitTermination(300)
+        got = {r.silver_dedupe_hash: r.has_answer for r in jobs.read_answered(spark, silver, answered).collect()}
+        batch = S.mark_answers_by_window(jobs.bronze_to_silver(read_bronze(spark, bronze_dir), tenant="tenant-1"))
+        want = {r.silver_dedupe_hash: r.has_answer for r in batch.collect()}
+        assert got == want and sum(want.values()) > 0
+        assert spark.read.parquet(answered).count() == sum(want.values())

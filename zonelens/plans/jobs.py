@@ -42,6 +42,33 @@ TYPE_COLUMNS = {"histograms": "entropy_type", "topn": "topN_type", "breakdowns":
 ANSWER_SECONDS = 5.0
 
 
+def append_answered(spark: SparkSession, arrived: DataFrame, silver_path: str, answered_path: str, answer_seconds: float = ANSWER_SECONDS) -> None:
+    """B11 as messages arrive: append the (tenant, event_date, hash) of stored questions that are answered now.
+
+    ``arrived``: silver rows that have just been stored. Only stored rows that share tenant,
+    id, client, server and name with one of them, of the days up to one day around them, are looked
+    at, so questions and replies may arrive in any order and any number of batches apart; a
+    question is appended once.
+    """
+    client, server = S.client_and_server()
+    ends = ["tenant", "id", "__client", "__server", "qname"]
+    arrived = cut_lineage(arrived.withColumns({"__client": client, "__server": server}).select(*ends, "event_date").distinct())
+    days = arrived.select("tenant", F.explode(F.array(*[F.date_add("event_date", n) for n in (-1, 0, 1)])).alias("event_date")).distinct()
+    columns = [*lake.PARTITION_KEYS, "silver_dedupe_hash", "id", "qr", "src_ip", "dst_ip", "qname", "rrname", "event_ts"]
+    stored = lake.read_partitioned(spark, silver_path).select(*columns).join(days, list(lake.PARTITION_KEYS), "left_semi")
+    stored = stored.withColumns({"__client": client, "__server": server}).join(arrived.select(*ends).distinct(), ends, "left_semi")
+    answered = S.mark_answers_by_window(stored, answer_seconds).where("has_answer = 1").select(*lake.PARTITION_KEYS, "silver_dedupe_hash")
+    lake.write_silver(lake.without_existing(spark, answered, answered_path), answered_path)
+
+
+def read_answered(spark: SparkSession, silver_path: str, answered_path: str) -> DataFrame:
+    """Stored silver rows with ``has_answer`` as ``append_answered`` has found it."""
+    keys = [*lake.PARTITION_KEYS, "silver_dedupe_hash"]
+    answered = spark.read.schema("silver_dedupe_hash string, tenant string, event_date date").parquet(answered_path)
+    marked = lake.read_partitioned(spark, silver_path).join(answered.select(*keys).withColumn("has_answer", F.lit(1)), keys, "left")
+    return marked.withColumn("has_answer", F.coalesce("has_answer", F.lit(0)))
+
+
 def with_tenant(bronze: DataFrame, tenant: str | None = None, segment_index: int = 0, key_root: str = "") -> DataFrame:
     """Bronze with ``tenant``: the given one, or (unless it is there) that of each file's object key (S7);
     rows of rejected keys have none."""
