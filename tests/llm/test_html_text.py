@@ -1,6 +1,7 @@
 """Main text of pages against the pages' articles, and of difficult markup."""
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -80,6 +81,44 @@ def test_pages_do_not_vanish(html, text):
     assert html_text.main_text(html) == text
 
 
+MENU = [f"Menu item {i}" for i in range(12)]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("".join(f"<div>{m}</div>" for m in MENU) + f"<h1>Title</h1>{BODY}<p>Short one.</p>{BODY}<div>Imprint</div><div>Contact</div>", f"Title {TEXT} Short one. {TEXT}"),
+        ("<table>" + "".join(f"<tr><td>{m}</td></tr>" for m in MENU) + f"<tr><td>{TEXT}</td></tr><tr><td>Imprint</td></tr></table>", TEXT),
+        ("<ul>" + "".join(f"<li>{m}</li>" for m in MENU) + f"</ul><ul><li>{TEXT}</li><li>{TEXT}</li></ul>", f"{TEXT} {TEXT}"),
+        ("<table><tr><td>" + "".join(f"<div>{m}</div>" for m in MENU) + f"</td><td>{BODY}{BODY}</td></tr></table>", f"{TEXT} {TEXT}"),
+        (f"{BODY}<ul>" + "".join(f"<li>{n}</li>" for n in "abcdef") + f"</ul>{BODY}" + "".join(f"<p><a href='/{m}'>{m}, told in a sentence of some length.</a></p>" for m in MENU), f"{TEXT} a b c d e f {TEXT}"),
+        ("<div>Home</div><div>About</div><p>A short article here, that is all.</p><div>Imprint</div>", "A short article here, that is all."),
+    ],
+)
+def test_pages_of_plain_markup(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_windows_decide(monkeypatch):
+    """Without marks, and with windows that call nothing light, menus and footers come along."""
+    page = "".join(f"<div>{m}</div>" for m in MENU) + f"{BODY}{BODY}" + "".join(f"<div>{m}</div>" for m in MENU)
+    assert html_text.main_text(page) == f"{TEXT} {TEXT}"
+    monkeypatch.setattr(html_text, "heavy_lines", lambda lengths, *_: lengths > 0)
+    monkeypatch.setattr(html_text, "SHORT", 0)
+    assert html_text.main_text(page) == " ".join([*MENU, TEXT, TEXT, *MENU])
+
+
+def test_pages_without_their_marks(spark):
+    """Articles found again in the given pages when every mark (article, class, id, role) is taken from them."""
+    kept = given = found = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        bare = re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", r.html)
+        bare = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", bare)
+        a, b = Counter(html_text.main_text(r.html).split()), Counter(html_text.main_text(bare).split())
+        kept, given, found = kept + (a & b).total(), given + a.total(), found + b.total()
+    assert kept >= 0.99 * given and kept >= 0.94 * found
+
+
 def test_pages_awkward(spark):
     values = [(1, "u", None), (None, None, "<article>x</article>"), (2, "u", ""), (2, "u", ""), (3, "u", "<article>" + "<p>line</p>" * 50_000 + "</article>")]
     pages = spark.createDataFrame(values, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))

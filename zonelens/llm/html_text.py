@@ -1,14 +1,19 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block with text. Lines of boilerplate elements
-(by element name, or by the words of class, id and role) count as blank. Then
-text lengths are summed over sliding windows of lines. The distribution surges
-where a window with text follows blank lines and dives where the next windows
-are blank; the text between a surge and its dive is a run. Runs whose highest
-window reaches ``SURGE`` characters, or a quarter of the page's highest window if
-that is less, are the main text. ``<article>`` and ``<main>`` are evidence: text in
-and outside them makes runs of its own, and a run outside must also reach
-``MARKED`` times the highest window inside.
+(by element name, or by the words of class, id and role) count as blank. Then the
+lengths of text outside links are summed over sliding windows of lines. A line is light if no
+window that holds it reaches ``SURGE`` characters, or ``SHARE`` of the page's highest window if
+that is less: menus, footers and link lists are light whatever their markup. The
+distribution surges where heavy lines follow light or blank ones and dives where
+``WINDOW`` or more light lines follow; the text between a surge and its dive is a run. Short
+lines at a run's ends that are no headings, paragraphs or sentences, and lie in other
+containers than its long lines, belong to the slopes and go.
+Runs with only a light stretch of few links between them are one: a list within the article. Runs
+whose highest window reaches ``SURGE`` characters, or a quarter of the page's highest window
+if that is less, are the main text. ``<article>`` and ``<main>`` are evidence: lines inside
+are heavy, they make runs of their own, and a run outside must also reach ``MARKED`` times the
+highest window inside.
 
 Words of class and id (and forms) mark an element only if it does not hold the
 page's main run: the element whose own text has the highest window, where that is
@@ -37,6 +42,10 @@ from zonelens.llm.common import column_chunks, ship_package
 WINDOW = 3
 #: Characters in a window from which on it can start a run.
 SURGE = 80
+#: Share of the page's highest window that a line's window must reach on pages of little text.
+SHARE = 0.6
+#: Characters below which a line at a run's end must be a heading, a paragraph or a sentence, or lie with longer lines.
+SHORT = 40
 #: A run outside ``<article>`` and ``<main>`` needs so many times the highest window inside.
 MARKED = 4
 
@@ -58,6 +67,10 @@ _INLINE = frozenset(
     strike strong sub sup time tt u var wbr""".split()
 )
 _ARTICLE = frozenset(("article", "main"))
+_OWN_LINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p"))
+_CONTAINERS = frozenset(("ul", "ol", "table", "div", "section", "td", "article", "main", "form", "center", "blockquote", "fieldset"))
+#: How a sentence ends.
+_SENTENCE = tuple(".!?:;…。！？\"'”’»)")
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>"""
@@ -90,9 +103,10 @@ def _boilerplate(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
     return soft and name in _INLINE, soft and name not in _INLINE
 
 
-def text_lines(html: str) -> tuple[list[str], list[bool]]:
-    """The page's lines of text (blank for boilerplate), and which lie in a marked article."""
-    lines, marked, owners, elements = _lines(html)
+def text_lines(html: str) -> tuple[list[str], list[bool], list[int], list[bool], list[tuple[int, ...]]]:
+    """The page's lines of text (blank for boilerplate); which lie in a marked article; their characters in links;
+    which are headings or paragraphs; their containers."""
+    lines, marked, owners, elements, links, blocks, containers = _lines(html)
     lengths, owner = np.fromiter(map(len, lines), np.int64, len(lines)), np.array(owners, np.int64)
     text = {-1}
     if elements and len(lines):
@@ -109,44 +123,55 @@ def text_lines(html: str) -> tuple[list[str], list[bool]]:
                 while e not in text:
                     text.add(e)
                     e = elements[e][0]
-    return [line if e in text else "" for line, e in zip(lines, owners, strict=True)], marked
+    return [line if e in text else "" for line, e in zip(lines, owners, strict=True)], marked, links, blocks, containers
 
 
-def _lines(html: str) -> tuple[list[str], list[bool], list[int], list[tuple[int, str, str]]]:
-    """Lines, marks, and for each line the innermost element that words mark (-1: none); those elements: the one around, name, attributes."""
-    lines, marked, owners = [], [], []
+def _lines(html: str) -> tuple[list[str], list[bool], list[int], list[tuple[int, str, str]], list[int], list[bool], list[tuple[int, ...]]]:
+    """Lines, marks, and for each line the innermost element that words mark (-1: none); those elements: the one around, name,
+    attributes; then each line's characters in links, whether it is a heading or paragraph, its containers from the innermost out (none: the page)."""
+    lines, marked, owners, links, blocks, containers = [], [], [], [], [], []
     elements: list[tuple[int, str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, boilerplate, article, owner outside
+    stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # open elements: name, boilerplate, article, owner and container outside
     skipped = inside = at = 0
     owner = -1
+    linked = anchors = made = 0  # characters of the line in links; open links; containers so far
+    container: tuple[int, ...] = ()
     dropped = False  # whether boilerplate text was met since the last line
 
     def close_line() -> None:
-        nonlocal dropped
+        nonlocal dropped, linked
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text or dropped:
             lines.append(text)
             marked.append(inside > 0)
             owners.append(owner)
+            links.append(min(linked, len(text)))
+            blocks.append(next((e[0] in _OWN_LINES for e in reversed(stack) if e[0] not in _INLINE), False))
+            containers.append(container)
         parts.clear()
         dropped = False
+        linked = 0
 
     def read(piece: str) -> None:
-        nonlocal dropped
+        nonlocal dropped, linked
         if not skipped:
             parts.append(piece)
+            if anchors:
+                linked += len(" ".join(piece.split()))
         elif not piece.isspace():
             dropped = True
 
     def pop() -> None:
-        nonlocal skipped, inside, owner
-        _, boilerplate, article, outside = stack.pop()
+        nonlocal skipped, inside, owner, anchors, container
+        name, boilerplate, article, outside, around = stack.pop()
         if owner != outside:
             close_line()
             owner = outside
         skipped -= boilerplate
         inside -= article
+        anchors -= name == "a"
+        container = around
 
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -170,16 +195,20 @@ def _lines(html: str) -> tuple[list[str], list[bool], list[int], list[tuple[int,
                     pop()
             boilerplate, soft = _boilerplate(name, m["rest"], inside > 0)
             article = name in _ARTICLE and not boilerplate and not skipped
-            stack.append((name, boilerplate, article, owner))
+            stack.append((name, boilerplate, article, owner, container))
             if soft and not skipped:
                 elements.append((owner, name, m["rest"]))
                 owner = len(elements) - 1
             skipped += boilerplate
             inside += article
+            anchors += name == "a"
+            if name in _CONTAINERS:
+                made += 1
+                container = (made, *container)
     if at < len(html):
         read(html[at:])
     close_line()
-    return lines, marked, owners, elements
+    return lines, marked, owners, elements, links, blocks, containers
 
 
 def runs(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -194,19 +223,58 @@ def runs(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]
     return [(int(a), int(b) + 1, int(sums[a : b + 1].max())) for a, b in zip(firsts, lasts, strict=True)]
 
 
+def heavy_lines(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
+    """Which lines some window that holds them gives ``surge`` characters, or ``SHARE`` of the highest window."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    sums = np.convolve(lengths, np.ones(window, np.int64))  # sums[i] is of the lines up to i
+    best = np.lib.stride_tricks.sliding_window_view(sums, window).max(axis=1)
+    return (best >= min(surge, SHARE * int(best.max()))) & (best > 0)
+
+
+def _ends(a: int, b: int, lines: list[str], blocks: list[bool], containers: list[tuple[int, ...]], links: np.ndarray) -> tuple[int, int]:
+    """A run without the short lines at its ends, unless they are headings, paragraphs or sentences, or lie with its longer lines;
+    up to ``WINDOW`` light lines after it that do lie with them are its end."""
+    short = min(SHORT, max(map(len, lines[a:b])) / 2)
+    held = {containers[i][:1] for i in range(a, b) if len(lines[i]) >= short}
+
+    def slope(i: int) -> bool:
+        if blocks[i] or len(lines[i]) >= short or lines[i].endswith(_SENTENCE):
+            return False
+        return containers[i][:1] not in held and not any((c,) in held for c in containers[i])
+
+    while slope(a):
+        a += 1
+    while slope(b - 1):
+        b -= 1
+    near = [i for i in range(b, min(b + WINDOW + 1, len(lines))) if lines[i] and 2 * links[i] < len(lines[i]) and any((c,) in held for c in containers[i])]
+    return a, max([b, *(i + 1 for i in near)])
+
+
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks in page order, joined by a space."""
-    lines, marked = text_lines(html)
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    lines, marked, links, blocks, containers = text_lines(html)
+    lengths, linked = (np.fromiter(x, np.int64, len(lines)) for x in (map(len, lines), links))
     inside = np.array(marked, bool)
+    plain = np.maximum(lengths - linked, 0) * ~inside
+    heavy = heavy_lines(plain, window, surge) & (lengths > 0) & ~inside
     kept = np.zeros(len(lines), bool)
-    found = [(own, runs(own, window)) for own in (lengths * inside, lengths * ~inside)]
-    in_article, top = (max((t for *_, t in part), default=0) for part in (found[0][1], found[0][1] + found[1][1]))
+    found = runs(lengths * inside, window), runs(plain * heavy, window)
+    in_article, top = (max((t for *_, t in part), default=0) for part in (found[0], found[0] + found[1]))
     least = min(surge, top / 4)
-    for (own, part), needed in zip(found, (least, max(least, MARKED * in_article)), strict=True):
-        for a, b, t in part:
-            if t >= needed:
-                kept[a:b] |= own[a:b] > 0
+    for a, b, t in found[0]:
+        if t >= least:
+            kept[a:b] |= (lengths[a:b] > 0) & inside[a:b]
+    strong: list[tuple[int, int]] = []
+    for a, b, t in found[1]:
+        if t < max(least, MARKED * in_article):
+            continue
+        a, b = _ends(a, b, lines, blocks, containers, linked)
+        if strong and 2 * linked[strong[-1][1] : a].sum() < max(1, lengths[strong[-1][1] : a].sum()):
+            a = strong.pop()[0]  # a light stretch of few links between them
+        strong.append((a, b))
+    for a, b in strong:
+        kept[a:b] |= (lengths[a:b] > 0) & ~inside[a:b]
     return " ".join(lines[i] for i in np.flatnonzero(kept).tolist())
 
 
