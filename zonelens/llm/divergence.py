@@ -70,7 +70,11 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences, and documents that hold the term."""
+    """``lang, source, term, n, docs``: occurrences, and documents that hold the term.
+
+    The tasks' partial counts are dealt by language and term, so what follows for a
+    language's term over all sources needs no further exchange.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +90,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     partial = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return partial.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return partial.repartition("lang", "term").groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -144,9 +148,9 @@ def _pairs(groups: DataFrame, counts: DataFrame, shards: int, blocks: int) -> Da
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank``: distances to the language's other sources (``pair``), its most overused terms (``term``)."""
-    counted = cut_lineage(term_counts(docs))
-    kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least).drop("docs")
-    counts = cut_lineage(counted.join(kept, ["lang", "term"]).select(*_KEYS, "n", "lang_n"))
+    term = Window.partitionBy("lang", "term")  # one row per source at most
+    counted = term_counts(docs).withColumns({"lang_n": F.sum("n").over(term), "held": F.sum("docs").over(term)})
+    counts = cut_lineage(counted.where(F.col("held") >= least).select(*_KEYS, "n", "lang_n"))
     occurring = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     terms = counts.groupBy("lang", "term").agg(F.first("lang_n").alias("n"))
