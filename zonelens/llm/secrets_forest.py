@@ -97,7 +97,7 @@ def _dictionary_shares(values: DataFrame, texts: DataFrame) -> DataFrame:
     found = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<![a-z])[a-z]{4,}+"), F.lit(0)))
     words = texts.select(F.xxhash64("text").alias("text_key"), F.explode(found).alias("word"))
     least = max(DICTIONARY_TEXTS, DICTIONARY_SHARE * texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0])
-    words = words.groupBy("word").agg(F.approx_count_distinct("text_key", 0.02).alias("n")).where(F.col("n") >= least)
+    words = words.groupBy("word").agg(F.approx_count_distinct("text_key", 0.1).alias("n")).where(F.col("n") >= least)
     hits = pieces.join(words.select("word"), "word")
     return hits.groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
 
