@@ -1,10 +1,13 @@
 """Personal data, secrets and fingerprints: against plain Python, and free of Python in their plans."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from zonelens.llm import fingerprints, pii, queries, secrets_forest
@@ -96,6 +99,58 @@ def test_copies_of_one_context_do_not_disclose(make):
     assert all(s.kind not in pii.ADDED for r in pii.sanitise(docs).collect() for s in r.spans)
 
 
+def brute_disclosure(texts):
+    """Disclosure of every (entity, term), counted in plain Python."""
+    alone = regex.compile(r"(?<![\p{L}\p{N}_%+@.-])\p{L}{4,}+(?![\p{L}\p{N}_%+@-]|\.[\p{L}\p{N}])")
+    words = Counter(w.lower() for t in texts for w in alone.findall(t))
+    windows = max(sum(map(len, texts)) / 160, 1.0)
+    around, near = Counter(), defaultdict(set)
+    for t in texts:
+        for kind, a, b in plain_spans(t):
+            value, before, after = t[a:b].lower(), t[max(0, a - 80) : a], t[b : b + 80]
+            before = re.sub(r"^[^ \t\n\x0b\f\r]+", "", before) if a > 80 else before
+            after = re.sub(r"[^ \t\n\x0b\f\r]+$", "", after) if len(after) == 80 else after
+            part = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:3])}.get(kind, re.sub("[^0-9]", "", value)[:6])
+            for entity in (f"{kind}:{value}", f"{kind}~{part}"):
+                around[entity, f"{before}0{after}"] += 1
+    total, both = Counter(), Counter()
+    for (entity, text), n in around.items():
+        total[entity] += n
+        for term in {w.lower() for w in alone.findall(text)}:
+            both[entity, term] += n
+            near[entity, term].add(text)
+    out = {}
+    for (entity, term), n in both.items():
+        content = max(math.log2(windows / total[entity]), 1e-9)
+        share = min(n / words[term], 1.0) if words[term] else None
+        if share is not None:
+            m, z = len(near[entity, term]) / share, pii.Z
+            low = (share + z * z / (2 * m) - z * math.sqrt(share * (1 - share) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            out[entity, term] = 1 + math.log2(max(low, 1e-12)) / content
+    return {k: v for k, v in out.items() if v >= pii.GENERALISE}
+
+
+def test_disclosure_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.groupBy("text").agg(F.count("*").alias("copies")).withColumn("spans", pii.base_spans(F.col("text"))).where(F.size("spans") > 0)
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosing_terms(docs, found).collect()}
+    want = brute_disclosure([r.text for r in docs.collect()])
+    assert len(want) > 50 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_support_turns_generalising_into_removing(make):
+    """The same share of a term is worth more the more different contexts show it."""
+    rng = random.Random(5)
+    seen = {}
+    for n in (1, 9):
+        told = [f"{filler(rng, 30)} Zarathustrix can be met at zara@mail.example.com today {filler(rng, 30)}" for _ in range(n)]
+        docs = make([(i, t, "", "", 0) for i, t in enumerate([*told, *(filler(rng, 3000) for _ in range(400))])])
+        rows = [r for r in pii.sanitise(docs).collect() if r.base]
+        seen[n] = {s.kind for r in rows for s in r.spans if s.value == "Zarathustrix"}
+    assert seen == {1: {"generalised"}, 9: {"removed"}}
+
+
 def test_pii_awkward(awkward, nothing):
     rows = pii.sanitise(awkward).collect()
     assert len(rows) == len(AWKWARD)

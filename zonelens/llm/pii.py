@@ -6,12 +6,15 @@ word that stands alone; it co-occurs with an entity when it is within
 
     PMI(e; t) = log2( n(e,t) * W / (n(e) * n(t)) ),  IC(e) = log2( W / n(e) )
 
-where n counts occurrences (n(e,t): contexts of e with t) and W windows. The
+where n counts occurrences (n(e,t): those of t's near e) and W windows. The
 term's disclosure PMI / IC is the share of the entity's information that the
-term reveals; it is 1 if the term occurs only near the entity. In documents
-that hold the entity, terms from ``GENERALISE`` on are generalised, from
-``REMOVE`` on removed, provided that they met it in ``SUPPORT`` different contexts
-(copies of a context count as one).
+term reveals: 1 + log2(n(e,t) / n(t)) / IC(e), 1 if the term occurs only near the entity. A few
+occurrences show little of the share n(e,t) / n(t), so its lower confidence bound
+(Wilson, ``Z`` deviations) stands for it, with the different contexts as the sample:
+copies of a context add nothing. Most values occur once, so besides the value itself
+its class is an entity, too: the mail domain, the network of 256 addresses, the number's first six
+digits. In documents that hold the entity, terms from ``GENERALISE`` on are
+generalised, from ``REMOVE`` on removed.
 
 Copies of a text are worked on once. Counting is pre-aggregated; joins are on
 a word or on a text's digest, so no group is gathered except a text's own spans.
@@ -48,7 +51,8 @@ ADDED = ("generalised", "removed")
 _ALONE = (r"(?<![\p{L}\p{N}_%+@.-])", r"(?![\p{L}\p{N}_%+@-]|\.[\p{L}\p{N}])")
 TERM = rf"{_ALONE[0]}\p{{L}}{{4,}}+{_ALONE[1]}"
 REACH = 80
-SUPPORT = 3
+#: Deviations of the confidence bound (95 in a hundred, one-sided).
+Z = 1.645
 GENERALISE = 0.85
 REMOVE = 0.95
 
@@ -98,8 +102,12 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _entity(span: Column) -> Column:
-    return F.concat_ws(":", span["kind"], F.lower(span["value"]))
+def _entities(span: Column) -> Column:
+    """The value that was found, and its class."""
+    kind, value = span["kind"], F.lower(span["value"])
+    part = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 3))
+    part = part.otherwise(F.substring(F.regexp_replace(value, "[^0-9]", ""), 1, 6))
+    return F.array(F.concat_ws(":", kind, value), F.concat_ws("~", kind, part))
 
 
 def _terms(text: Column) -> Column:
@@ -115,25 +123,32 @@ def _contexts(found: DataFrame) -> DataFrame:
     # Words that the reach cuts are left out; a digit stands for the entity, so that words that touch it are no terms.
     before = F.when(first > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
     after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    rows = rows.select(_entity(F.col("span")).alias("entity"), F.concat(before, F.lit("0"), after).alias("around"), "copies")
+    rows = rows.select(F.explode(_entities(F.col("span"))).alias("entity"), F.concat(before, F.lit("0"), after).alias("around"), "copies")
     rows = rows.groupBy("entity", "around").agg(F.sum("copies").alias("n"))
     return rows.select("entity", "n", F.array_distinct(_terms(F.col("around"))).alias("terms"))
 
 
+def lower_bound(share: Column, n: Column) -> Column:
+    """Lower confidence bound of a share that ``n`` cases show (Wilson)."""
+    spread = Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))
+    return F.greatest((share + Z * Z / (2 * n) - spread) / (1 + Z * Z / n), F.lit(1e-12))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``entity, term, disclosure`` from ``GENERALISE`` on. ``found``: different texts with spans, and their copies."""
     contexts = cut_lineage(_contexts(found))
     entities = contexts.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     pairs = contexts.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term")
-    pairs = pairs.agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    pairs = pairs.agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
     # Counts of all words of all documents.
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("word"))
     words = words.groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n_term"))
     size = docs.agg(F.sum(F.length("text").cast("long")).alias("size")).first()["size"] or 0
     windows = F.lit(max(size / (2 * REACH), 1.0))
     content = F.greatest(F.log2(windows / F.col("n_entity")), F.lit(1e-9))
-    shared = F.log2(F.col("n_both") * windows / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    rows = pairs.join(words, "term").join(entities, "entity").withColumn("disclosure", shared / content)
+    share = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
+    low = lower_bound(share, F.col("contexts") / share)
+    rows = pairs.join(words, "term").join(entities, "entity").withColumn("disclosure", 1 + F.log2(low) / content)
     return rows.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
@@ -160,7 +175,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut_lineage(found.where(F.size("spans") > 0).repartition(partitions, "key"))
     disclosing = cut_lineage(disclosing_terms(rows, found))
-    held = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    held = found.select("key", F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity"))
     words = found.select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     told = words.join(disclosing, "term").join(held, ["key", "entity"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
     told = told.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))  # of one text
