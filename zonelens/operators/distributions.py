@@ -3,8 +3,8 @@
 Zero-filled histograms need no keys x bins join: every bin is a conditional
 count in one partial aggregation per key, and the ordered array is built from
 those counts, so each bin appears even when its count is zero. Equal-width
-histograms first aggregate min/max per key (one small row per key), broadcast
-it behind a size check, and bin with the same conditional counting.
+histograms count the different values per key once, and take range and bins from
+these counts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from zonelens import functions as Z
 from zonelens.config import ENTROPY_BINS, HIGH_ENTROPY_BIN_FLOOR
+from zonelens.session import cut_lineage
 
 
 KEYS = ("tenant", "event_date")
@@ -123,21 +124,19 @@ def equal_width_histogram(df: DataFrame, value_col: str, k: int = 10, keys: tupl
     Output per key and bin (zero-filled): bin_index, lower, upper, midpoint,
     label "lo - hi" (2 decimals), count. A constant column gives bin 0 all rows.
     """
-    v = F.col(value_col)
-    # No pre-filter on the value: when it is a feature of a grouping key (an
-    # entropy per name), Catalyst would push the filter below that grouping and
-    # evaluate the feature on every raw row. NULL values fall out of min/max and
-    # of the conditional counts; keys whose values are all NULL are dropped
-    # after the aggregation.
-    data = df
-    stats = data.groupBy(*keys).agg(F.min(v).cast("double").alias("__lo"), F.max(v).cast("double").alias("__hi"))
+    # Rows collapse to different values first, and these are checkpointed: their range and
+    # their bins both read them, so the input plan runs once. NULL values fall out of min/max and
+    # of the conditional sums; keys whose values are all NULL are dropped after the
+    # aggregation (no filter that could be pushed below the grouping of a feature's rows).
+    values = cut_lineage(df.groupBy(*keys, F.col(value_col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    stats = values.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     # One stats row per key: adaptive execution broadcasts them once their size is
     # known, or else splits the partition of a hot key.
-    binned = data.join(stats, on=list(keys), how="inner").withColumn(
-        "__idx", Z.equal_width_index(v.cast("double"), F.col("__lo"), F.col("__hi"), k)
+    binned = values.join(stats, on=list(keys), how="inner").withColumn(
+        "__idx", Z.equal_width_index(F.col("__v"), F.col("__lo"), F.col("__hi"), k)
     )
     counts = binned.groupBy(*keys, "__lo", "__hi").agg(
-        *[F.count_if(F.col("__idx") == i).cast("long").alias(f"__c{i}") for i in range(k)]
+        *[F.sum(F.when(F.col("__idx") == i, F.col("__n")).otherwise(F.lit(0))).cast("long").alias(f"__c{i}") for i in range(k)]
     ).where(F.col("__lo").isNotNull())
     arr = F.array(*[F.col(f"__c{i}") for i in range(k)])
     exploded = counts.select(*keys, "__lo", "__hi", F.posexplode(arr).alias("bin_index", "count"))

@@ -16,6 +16,7 @@ from zonelens import functions as Z
 from zonelens.config import HIGH_ENTROPY_THRESHOLD, HOST_ENTROPY_MAX
 from zonelens.operators.joins import join_back
 from zonelens.operators.suffix import add_domain_parts
+from zonelens.operators.uniques import lg_k_for
 from zonelens.session import cut_lineage
 
 KEYS = ("tenant", "event_date")
@@ -126,14 +127,71 @@ def windowed_subdomain_counts(
     are read once, however many windows overlap), then they are put into the windows of ``width`` (a multiple of ``step``) that cover
     the step. Subdomains are lower-cased without empty labels (``wildcards=False``:
     without lone ``*``); rows without a root or with a subdomain shorter than
-    ``min_length`` are left out. ``max_error`` asks for an approximate count.
+    ``min_length`` are left out. ``max_error`` (a relative standard error) asks for
+    approximate counts, from the sketches of the steps.
     """
     group = [*by, root_col]
+    if max_error is not None:
+        scope = {"root_col": root_col, "sub_col": sub_col, "min_length": min_length, "wildcards": wildcards}
+        return counts_from_sketches(subdomain_sketches(df, step or width, by, time_col, max_error, **scope), width, step, by, root_col)
     rows = _with_subdomain(df, root_col, sub_col, min_length, wildcards)
     seen = rows.select(*group, F.window(time_col, step or width).getField("start").alias("__step"), "__sub").distinct()
     covering = F.window("__step", width, step or width)
-    count = F.countDistinct("__sub") if max_error is None else F.approx_count_distinct("__sub", rsd=max_error)
-    return seen.groupBy(*group, covering.alias("window")).agg(count.alias(WINDOW_COUNT))
+    return seen.groupBy(*group, covering.alias("window")).agg(F.countDistinct("__sub").alias(WINDOW_COUNT))
+
+
+def subdomain_sketches(
+    df: DataFrame,
+    step: str = "1 day",
+    by: tuple[str, ...] = (),
+    time_col: str = "event_ts",
+    max_error: float = 0.05,
+    root_col: str = "root_domain",
+    sub_col: str = "subdomain",
+    min_length: int = 1,
+    wildcards: bool = True,
+) -> DataFrame:
+    """G4 to be stored: a sketch of the different subdomains per (``by``, root, ``step`` of time).
+
+    Rows (by, root, step, subdomains). Days are appended as they come; windows, weeks and
+    reruns merge the sketches (``counts_from_sketches``) and never read the rows again.
+    """
+    rows = _with_subdomain(df, root_col, sub_col, min_length, wildcards)
+    start = F.window(time_col, step).getField("start").alias("step")
+    return rows.groupBy(*by, root_col, start).agg(F.hll_sketch_agg("__sub", lg_k_for(max_error)).alias("subdomains"))
+
+
+def counts_from_sketches(
+    sketches: DataFrame, width: str = "1 day", step: str | None = None, by: tuple[str, ...] = (), root_col: str = "root_domain"
+) -> DataFrame:
+    """G4 from stored sketches of ``step``: approximate counts per (``by``, root, window of ``width``)."""
+    covering = F.window("step", width, step or width).alias("window")
+    return sketches.groupBy(*by, root_col, covering).agg(F.hll_sketch_estimate(F.hll_union_agg("subdomains")).alias(WINDOW_COUNT))
+
+
+def names_by_step(rows: DataFrame, rules: DataFrame, by: tuple[str, ...] = (), step: str = "1 day", name_col: str = "qname",
+                  time_col: str = "event_ts", max_depth: int | None = None) -> DataFrame:
+    """What G4 reads, from raw rows: the different names of each (``by``, ``step`` of time) with their domain parts.
+
+    Rows collapse to names before the suffix lookup, so a hot name is looked up once per step.
+    ``time_col`` holds the step's start.
+    """
+    named = rows.where(F.col(name_col).isNotNull())
+    start = F.window(time_col, step).getField("start").alias(time_col)
+    names = named.select(*by, start, Z.strip_trailing_dot(F.col(name_col)).alias(name_col)).distinct()
+    return add_domain_parts(names, rules, name_col=name_col, max_depth=max_depth)
+
+
+def add_root_cardinality(rows: DataFrame, rules: DataFrame, name_col: str = "qname", max_depth: int | None = None) -> DataFrame:
+    """G1 on raw rows with a name: their root domain and its distinct subdomains (NULL for a NULL root).
+
+    Both depend on the name only: they are found for the different names, and the rows join once, on the name.
+    """
+    named = rows.where(F.col(name_col).isNotNull()).withColumn(name_col, Z.strip_trailing_dot(F.col(name_col)))
+    names = add_domain_parts(named.select(name_col).distinct(), rules, name_col=name_col, max_depth=max_depth)
+    names = names.select(name_col, "root_domain", "subdomain")
+    counted = root_domain_cardinality(names).select(name_col, "root_domain", "root_domain_cardinality")
+    return join_back(named, counted, [name_col])
 
 
 def add_windowed_subdomain_counts(

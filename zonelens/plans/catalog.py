@@ -24,6 +24,7 @@ from zonelens.operators import packets as P
 from zonelens.operators import rankings as N
 from zonelens.operators import silver as S
 from zonelens.operators import templates as TPL
+from zonelens.operators import uniques as U
 from zonelens.plans import jobs
 from zonelens.session import cut_lineage, ensure_checkpoint_dir
 from zonelens.sources import lake
@@ -321,7 +322,7 @@ def q_name_length_histogram(spark, sf_dir):
 
 
 def q_root_cardinality(spark, sf_dir):
-    df = G.root_domain_cardinality(enriched_rows(spark, sf_dir))
+    df = G.add_root_cardinality(rows(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH)
     return df.select("tenant", "event_date", "id", "qname", "root_domain", "root_domain_cardinality")
 
 
@@ -330,8 +331,13 @@ def q_time_features(spark, sf_dir):
     return df.select("tenant", "id", "qname", "hour_of_day", "day_of_week", "query_frequency", "unique_src_ips")
 
 
+def daily_names(spark, sf_dir, by=("tenant",)):
+    """The different names of each (``by``, day) with their domain parts."""
+    return G.names_by_step(rows(spark, sf_dir), suffix_rules(spark), by, max_depth=SEED_DEPTH)
+
+
 def q_window_cardinality(spark, sf_dir):
-    agg = G.windowed_subdomain_counts(enriched_rows(spark, sf_dir), by=("tenant",))
+    agg = G.windowed_subdomain_counts(daily_names(spark, sf_dir), by=("tenant",))
     return agg.select(
         "tenant", "root_domain", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "root_subdomain_cardinality_window",
@@ -339,7 +345,7 @@ def q_window_cardinality(spark, sf_dir):
 
 
 def q_window_cardinality_sliding(spark, sf_dir):
-    agg = G.windowed_subdomain_counts(enriched_rows(spark, sf_dir), width="2 days", step="1 day")
+    agg = G.windowed_subdomain_counts(daily_names(spark, sf_dir, ()), width="2 days", step="1 day")
     return agg.select(
         "root_domain", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "root_subdomain_cardinality_window",
@@ -348,13 +354,36 @@ def q_window_cardinality_sliding(spark, sf_dir):
 
 def q_window_cardinality_approx(spark, sf_dir):
     """Approximate counts beside the exact ones, and whether they are within three standard errors (and one) of them."""
-    rows, keys, rsd = enriched_rows(spark, sf_dir), ["tenant", "root_domain", "window"], 0.05
-    near = G.windowed_subdomain_counts(rows, by=("tenant",), max_error=rsd).withColumnRenamed(G.WINDOW_COUNT, "near")
-    both = G.windowed_subdomain_counts(rows, by=("tenant",)).join(near, keys)
-    within = F.abs(F.col("near") - F.col(G.WINDOW_COUNT)) <= F.greatest(3 * rsd * F.col(G.WINDOW_COUNT), F.lit(1.0))
+    names, keys, rsd = cut_lineage(daily_names(spark, sf_dir)), ["tenant", "root_domain", "window"], 0.05
+    near = G.windowed_subdomain_counts(names, by=("tenant",), max_error=rsd).withColumnRenamed(G.WINDOW_COUNT, "near")
+    both = G.windowed_subdomain_counts(names, by=("tenant",)).join(near, keys)
+    within = F.abs(F.col("near") - F.col(G.WINDOW_COUNT)) <= U.error_bound(F.col(G.WINDOW_COUNT), rsd)
     return both.select("tenant", "root_domain", F.col("window.start").alias("window_start"), G.WINDOW_COUNT, within.alias("within_bound"))
 
 
+def q_window_cardinality_stored(spark, sf_dir):
+    """G4 from stored sketches of the days, merged to sliding windows: exact counts, and whether the estimates are within bounds."""
+    names, keys, rsd = cut_lineage(daily_names(spark, sf_dir, ())), ["root_domain", "window"], 0.05
+    stored = cut_lineage(G.subdomain_sketches(names, "1 day", max_error=rsd))
+    near = G.counts_from_sketches(stored, "2 days", "1 day").withColumnRenamed(G.WINDOW_COUNT, "near")
+    both = G.windowed_subdomain_counts(names, "2 days", "1 day").join(near, keys)
+    within = F.abs(F.col("near") - F.col(G.WINDOW_COUNT)) <= U.error_bound(F.col(G.WINDOW_COUNT), rsd)
+    return both.select("root_domain", F.col("window.start").alias("window_start"), G.WINDOW_COUNT, within.alias("within_bound"))
+
+
+def q_weekly_uniques(spark, sf_dir):
+    """A1/A5 over weeks: exact distinct counts from the days' bitmaps, and whether those from the days' sketches are within bounds."""
+    names, rsd = cut_lineage(enriched(spark, sf_dir).select(*K.KEYS, *U.UNIQUE_COLUMNS)), 0.02
+    pairs = cut_lineage(U.value_pairs(names))
+    days = cut_lineage(U.daily_bitmaps(pairs, cut_lineage(U.number_values(pairs))))
+    week = F.trunc("event_date", "week").alias("week")
+    exact = U.merge_bitmaps(days, ("tenant", week))
+    near = U.merge_sketches(cut_lineage(U.daily_sketches(names, max_error=rsd)), ("tenant", week))
+    both = K.join_records(exact, near.withColumnsRenamed({f"unique_{c}": f"near_{c}" for c in U.UNIQUE_COLUMNS}), ("tenant", "week"))
+    within = [F.abs(F.col(f"near_{c}") - F.col(f"unique_{c}")) <= U.error_bound(F.col(f"unique_{c}"), rsd) for c in U.UNIQUE_COLUMNS]
+    return both.select("tenant", "week", *[f"unique_{c}" for c in U.UNIQUE_COLUMNS], (within[0] & within[1] & within[2]).alias("within_bound"))
+
+
 def q_subdomain_map(spark, sf_dir):
     # The map depends on names only: domain parts of the distinct (stripped) names suffice.
     from zonelens import functions as Z
@@ -419,6 +448,8 @@ QUERIES.update(
         "window_cardinality": q_window_cardinality,
         "window_cardinality_sliding": q_window_cardinality_sliding,
         "window_cardinality_approx": q_window_cardinality_approx,
+        "window_cardinality_stored": q_window_cardinality_stored,
+        "weekly_uniques": q_weekly_uniques,
         "subdomain_map": q_subdomain_map,
         "entropy_variants": q_entropy_variants,
         "label_features": q_label_features,
@@ -449,6 +480,8 @@ def _oracle_batch2() -> dict[str, str]:
         "time_features": O.time_features_sql(),
         "window_cardinality": O.window_cardinality_sql(),
         "window_cardinality_sliding": O.window_cardinality_sliding_sql(),
+        "window_cardinality_stored": O.window_cardinality_stored_sql(),
+        "weekly_uniques": O.weekly_uniques_sql(),
         "subdomain_map": O.subdomain_map_sql(),
         "entropy_variants": O.entropy_variants_sql(),
         "label_features": O.label_features_sql(),

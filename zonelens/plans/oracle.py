@@ -524,6 +524,21 @@ def window_cardinality_sliding_sql() -> str:
     )
 
 
+def window_cardinality_stored_sql() -> str:
+    return (
+        "SELECT root_domain, window_start, root_subdomain_cardinality_window, true AS within_bound "
+        f"FROM ({window_cardinality_sliding_sql()}) t"
+    )
+
+
+def weekly_uniques_sql() -> str:
+    return enr_query(
+        "SELECT tenant, CAST(date_trunc('week', event_date) AS DATE) AS week, count(DISTINCT name) AS unique_name, "
+        "count(DISTINCT root_domain) AS unique_root_domain, count(DISTINCT subdomain) AS unique_subdomain, "
+        "true AS within_bound FROM enr GROUP BY ALL"
+    )
+
+
 def subdomain_map_sql() -> str:
     return enr_query(
         "SELECT p.root_domain, p.subdomain, s.subdomain_count FROM (SELECT DISTINCT root_domain, subdomain FROM enr "
