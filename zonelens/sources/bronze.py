@@ -52,7 +52,7 @@ BRONZE_SCHEMA = T.StructType(
 CORRUPT_COL = "_corrupt_record"
 
 
-def read_bronze(spark: SparkSession, path: str, keep_corrupt: bool = True) -> DataFrame:
+def read_bronze(spark: SparkSession, path: str | list[str], keep_corrupt: bool = True) -> DataFrame:
     """Gzip JSON lines with the explicit schema (no inference pass).
 
     PERMISSIVE mode: a malformed line becomes a row with NULL fields and its

@@ -49,10 +49,7 @@ def without_existing(spark: SparkSession, new: DataFrame, path: str, key: str =
     stored = stored.withColumn("event_date", F.col("event_date").cast("date"))
 
     def same(a: DataFrame, b: DataFrame):
-        # Rows without a tenant or a day match each other; plain equalities, so that partitions are pruned.
-        tenant = F.coalesce(a["tenant"], F.lit("")) == F.coalesce(b["tenant"], F.lit(""))
-        day = F.coalesce(a["event_date"], F.lit(_NO_DAY).cast("date")) == F.coalesce(b["event_date"], F.lit(_NO_DAY).cast("date"))
-        return tenant & day & (a[key] == b[key])
+        return same_partition(a, b) & (a[key] == b[key])
 
     # Semi join first (dynamic partition pruning applies to it, not to an anti
     # join): the stored hashes among the new keys, read from touched days only.
@@ -91,6 +88,62 @@ def read_partitioned(
     return df
 
 
+def list_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Stored objects under ``path`` (any depth): object, bytes, modified. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("object"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+LEDGER_SCHEMA = "object string, bytes long, modified timestamp"
+
+
+def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """Objects that have been taken in, as they were then; none where the ledger is not there yet."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
+    except Exception as exc:  # noqa: BLE001 - a missing ledger means nothing has been taken in
+        if "PATH_NOT_FOUND" in str(exc):
+            return spark.createDataFrame([], LEDGER_SCHEMA)
+        raise
+
+
+def new_objects(spark: SparkSession, path: str, ledger_path: str) -> DataFrame:
+    """Objects under ``path`` that the ledger does not hold with the same size and time."""
+    return list_objects(spark, path).join(read_ledger(spark, ledger_path), ["object", "bytes", "modified"], "left_anti")
+
+
+def partition_marks(spark: SparkSession, path: str) -> DataFrame:
+    """What each (tenant, event_date) partition holds, from the listing alone: files, bytes, newest."""
+    files = spark.read.format("binaryFile").option("basePath", path).load(path)
+    size, newest = F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest")
+    marks = files.groupBy("tenant", F.col("event_date").cast("date").alias("event_date")).agg(F.count("*").alias("files"), size, newest)
+    return marks.withColumn("tenant", F.col("tenant").cast("string"))
+
+
+MARK_COLUMNS = ("files", "bytes", "newest")
+
+
+def same_partition(a: DataFrame, b: DataFrame):
+    """Same tenant and day; missing ones match each other. Plain equalities, so that partitions are pruned."""
+    tenant = F.coalesce(a["tenant"], F.lit("")) == F.coalesce(b["tenant"], F.lit(""))
+    return tenant & (F.coalesce(a["event_date"], F.lit(_NO_DAY).cast("date")) == F.coalesce(b["event_date"], F.lit(_NO_DAY).cast("date")))
+
+
+def touched_partitions(spark: SparkSession, path: str, marks_path: str) -> DataFrame:
+    """Partitions under ``path`` whose marks differ from those stored under ``marks_path`` (all, where none are
+    stored): tenant, event_date and the present marks."""
+    now = partition_marks(spark, path)
+    try:
+        schema = "files long, bytes long, newest timestamp, tenant string, event_date date"
+        before = spark.read.schema(schema).parquet(marks_path)
+    except Exception as exc:  # noqa: BLE001 - no marks yet
+        if "PATH_NOT_FOUND" in str(exc):
+            return now
+        raise
+    alike = [now[c] == before[c] for c in MARK_COLUMNS]
+    return now.join(before, same_partition(now, before) & alike[0] & alike[1] & alike[2], "left_anti")
+
+
 def read_gold_record(spark: SparkSession, path: str, tenant: str, event_date: str | _dt.date) -> DataFrame:
     """The gold record of one tenant-day, both partition keys filtered."""
     return read_partitioned(spark, path, tenant, event_date, event_date)
