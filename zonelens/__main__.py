@@ -2,9 +2,10 @@
 script that calls ``zonelens.__main__.main``. The session (master, resources)
 comes from the launcher; nothing here sets a master.
 
-  python -m zonelens silver --bronze PATH --silver PATH [--tenant T] [--rejects PATH]
+  python -m zonelens silver --bronze PATH --silver PATH [--tenant T] [--rejects PATH] [--new]
   python -m zonelens silver-split --bronze PATH --silver PATH --tenant T
   python -m zonelens gold --silver PATH --gold PATH --suffix-list FILE [--tenant T] [--start D] [--end D]
+  python -m zonelens gold --silver PATH --gold PATH --suffix-list FILE --new
   python -m zonelens report NAME --silver PATH --tenant T [--limit N] [--out PATH]
   python -m zonelens dashboard --gold PATH --tenant T --date D [--out PATH]
 """
@@ -44,6 +45,8 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--segment-index", type=int, default=0)
     s.add_argument("--key-root", default="")
 
+    s.add_argument("--new", action="store_true", help="only objects that the ledger does not hold")
+
     ss = sub.add_parser("silver-split", help="bronze -> questions and answers tables")
     ss.add_argument("--bronze", required=True)
     ss.add_argument("--silver", required=True)
@@ -55,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--tenant")
     g.add_argument("--start")
     g.add_argument("--end")
+    g.add_argument("--new", action="store_true", help="only days that have changed since the last such run")
     g.add_argument("--suffix-list", required=True, help="public-suffix list file")
 
     r = sub.add_parser("report", help="one of the six reports for a tenant")
@@ -73,13 +77,17 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = _session()
     if a.cmd == "silver":
-        print(json.dumps(jobs.run_silver(spark, a.bronze, a.silver, a.tenant, reject_path=a.rejects,
-                                         segment_index=a.segment_index, key_root=a.key_root)))
+        run = jobs.run_silver_new if a.new else jobs.run_silver
+        print(json.dumps(run(spark, a.bronze, a.silver, a.tenant, reject_path=a.rejects,
+                             segment_index=a.segment_index, key_root=a.key_root)))
     elif a.cmd == "silver-split":
         print(json.dumps(jobs.run_silver_split(spark, a.bronze, a.silver, a.tenant)))
     elif a.cmd == "gold":
         rules = suffix_rules_from_text(spark, a.suffix_list)
-        print(json.dumps(jobs.run_gold(spark, a.silver, a.gold, rules, a.tenant, a.start, a.end)))
+        if a.new and (a.tenant or a.start or a.end):
+            p.error("--new works on all changed days: without --tenant, --start and --end")
+        out = jobs.run_gold_new(spark, a.silver, a.gold, rules) if a.new else jobs.run_gold(spark, a.silver, a.gold, rules, a.tenant, a.start, a.end)
+        print(json.dumps(out))
     else:
         df = (
             jobs.run_report(spark, a.silver, a.name, a.tenant, a.limit)

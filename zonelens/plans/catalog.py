@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,6 +184,10 @@ def oracle_sql() -> dict[str, str]:
     sql["gold_wide"] = O.gold_wide_sql()
     sql["job_silver"] = sql["silver"]
     sql["job_gold"] = O.enr_query("SELECT * FROM hflat", O.hist_flat_ctes(), O.gold_enr_ctes())
+    sql["job_gold_new"] = sql["gold_wide"]
+    sql["gold_record_written"] = O.gold_record_written_sql(GOLD_RECORD_TENANT, GOLD_RECORD_DATE)
+    sql["dashboard_parts"] = O.dashboard_parts_sql()
+    sql["bins_measured"] = O.bins_measured_sql()
     sql["has_answer_within"] = O.has_answer_within_sql()
     sql["bronze_messages"] = O.bronze_messages_sql()
     sql["window_cardinality_approx"] = O.window_cardinality_approx_sql()
@@ -223,7 +228,11 @@ def _pairs_text(column: str, name: str) -> Column:
 
 def q_gold_wide(spark, sf_dir):
     """The wide record, its lists as text."""
-    return round_doubles(gold_run(spark, sf_dir)["daily_aggregates"]).select(
+    return _wide_text(gold_run(spark, sf_dir)["daily_aggregates"])
+
+
+def _wide_text(wide: DataFrame) -> DataFrame:
+    return round_doubles(wide).select(
         *WIDE_SCALARS,
         _pairs_text("top_qnames", "qname").alias("top_qnames"),
         _pairs_text("qname_entropy_histogram", "bin").alias("qname_histogram"),
@@ -681,6 +690,79 @@ def q_job_gold(spark, sf_dir):
     return round_doubles(D.histogram_flat(written))
 
 
+def _written_gold(spark, sf_dir) -> dict[str, str]:
+    """S1-S5 as objects arrive: silver from new objects, gold of changed days, then a late object and both
+    again, and once more without anything new; returns table -> path, and the gold folder as ``""``."""
+    folder = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    bronze, rules = derived_bronze(spark, sf_dir), suffix_rules(spark)
+    # Replies of one tenant's day come late.
+    late = (F.col("tenant") == "tenant-1") & F.col("timestamp").startswith("2024-01-15") & (F.col("qr") == 1)
+    root = folder if "://" in folder else f"file:{folder}" if not folder.startswith("file:") else folder
+    paths = {}
+    for delivery in (~F.coalesce(late, F.lit(False)), late, None):
+        if delivery is not None:
+            for tenant in [f"tenant-{i}" for i in range(3)]:
+                part = bronze.where((F.col("tenant") == tenant) & delivery)
+                write_bronze(part, f"{folder}/bronze/{tenant}/pcaps")
+        jobs.run_silver_new(spark, f"{folder}/bronze", f"{folder}/silver", key_root=f"{root.replace('file://', 'file:')}/bronze/")
+        paths.update(jobs.run_gold_new(spark, f"{folder}/silver", f"{folder}/gold", rules))
+    return {**paths, "": f"{folder}/gold"}
+
+
+def q_job_gold_new(spark, sf_dir):
+    """The wide record as written by runs over changed days only; equal to that of all rows at once."""
+    written = lake.read_partitioned(spark, _written_gold(spark, sf_dir)["daily_aggregates"])
+    return _wide_text(written.withColumn("event_date", F.col("event_date").cast("date")))
+
+
+def q_gold_record_written(spark, sf_dir):
+    """One tenant-day of the written risk KPIs, both partition keys filtered at the scan."""
+    record = lake.read_gold_record(spark, _written_gold(spark, sf_dir)["risk_kpis"], GOLD_RECORD_TENANT, GOLD_RECORD_DATE)
+    return round_doubles(record.withColumn("event_date", F.col("event_date").cast("date")))
+
+
+def q_dashboard_parts(spark, sf_dir):
+    """All dashboard records read from the five written gold tables, a row for each number they hold."""
+    records = jobs.read_dashboard(spark, _written_gold(spark, sf_dir)[""])
+
+    def rows_of(column: str, kind: str, entries: str, position: str | None, item: str, count: str) -> DataFrame:
+        lists = records.select(*K.KEYS, F.explode(column).alias("x")).select(*K.KEYS, f"x.{kind}", F.posexplode(f"x.{entries}").alias("i", "e"))
+        place = F.col(f"e.{position}") if position else F.col("i")
+        value = F.col(f"e.{count}").cast("double").alias("value")
+        return lists.select(*K.KEYS, F.col(kind).alias("part"), place.cast("int").alias("position"), F.col(f"e.{item}").cast("string").alias("item"), value)
+
+    def numbers_of(column: str) -> DataFrame:
+        fields = [f for f in records.schema[column].dataType.fields if not isinstance(f.dataType, T.StringType)]
+        pairs = F.array(*[F.struct(F.lit(f.name).alias("item"), F.col(f"{column}.{f.name}").cast("double").alias("value")) for f in fields])
+        one = records.select(*K.KEYS, F.lit(column).alias("part"), F.lit(0).alias("position"), F.inline(pairs))
+        return one.where(F.col("value").isNotNull())
+
+    def text_of(column: str) -> DataFrame:
+        fields = [f.name for f in records.schema[column].dataType.fields if isinstance(f.dataType, T.StringType)]
+        pairs = F.array(*[F.concat(F.lit(f"{n}="), F.col(f"{column}.{n}")) for n in fields])
+        one = records.select(*K.KEYS, F.lit(column).alias("part"), F.lit(0).alias("position"), F.explode(pairs).alias("item"))
+        return one.select("*", F.lit(0.0).alias("value")).where(F.col("item").isNotNull())
+
+    parts = [
+        rows_of("histograms", "entropy_type", "histogram", None, "bin", "count"),
+        rows_of("rankings", "topN_type", "topN", "rank", "name", "query_count"),
+        rows_of("breakdowns", "breakdown_type", "breakdown", None, "code", "count").withColumn("position", F.lit(0)),
+        *[f(c) for c in ("base_kpis", "risk_kpis") for f in (numbers_of, text_of)],
+    ]
+    return round_doubles(reduce(DataFrame.unionByName, parts))
+
+
+def q_bins_measured(spark, sf_dir):
+    """H1: the bin dimension, and how many different names of the stand-in are in each bin."""
+    names = G.add_name_features(_distinct_names(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH).groupBy(F.col("qname_entropy_bin").alias("bin"))
+    bins = D.bins_frame(spark).join(names.agg(F.countDistinct("qname").alias("names")), "bin", "left")
+    return bins.select(F.col("ord").cast("int").alias("ord"), "bin", F.col("lower").cast("double").alias("lower"), F.coalesce("names", F.lit(0)).cast("long").alias("names"))
+
+
+QUERIES["job_gold_new"] = q_job_gold_new
+QUERIES["gold_record_written"] = q_gold_record_written
+QUERIES["dashboard_parts"] = q_dashboard_parts
+QUERIES["bins_measured"] = q_bins_measured
 QUERIES["job_silver"] = q_job_silver
 QUERIES["job_gold"] = q_job_gold
 

@@ -286,10 +286,10 @@ def run_gold_new(
     return out
 
 
-def read_dashboard(spark: SparkSession, gold_path: str, tenant: str, event_date: str) -> DataFrame:
-    """A10 read path: the dashboard record of one tenant-day from the written gold tables.
+def read_dashboard(spark: SparkSession, gold_path: str, tenant: str | None = None, event_date: str | None = None) -> DataFrame:
+    """A10 read path: the dashboard record of one tenant-day (or of all) from the written gold tables.
 
-    Every table is read with both partition keys filtered (pruned at listing),
+    Every table is read with the given partition keys filtered (pruned at listing),
     never "the first row" of a directory.
     """
     root = gold_path.rstrip("/")

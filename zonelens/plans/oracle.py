@@ -157,9 +157,9 @@ r AS (
 """
 
 
-def risk_kpis_sql() -> str:
+def _risk_select() -> str:
     intents = ", ".join(f"{intent_sql(m, w, a)} AS {m}_intent" for m, (w, a) in INTENT_THRESHOLDS.items())
-    select = (
+    return (
         "SELECT tenant, event_date, high_entropy_query_count, "
         f"{r6('high_entropy_query_ratio')} AS high_entropy_query_ratio, apex_count, invalid_char_count, nxdomain_count, "
         f"{r6('avg_query_length')} AS avg_query_length, max_query_length, long_query_count, "
@@ -168,7 +168,15 @@ def risk_kpis_sql() -> str:
         f"{r6('unique_query_ratio')} AS unique_query_ratio, {r6('long_query_ratio')} AS long_query_ratio, "
         f"{intents} FROM r"
     )
-    return "WITH " + ",\n".join(enriched_ctes()) + RISK_KPIS_BODY + select
+
+
+def risk_kpis_sql() -> str:
+    return "WITH " + ",\n".join(enriched_ctes()) + RISK_KPIS_BODY + _risk_select()
+
+
+def gold_record_written_sql(tenant: str, day: str) -> str:
+    record = f"SELECT * FROM ({_risk_select()}) WHERE tenant = '{tenant}' AND event_date = DATE '{day}'"
+    return "WITH " + ",\n".join(gold_enr_ctes()) + RISK_KPIS_BODY + record
 
 
 def enr_query(body: str, extra: list[str] | None = None, base: list[str] | None = None) -> str:
@@ -194,7 +202,7 @@ def dns_query(body: str, extra: list[str] | None = None) -> str:
     return "WITH " + ",\n".join([f"dns AS ({STANDIN_SQL})"] + (extra or [])) + "\n" + body
 
 
-def base_kpis_sql() -> str:
+def _base_kpis() -> tuple[list[str], str]:
     extra = [
         "src AS (SELECT tenant, event_date, count(DISTINCT src_ip) AS unique_src_ips FROM enr GROUP BY tenant, event_date)",
         "mx AS (SELECT tenant, event_date, qname AS max_entropy_qname FROM (SELECT tenant, event_date, qname, "
@@ -212,9 +220,14 @@ def base_kpis_sql() -> str:
         "s.unique_src_ips, round(avg_qname_entropy, 6) AS avg_qname_entropy, round(max_qname_entropy, 6) AS max_qname_entropy, "
         "round(avg_subdomain_entropy, 6) AS avg_subdomain_entropy, round(max_subdomain_entropy, 6) AS max_subdomain_entropy, "
         "round(avg_subdomain_count, 6) AS avg_subdomain_count, max_subdomain_count, m.max_entropy_qname "
-        "FROM agg a JOIN src s ON s.tenant = a.tenant AND s.event_date = a.event_date "
-        "JOIN mx m ON m.tenant = a.tenant AND m.event_date = a.event_date"
+        "FROM agg a JOIN src s ON s.tenant = a.tenant AND s.event_date IS NOT DISTINCT FROM a.event_date "
+        "JOIN mx m ON m.tenant = a.tenant AND m.event_date IS NOT DISTINCT FROM a.event_date"
     )
+    return extra, body
+
+
+def base_kpis_sql() -> str:
+    extra, body = _base_kpis()
     return enr_query(body, extra)
 
 
@@ -295,6 +308,44 @@ def breakdowns_sql() -> str:
     return dns_query("SELECT * FROM bflat", [BREAKDOWNS_CTE])
 
 
+def dashboard_parts_sql() -> str:
+    """Every number of the five gold tables as (part, position, item, value)."""
+    extra, base = _base_kpis()
+    risk_ctes = RISK_KPIS_BODY.strip().lstrip(",").replace("agg AS", "risk_agg AS", 1).replace("FROM agg)", "FROM risk_agg)")
+    breakdowns = BREAKDOWNS_CTE.replace("FROM dns", "FROM answered")
+    columns = "(* EXCLUDE (tenant, event_date, {}))"
+
+    def numbers(part: str, text: list[str]) -> str:
+        cells = f"SELECT tenant, event_date, CAST(COLUMNS{columns.format(', '.join(text))} AS DOUBLE) FROM {part}"
+        return (
+            f"SELECT tenant, event_date, '{part}' AS part, 0 AS position, item, value FROM "
+            f"(UNPIVOT ({cells}) ON COLUMNS(* EXCLUDE (tenant, event_date)) INTO NAME item VALUE value)"
+        )
+
+    def words(part: str, text: list[str]) -> list[str]:
+        return [f"SELECT tenant, event_date, '{part}', 0, '{c}=' || {c}, 0.0::DOUBLE FROM {part} WHERE {c} IS NOT NULL" for c in text]
+
+    intents = [f"{m}_intent" for m in INTENT_THRESHOLDS]
+    parts = [
+        "SELECT tenant, event_date, entropy_type AS part, bin_ord AS position, bin AS item, CAST(count AS DOUBLE) AS value FROM hflat",
+        "SELECT tenant, event_date, topN_type, rank, name, CAST(query_count AS DOUBLE) FROM tflat",
+        "SELECT tenant, event_date, breakdown_type, 0, CAST(code AS VARCHAR), CAST(count AS DOUBLE) FROM bflat",
+        numbers("base_kpis", ["max_entropy_qname"]),
+        *words("base_kpis", ["max_entropy_qname"]),
+        numbers("risk_kpis", intents),
+        *words("risk_kpis", intents),
+    ]
+    more = [*extra, f"base_kpis AS ({base})", risk_ctes, f"risk_kpis AS ({_risk_select()})", *topn_ctes(), *hist_flat_ctes(), breakdowns]
+    return enr_query("\nUNION ALL ".join(parts), more, gold_enr_ctes())
+
+
+def bins_measured_sql() -> str:
+    return enr_query(
+        f"SELECT b.ord, b.bin, b.lower, count(DISTINCT e.qname) AS names FROM (VALUES {bins_values()}) b(ord, bin, lower) "
+        "LEFT JOIN enr e ON e.qname_entropy_bin = b.bin GROUP BY ALL"
+    )
+
+
 def template_sql(name: str, tenant: str, limit: int) -> str:
     where = f"tenant = '{tenant}'"
     if name == "avg_entropy":
