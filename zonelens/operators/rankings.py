@@ -47,6 +47,11 @@ def top_n_flat(
     return out
 
 
+def _entropy_order(entropy: Column) -> Column:
+    """Descending to nine places: names whose letters are rearranged tie, whatever the last bit of their sums."""
+    return F.round(entropy, 9).desc_nulls_last()
+
+
 def high_entropy_flat(
     df: DataFrame,
     n: int = TOP_N,
@@ -54,7 +59,7 @@ def high_entropy_flat(
     name_col: str = "qname",
     flag_col: str = "is_high_entropy",
 ) -> DataFrame:
-    """N4 (flat): flagged names, per name count and max entropy, ranked by entropy desc (NULLs last), name asc.
+    """N4 (flat): flagged names, per name count and max entropy, ranked by entropy desc (to nine places, NULLs last), name asc.
 
     The flag is applied after the per-name aggregation: a filter on a feature
     of the grouping key would otherwise be pushed below the name rollup and
@@ -70,7 +75,7 @@ def high_entropy_flat(
         )
         .where(F.col("__flagged") == 1)
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("entropy").desc_nulls_last(), F.asc(name_col))
+    order = Window.partitionBy(*keys).orderBy(_entropy_order(F.col("entropy")), F.asc(name_col))
     ranked = per_name.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return ranked.select(
         *keys,
@@ -141,7 +146,7 @@ def build_topn(enriched: DataFrame, n: int = TOP_N, keys=KEYS) -> DataFrame:
     )
     high = _rank(
         per_name.where(F.col("__flagged") == 1).withColumn("query_count", F.col("__flagged_count")),
-        keys, [F.col("__flagged_entropy").desc_nulls_last(), F.asc("qname")], n, "high_entropy", "qname",
+        keys, [_entropy_order(F.col("__flagged_entropy")), F.asc("qname")], n, "high_entropy", "qname",
         F.col("__flagged_entropy"),
     )
     return top_qnames.unionByName(top_n_flat(enriched, "root_domain", n, "top_root_domains", keys)).unionByName(high)

@@ -282,7 +282,7 @@ def topn_ctes() -> list[str]:
     high = (
         "SELECT tenant, event_date, 'high_entropy' AS topN_type, CAST(rn AS INTEGER) AS rank, name, query_count, "
         "round(entropy, 6) AS entropy FROM (SELECT *, row_number() OVER (PARTITION BY tenant, event_date "
-        "ORDER BY entropy DESC NULLS LAST, name ASC) AS rn FROM (SELECT tenant, event_date, qname AS name, "
+        "ORDER BY round(entropy, 9) DESC NULLS LAST, name ASC) AS rn FROM (SELECT tenant, event_date, qname AS name, "
         "count(*) AS query_count, max(qname_entropy) AS entropy FROM enr WHERE is_high_entropy GROUP BY ALL)) WHERE rn <= 10"
     )
     return [
