@@ -297,6 +297,9 @@ def check_fingerprints(rows, ordered):
         assert abs(r.near_edited - jaccard(paragraphs(text), paragraphs(edited))) < 1e-9
         assert abs(r.near_next - jaccard(paragraphs(text), paragraphs(following))) < 1e-9
         assert known.setdefault(text, r.fingerprint) == r.fingerprint
+        here, there = paragraphs(text), paragraphs(edited)
+        removed, added = (r.edited_removed, r.edited_added) if "edited_removed" in r else ([d.side for d in r.differing_edited].count(s) for s in (1, -1))
+        assert (removed, added) == (len(here - there), len(there - here))
     assert len(set(known.values())) >= len({frozenset(paragraphs(t)) for t in known}) - 1
 
 
@@ -313,7 +316,19 @@ def test_retries_and_the_last_comparison(spark, monkeypatch):
         monkeypatch.setattr(fingerprints, "PART", part)
         monkeypatch.setattr(fingerprints, "SIZES", sizes)
         for r in frame.select("i", fingerprints.differing(F.col("a"), F.col("b")).alias("d")).collect():
-            assert r.d == len(set(rows[r.i][0]) ^ set(rows[r.i][1]))
+            a, b = map(set, rows[r.i])
+            assert len(r.d) == len(a ^ b) and {(d.digest, d.side) for d in r.d} == {(x, 1) for x in a - b} | {(x, -1) for x in b - a}
+
+
+def test_stored_fingerprints_compare(spark, documents):
+    rows = fingerprints.compare_with_next(documents).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "differing_edited").collect()
+    stored = spark.createDataFrame([(r.doc_id, r.fingerprint, r.edited_fingerprint) for r in rows], "doc_id long, one string, other string")
+    compared = {r.doc_id: r for r in fingerprints.compare(stored, "one", "other").collect()}
+    for r in rows:
+        assert compared[r.doc_id].likeness == r.near_edited
+        assert set(compared[r.doc_id].differing) == set(r.differing_edited)
+    alone = spark.createDataFrame([(rows[0].fingerprint, None)], "one string, other string")
+    assert fingerprints.compare(alone, "one", "other").first().likeness is None
 
 
 def test_sketches_subtract(spark):
@@ -321,10 +336,10 @@ def test_sketches_subtract(spark):
     one, other = (fingerprints.sketch(F.col(c), 4) for c in "ab")
     row = frame.select(
         fingerprints.peeled(fingerprints.subtracted(one, other), 4).alias("d"),
-        (fingerprints.encoded(one) == fingerprints.encoded(fingerprints.sketch(F.col("c"), 4))).alias("same"),
+        (fingerprints.encoded(one, F.col("a")) == fingerprints.encoded(fingerprints.sketch(F.col("c"), 4), F.col("c"))).alias("same"),
         (fingerprints.subtracted(one, other) == fingerprints.sketch(F.col("a"), 4, minus=F.col("b"))).alias("linear"),
     ).first()
-    assert row.d == 2 and row.same and row.linear
+    assert {(d.digest, d.side) for d in row.d} == {(1049601, 1), (7, -1)} and row.same and row.linear
 
 
 def test_fingerprints_awkward(make, awkward, nothing):

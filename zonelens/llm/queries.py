@@ -75,7 +75,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
     names = ("fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names)
+    # Recovered digests by side: paragraphs that the other text lacks, and those that only it has.
+    counts = [
+        F.expr(f"size(filter(differing_{c}, d -> d.side = {side}))").cast("long").alias(f"{c}_{name}")
+        for c in ("edited", "next")
+        for side, name in ((1, "removed"), (-1, "added"))
+    ]
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names, *counts)
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
