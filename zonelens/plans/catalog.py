@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonelens import functions as Z
 from zonelens.config import HIGH_ENTROPY_THRESHOLD
 from zonelens.functions.keys import with_key_parts
 from zonelens.operators import distributions as D
 from zonelens.operators import features as G
+from zonelens.operators import heavy as H
 from zonelens.operators import kpis as K
 from zonelens.operators import packets as P
 from zonelens.operators import rankings as N
@@ -124,6 +126,17 @@ def q_topn_qnames(spark, sf_dir):
     return round_doubles(N.top_n_flat(enriched(spark, sf_dir), "qname", topn_type="top_qnames"))
 
 
+def q_topn_qnames_rows(spark, sf_dir):
+    # As in gold, the root's dot at the end is no part of a name.
+    named = rows(spark, sf_dir).where(F.col("qname").isNotNull())
+    named = named.withColumn("qname", Z.strip_trailing_dot(F.col("qname")))
+    return H.top_n_from_rows(named, "qname", topn_type="top_qnames")
+
+
+def q_topn_clients_rows(spark, sf_dir):
+    return H.top_n_from_rows(rows(spark, sf_dir), "src_ip", topn_type="top_clients")
+
+
 def q_topn_root_domains(spark, sf_dir):
     return round_doubles(N.top_n_flat(enriched(spark, sf_dir), "root_domain", topn_type="top_root_domains"))
 
@@ -153,6 +166,8 @@ QUERIES: dict[str, QueryFn] = {
     "domain_parts": q_domain_parts,
     "hist_entropy_flat": q_hist_entropy_flat,
     "topn_qnames": q_topn_qnames,
+    "topn_qnames_rows": q_topn_qnames_rows,
+    "topn_clients_rows": q_topn_clients_rows,
     "topn_root_domains": q_topn_root_domains,
     "topn_high_entropy": q_topn_high_entropy,
     "breakdowns_flat": q_breakdowns_flat,
@@ -171,6 +186,8 @@ def oracle_sql() -> dict[str, str]:
         "domain_parts": O.domain_parts_sql(),
         "hist_entropy_flat": O.hist_flat_sql(),
         "topn_qnames": O.topn_sql("t_q"),
+        "topn_qnames_rows": O.topn_sql("t_q"),
+        "topn_clients_rows": O.topn_clients_sql(),
         "topn_root_domains": O.topn_sql("t_r"),
         "topn_high_entropy": O.topn_sql("t_h"),
         "breakdowns_flat": O.breakdowns_sql(),

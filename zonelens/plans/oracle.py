@@ -8,7 +8,7 @@ lambdas), then the aggregate. Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-from zonelens.config import ENTROPY_BINS, HIGH_ENTROPY_THRESHOLD, HOST_ENTROPY_MAX, INTENT_THRESHOLDS
+from zonelens.config import ENTROPY_BINS, HIGH_ENTROPY_THRESHOLD, HOST_ENTROPY_MAX, INTENT_THRESHOLDS, TOP_N
 from zonelens.operators.suffix import IPV4_RE
 from zonelens.sources.dims import SEED_SUFFIX_RULES, parse_suffix_rule
 from zonelens.sources.tables import STANDIN_SQL
@@ -297,6 +297,15 @@ def topn_sql(table: str) -> str:
     return enr_query(f"SELECT * FROM {table}", topn_ctes())
 
 
+def topn_clients_sql() -> str:
+    """The most frequent source addresses of each tenant-day."""
+    counts = "per_client AS (SELECT tenant, event_date, src_ip AS name, count(*) AS query_count FROM dns GROUP BY ALL)"
+    order = "PARTITION BY tenant, event_date ORDER BY query_count DESC, name NULLS FIRST"
+    placed = f"placed AS (SELECT *, row_number() OVER ({order}) AS place FROM per_client)"
+    columns = "tenant, event_date, 'top_clients' AS topN_type, CAST(place AS INTEGER) AS rank, name, query_count"
+    return dns_query(f"SELECT {columns}, CAST(NULL AS DOUBLE) AS entropy FROM placed WHERE place <= {TOP_N}", [counts, placed])
+
+
 BREAKDOWNS_CTE = (
     "bflat AS (SELECT tenant, event_date, 'qtype_breakdown' AS breakdown_type, qtype AS code, count(*) AS count "
     "FROM dns WHERE qr = 0 GROUP BY ALL UNION ALL SELECT tenant, event_date, 'rcode_breakdown', rcode, count(*) "
