@@ -771,8 +771,10 @@ def q_dashboard_parts(spark, sf_dir):
 
 def q_bins_measured(spark, sf_dir):
     """H1: the bin dimension, and how many different names of the stand-in are in each bin."""
-    names = G.add_name_features(_distinct_names(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH).groupBy(F.col("qname_entropy_bin").alias("bin"))
-    bins = D.bins_frame(spark).join(names.agg(F.countDistinct("qname").alias("names")), "bin", "left")
+    names = G.add_name_features(_distinct_names(spark, sf_dir), suffix_rules(spark), max_depth=SEED_DEPTH).groupBy(F.col("qname_entropy_bin").alias("__bin"))
+    # Null-safe: a plain join would have the bin's "is not null" evaluated on every raw row.
+    same = F.col("bin").eqNullSafe(F.col("__bin"))
+    bins = D.bins_frame(spark).join(names.agg(F.countDistinct("qname").alias("names")), same, "left")
     return bins.select(F.col("ord").cast("int").alias("ord"), "bin", F.col("lower").cast("double").alias("lower"), F.coalesce("names", F.lit(0)).cast("long").alias("names"))
 
 
