@@ -9,6 +9,7 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from zonelens.llm import divergence, ngram_join, queries, resampling
@@ -244,3 +245,33 @@ def test_join_awkward_rows(make, awkward, nothing):
     assert ngram_join.join(nothing).count() == 0
     twins = ngram_join.join(make([(None, "the same four words", "", "", 0), (4, "the SAME four words", "", "", 0)])).collect()
     assert {(r.doc_id, r.component_id) for r in twins} == {(None, 4), (4, 4)}
+
+
+def test_near_pairs_are_a_forest_of_the_task():
+    rng = np.random.default_rng(5)
+    words = ngram_join.sketch(np.unique(rng.integers(0, 2**64, 40, dtype=np.uint64)), 4).tobytes()
+    keys, nodes = 6, 30
+    columns = {"key": np.repeat(np.arange(keys), nodes), "node": np.tile(np.arange(nodes), keys)}
+    columns |= {c: np.zeros(keys * nodes, np.int64) for c in ("low", "high", "block")}
+    columns |= {"cluster": columns["node"], "size": np.full(keys * nodes, 40)}
+    table = pa.table({**columns, "sketch": pa.array([words] * (keys * nodes), pa.binary())})
+    # The keys of two batches, and a pair of nodes that meets in a small unit again.
+    cut = [(columns["key"][: 3 * nodes], table.slice(0, 3 * nodes)), (columns["key"][3 * nodes :], table.slice(3 * nodes)), (np.zeros(2, np.int64), table.slice(0, 2))]
+    batches = list(ngram_join._candidates(iter(cut)))
+    assert sum(b.num_rows for b in batches) == nodes - 1
+    reached = {0}
+    for _ in range(nodes):
+        reached |= {y for b in batches for e in zip(*(c.to_pylist() for c in b.columns), strict=True) if reached & set(e) for y in e}
+    assert reached == set(range(nodes))
+
+
+def test_joined_pairs_connect_as_all_do():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 60, (2, 200))
+    for limit in (5, 1000):
+        new = ngram_join.Joined(limit).new(a, b)
+        whole, kept = ngram_join.Joined(1000), ngram_join.Joined(1000)
+        whole.new(a, b), kept.new(a[new], b[new])
+        pairs = [(x, y) for x in range(60) for y in range(60)]
+        assert [whole.root(x) == whole.root(y) for x, y in pairs] == [kept.root(x) == kept.root(y) for x, y in pairs]
+        assert new.sum() < 60 or limit == 5

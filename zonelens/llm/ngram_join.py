@@ -50,7 +50,7 @@ from zonelens.llm.near_dup import by_group, forest, in_blocks, shared_counts
 WORDS = 4
 PERCENT = 85
 #: Sketches of one block of a key, about; pairs of them that are compared at a time.
-KEY_BLOCK = 256
+KEY_BLOCK = 512
 PAIRS = 8192
 #: Sets and elements of one block of a family or of a head, about.
 BLOCK = 96
@@ -340,20 +340,52 @@ def _near(i: np.ndarray, j: np.ndarray, size: np.ndarray, sketches: list[bytes],
     return out
 
 
+class Joined:
+    """The components of the pairs that a task has emitted; starts anew beyond ``limit`` nodes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.above = limit, {}
+
+    def root(self, node: int) -> int:
+        above = self.above
+        while (up := above.get(node, node)) != node:
+            above[node] = node = above.get(up, up)
+        return node
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs, taken in order, join two components; these are joined."""
+        out = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                if len(self.above) > self.limit:
+                    self.above.clear()
+                    x, y = int(a[i]), int(b[i])
+                self.above[x] = self.above[y] = min(x, y)
+                out[i] = True
+        return out
+
+
 #: Up to this many rows, a unit's pairs are made together with those of other units.
 _SMALL = 8
 
 
 def _candidates(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Pairs of different clusters (of a large unit a spanning forest of them) whose sketches allow a link."""
+    """Pairs of different clusters whose sketches allow a link: of each task a spanning forest of them.
+
+    Families are all that comes of the pairs, so nodes that the task's pairs connect already are not
+    compared again, whatever number of keys they share.
+    """
+    joined = Joined(MEMORY)
     for unit, table in units:
         node, cluster, block, size = (table.column(c).to_numpy() for c in ("node", "cluster", "block", "size"))
         same_block = table.column("low").to_numpy() == table.column("high").to_numpy()
         sketches = table.column("sketch").to_pylist()
         rows_in = np.bincount(unit)[unit]
+        root = np.array([joined.root(x) for x in node.tolist()], np.int64)
 
         def compared(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ok = (cluster[i] != cluster[j]) & (same_block[i] | (block[i] != block[j]))
+            ok = (cluster[i] != cluster[j]) & (root[i] != root[j]) & (same_block[i] | (block[i] != block[j]))
             i, j = i[ok], j[ok]
             ok = _near(i, j, size, sketches, percent)
             return i[ok], j[ok]
@@ -371,7 +403,8 @@ def _candidates(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int = PER
                 linked[i - rows.start, j - rows.start] = linked[j - rows.start, i - rows.start] = True
                 found += [(node[[rows.start + x]], node[[rows.start + y]]) for x, y in forest(linked)]
         a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        new = joined.new(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
 
 def _across(units: Iterator[tuple[np.ndarray, pa.Table]], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
