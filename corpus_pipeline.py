@@ -3,7 +3,8 @@
 Each stage is a function of ``(spark, docs, sf_dir)`` that calls one operator
 of ``zonelens.llm`` on all documents that the stage before kept. ``run`` writes each
 stage's result as Parquet under the shared folder of ``spark.checkpoint.dir``
-and reads it again, so a lost executor costs the current stage only.
+and reads it again, so a lost executor costs the current stage only. What the stages before have left
+in the driver goes first.
 
 1. ``quality_rules``: documents that the base rule or the quality model rejects go.
 2. ``toxicity``: documents from the toxic score on go.
@@ -23,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from zonelens.llm import near_dup, packing, quality, secrets_forest, toxicity
-from zonelens.llm.common import ensure_checkpoint_dir, read_table
+from zonelens.llm.common import ensure_checkpoint_dir, free_unused, read_table
 from zonelens.llm.queries import PACK_END_ID, held_out
 
 
@@ -32,19 +33,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_unused(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), allowed=lambda doc_id: ~held_out(doc_id))
     return toxicity.keep_clean(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_unused(spark)
     return near_dup.keep_one(docs, near_dup.STAGE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_unused(spark)
     return secrets_forest.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_unused(spark)
     # Workers that ran the stages before hold memory already: remember less.
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), PACK_END_ID, memory=250_000)
 

@@ -44,3 +44,17 @@ def test_run_equals_its_operators(spark, documents, labels):
     for r in rows:
         by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.length
     assert by_doc == {r.doc_id: r.doc_tokens for r in rows}
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[1:]])
+def test_stages_free_what_those_before_have_left(spark, nothing, monkeypatch, stage):
+    class Freed(Exception):
+        pass
+
+    def free(session):
+        assert session is spark
+        raise Freed
+
+    monkeypatch.setattr(corpus_pipeline, "free_unused", free)
+    with pytest.raises(Freed):
+        stage(spark, nothing, "unread")

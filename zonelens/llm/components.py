@@ -9,7 +9,8 @@ partitions adaptive execution splits. Nothing but two numbers a round comes to t
 What a round makes is written as a table under the shared checkpoint folder and read
 again. A checkpoint would keep the size that the planner expected, and every join
 multiplies expected sizes: after some rounds they are numbers of megabytes each in the
-driver. A table has the size of its files. The folder goes when the result is checkpointed.
+driver. A table has the size of its files. The folder goes when the result is checkpointed, and
+so do the rounds' broadcasts and shuffles.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelens.llm.common import cut_lineage, drop_folder, scratch_folder
+from zonelens.llm.common import cut_lineage, drop_folder, free_unused, scratch_folder
 
 _Store = Callable[[DataFrame], DataFrame]
 
@@ -60,4 +61,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = cut_lineage(stars.union(stars.select("component", "component").distinct()))
     drop_folder(spark, folder)
+    free_unused(spark)
     return out
