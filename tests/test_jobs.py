@@ -222,3 +222,54 @@ def test_streamed_answers_equal_the_batch_in_any_order(spark, tmp_dir):
         want = {r.silver_dedupe_hash: r.has_answer for r in batch.collect()}
         assert got == want and sum(want.values()) > 0
         assert spark.read.parquet(answered).count() == sum(want.values())
+
+
+def test_silver_days_are_not_written_by_every_task(spark, tmp_dir):
+    from zonelens.sources import lake
+
+    rows = spark.range(400, numPartitions=8).selectExpr("id", "concat('t', id % 2) as tenant", "date'2024-01-01' + cast(id % 3 as int) as event_date")
+    path = f"{tmp_dir}/rebalanced"
+    lake.write_silver(rows, path)
+    files = lake.list_objects(spark, path)
+    assert files.count() == 6
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(400))
+
+
+def test_appended_rows_are_computed_once(spark, tmp_dir):
+    from zonelens.sources import lake
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def rows(first, last):
+        made = spark.range(first, last).selectExpr("if(id % 5 = 0, null, 't') as tenant", "if(id % 7 = 0, null, date'2024-01-01') as event_date", "concat('h', id) as silver_dedupe_hash")
+        return made.mapInArrow(run, made.schema)
+
+    path = f"{tmp_dir}/appended"
+    lake.append_new(spark, rows(0, 40), path)
+    assert seen.value == 40
+    lake.append_new(spark, rows(30, 60), path)
+    assert seen.value == 70
+    assert sorted(int(r[0][1:]) for r in spark.read.parquet(path).select("silver_dedupe_hash").collect()) == list(range(60))
+
+
+def test_lines_are_counted_in_the_pass_of_the_rejects(spark, tmp_dir):
+    import json
+    import os
+
+    from zonelens.plans import jobs
+
+    os.makedirs(f"{tmp_dir}/counted")
+    lines = [json.dumps({"timestamp": t, "qr": 1, "id": 1}) for t in ("2024-01-01T00:00:00", "1704067200.5", "junk", None)]
+    with open(f"{tmp_dir}/counted/a.json", "w") as f:
+        f.write("\n".join([*lines, '{"qr": "x"}', "{broken"]))
+    counts = jobs.run_silver(spark, f"{tmp_dir}/counted", f"{tmp_dir}/counted-silver", "t")
+    assert counts == {"lines": 6, "malformed": 2, "messages": 4, "without_time": 1}
+    reasons = [r.reject_reason for r in spark.read.json(f"{tmp_dir}/counted-silver_rejects").collect()]
+    assert sorted(reasons) == ["malformed line"] * 2 + ["unreadable time, kept without a day"]
+    _, rejects = jobs.split_rejects(jobs.read_bronze(spark, f"{tmp_dir}/counted"))
+    assert rejects._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

@@ -226,8 +226,8 @@ WIDE_SCALARS = [
 
 
 def answered_silver(spark, sf_dir):
-    """The bronze-to-silver job's rows with ``has_answer``; checkpointed, as every gold table reads them."""
-    return cut_lineage(S.mark_answers_by_window(_silver(spark, sf_dir), jobs.ANSWER_SECONDS))
+    """The bronze-to-silver job's rows with ``has_answer``: id, and what gold reads; checkpointed, as every gold table reads them."""
+    return cut_lineage(S.mark_answers_by_window(_silver(spark, sf_dir), jobs.ANSWER_SECONDS).select("id", *jobs.GOLD_COLUMNS))
 
 
 def gold_run(spark, sf_dir):
@@ -678,11 +678,17 @@ QUERIES["render_rdata"] = q_render_rdata
 # --- jobs on files ---------------------------------------------------------------------
 
 
+def _messages_by(spark: SparkSession, bronze: DataFrame, folder: str, *by: str) -> DataFrame:
+    """The messages, derived once, in partitions by tenant (and ``by``): each object is written from its own."""
+    bronze.write.partitionBy("tenant", *by).parquet(f"{folder}/messages")
+    return spark.read.schema(bronze.schema).parquet(f"{folder}/messages")
+
+
 def _written_silver(spark, sf_dir) -> str:
     """Bronze JSON objects by tenant -> the silver job, run twice; returns the table's path."""
     folder = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
-    bronze = derived_bronze(spark, sf_dir)
     # One object folder per tenant, as captures arrive: <tenant>/pcaps/<object>.
+    bronze = _messages_by(spark, derived_bronze(spark, sf_dir), folder)
     for tenant in [f"tenant-{i}" for i in range(3)]:
         write_bronze(bronze.where(F.col("tenant") == tenant), f"{folder}/bronze/{tenant}/pcaps")
     root = folder if "://" in folder else f"file:{folder}" if not folder.startswith("file:") else folder
@@ -714,12 +720,13 @@ def _written_gold(spark, sf_dir) -> dict[str, str]:
     bronze, rules = derived_bronze(spark, sf_dir), suffix_rules(spark)
     # Replies of one tenant's day come late.
     late = (F.col("tenant") == "tenant-1") & F.col("timestamp").startswith("2024-01-15") & (F.col("qr") == 1)
+    bronze = _messages_by(spark, bronze.withColumn("late", F.coalesce(late, F.lit(False))), folder, "late")
     root = folder if "://" in folder else f"file:{folder}" if not folder.startswith("file:") else folder
     paths = {}
-    for delivery in (~F.coalesce(late, F.lit(False)), late, None):
+    for delivery in (False, True, None):
         if delivery is not None:
             for tenant in [f"tenant-{i}" for i in range(3)]:
-                part = bronze.where((F.col("tenant") == tenant) & delivery)
+                part = bronze.where((F.col("tenant") == tenant) & (F.col("late") == delivery))
                 write_bronze(part, f"{folder}/bronze/{tenant}/pcaps")
         jobs.run_silver_new(spark, f"{folder}/bronze", f"{folder}/silver", key_root=f"{root.replace('file://', 'file:')}/bronze/")
         paths.update(jobs.run_gold_new(spark, f"{folder}/silver", f"{folder}/gold", rules))

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from zonelens import functions as Z
@@ -38,6 +38,9 @@ GOLD_TABLES = ("base_kpis", "risk_kpis", "histograms", "topn", "breakdowns")
 TYPE_COLUMNS = {"histograms": "entropy_type", "topn": "topN_type", "breakdowns": "breakdown_type"}
 
 
+# Answered silver columns that the gold tables are made from.
+GOLD_COLUMNS = ("tenant", "event_date", "qname", "src_ip", "qr", "qtype", "rcode", "has_answer")
+
 # A reply within this time answers its query.
 ANSWER_SECONDS = 5.0
 
@@ -58,7 +61,7 @@ def append_answered(spark: SparkSession, arrived: DataFrame, silver_path: str, a
     stored = lake.read_partitioned(spark, silver_path).select(*columns).join(days, list(lake.PARTITION_KEYS), "left_semi")
     stored = stored.withColumns({"__client": client, "__server": server}).join(arrived.select(*ends).distinct(), ends, "left_semi")
     answered = S.mark_answers_by_window(stored, answer_seconds).where("has_answer = 1").select(*lake.PARTITION_KEYS, "silver_dedupe_hash")
-    lake.write_silver(lake.without_existing(spark, answered, answered_path), answered_path)
+    lake.append_new(spark, answered, answered_path)
 
 
 def read_answered(spark: SparkSession, silver_path: str, answered_path: str) -> DataFrame:
@@ -88,15 +91,26 @@ def bronze_to_silver(bronze: DataFrame, tenant: str | None = None, segment_index
     return S.convert_to_silver(S.flatten_messages(messages))
 
 
+_UNREAD = "__unread"
+
+
+def _with_unread(bronze: DataFrame) -> DataFrame:
+    """Marks well-formed messages with a time that cannot be read."""
+    unread = F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull() & Z.parse_event_ts(F.col("timestamp")).isNull()
+    return bronze.withColumn(_UNREAD, unread)
+
+
+def _rejects(marked: DataFrame) -> DataFrame:
+    """Rejects of ``_with_unread`` rows, by one pass over them."""
+    malformed = F.col("_corrupt_record").isNotNull()
+    reason = F.when(malformed, "malformed line").otherwise("unreadable time, kept without a day")
+    columns = [c for c in marked.columns if c not in ("_corrupt_record", _UNREAD)]
+    return marked.where(malformed | F.col(_UNREAD)).select(*columns, "_corrupt_record", reason.alias("reject_reason"))
+
+
 def split_rejects(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(well-formed messages, rejects): malformed lines, lines with a badly typed field, and unreadable times."""
-    good, bad = S.split_corrupt(bronze)
-    unread = F.col("timestamp").isNotNull() & Z.parse_event_ts(F.col("timestamp")).isNull()
-    reason = F.lit("malformed line").alias("reject_reason")
-    timeless = good.where(unread).withColumn("_corrupt_record", F.lit(None).cast("string"))
-    columns = [c for c in bronze.columns if c != "_corrupt_record"]
-    rejects = bad.select(*columns, "_corrupt_record", reason)
-    return good, rejects.unionByName(timeless.select(*columns, "_corrupt_record", F.lit("unreadable time, kept without a day").alias("reject_reason")))
+    return S.split_corrupt(bronze)[0], _rejects(_with_unread(bronze))
 
 
 def run_silver(
@@ -116,13 +130,15 @@ def run_silver(
     hash) are not appended again, so re-running an object adds nothing.
     """
     bronze = read_bronze(spark, bronze_path)
-    good, rejects = split_rejects(bronze)
-    rejects.write.mode("append").json(reject_path or f"{silver_path.rstrip('/')}_rejects")
+    # All fields are read for the rejects, so a line is malformed by any of them; the same pass counts.
+    lines, counts = _counted(_with_unread(bronze))
+    _rejects(lines).write.mode("append").json(reject_path or f"{silver_path.rstrip('/')}_rejects")
     silver = bronze_to_silver(bronze, tenant, **key_opts)
     if idempotent:
-        silver = lake.without_existing(spark, silver, silver_path)
-    lake.write_silver(silver, silver_path)
-    return _line_counts(bronze)
+        lake.append_new(spark, silver, silver_path)
+    else:
+        lake.write_silver(silver, silver_path)
+    return _line_counts(counts)
 
 
 # Objects taken in at a time: bounds what the driver is told of a listing.
@@ -163,13 +179,17 @@ def run_silver_new(
         totals = {k: totals[k] + {"objects": len(lot), **counts}[k] for k in totals}
 
 
-def _line_counts(bronze: DataFrame) -> dict[str, int]:
-    """Lines by outcome, in one pass. All fields are read: a line is malformed by any of them."""
+def _counted(marked: DataFrame) -> tuple[DataFrame, Observation]:
+    """``_with_unread`` rows that are counted by outcome in whatever pass reads them."""
+    counts = Observation()
     malformed = F.col("_corrupt_record").isNotNull()
-    unread = ~malformed & F.col("timestamp").isNotNull() & Z.parse_event_ts(F.col("timestamp")).isNull()
-    flags = bronze.select(malformed.alias("m"), unread.alias("u"), F.xxhash64(*bronze.columns).alias("all_fields"))
-    counts = {"lines": F.count("*"), "malformed": F.count_if("m"), "without_time": F.count_if("u"), "read": F.bit_xor("all_fields")}
-    row = flags.agg(*[c.alias(n) for n, c in counts.items()]).first()
+    lines, bad, unread = F.count(F.lit(1)), F.count_if(malformed), F.count_if(F.col(_UNREAD))
+    return marked.observe(counts, lines.alias("lines"), bad.alias("malformed"), unread.alias("without_time")), counts
+
+
+def _line_counts(counts: Observation) -> dict[str, int]:
+    """Lines by outcome, of a pass that is done."""
+    row = {n: counts.get.get(n) or 0 for n in ("lines", "malformed", "without_time")}
     return {"lines": row["lines"], "malformed": row["malformed"], "messages": row["lines"] - row["malformed"], "without_time": row["without_time"]}
 
 
@@ -279,7 +299,7 @@ def run_gold_new(
     silver = lake.read_partitioned(spark, silver_path).withColumn("event_date", F.col("event_date").cast("date"))
     rows = only(S.mark_answers_by_window(only(silver, around(changed)), answer_seconds), changed)
     out = {}
-    for name, df in gold_tables(cut_lineage(rows), rules).items():
+    for name, df in gold_tables(cut_lineage(rows.select(*GOLD_COLUMNS)), rules).items():
         out[name] = f"{root}/{name}"
         lake.write_gold(df, out[name], TYPE_COLUMNS.get(name))
     lake.write_gold(touched, f"{root}/marks")

@@ -13,6 +13,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonelens.session import staged
+
 PARTITION_KEYS = ("tenant", "event_date")
 # Stands for a missing day in comparisons.
 _NO_DAY = "0001-01-01"
@@ -21,11 +23,13 @@ _NO_DAY = "0001-01-01"
 def write_silver(df: DataFrame, path: str) -> None:
     """S3: append silver rows partitioned by (tenant, event_date).
 
-    No repartition by the keys (that would put a whole tenant-day in one task);
-    each task sorts its rows by the keys so it keeps one open file at a time.
+    The rows are rebalanced by the keys first: small days share a task, and adaptive execution splits large
+    ones, so no task holds a whole large tenant-day, yet a day gets as many files as its
+    bytes ask for, not one from every task. Each task sorts its rows by the keys so it keeps one open file at a time.
     """
     (
-        df.sortWithinPartitions(*PARTITION_KEYS)
+        df.hint("rebalance", *map(F.col, PARTITION_KEYS))
+        .sortWithinPartitions(*PARTITION_KEYS)
         .write.mode("append")
         .option("compression", "snappy")
         .partitionBy(*PARTITION_KEYS)
@@ -33,29 +37,41 @@ def write_silver(df: DataFrame, path: str) -> None:
     )
 
 
-def without_existing(spark: SparkSession, new: DataFrame, path: str, key: str = "silver_dedupe_hash") -> DataFrame:
-    """Rows of ``new`` whose (tenant, event_date, key) is not yet stored under ``path``.
-
-    The partition columns are join keys of a semi join, so dynamic partition
-    pruning reads only the stored partitions the new rows touch, and only three
-    columns of them; the content hash makes the keys unique (no skew).
-    """
+def _stored_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """(tenant, event_date, key) of the rows stored under ``path``; None where nothing is stored yet."""
     try:
         stored = spark.read.parquet(path).select(*PARTITION_KEYS, key)
     except Exception as exc:  # noqa: BLE001 - a missing table means nothing is stored yet
         if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return new
+            return None
         raise
-    stored = stored.withColumn("event_date", F.col("event_date").cast("date"))
+    return stored.withColumn("event_date", F.col("event_date").cast("date"))
 
-    def same(a: DataFrame, b: DataFrame):
-        return same_partition(a, b) & (a[key] == b[key])
 
-    # Semi join first (dynamic partition pruning applies to it, not to an anti
-    # join): the stored hashes among the new keys, read from touched days only.
-    fresh = new.select(*PARTITION_KEYS, key)
-    already = stored.join(fresh, same(stored, fresh), "left_semi")
-    return new.join(already, same(new, already), "left_anti")
+def without_existing(spark: SparkSession, new: DataFrame, path: str, key: str = "silver_dedupe_hash") -> DataFrame:
+    """Rows of ``new`` whose (tenant, event_date, key) is not yet stored under ``path``.
+
+    The days of the new rows (few, broadcast) are joined first, so dynamic
+    partition pruning reads only the stored partitions that they touch, and only three
+    columns of them; the content hash makes the keys unique (no skew) and comes first in the
+    join, where sorts compare it first. ``new`` is read twice: see ``append_new``.
+    """
+    stored = _stored_keys(spark, path, key)
+    if stored is None:
+        return new
+    # Pruning asks for a filter on the side that prunes; rows without a key equal no stored one.
+    days = new.where(F.length(key) >= 0).select(*PARTITION_KEYS).distinct()
+    already = stored.join(F.broadcast(days), same_partition(stored, days), "left_semi")
+    return new.join(already, (new[key] == already[key]) & same_partition(new, already), "left_anti")
+
+
+def append_new(spark: SparkSession, new: DataFrame, path: str, key: str = "silver_dedupe_hash") -> None:
+    """Append the rows of ``new`` that are not yet stored under ``path``; ``new`` is computed once."""
+    if _stored_keys(spark, path, key) is None:
+        write_silver(new, path)
+        return
+    with staged(new) as rows:
+        write_silver(without_existing(spark, rows, path, key), path)
 
 
 def write_gold(df: DataFrame, path: str, type_col: str | None = None) -> None:

@@ -62,7 +62,7 @@ def start_silver_stream(
         silver = jobs.bronze_to_silver(batch, tenant, **key_opts)
         if answered_path:
             silver = cut_lineage(silver)
-        lake.write_silver(lake.without_existing(batch.sparkSession, silver, silver_path), silver_path)
+        lake.append_new(batch.sparkSession, silver, silver_path)
         if answered_path:
             jobs.append_answered(batch.sparkSession, silver, silver_path, answered_path, answer_seconds)
 
